@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions.text import non_empty, present
 
-ORDER = ["at", "event_id"]
+ORDER = ["at_time", "event_id"]
 
 
 def _prepared(events: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _prepared(events: DataFrame) -> DataFrame:
     app = F.col("new_application") if "new_application" in events.columns else F.lit(None).cast("string")
     ident = F.col("event_id") if "event_id" in events.columns else F.xxhash64("kind", "new_group", "new_date")
     return events.select(
-        "evidence_id", "at", ident.alias("event_id"), "kind",
+        "evidence_id", "at_time", ident.alias("event_id"), "kind",
         F.when(correct, non_empty(F.col("new_group"))).alias("new_group"),
         F.when(correct, non_empty(F.col("new_date"))).alias("new_date"),
         F.when(correct, app).alias("new_application"),
@@ -79,11 +79,11 @@ def apply_reviews(submissions: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def review_history(events: DataFrame) -> DataFrame:
-    """The correction history as rows: one per correction or validation, in order of `at`."""
+    """The correction history as rows: one per correction or validation, ordered by `at_time`."""
     rows = _prepared(events).where(F.col("kind").isin("correct", "validate"))
     validated = F.col("kind") == "validate"
     return rows.select(
-        "evidence_id", "at", "kind", "new_group", "new_date",
+        "evidence_id", "at_time", "kind", "new_group", "new_date",
         F.when(validated, "SUCCESS").alias("new_sync_status"),
         F.when(validated, K.TEXT_VALIDATED).alias("evidence_text"),
     )

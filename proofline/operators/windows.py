@@ -35,7 +35,7 @@ def latest_run(runs: DataFrame, app: str | None = None) -> DataFrame:
 
 
 def latest_explicit_state(
-    frames: DataFrame, key: str = "proof_id", state: str = "state", order: Sequence[str] = ("at", "frame_id")
+    frames: DataFrame, key: str = "proof_id", state: str = "state", order: Sequence[str] = ("at_time", "frame_id")
 ) -> DataFrame:
     """Per proof, the state of its last frame that shows one."""
     shown = frames.where(F.col(state).isNotNull())

@@ -72,7 +72,9 @@ def _text(*columns: str):
 def q_read_tabular(t: Tables) -> DataFrame:
     path = scratch(t.spark, "tabular")
     t["raw_rows"].withColumnRenamed("row_number", "line").write.csv(path, header=True, escape='"')
-    return readers.read_tabular(t.spark, path, RAW_MAPPING).select("line", "raw_id", "raw_date", "agent", "locality")
+    return readers.read_tabular(t.spark, path, RAW_MAPPING).select(
+        F.col("line").cast("bigint").alias("line"), "raw_id", "raw_date", "agent", "locality"
+    )
 
 
 @query
@@ -622,7 +624,7 @@ def q_first_observation(t: Tables) -> DataFrame:
 @query
 def q_latest_explicit_state(t: Tables) -> DataFrame:
     rows = t["frames"].withColumn("read", status.sync_text_status(F.col("text"))).select(
-        "proof_id", "frame_id", frames.frame_time(t["frames"]).alias("at"),
+        "proof_id", "frame_id", frames.frame_time(t["frames"]).alias("at_time"),
         F.when(F.col("read.matched").isNotNull(), F.col("read.status")).alias("state"),
     )
     return windows.latest_explicit_state(rows)
@@ -959,7 +961,7 @@ def q_stream_gateway(t: Tables) -> DataFrame:
     root = scratch(t.spark, "gateway")
     events = readers.read_messages(t.spark, t.sf_dir, streaming=True, pattern="events.parquet")
     states = t.spark.sql("""
-select event_id, ts as at, user_id as gateway_id, case event_type when 'error' then 'ERROR' when 'view' then 'CONNECTED'
+select event_id, ts as at_time, user_id as gateway_id, case event_type when 'error' then 'ERROR' when 'view' then 'CONNECTED'
  when 'click' then 'CONNECTED' when 'purchase' then null else 'RECONNECTING' end as connection_state from {events}""",
                          events=events)
     feed.run_available(states, f"{root}/checkpoint", feed.gateway_sink(root))

@@ -170,19 +170,19 @@ from orders""",
 select evidence_id, concat('frames/', cast(evidence_id - evidence_id%4 as string), '.png') as storage_path from submissions
 where evidence_id%2=0""",
     "review_events": """
-select evidence_id, evidence_id*10+1 as event_id, received_at + interval 1 hour as at,
+select evidence_id, evidence_id*10+1 as event_id, received_at + interval 1 hour as at_time,
  case evidence_id%4 when 0 then 'validate' when 1 then 'reject' when 2 then 'correct' else 'status' end as kind,
  case when evidence_id%4=2 then 'gr1.zone-1' end as new_group, case when evidence_id%8=2 then '2024-01-15' end as new_date,
  case when evidence_id%4=3 then 'REQUIRES_REVIEW' end as new_status
 from submissions where evidence_id%9=0
 union all
-select evidence_id, evidence_id*10+2 as event_id, received_at + interval 2 hour as at, 'validate' as kind,
+select evidence_id, evidence_id*10+2 as event_id, received_at + interval 2 hour as at_time, 'validate' as kind,
  null as new_group, null as new_date, null as new_status
 from submissions where evidence_id%27=0""",
     "audit": """
 select event_id as audit_id, event_type as action, ts as created_at, user_id as entity_id from events""",
     "gateway": """
-select event_id, ts as at, user_id as gateway_id,
+select event_id, ts as at_time, user_id as gateway_id,
  case event_type when 'error' then 'ERROR' when 'view' then 'CONNECTED' when 'click' then 'CONNECTED'
   when 'purchase' then null else 'RECONNECTING' end as connection_state
 from ev0""",

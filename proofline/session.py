@@ -38,6 +38,7 @@ def local_session(cpus: int | str = 8, app: str = "proofline") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PROOFLINE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")

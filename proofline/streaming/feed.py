@@ -176,7 +176,7 @@ def gateway_transitions(events: DataFrame, key: str = "gateway_id", slot: str =
     """Heartbeats at which the connection state differs from the one before (batch form)."""
     from proofline.operators.windows import state_changes
 
-    return state_changes(events, key, "at", "connection_state", "event_id", slot)
+    return state_changes(events, key, "at_time", "connection_state", "event_id", slot)
 
 
 def gateway_sink(root: str) -> Callable[[DataFrame, int], None]:
@@ -192,7 +192,7 @@ def gateway_sink(root: str) -> Callable[[DataFrame, int], None]:
         gateway_transitions(line).where("NOT __old").drop("__old").write.mode("overwrite").parquet(
             batch_folder(f"{root}/changes", batch_id)
         )
-        values = ["at", "event_id", "connection_state"]
+        values = ["at_time", "event_id", "connection_state"]
         line.groupBy("gateway_id").agg(F.max(F.struct(*values)).alias("v")).select("gateway_id", "v.*").write.mode(
             "overwrite"
         ).parquet(batch_folder(f"{root}/last", batch_id))
