@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline import constants as K
+from proofline.functions.text import let
 
 _WORDS_FR = "|".join(K.MONTHS_FR)
 _WORDS_EN = "|".join(K.MONTHS_EN)
@@ -42,9 +43,15 @@ def parse_report_date(text: Column, context: Column | None = None) -> Column:
     nothing when there is no context. Impossible dates yield nothing.
     """
     first = F.regexp_extract(text, DATE_PATTERN, 1)
-    raw = F.when(first != "", _tidy(first))
-    has_year = raw.rlike(r"(19|20)\d{2}")
     context_day = (context if context is not None else F.lit(None)).cast("date")
+    return let(
+        F.struct(F.when(first != "", _tidy(first)).alias("raw"), context_day.alias("day")),
+        lambda v: _read_date(v["raw"], v["day"]),
+    )
+
+
+def _read_date(raw: Column, context_day: Column) -> Column:
+    has_year = raw.rlike(r"(19|20)\d{2}")
 
     iso = r"^(\d{4})-(\d{2})-(\d{2})$"
     numeric = r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})$"
@@ -66,7 +73,13 @@ def parse_report_date(text: Column, context: Column | None = None) -> Column:
     parsed = F.try_to_date(
         F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"
     )
-    normalized = F.when(has_year | context_day.isNotNull(), parsed)
+    return let(
+        F.when(has_year | context_day.isNotNull(), parsed),
+        lambda normalized: _date_outcome(raw, normalized, has_year, context_day),
+    )
+
+
+def _date_outcome(raw: Column, normalized: Column, has_year: Column, context_day: Column) -> Column:
     return F.struct(
         raw.alias("raw_text"),
         normalized.cast("string").alias("normalized_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.text import compat_text, has_text, non_empty, strip
+from proofline.functions.text import compat_text, has_text, let, non_empty, strip
 
 
 def find_id_candidates(text: Column) -> Column:
@@ -25,8 +25,10 @@ def normalize_id(raw: Column) -> Column:
     cleaned = F.translate(strip(compat_text(raw)), K.DASH_CHARS, "-" * len(K.DASH_CHARS))
     cleaned = F.regexp_replace(cleaned, r"-{2,}", "-")
     cleaned = F.regexp_replace(cleaned, r"\s*([.\-])\s*", "$1")
-    lowered = F.lower(cleaned)
+    return let(F.lower(cleaned), lambda lowered: _read_id(raw, lowered))
 
+
+def _read_id(raw: Column, lowered: Column) -> Column:
     shape = r"^gr([a-z0-9]+)[.\-\s]?([^\n]*)$"
     read_number = F.regexp_extract(lowered, shape, 1)
     number = F.regexp_replace(

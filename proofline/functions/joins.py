@@ -47,5 +47,12 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
     return df.groupBy(*keys).agg(best).select(*keys, "__first.*")
 
 
-def as_identifier(column: Column) -> Column:
-    return column.cast("string")
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Joins aggregates of one row each into one row, without a cross join.
+
+    The rows are stacked, and each column keeps its only value.
+    """
+    stacked = one_row[0]
+    for part in one_row[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

@@ -20,24 +20,27 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _WORD = 63  # letters of a keyword that fit one machine word with a carry bit
+_CODES = 0x3000  # code points told apart; keywords beyond take the slow way
+
+
+def _letter_bits(keyword: str) -> np.ndarray:
+    """For each code point, the places of the keyword it stands at."""
+    bits = np.zeros(_CODES, dtype=np.uint64)
+    for place, letter in enumerate(keyword):
+        bits[min(ord(letter), _CODES - 1)] |= np.uint64(1 << place)
+    return bits
 
 
 def _lcs_many(keyword: str, windows: np.ndarray) -> np.ndarray:
     """LCS length of `keyword` with each row of code points (0 = padding)."""
-    if len(keyword) > _WORD:
+    if len(keyword) > _WORD or any(ord(c) >= _CODES - 1 for c in keyword):
         return np.array([_lcs_long(keyword, row) for row in windows], dtype=np.int64)
     rows, width = windows.shape
-    letters = {}
-    for place, letter in enumerate(keyword):
-        letters[ord(letter)] = letters.get(ord(letter), 0) | (1 << place)
+    bits = _letter_bits(keyword)
     full = np.uint64((1 << len(keyword)) - 1)
     state = np.full(rows, full, dtype=np.uint64)
     for column in range(width):
-        codes = windows[:, column]
-        mask = np.zeros(rows, dtype=np.uint64)
-        for code, bits in letters.items():
-            mask[codes == code] = np.uint64(bits)
-        hit = state & mask
+        hit = state & bits[np.minimum(windows[:, column], _CODES - 1)]
         state = ((state + hit) | (state - hit)) & full
     unset = (~state) & full
     return np.bitwise_count(unset).astype(np.int64)
@@ -70,19 +73,63 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * float(_lcs_many(a, _pad([b]))[0]) / (len(a) + len(b))
 
 
-def best_window_ratio(keyword: str, words: Sequence[str], at_least: float) -> float:
-    """Best ratio of a keyword with runs of as many words, or 0 below `at_least`."""
-    span = max(len(keyword.split()), 1)
-    windows = {" ".join(words[i : i + span]) for i in range(max(len(words) - span + 1, 1))}
+class WordTable:
+    """Words of many texts end to end: code points, and the place and text of each word."""
+
+    def __init__(self, texts: Sequence[str]):
+        words = [t.split() for t in texts]
+        flat = [w for part in words for w in part]
+        self.texts = len(texts)
+        self.codes = np.frombuffer(" ".join(flat).encode("utf-32-le"), dtype=np.uint32)
+        self.codes = np.minimum(self.codes, _CODES - 1).astype(np.int32)
+        sizes = np.array([len(w) for w in flat], dtype=np.int64)
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        self.counts = np.array([len(part) for part in words], dtype=np.int64)
+        self.owner = np.repeat(np.arange(self.texts), self.counts)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, text) of each run of `n` words; all words of a text that has fewer."""
+        begin = np.arange(max(len(self.owner) - n + 1, 0))
+        begin = begin[self.owner[begin] == self.owner[begin + n - 1]]
+        last = begin + n - 1
+        few = (self.counts > 0) & (self.counts < n)
+        heads = (np.cumsum(self.counts) - self.counts)[few]
+        begin = np.concatenate((begin, heads))
+        last = np.concatenate((last, heads + self.counts[few] - 1))
+        start = self.starts[begin]
+        return start, self.ends[last] - start, self.owner[begin]
+
+
+def best_window_ratios(keyword: str, table: WordTable, at_least: float) -> np.ndarray:
+    """Per text, the best ratio of a keyword with runs of as many words; 0 below `at_least`."""
+    best = np.zeros(table.texts)
+    start, sizes, owner = table.runs(max(len(keyword.split()), 1))
     # A run whose length differs too much cannot reach the score.
     size = len(keyword)
     reach = (200.0 - at_least) / at_least
-    windows = sorted(w for w in windows if w and size / reach <= len(w) <= size * reach)
-    if not windows:
-        return 0.0
-    scores = 200.0 * _lcs_many(keyword, _pad(windows)) / (size + np.array([len(w) for w in windows]))
-    best = float(scores.max())
-    return best if best >= at_least else 0.0
+    near = (sizes >= size / reach) & (sizes <= size * reach)
+    start, sizes, owner = start[near], sizes[near], owner[near]
+    if len(start):
+        scores = 200.0 * _lcs_runs(keyword, table.codes, start, sizes) / (size + sizes)
+        np.maximum.at(best, owner, scores)
+    return np.where(best >= at_least, best, 0.0)
+
+
+def _lcs_runs(keyword: str, codes: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """LCS length of `keyword` with each stretch of `codes`."""
+    steps = np.arange(sizes.max())
+    if len(keyword) > _WORD:
+        padded = np.where(steps < sizes[:, None], codes[np.minimum(start[:, None] + steps, len(codes) - 1)], 0)
+        return _lcs_many(keyword, padded)
+    # A last entry without any letter stands for places past the end of a run.
+    letters = np.append(_letter_bits(keyword)[codes], np.uint64(0))
+    full = np.uint64((1 << len(keyword)) - 1)
+    state = np.full(len(start), full, dtype=np.uint64)
+    for step in steps:
+        hit = state & letters[np.where(step < sizes, start + step, len(codes))]
+        state = ((state + hit) | (state - hit)) & full
+    return np.bitwise_count((~state) & full).astype(np.int64)
 
 
 def partial_ratio_text(keyword: str, text: str) -> float:
@@ -121,9 +168,10 @@ def partial_ratio(text: Column, keywords: Sequence[str]) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([
-            max((partial_ratio_text(k, t) for k in words), default=0.0) if t else 0.0 for t in texts
-        ], dtype="float64")
+        scores = {
+            t: max((partial_ratio_text(k, t) for k in words), default=0.0) for t in texts.dropna().unique()
+        }
+        return pd.Series([scores.get(t, 0.0) for t in texts], dtype="float64")
 
     return score(text)
 

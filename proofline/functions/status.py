@@ -6,20 +6,22 @@ import re
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.similarity import best_window_ratio
-from proofline.functions.text import fold_text, has_text
+from proofline.functions.similarity import WordTable, best_window_ratios
+from proofline.functions.text import fold_text, has_text, let
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NOT_DONE = (
     r"\b(non synchronis\w*|pas synchronis\w*|not sync\w*|unsynced|not completed|non termine\w*)\b"
 )
+CHUNK_LETTERS = 500_000
 UNDER_WAY = r"\b(en cours|en attente|in progress|pending)\b"
 
 
@@ -53,25 +55,32 @@ def fuzzy_keyword(folded: Column, keywords: Sequence[str]) -> Column:
     ranked = [(k, needed_score(k), re.compile(_whole_word(k))) for k in keywords if k]
     exact_bar = K.SHORT_KEYWORD_THRESHOLD
 
-    def best(text: str | None) -> tuple[str | None, float]:
-        if not text:
-            return None, 0.0
-        words = text.split()
-        chosen, top, margin = None, 0.0, 0.0
-        for keyword, needed, whole in ranked:
-            if whole.search(text):
-                score = 100.0
-            elif needed == exact_bar:
-                continue  # anything but the whole word stays under its bar
-            else:
-                score = best_window_ratio(keyword, words, needed)
-            if score >= needed and (chosen is None or score - needed >= margin):
-                chosen, top, margin = keyword, score, score - needed
-        return chosen, top
+    def score(texts: list[str]) -> list[tuple[str | None, float]]:
+        table = WordTable(texts)
+        chosen = np.full(len(texts), -1)
+        top, margin = np.zeros(len(texts)), np.zeros(len(texts))
+        for number, (keyword, needed, whole) in enumerate(ranked):
+            exact = np.array([keyword in t and whole.search(t) is not None for t in texts])
+            scores = np.where(exact, 100.0, 0.0)
+            if needed < exact_bar:  # otherwise only the whole word reaches its bar
+                scores = np.maximum(scores, best_window_ratios(keyword, table, needed))
+            take = (scores >= needed) & ((chosen < 0) | (scores - needed >= margin))
+            chosen[take], top[take], margin[take] = number, scores[take], scores[take] - needed
+        return [(ranked[c][0] if c >= 0 else None, float(s)) for c, s in zip(chosen, top)]
 
     @F.pandas_udf("keyword string, score double")
     def search(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best(t) for t in texts], columns=["keyword", "score"])
+        found: dict[str, tuple[str | None, float]] = {}
+        part, letters = [], 0
+        # Texts are scored together, a bounded number of letters at a time.
+        for text in texts.dropna().unique():
+            part.append(text)
+            letters += len(text)
+            if letters > CHUNK_LETTERS:
+                found.update(zip(part, score(part)))
+                part, letters = [], 0
+        found.update(zip(part, score(part)))
+        return pd.DataFrame([found.get(t, (None, 0.0)) for t in texts], columns=["keyword", "score"])
 
     return search(folded)
 
@@ -91,12 +100,18 @@ def sync_text_status(
     folded = fold_text(text, underscores=True)
     if fuzzy:
         bad, good = fuzzy_keyword(folded, error), fuzzy_keyword(folded, success)
-        bad_word, bad_score = bad["keyword"], bad["score"] / 100
-        good_word, good_score = good["keyword"], good["score"] / 100
-    else:
-        bad_word, good_word = exact_keyword(folded, error), exact_keyword(folded, success)
-        bad_score = good_score = F.lit(1.0)
+        return _judge(text, folded, bad, good)
 
+    def exact(keyword: Column) -> Column:
+        return F.struct(keyword.alias("keyword"), F.lit(100.0).alias("score"))
+
+    return let(folded, lambda f: let(
+        F.struct(exact_keyword(f, error).alias("bad"), exact_keyword(f, success).alias("good")),
+        lambda w: _judge(text, f, exact(w["bad"]), exact(w["good"])),
+    ))
+
+
+def _judge(text: Column, folded: Column, bad: Column, good: Column) -> Column:
     def outcome(status: str, matched: Column, confidence: Column) -> Column:
         return F.struct(
             F.lit(status).alias("status"), matched.cast("string").alias("matched"),
@@ -107,8 +122,8 @@ def sync_text_status(
     return (
         F.when(~has_text(text), nothing)
         .when(folded.rlike(NOT_DONE), outcome("FAILED", F.lit(K.TEXT_NOT_SYNCED), F.lit(1.0)))
-        .when(bad_word.isNotNull(), outcome("FAILED", bad_word, bad_score))
+        .when(bad["keyword"].isNotNull(), outcome("FAILED", bad["keyword"], bad["score"] / 100))
         .when(folded.rlike(UNDER_WAY), outcome("UNCONFIRMED", F.lit(K.TEXT_IN_PROGRESS), F.lit(0.0)))
-        .when(good_word.isNotNull(), outcome("SUCCESS", good_word, good_score))
+        .when(good["keyword"].isNotNull(), outcome("SUCCESS", good["keyword"], good["score"] / 100))
         .otherwise(nothing)
     )

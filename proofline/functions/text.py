@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def _translation(form: str) -> tuple[str, str]:
     return "".join(source) + marks, "".join(target)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold_text(text: Column, underscores: bool = False) -> Column:
     """Lower case without accents; with `underscores`, `_` becomes a space."""
     source, target = _translation("NFKD")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import predicates as P
+from proofline.functions.joins import side_by_side
 from proofline.functions.text import business_key
 
 BUCKET_DAYS = {"daily": 1, "weekly": 7}
@@ -88,7 +89,7 @@ def project_totals(received: DataFrame, grid: DataFrame) -> DataFrame:
     expected = grid.agg(
         F.count("*").alias("expected"), F.count_if(F.col("status") == "MISSING").alias("missing")
     )
-    return totals.join(expected, how="cross")  # one row each
+    return side_by_side(totals, expected)
 
 
 def channel_links(channels: DataFrame, links: DataFrame) -> DataFrame:

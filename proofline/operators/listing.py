@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
+from proofline.functions.joins import side_by_side
 from proofline.functions.text import non_empty
 from proofline.operators.cases import case_members, days_since, followup_rows
 
@@ -197,4 +198,4 @@ def retention_summary(plan: DataFrame, submissions: DataFrame) -> DataFrame:
     files = plan.agg(
         F.count_if("removable").alias("files"), F.count_if(~F.col("removable")).alias("refused")
     )
-    return files.join(submissions.agg(F.count("*").alias("submissions")), how="cross")  # one row each
+    return side_by_side(files, submissions.agg(F.count("*").alias("submissions")))

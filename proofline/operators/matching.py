@@ -32,9 +32,10 @@ def _segments(length: Column, edits: Column) -> Column:
 def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
     """Every distinct (id, known) pair with a Levenshtein score of at least `cut`, exactly.
 
-    Two texts at most k edits apart share one of k + 1 pieces of either text at
-    a place shifted by at most k. So pairs come from an equality join on pieces
-    of equal length, number and letters, and only those are scored.
+    Two texts at most k edits apart share one of k + 1 pieces of either text.
+    Piece i (from 0) can be taken where at most i edits lie before it and at most
+    k - i after it, which bounds its shift. So pairs come from an equality join on
+    pieces of equal length, number and letters, and only those are scored.
     """
     share = cut / 100.0
     left = ids.select(F.col(ids.columns[0]).alias("id")).where("id IS NOT NULL AND id <> ''").distinct()
@@ -64,9 +65,14 @@ def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
         "id", "mine", "size", "edits", F.explode(_segments(F.col("size"), F.col("edits"))).alias("piece")
     ).select(
         "id", "mine", "size", "edits", "piece",
-        F.explode(F.sequence(-F.col("edits"), F.col("edits"))).alias("shift"),
+        (F.col("mine") - F.col("size")).alias("longer"), F.col("piece.i").alias("i"),
     ).select(
-        "id", "size", "edits", F.col("piece.i").alias("i"),
+        "*", F.explode(F.sequence(
+            F.greatest(-F.col("i"), F.col("longer") - F.col("edits") + F.col("i")),
+            F.least(F.col("i"), F.col("longer") + F.col("edits") - F.col("i")),
+        )).alias("shift"),
+    ).select(
+        "id", "size", "edits", "i",
         F.col("piece.from").alias("place"), F.col("piece.size").alias("width"), "shift", "mine",
     ).withColumn("place", F.col("place") + F.col("shift")).where(
         "place >= 1 AND place + width - 1 <= mine"
@@ -74,9 +80,9 @@ def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
         "id", "size", "edits", "i", F.expr("substring(id, place, width)").alias("letters")
     ).distinct()
 
-    met = probes.join(pieces, ["size", "edits", "i", "letters"])
+    met = probes.join(pieces, ["size", "edits", "i", "letters"]).select("id", "known").distinct()
     scored = met.select("id", "known", levenshtein_ratio(F.col("id"), F.col("known")).alias("score"))
-    return scored.where(F.col("score") >= cut - 1e-9).distinct()
+    return scored.where(F.col("score") >= cut - 1e-9)
 
 
 def fuzzy_id_match(

@@ -72,12 +72,12 @@ def unknown_group(claims: DataFrame, assignments: DataFrame, app: str | None) ->
     if app is None:
         return claims.withColumn("is_unknown", F.lit(False))
     own = assignments.where(F.col("application_id") == app)
-    # A one-row aggregate; it stays one row at any scale.
-    exists = own.agg((F.count("*") > 0).alias("any_assignment"))
-    flagged = _flag(claims, own, "is_assigned").join(exists, how="cross")
-    return flagged.withColumn("is_unknown", F.col("any_assignment") & ~F.col("is_assigned")).drop(
-        "any_assignment", "is_assigned"
-    )
+    # One row when the application has assignments, none otherwise.
+    exists = own.groupBy("application_id").agg(F.lit(True).alias("any_assignment"))
+    flagged = _flag(claims, own, "is_assigned").join(exists, "application_id", "left")
+    return flagged.withColumn(
+        "is_unknown", F.coalesce("any_assignment", F.lit(False)) & ~F.col("is_assigned")
+    ).drop("any_assignment", "is_assigned")
 
 
 def _ledger_points(ledger: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
+from proofline.functions.joins import side_by_side
 from proofline.functions.text import month_key, week_start
 
 DEFAULT_WINDOW = {"day": 30, "week": 91, "month": 365}
@@ -28,10 +29,9 @@ def _percent(part: Column, whole: Column) -> Column:
 def status_share(results: DataFrame) -> DataFrame:
     """status, n and percent of all results (one decimal)."""
     counts = results.groupBy("status").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # a sum over at most 13 rows
-    return counts.join(total, how="cross").select(
-        "status", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("percent")
-    )
+    # The window spans the counts, at most one row per status.
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.select("status", "n", F.round(F.col("n") * 100.0 / total, 1).alias("percent"))
 
 
 def _results_in_period(
@@ -76,7 +76,7 @@ def overview(
         F.count_if(outcome == "ECHEC_SYNCHRONISATION").alias("sync_failures"),
         F.count_if(outcome.isin("ID_ILLISIBLE", "DATE_ILLISIBLE")).alias("unreadable"),
     )
-    return proofs.join(runs, how="cross").select(  # one row each
+    return side_by_side(proofs, runs).select(
         "*", _percent(F.col("conform"), F.col("reconciled")).alias("conformity_rate"),
         _percent(F.col("processed"), F.col("total_evidence")).alias("automatic_rate"),
     ).drop("reconciled")
@@ -141,8 +141,7 @@ def operational_totals(rows: DataFrame, evidence: DataFrame | None = None) -> Da
     )
     people = rows.select(agent.alias("a"), F.when(agent.isNull(), sender).alias("s")).distinct()
     distinct = people.agg(
-        F.count_distinct("a").alias("registered_agents"),
-        F.count_distinct("s").alias("unregistered_contacts"),
+        F.count("a").alias("registered_agents"), F.count("s").alias("unregistered_contacts"),
     )
     single = rows.agg(
         F.count("*").alias("total"),
@@ -183,7 +182,7 @@ def queue_summary(messages: DataFrame, submissions: DataFrame) -> DataFrame:
     )
     busy = submissions.where(F.col("processing_status").isin("QUEUED", "PROCESSING")).select("evidence_id")
     working = messages.join(busy, "evidence_id", "left_semi").agg(F.count("*").alias("processing"))
-    return states.join(working, how="cross")  # one row each
+    return side_by_side(states, working)
 
 
 def frequent_recipients(attempts: DataFrame, today: dt.date | str, min_sends: int = 6) -> DataFrame:

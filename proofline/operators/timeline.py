@@ -12,7 +12,7 @@ from proofline.functions.joins import same
 
 def asof_forward_match(
     originals: DataFrame, usable: DataFrame, key: Sequence[str],
-    time: str = "received_at", ident: str = "evidence_id", slot: str = "hour",
+    time: str = "received_at", ident: str = "evidence_id", slot: str = "minute",
 ) -> DataFrame:
     """(evidence_id, replacement_id): first usable row of the key at or after each original.
 

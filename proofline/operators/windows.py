@@ -43,7 +43,7 @@ def latest_explicit_state(
 
 
 def state_changes(
-    df: DataFrame, key: str, order: str, state: str, ident: str, slot: str = "day"
+    df: DataFrame, key: str, order: str, state: str, ident: str, slot: str = "minute"
 ) -> DataFrame:
     """Rows whose state differs from the previous non-null one of the key.
 

@@ -335,17 +335,16 @@ def q_asof_forward_match(t: Tables) -> DataFrame:
 @query
 def q_match_guards(t: Tables) -> DataFrame:
     near = t.sql("""
-select a.evidence_id, min(b.evidence_id) as replacement_id from proofs a join proofs b
- on a.sender_identity = b.sender_identity and a.group_id = b.group_id and b.evidence_id > a.evidence_id
- and cast(b.received_at as date) = cast(a.received_at as date) group by a.evidence_id""")
+select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
+where group_id is not null group by sender_identity, application_id, group_id, sync_date""")
     return cases.match_guards(near, t["proofs"])
 
 
 @query
 def q_manual_link_check(t: Tables) -> DataFrame:
     near = t.sql("""
-select evidence_id, lead(evidence_id) over (partition by sender_identity order by received_at, evidence_id) as replacement_id
-from proofs""").where("replacement_id IS NOT NULL")
+select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
+group by sender_identity, coalesce(group_id, 'none'), cast(received_at as date)""")
     return cases.manual_link_check(near, t["proofs"])
 
 
@@ -415,7 +414,7 @@ def q_fuzzy_id_match(t: Tables) -> DataFrame:
 def q_fuzzy_id_match_indel(t: Tables) -> DataFrame:
     read = t["raw_rows"].select(ids.normalize_id(F.col("raw_id"))["normalized"].alias("id"))
     return matching.fuzzy_id_match(
-        read.where("id IS NOT NULL"), t["ledger"].select("group_id"), metric="indel", threshold=80
+        read.where("id IS NOT NULL"), t["ledger"].select("group_id"), metric="indel", threshold=82, margin=2
     )
 
 

@@ -433,14 +433,15 @@ select evidence_id, row_id, ledger_date, gap from ({_nearest(f"(select * from su
     "match_guards": f"""
 select p.evidence_id, p.replacement_id, coalesce(b.usable and a.keyed and b.keyed and b.received_at>=a.received_at and a.sender_identity=b.sender_identity
  and a.application_id=b.application_id and a.group_id=b.group_id and a.sync_date=b.sync_date, false) as ok from (
- select a.evidence_id, min(b.evidence_id) as replacement_id from proofs a join proofs b on a.sender_identity = b.sender_identity and a.group_id = b.group_id
- and b.evidence_id > a.evidence_id and cast(b.received_at as date) = cast(a.received_at as date) group by a.evidence_id) p
+ select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs where group_id is not null
+ group by sender_identity, application_id, group_id, sync_date) p
  left join flagged a on a.evidence_id=p.evidence_id left join flagged b on b.evidence_id=p.replacement_id""",
     "manual_link_check": """
 select p.evidence_id, p.replacement_id, coalesce(b.usable and a.sender_identity=b.sender_identity and b.received_at>=a.received_at
  and (a.application_id is null or coalesce(a.application_id=b.application_id,false)) and (coalesce(a.group_id,'')='' or coalesce(a.group_id=b.group_id,false))
  and (coalesce(a.sync_date,'')='' or coalesce(a.sync_date=b.sync_date,false)), false) as ok from (
- select evidence_id, lead(evidence_id) over (partition by sender_identity order by received_at, evidence_id) as replacement_id from proofs) p
+ select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
+ group by sender_identity, coalesce(group_id,'none'), cast(received_at as date)) p
  join flagged a on a.evidence_id=p.evidence_id join flagged b on b.evidence_id=p.replacement_id""",
     "returned_after_reminder": "select case_evidence_id, returned_count from followups where attempt_count>0",
     "coverage": "select * from cover",
@@ -581,6 +582,12 @@ select proof_id, pick, frame_id from (select proof_id, frame_id, row_number() ov
     "best_frame": """
 select proof_id, frame_id, position, is_selected_best from (select *, row_number() over (partition by proof_id order by not is_selected_best, position<>'end', frame_id) as rk
  from frames) f where rk=1""",
+    "budget_select": """
+select batch_id, generate_subscripts(kept, 1)-1 as turn, unnest(kept) as image_id from (
+ select batch_id, list_reduce(list({'used': size, 'kept': [image_id]} order by place, image_id),
+  lambda acc, x: case when acc.used+x.used<=10000000 then {'used': acc.used+x.used, 'kept': list_concat(acc.kept, x.kept)} else acc end,
+  {'used': 0::bigint, 'kept': []::bigint[]}).kept as kept
+ from images where size<=2000000 group by 1) r""",
     # order, limit, sets
     "page": "select doc_id, lang, n_chars from documents order by n_chars desc, doc_id limit 50 offset 25",
     "list_recent": "select job_id, status, finished_at from jobs order by finished_at desc, job_id limit 50",

@@ -172,7 +172,7 @@ def case_state_sink(root: str, cases: DataFrame, now: dt.datetime | str) -> Call
     return process
 
 
-def gateway_transitions(events: DataFrame, key: str = "gateway_id", slot: str = "day") -> DataFrame:
+def gateway_transitions(events: DataFrame, key: str = "gateway_id", slot: str = "minute") -> DataFrame:
     """Heartbeats at which the connection state differs from the one before (batch form)."""
     from proofline.operators.windows import state_changes
 
