@@ -158,4 +158,4 @@ def read_expected(spark: SparkSession, path: str) -> DataFrame:
     head = lines.limit(1).collect()
     sep = ";" if head and ";" in head[0][0] else ","
     table = spark.read.csv(path, header=False, inferSchema=False, sep=sep, escape='"')
-    return table.select(F.ltrim(F.lit("﻿"), F.col(table.columns[0])).alias("business_id"))
+    return table.select(F.regexp_replace(F.col(table.columns[0]), "^\\uFEFF", "").alias("business_id"))
