@@ -19,6 +19,7 @@ from proofline.functions.joins import first_by, same
 from proofline.functions.text import present
 
 ANY_APPLICATION = "\u0001any"
+NO_GAP = 2**31 - 1
 CLAIM_KEY = ["application_id", "group_id", "sync_date"]
 
 
@@ -72,12 +73,10 @@ def unknown_group(claims: DataFrame, assignments: DataFrame, app: str | None) ->
     if app is None:
         return claims.withColumn("is_unknown", F.lit(False))
     own = assignments.where(F.col("application_id") == app)
-    # One row when the application has assignments, none otherwise.
-    exists = own.groupBy("application_id").agg(F.lit(True).alias("any_assignment"))
-    flagged = _flag(claims, own, "is_assigned").join(exists, "application_id", "left")
-    return flagged.withColumn(
-        "is_unknown", F.coalesce("any_assignment", F.lit(False)) & ~F.col("is_assigned")
-    ).drop("any_assignment", "is_assigned")
+    # A scalar subquery: computed once, joined with nothing.
+    any_assignment = own.select((F.count("*") > 0).alias("x")).scalar()
+    flagged = _flag(claims, own, "is_assigned")
+    return flagged.withColumn("is_unknown", any_assignment & ~F.col("is_assigned")).drop("is_assigned")
 
 
 def _ledger_points(ledger: DataFrame) -> DataFrame:
@@ -93,31 +92,29 @@ def _ledger_points(ledger: DataFrame) -> DataFrame:
 
 
 def _nearest_points(points: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Best ledger row for each distinct (application, group, date) of the claims."""
-    rows = _ledger_points(ledger)
-    # Any row of the group, for when no date can be compared.
-    fallback = rows.groupBy("group_id", "scope").agg(
-        F.min(F.struct("row_id", "sync_date")).alias("fallback")
+    """Adds the best ledger row to each distinct (application, group, date) of claims.
+
+    Other columns of `points` are kept; row_id is null where the group has no row.
+    """
+    marks = _ledger_points(ledger).groupBy("group_id", "scope", "d").agg(
+        F.min(F.struct("row_id", "sync_date")).alias("mark")
     )
+    kept = [c for c in points.columns if c not in CLAIM_KEY]
     probes = points.select(
         "group_id", F.explode(F.array(F.col("application_id"), F.lit(ANY_APPLICATION))).alias("scope"),
-        F.col("application_id").alias("claim_app"), F.col("sync_date").alias("claim_date"),
-        F.expr("try_cast(sync_date AS date)").alias("d"),
-    )
-    marks = rows.where("d IS NOT NULL").groupBy("group_id", "scope", "d").agg(
-        F.min(F.struct("row_id", "sync_date")).alias("mark")
+        F.struct(*CLAIM_KEY, *kept).alias("point"), F.expr("try_cast(sync_date AS date)").alias("d"),
     )
     line = probes.unionByName(marks, allowMissingColumns=True)
     # Both passes look backwards, so each is linear in the dates of a group.
-    up = Window.partitionBy("group_id", "scope").orderBy(F.col("d"))
-    down = Window.partitionBy("group_id", "scope").orderBy(F.col("d").desc())
+    scope = Window.partitionBy("group_id", "scope")
     whole_day = (Window.unboundedPreceding, Window.currentRow)
-    at = F.when(F.col("mark").isNotNull(), F.struct("d", "mark"))
+    at = F.when(F.col("mark").isNotNull() & F.col("d").isNotNull(), F.struct("d", "mark"))
     line = line.withColumns({
-        "before": F.last(at, ignorenulls=True).over(up.rangeBetween(*whole_day)),
-        "after": F.last(at, ignorenulls=True).over(down.rangeBetween(*whole_day)),
-    }).where(F.col("mark").isNull())
-    line = line.join(fallback, ["group_id", "scope"], "left")
+        "before": F.last(at, ignorenulls=True).over(scope.orderBy(F.col("d")).rangeBetween(*whole_day)),
+        "after": F.last(at, ignorenulls=True).over(scope.orderBy(F.col("d").desc()).rangeBetween(*whole_day)),
+        # Any row of the group, for when no date can be compared.
+        "fallback": F.min("mark").over(scope),
+    }).where("point IS NOT NULL")
 
     def option(side: str) -> Column:
         hit = F.col(side)
@@ -130,18 +127,13 @@ def _nearest_points(points: DataFrame, ledger: DataFrame) -> DataFrame:
         )
 
     no_gap = F.when(F.col("fallback").isNotNull(), F.struct(
-        F.lit(2**31 - 1).alias("gap"), F.col("fallback.row_id").alias("row_id"),
+        F.lit(NO_GAP).alias("gap"), F.col("fallback.row_id").alias("row_id"),
         F.col("fallback.sync_date").alias("ledger_date"),
     ))
     best = F.least(option("before"), option("after"), no_gap)
-    return (
-        line.groupBy(
-            F.col("claim_app").alias("application_id"), "group_id", F.col("claim_date").alias("sync_date")
-        )
-        .agg(F.min(best).alias("best"))
-        .where("best IS NOT NULL")
-        .select(*CLAIM_KEY, "best.row_id", "best.ledger_date",
-                F.nullif(F.col("best.gap"), F.lit(2**31 - 1)).alias("gap"))
+    return line.groupBy("point").agg(F.min(best).alias("best")).select(
+        "point.*", "best.row_id", "best.ledger_date",
+        F.nullif(F.col("best.gap"), F.lit(NO_GAP)).alias("gap"),
     )
 
 
@@ -152,7 +144,7 @@ def nearest_date_match(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     row id; a row whose date cannot be read is the last resort, with a null gap.
     """
     known = claims.where(present(F.col("group_id")) & F.col("application_id").isNotNull())
-    best = _nearest_points(known.select(*CLAIM_KEY).distinct(), ledger)
+    best = _nearest_points(known.select(*CLAIM_KEY).distinct(), ledger).where("row_id IS NOT NULL")
     return (
         known.alias("c").join(best.alias("b"), same("c", "b", CLAIM_KEY))
         .select("c.evidence_id", "b.row_id", "b.ledger_date", "b.gap")
@@ -205,11 +197,7 @@ def _claim_results(
     points = open_claims.groupBy(*CLAIM_KEY).agg(
         F.min_by("evidence_id", F.struct("received_at", "evidence_id")).alias("first_id")
     )
-    best = _nearest_points(points.select(*CLAIM_KEY), ledger)
-    points = (
-        points.alias("p").join(best.alias("b"), same("p", "b", CLAIM_KEY), "left")
-        .select("p.*", "b.row_id", "b.ledger_date", "b.gap")
-    )
+    points = _nearest_points(points, ledger)
     points = unknown_group(wrong_application(points, ledger_all, app), assignments, app)
     points = points.withColumn(
         "point_status",
@@ -245,8 +233,13 @@ def _claim_results(
 
 
 def _ledger_results(ledger: DataFrame, claims: DataFrame, app: str | None) -> DataFrame:
-    # Counting the unclaimed rows alone is enough: a group is claimed as a whole.
-    open_rows = dup_ledger(ledger_anti(ledger, claims))
+    # A group is claimed or not as a whole, so rows are counted first and the
+    # counts filtered; the rows themselves move once.
+    open_days = ledger_anti(ledger.groupBy("group_id", "sync_date").agg(F.count("*").alias("n")), claims)
+    open_rows = ledger.alias("l").join(
+        open_days.alias("k"),
+        (F.col("l.group_id") == F.col("k.group_id")) & F.col("l.sync_date").eqNullSafe(F.col("k.sync_date")),
+    ).select("l.*", "k.n")
     locality = F.col("locality") if "locality" in ledger.columns else F.lit(None).cast("string")
     return open_rows.select(
         F.lit(app).cast("string").alias("application_id"),
