@@ -24,9 +24,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataF
     salted = F.concat(
         F.lit("\0"), F.pmod(F.xxhash64(F.col(spread_by)), F.lit(NULL_BUCKETS)).cast("string")
     )
-    kept = left.withColumn("__key", F.coalesce(F.col(key).cast("string"), salted))
-    other = right.withColumn("__key", F.col(key).cast("string")).drop(key)
-    return kept.join(other, "__key", "left").drop("__key")
+    other = right.select(
+        F.col(key).cast("string").alias("__key"), *[F.col(c) for c in right.columns if c != key]
+    )
+    met = F.coalesce(F.col(key).cast("string"), salted) == F.col("__key")
+    return left.join(other, met, "left").drop("__key")
 
 
 def same(a: str, b: str, columns: Sequence[str]) -> Column:

@@ -104,13 +104,19 @@ def dated() -> Column:
     return present(F.col("sync_date")) & ~F.coalesce(F.col("date_is_ambiguous"), F.lit(True))
 
 
-def evidence_day(submissions: DataFrame) -> DataFrame:
-    """Adds day and day_basis: the report date, or the day of reception when it cannot be trusted."""
+def day_columns() -> tuple[Column, Column]:
+    """(day, basis): the report date, or the day of reception when it cannot be trusted."""
     received_day = F.to_date(F.col("received_at")).cast("string")
-    return submissions.withColumns({
-        "day": F.when(dated(), F.col("sync_date")).otherwise(received_day),
-        "day_basis": F.when(dated(), "report_date").otherwise("received_at_unverified"),
-    })
+    return (
+        F.when(dated(), F.col("sync_date")).otherwise(received_day),
+        F.when(dated(), "report_date").otherwise("received_at_unverified"),
+    )
+
+
+def evidence_day(submissions: DataFrame) -> DataFrame:
+    """Adds day and day_basis."""
+    day, basis = day_columns()
+    return submissions.withColumns({"day": day, "day_basis": basis})
 
 
 def reason() -> Column:

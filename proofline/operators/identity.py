@@ -130,7 +130,7 @@ def evidence_view(
     rows = lookup(rows, people, "person", "evidence_id")
     names = applications.select("application_id", F.col("name").alias("application_name"))
     rows = lookup(rows, names, "application_id", "evidence_id")
-    rows = P.problem_reason(P.evidence_day(P.evidence_state(rows)))
+    day, basis = P.day_columns()
     return rows.select(
         "evidence_id",
         F.col("person_id").alias("agent_id"),
@@ -141,15 +141,15 @@ def evidence_view(
         "application_id",
         F.coalesce("application_name", F.lit(K.UNKNOWN_APPLICATION)).alias("application"),
         F.col("group_id").alias("group"),
-        F.col("day").alias("date"),
-        F.col("day_basis").alias("date_basis"),
+        day.alias("date"),
+        basis.alias("date_basis"),
         "received_at",
-        F.col("state").alias("status"),
+        P.state().alias("status"),
         F.coalesce("sync_status", F.lit("UNCONFIRMED")).alias("sync_status"),
         "processing_status",
         "sender_identity",
         F.coalesce("requires_review", F.lit(True)).alias("requires_review"),
-        F.col("reason").alias("review_reason"),
+        P.reason().alias("review_reason"),
         F.col("sync_date").alias("detected_date"),
         F.coalesce("date_is_ambiguous", F.lit(True)).alias("date_is_ambiguous"),
         "confidence",

@@ -216,21 +216,30 @@ def with_views(sql: str, views: Mapping[str, str]) -> str:
     return f"WITH {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
+_SOURCE = re.compile(r"\b(from|join)\s+([a-z_0-9]+)")
+
+
 class Tables:
-    """Test tables and views of one folder, as DataFrames by name."""
+    """Test tables and views of one folder, as DataFrames by name. Each is planned once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = str(sf_dir).rstrip("/")
-        self.sources = {
-            name: f"select * from parquet.`{self.sf_dir}/{name}.parquet`" for name in TABLES
-        }
+        self._known: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.sql(f"select * from {name}")
+        if name not in self._known:
+            self._known[name] = (
+                self.sql(VIEWS[name]) if name in VIEWS
+                else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            )
+        return self._known[name]
 
     def sql(self, sql: str) -> DataFrame:
-        return self.spark.sql(with_views(sql, {**self.sources, **VIEWS}))
+        """A query over the tables and views, each handed to Spark as a DataFrame."""
+        names = {n for _, n in _SOURCE.findall(sql) if n in VIEWS or n in TABLES}
+        marked = _SOURCE.sub(lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in names else m[0], sql.strip())
+        return self.spark.sql(marked, **{n: self[n] for n in names})
 
     def operations(self) -> dict[str, DataFrame]:
         """Inputs of the operational datasets."""
