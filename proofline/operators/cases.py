@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
+from proofline.functions.joins import lookup
 from proofline.functions.text import present, recipient
 from proofline.operators.identity import KEY, has_report_key, report_key
 from proofline.operators.timeline import asof_forward_match
@@ -178,7 +179,7 @@ def _with_returns(groups: DataFrame, submissions: DataFrame) -> DataFrame:
     counts = later.join(thresholds, "report").where("came_at > after AND evidence_id <> lead").groupBy(
         "report"
     ).agg(F.count("*").alias("returned_count"))
-    return groups.join(counts, "report", "left").withColumn(
+    return lookup(groups, counts, "report", "group_key").withColumn(
         "returned_count", F.coalesce("returned_count", F.lit(0))
     )
 

@@ -21,23 +21,31 @@ def priority(status: Column | None = None) -> Column:
     return F.try_element_at(order, column)
 
 
-def first_observation(view: DataFrame, until: dt.date | str) -> DataFrame:
-    """One row per participant, with the attributes of its first submission up to `until`."""
-    known = F.lit(True)
+def _participating() -> Column:
+    known = F.col("status") != "DUPLICATE"
     for name in PARTICIPANT:
         known = known & present(F.col(name).cast("string"))
-    seen = view.where(
-        known & (F.col("status") != "DUPLICATE")
-        & (F.to_date("received_at") <= F.lit(str(until)).cast("date"))
-    )
+    return known
+
+
+def _seen_until(until: dt.date | str) -> Column:
+    return F.to_date("received_at") <= F.lit(str(until)).cast("date")
+
+
+def first_observation(view: DataFrame, until: dt.date | str) -> DataFrame:
+    """One row per participant, with the attributes of its first submission up to `until`."""
+    seen = view.where(_participating() & _seen_until(until))
     return first_by(seen, PARTICIPANT, ["received_at", "evidence_id"], ATTRIBUTES)
 
 
+def _best_first() -> Column:
+    return F.struct(priority().alias("p"), F.col("received_at").alias("r"), F.col("evidence_id").alias("e"))
+
+
 def best_status(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Best submission per key by status priority, then reception, then id; with the number of rows."""
-    order = F.struct(priority().alias("p"), F.col("received_at").alias("r"), F.col("evidence_id").alias("e"))
     return rows.groupBy(*keys).agg(
-        F.min_by(F.struct("status", "evidence_id", F.col("date").alias("best_date")), order).alias("best"),
+        F.min_by(F.struct("status", "evidence_id", F.col("date").alias("best_date")), _best_first()).alias("best"),
         F.count("*").alias("submission_count"),
     ).select(*keys, "best.*", "submission_count")
 
@@ -63,27 +71,36 @@ def coverage(
 ) -> DataFrame:
     """One row per observed participant and day (or whole period): best status or MISSING."""
     first, last = str(start), str(end)
-    people = first_observation(view, last)
-    attributable = view.where(
-        (F.col("status") != "DUPLICATE") & (F.col("date_basis") == "report_date")
-        & F.col("date").between(first, last)
-    )
+    counted = (F.col("date_basis") == "report_date") & F.col("date").between(first, last)
     if cadence == "daily":
         days = F.transform(
             F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")), lambda d: d.cast("string")
         )
-        grid = people.withColumn("day", F.explode(days))
-        rows = attributable.withColumn("day", F.col("date"))
-        period_end = F.col("day")
+        own_day, period_end = F.col("date"), F.col("day")
     else:
-        grid = people.withColumn("day", F.lit(first))
-        rows = attributable.withColumn("day", F.lit(first))
-        period_end = F.lit(last)
-    best = ledger_presence(best_status(rows, [*PARTICIPANT, "day"]), ledger)
-    return grid.join(best, [*PARTICIPANT, "day"], "left").select(
+        days, own_day, period_end = F.array(F.lit(first)), F.lit(first), F.lit(last)
+
+    # One pass over the view: first to one row per participant and day, then to one per
+    # participant with its days, of which there are no more than the calendar has.
+    order = F.when(_seen_until(last), F.struct("received_at", "evidence_id"))
+    best = F.struct("status", "evidence_id", F.col("date").alias("best_date"))
+    per_day = view.where(_participating()).groupBy(*PARTICIPANT, F.when(counted, own_day).alias("day")).agg(
+        F.min(order).alias("first_at"), F.min_by(F.struct(*ATTRIBUTES), order).alias("attributes"),
+        F.min_by(best, F.when(counted, _best_first())).alias("best"), F.count_if(counted).alias("submission_count"),
+    )
+    observed = F.when(F.col("day").isNotNull(), F.struct(
+        F.col("day"), F.struct("best.*", "submission_count").alias("found")
+    ))
+    people = per_day.groupBy(*PARTICIPANT).agg(
+        F.min("first_at").alias("first_at"), F.min_by("attributes", "first_at").alias("attributes"),
+        F.map_from_entries(F.collect_list(observed)).alias("found"),
+    ).where("first_at IS NOT NULL")
+    grid = people.select(*PARTICIPANT, "attributes.*", "found", F.explode(days).alias("day")).select(
+        *PARTICIPANT, *ATTRIBUTES, "day", F.try_element_at("found", F.col("day")).alias("f")
+    ).select(*PARTICIPANT, *ATTRIBUTES, "day", "f.*")
+    return ledger_presence(grid, ledger).select(
         "sender_identity", "agent_id", "agent", "locality", "application_id", "application", "group",
         F.col("day").alias("date"), period_end.alias("period_end"),
         F.coalesce("status", F.lit("MISSING")).alias("status"), "evidence_id",
-        F.coalesce("submission_count", F.lit(0)).alias("submission_count"),
-        F.coalesce("dashboard_present", F.lit(False)).alias("dashboard_present"),
+        F.coalesce("submission_count", F.lit(0)).alias("submission_count"), "dashboard_present",
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions.dates import parse_report_date
 from proofline.functions.ids import find_id_candidates, normalize_id
+from proofline.functions.joins import lookup
 from proofline.functions.status import sync_text_status
 from proofline.functions.text import has_text, non_empty, notification_panel
 from proofline.operators.matching import fuzzy_id_match
@@ -116,7 +117,7 @@ def extraction_outcome(
     ).withColumn("group_id", F.col("id.n.normalized"))
     if known is not None:
         near = fuzzy_id_match(outcome.select("group_id"), known).withColumnRenamed("id", "group_id")
-        outcome = outcome.join(near, "group_id", "left")
+        outcome = lookup(outcome, near, "group_id", "proof_id")
     else:
         outcome = outcome.withColumns({
             "best_id": F.lit(None).cast("string"), "best_score": F.lit(None).cast("double"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions.dates import parse_report_date
 from proofline.functions.ids import normalize_id, validation_errors
-from proofline.functions.joins import first_by
+from proofline.functions.joins import first_by, lookup
 from proofline.functions.text import business_key, non_empty, strip
 
 FIELDS = ("group_id", "declared_group_id", "sync_date", "agent", "locality", "status")
@@ -21,7 +21,7 @@ def import_dups(rows: DataFrame) -> DataFrame:
     first = first_by(
         rows.where("normalized_group_id IS NOT NULL"), ["normalized_group_id"], ["row_number"], ["row_number"]
     ).withColumnRenamed("row_number", "first_row")
-    return rows.join(first, "normalized_group_id", "left").withColumn(
+    return lookup(rows, first, "normalized_group_id", "row_number").withColumn(
         "is_duplicate", F.coalesce(F.col("row_number") > F.col("first_row"), F.lit(False))
     ).drop("first_row")
 

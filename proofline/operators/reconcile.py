@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
-from proofline.functions.joins import first_by, same
+from proofline.functions.joins import first_by, lookup, same
 from proofline.functions.text import present
 
 ANY_APPLICATION = "\u0001any"
@@ -54,7 +54,8 @@ def ledger_anti(ledger: DataFrame, claims: DataFrame) -> DataFrame:
 
 def _flag(claims: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     marked = groups.where(F.col("group_id").isNotNull()).select("group_id").distinct().withColumn(name, F.lit(True))
-    return claims.join(marked, "group_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    spread = "evidence_id" if "evidence_id" in claims.columns else "sync_date"
+    return lookup(claims, marked, "group_id", spread).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def wrong_application(claims: DataFrame, ledger_all: DataFrame, app: str | None) -> DataFrame:

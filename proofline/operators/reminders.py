@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
+from proofline.functions.joins import lookup
 from proofline.functions.text import non_empty, suggested_message
 from proofline.operators.cases import case_members, with_recipient
 
@@ -50,7 +51,8 @@ def reminder_candidates(
     blocked = _blocked_groups(open_members, attempts, now)
     rows = asked.join(
         open_members.select("case_evidence_id", "group_key"), "case_evidence_id", "left"
-    ).join(_proofs(submissions), "case_evidence_id", "left").join(blocked, "group_key", "left")
+    ).join(_proofs(submissions), "case_evidence_id", "left")
+    rows = lookup(rows, blocked, "group_key", "case_evidence_id")
     lead = F.coalesce("group_key", F.concat(F.lit("unknown "), F.col("case_evidence_id").cast("string")))
     outcome = (
         F.when(F.col("group_key").isNull(), "closed").when(F.col("recipient").isNull(), "no_recipient")

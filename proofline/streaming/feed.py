@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from proofline import constants as K
 from proofline.functions import predicates as P
-from proofline.functions.joins import first_by
+from proofline.functions.joins import first_by, lookup
 from proofline.operators.cases import rebuild_cases
 from proofline.operators.identity import KEY
 
@@ -78,7 +78,7 @@ def stream_route(
     missing = F.coalesce(F.col("storage_path") == "", F.lit(True))
     if manifest is not None:
         listed = manifest.select(F.col("path").alias("storage_path")).distinct().withColumn("listed", F.lit(True))
-        rows = rows.join(listed, "storage_path", "left")
+        rows = lookup(rows, listed, "storage_path", "message_id")
         missing = missing | F.col("listed").isNull()
     late = P.cutoff_filter(F.col("message_date"), cutoff)
     monitored = F.coalesce("is_monitored", F.lit(False))
