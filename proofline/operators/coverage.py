@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.joins import first_by
+from proofline.functions.joins import first_by, split_join
 from proofline.functions.text import present
 
 PARTICIPANT = ["sender_identity", "application_id", "group"]
@@ -61,7 +61,7 @@ def ledger_presence(best: DataFrame, ledger: DataFrame) -> DataFrame:
         "application_id", F.col("group_id").alias("group"), F.col("sync_date").alias("best_date"),
         F.lit(True).alias("dashboard_present"),
     ).distinct()
-    return best.join(days, ["application_id", "group", "best_date"], "left").withColumn(
+    return split_join(best, days, ["application_id", "group", "best_date"]).withColumn(
         "dashboard_present", F.coalesce("dashboard_present", F.lit(False))
     )
 

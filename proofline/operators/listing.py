@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
-from proofline.functions.joins import side_by_side
+from proofline.functions.joins import side_by_side, split_join
 from proofline.functions.text import non_empty
 from proofline.operators.cases import case_members, days_since, followup_rows
 
@@ -176,8 +176,9 @@ def retention_plan(
         "evidence_id", F.col("storage_path").alias("path"),
         ((F.col("received_at") < limit) & ~P.is_transitional() & F.col("has_job").isNull()).alias("old"),
     )
-    owned = frames.select("evidence_id", F.col("storage_path").alias("path")).join(
-        marked.select("evidence_id", "old"), "evidence_id", "left"
+    owned = split_join(
+        frames.select("evidence_id", F.col("storage_path").alias("path")),
+        marked.select("evidence_id", "old"), ["evidence_id"],
     ).select("path", F.coalesce("old", F.lit(False)).alias("old"))
     # One aggregate decides a path: removable only if every owner is old.
     paths = marked.select("path", "old").unionByName(owned).where("path IS NOT NULL").groupBy("path").agg(

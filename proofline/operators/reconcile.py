@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
-from proofline.functions.joins import first_by, lookup, same
+from proofline.functions.joins import first_by, lookup, split_join
 from proofline.functions.text import present
 
 ANY_APPLICATION = "\u0001any"
@@ -49,7 +49,7 @@ def ledger_in_scope(
 def ledger_anti(ledger: DataFrame, claims: DataFrame) -> DataFrame:
     """Ledger rows whose group no claim mentions, whatever the claim's date or status."""
     claimed = claims.where(present(F.col("group_id"))).select("group_id").distinct()
-    return ledger.where(present(F.col("group_id"))).join(claimed, "group_id", "left_anti")
+    return split_join(ledger.where(present(F.col("group_id"))), claimed, ["group_id"], "left_anti")
 
 
 def _flag(claims: DataFrame, groups: DataFrame, name: str) -> DataFrame:
@@ -146,9 +146,8 @@ def nearest_date_match(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     known = claims.where(present(F.col("group_id")) & F.col("application_id").isNotNull())
     best = _nearest_points(known.select(*CLAIM_KEY).distinct(), ledger).where("row_id IS NOT NULL")
-    return (
-        known.alias("c").join(best.alias("b"), same("c", "b", CLAIM_KEY))
-        .select("c.evidence_id", "b.row_id", "b.ledger_date", "b.gap")
+    return split_join(known.select("evidence_id", *CLAIM_KEY), best, CLAIM_KEY, "inner").select(
+        "evidence_id", "row_id", "ledger_date", "gap"
     )
 
 
@@ -157,19 +156,15 @@ def dup_claims(claims: DataFrame) -> DataFrame:
     first = first_by(claims, CLAIM_KEY, ["received_at", "evidence_id"], ["evidence_id"]).withColumnRenamed(
         "evidence_id", "first_id"
     )
-    return (
-        claims.alias("c").join(first.alias("f"), same("c", "f", CLAIM_KEY), "left")
-        .select("c.*", (F.col("c.evidence_id") != F.col("f.first_id")).alias("is_repeat"))
-    )
+    return split_join(claims, first, CLAIM_KEY).withColumn(
+        "is_repeat", F.col("evidence_id") != F.col("first_id")
+    ).drop("first_id")
 
 
 def dup_ledger(ledger: DataFrame) -> DataFrame:
     """Adds n: how many rows share the group and date (all copies carry it)."""
     counts = ledger.groupBy("group_id", "sync_date").agg(F.count("*").alias("n"))
-    return (
-        ledger.alias("l").join(counts.alias("k"), same("l", "k", ["group_id", "sync_date"]), "left")
-        .select("l.*", "k.n")
-    )
+    return split_join(ledger, counts, ["group_id", "sync_date"])
 
 
 def result_union(claim_side: DataFrame, ledger_side: DataFrame) -> DataFrame:
@@ -213,22 +208,20 @@ def _claim_results(
         "evidence_id", "application_id", F.col("gate").alias("status"),
         F.col("group_id").alias("whatsapp_group_id"), F.col("sync_date").alias("whatsapp_date"), "confidence",
     )
-    joined = open_claims.alias("c").join(
-        points.alias("p"), [F.col(f"c.{k}") == F.col(f"p.{k}") for k in CLAIM_KEY]
-    )
+    verdicts = points.select(*CLAIM_KEY, "first_id", "row_id", "ledger_date", "point_status")
+    joined = split_join(open_claims, verdicts, CLAIM_KEY, "inner")
     status = (
-        F.when(F.col("p.point_status") == "MAUVAISE_APPLICATION", F.col("p.point_status"))
-        .when(F.col("c.evidence_id") != F.col("p.first_id"), "DOUBLON_WHATSAPP")
-        .otherwise(F.col("p.point_status"))
+        F.when(F.col("point_status") == "MAUVAISE_APPLICATION", F.col("point_status"))
+        .when(F.col("evidence_id") != F.col("first_id"), "DOUBLON_WHATSAPP")
+        .otherwise(F.col("point_status"))
     )
     matched = status.isin("CONFORME", "ECART_DATE")
     classified = joined.select(
-        F.col("c.evidence_id"), F.col("c.application_id"), status.alias("status"),
-        F.col("c.group_id").alias("whatsapp_group_id"), F.col("c.sync_date").alias("whatsapp_date"),
-        F.col("c.confidence"),
-        F.when(matched, F.col("c.group_id")).alias("dashboard_group_id"),
-        F.when(matched, F.col("p.ledger_date")).alias("dashboard_date"),
-        F.when(matched, F.col("p.row_id")).alias("row_id"),
+        "evidence_id", "application_id", status.alias("status"),
+        F.col("group_id").alias("whatsapp_group_id"), F.col("sync_date").alias("whatsapp_date"), "confidence",
+        F.when(matched, F.col("group_id")).alias("dashboard_group_id"),
+        F.when(matched, F.col("ledger_date")).alias("dashboard_date"),
+        F.when(matched, F.col("row_id")).alias("row_id"),
     )
     return classified.unionByName(stopped, allowMissingColumns=True)
 
@@ -237,10 +230,7 @@ def _ledger_results(ledger: DataFrame, claims: DataFrame, app: str | None) -> Da
     # A group is claimed or not as a whole, so rows are counted first and the
     # counts filtered; the rows themselves move once.
     open_days = ledger_anti(ledger.groupBy("group_id", "sync_date").agg(F.count("*").alias("n")), claims)
-    open_rows = ledger.alias("l").join(
-        open_days.alias("k"),
-        (F.col("l.group_id") == F.col("k.group_id")) & F.col("l.sync_date").eqNullSafe(F.col("k.sync_date")),
-    ).select("l.*", "k.n")
+    open_rows = split_join(ledger, open_days, ["group_id", "sync_date"], "inner")
     locality = F.col("locality") if "locality" in ledger.columns else F.lit(None).cast("string")
     return open_rows.select(
         F.lit(app).cast("string").alias("application_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.joins import lookup
+from proofline.functions.joins import lookup, split_join
 from proofline.functions.text import non_empty, suggested_message
 from proofline.operators.cases import case_members, with_recipient
 
@@ -137,7 +137,8 @@ def reminder_digest(
         F.when(F.col("stopped"), "skipped_sent_or_uncertain")
         .when(length > max_chars, "skipped_too_long").otherwise("prepared").alias("outcome"),
     )
-    fits = lines.join(plan.where("outcome = 'prepared'").select("recipient"), "recipient", "left_semi")
+    prepared = plan.where("outcome = 'prepared'").select("recipient")
+    fits = split_join(lines, prepared, ["recipient"], "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("case_evidence_id", "line")))
     numbered = F.transform(ordered, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["line"]))
     bodies = fits.groupBy("recipient").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
+from proofline.functions.joins import split_join
 from proofline.functions.text import non_empty, present
 
 ORDER = ["at_time", "event_id"]
@@ -43,7 +44,7 @@ def apply_reviews(submissions: DataFrame, events: DataFrame) -> DataFrame:
     base = submissions.select(
         "evidence_id", present(F.col("group_id")).alias("has_group"), present(F.col("sync_date")).alias("has_date")
     )
-    rows = rows.join(base.join(known, "evidence_id"), "evidence_id")
+    rows = split_join(rows, base.join(known, "evidence_id"), ["evidence_id"], "inner")
     here = F.struct(*ORDER)
     complete = (
         (F.col("kind") == "correct")

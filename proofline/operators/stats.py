@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions import predicates as P
-from proofline.functions.joins import side_by_side
+from proofline.functions.joins import side_by_side, split_join
 from proofline.functions.text import month_key, week_start
 
 DEFAULT_WINDOW = {"day": 30, "week": 91, "month": 365}
@@ -262,7 +262,7 @@ def agents_nested(agents: DataFrame, assignments: DataFrame, chunk_rows: int = 1
     `chunk`, so that no single task or row has to hold an unbounded list.
     """
     sizes = assignments.groupBy("agent_id").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    dealt = assignments.join(sizes, "agent_id").withColumn(
+    dealt = split_join(assignments, sizes, ["agent_id"], "inner").withColumn(
         "chunk", F.pmod(F.xxhash64("application_id", "group_id"), F.col("chunks")).cast("int")
     )
     lists = dealt.groupBy("agent_id", "chunk").agg(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.joins import first_by
+from proofline.functions.joins import first_by, split_join
 from proofline.functions.text import has_text
 
 
@@ -20,8 +20,7 @@ def content_dedup(files: DataFrame, hash_col: str, order: Sequence[str] = ("rece
                   ident: str = "evidence_id") -> DataFrame:
     """Adds duplicate_of_id: the first file with the same content, null for that first file itself."""
     first = first_by(files, [hash_col], list(order), [ident]).withColumnRenamed(ident, "first_id")
-    same = files.join(first, hash_col, "left")
-    return same.withColumn(
+    return split_join(files, first, [hash_col]).withColumn(
         "duplicate_of_id", F.when(F.col(ident) != F.col("first_id"), F.col("first_id"))
     ).drop("first_id")
 
@@ -100,7 +99,7 @@ def representative_picks(frames: DataFrame, n: int = 3) -> DataFrame:
     Frames have `place` (0-based order within the proof) and `is_visual`.
     """
     sizes = frames.groupBy("proof_id").agg(F.count("*").alias("frames"))
-    rows = frames.join(sizes, "proof_id")
+    rows = split_join(frames, sizes, ["proof_id"])
     spread = (
         F.when(F.col("place") == 0, 0).when(F.col("place") == F.floor(F.col("frames") / 2), 1)
         .when(F.col("place") == F.col("frames") - 1, 2)
