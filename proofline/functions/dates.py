@@ -31,8 +31,11 @@ def find_date_candidates(text: Column) -> Column:
 
 
 def _month_number(word: Column) -> Column:
-    pairs = [F.lit(item) for pair in K.MONTH_NUMBER.items() for item in pair]
-    return F.try_element_at(F.create_map(*pairs), word)
+    number = F.lit(None).cast("int")
+    for month in range(12, 0, -1):
+        words = [w for w, n in K.MONTH_NUMBER.items() if n == month]
+        number = F.when(word.isin(*words), month).otherwise(number)
+    return number
 
 
 def parse_report_date(text: Column, context: Column | None = None) -> Column:
@@ -66,13 +69,13 @@ def _read_date(raw: Column, context_day: Column) -> Column:
 
     day = part((3, 1, 1))
     month = F.coalesce(
-        F.try_to_number(part((2, 2, 2)), F.lit("99")).cast("int"),
+        part((2, 2, 2)).try_cast("int"),
         _month_number(F.lower(part((2, 2, 2)))),
     )
     year = F.when(has_year, part((1, 3, 3))).otherwise(F.year(context_day).cast("string"))
-    parsed = F.try_to_date(
-        F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"
-    )
+    parsed = F.concat(
+        year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0")
+    ).try_cast("date")
     return let(
         F.when(has_year | context_day.isNotNull(), parsed),
         lambda normalized: _date_outcome(raw, normalized, has_year, context_day),

@@ -31,18 +31,25 @@ def normalize_id(raw: Column) -> Column:
 def _read_id(raw: Column, lowered: Column) -> Column:
     shape = r"^gr([a-z0-9]+)[.\-\s]?([^\n]*)$"
     read_number = F.regexp_extract(lowered, shape, 1)
-    number = F.regexp_replace(
-        F.translate(read_number, K.DIGIT_LOOKALIKES, K.DIGIT_MEANINGS), "[^0-9]", ""
-    )
     slug = F.regexp_replace(F.regexp_extract(lowered, shape, 2), r"[^a-z0-9\-]", "")
-    slug = F.regexp_replace(F.regexp_replace(slug, r"-{2,}", "-"), r"^-+|-+$", "")
+    parts = F.struct(
+        read_number.alias("read"),
+        F.regexp_replace(
+            F.translate(read_number, K.DIGIT_LOOKALIKES, K.DIGIT_MEANINGS), "[^0-9]", ""
+        ).alias("number"),
+        F.regexp_replace(F.regexp_replace(slug, r"-{2,}", "-"), r"^-+|-+$", "").alias("slug"),
+    )
+    return let(parts, lambda p: _id_outcome(raw, lowered, p["read"], p["number"], p["slug"]))
+
 
+def _id_outcome(raw: Column, lowered: Column, read_number: Column, number: Column, slug: Column) -> Column:
     candidate = F.when(
         has_text(raw) & (number != "") & (slug != ""), F.concat(F.lit("gr"), number, F.lit("."), slug)
     )
-    digits_changed = lowered.rlike(shape) & (number != read_number)
+    # An id without a prefix has an empty number on both sides.
+    digits_changed = number != read_number
     notes = F.array_compact(F.array(
-        F.when(digits_changed & has_text(raw),
+        F.when(digits_changed,
                F.concat(F.lit("segment numerique '"), read_number, F.lit("' -> '"), number, F.lit("'"))),
         F.when(candidate.isNotNull() & (lowered != candidate),
                F.concat(F.lit("nettoyage separateurs: '"), raw, F.lit("' -> '"), candidate, F.lit("'"))),

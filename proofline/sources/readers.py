@@ -76,7 +76,7 @@ def _instant(date: Column, time: Column) -> Column:
 
     def stamp(month: Column, day: Column) -> Column:
         text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock)
-        return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+        return text.try_cast("timestamp_ntz")
 
     return F.coalesce(stamp(part(2), part(1)), stamp(part(1), part(2)))
 
