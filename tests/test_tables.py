@@ -14,7 +14,7 @@ from proofline.sources import readers, sinks
 
 def test_ledger_import_keeps_invalid_rows(spark):
     rows = spark.createDataFrame([
-        (2, "gr1.loumbila", "2026-07-30", "A"), (3, "gr1.loumbila", "30/07/2026", "B"), (4, "", "2026-07-30", "C"),
+        (2, "gr1.tanga", "2026-07-30", "A"), (3, "gr1.tanga", "30/07/2026", "B"), (4, "", "2026-07-30", "C"),
         (5, "gr2.zone", "jamais", "D"), (6, "gr3.nord", "2026-07-29", "E"),
     ], "row_number bigint, `GR plateforme` string, `Date synchro` string, Agent string")
     done, totals = imports.import_ledger(rows, {"group_id": "GR plateforme", "sync_date": "Date synchro", "agent": "Agent"})
@@ -87,11 +87,11 @@ def test_fuzzy_match_accepts_a_clear_winner_only(spark):
             spark.createDataFrame([(read,)], "id string"), spark.createDataFrame([(k,) for k in known], "k string")
         ).first()
 
-    row = match("gr1.kar-sam-samatoukorp", "gr1.kar-sam-samatoukoro", "gr2.karangasso-sambla-sembleni")
-    assert (row["best_id"], row["accepted"], row["needs_review"]) == ("gr1.kar-sam-samatoukoro", True, True)
-    close = match("gr1.kar-sam-toukors", "gr1.kar-sam-toukoro", "gr1.kar-sam-toukorx")
+    row = match("gr1.mil-ter-bagadoudorp", "gr1.mil-ter-bagadoudoro", "gr2.vallon-des-acacias")
+    assert (row["best_id"], row["accepted"], row["needs_review"]) == ("gr1.mil-ter-bagadoudoro", True, True)
+    close = match("gr1.mil-ter-doudors", "gr1.mil-ter-doudoro", "gr1.mil-ter-doudorx")
     assert (close["accepted"], close["needs_review"]) == (False, True)
-    assert match("gr9.autre", "gr1.kar-sam-toukoro") is None
+    assert match("gr9.autre", "gr1.mil-ter-doudoro") is None
 
 
 @pytest.mark.parametrize("fuzzy", [False, True])
@@ -277,11 +277,11 @@ def test_expected_list_separator_and_mark(spark, tmp_path):
 def test_chat_log_shapes(spark, tmp_path):
     path = tmp_path / "chat.txt"
     path.write_text(
-        "30/07/2026, 10:28 - Jean O: voici IMG-1.jpg\n‎[30/07/26, 10:28:03] Awa: image omitted\nsuite\n"
+        "30/07/2026, 10:28 - Ali K: voici IMG-1.jpg\n‎[30/07/26, 10:28:03] Awa: image omitted\nsuite\n"
         "07/30/2026, 9:05 - Awa: bonjour\n31/31/2026, 9:05 - Awa: rien\n", encoding="utf-8")
     rows = readers.read_chat_log(spark, str(path)).collect()
     assert [(r["sent_at"], r["sender"], r["media_filename"]) for r in rows] == [
-        (dt.datetime(2026, 7, 30, 10, 28), "Jean O", "IMG-1.jpg"),
+        (dt.datetime(2026, 7, 30, 10, 28), "Ali K", "IMG-1.jpg"),
         (dt.datetime(2026, 7, 30, 10, 28, 3), "Awa", "__unnamed_attachment__"),
         (dt.datetime(2026, 7, 30, 9, 5), "Awa", None), (None, "Awa", None),
     ]
