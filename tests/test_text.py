@@ -16,7 +16,7 @@ def one(spark, column, **values):
     ("gr1.tanga-nordest", "gr1.tanga-nordest"),
     ("GR1.TANGA NORDEST", "gr1.tanga-nordest"),
     ("gr1 . tanga-nordest", "gr1.tanga-nordest"),
-    ("gr1.tanga–nonguestenga", "gr1.tanga-nordest"),
+    ("gr1.tanga–nordest", "gr1.tanga-nordest"),
     ("gr1.tanga_nordest", "gr1.tanga-nordest"),
     ("grO.tanga-nordest", "gr0.tanga-nordest"),
     ("grlS.zone", "gr15.zone"),
