@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import sentencepiece_bpe
+from proofline.llm import sentencepiece_bpe, sharding, simhash
 from proofline.llm.common import table
 
 #: Where the vocabulary files are; replace it to use another place.
@@ -21,11 +21,21 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file()))
 
 
 _QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
