@@ -18,9 +18,12 @@ named like an output is replaced.
 
 from __future__ import annotations
 
+import re
 import sys
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -28,12 +31,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Distinct words a Python worker remembers before it starts anew; a matter of memory only.
-REMEMBERED = 400_000
+#: Distinct words a Python worker keeps at hand before it lets go of those not met lately; a matter of memory only.
+REMEMBERED = 600_000
+CHUNK = re.compile(r" *[^ \n]+|[ ]+|\n")
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class Known(dict):
+    """Ids of chunks met lately, as packed 32-bit numbers; the generation before stays in reach."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self.make(chunk)).tobytes()
+            if len(chunk) > 64:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class Codec:
     """The tables of one model: pieces by id, ranks, the automaton, and what has been learnt about pairs."""
 
@@ -69,9 +93,10 @@ class Codec:
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.piece = {i: p for p, i in self.id.items()}
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.single = self.id.get(SPACE, -2)
+        self.beside: dict[int, bool] = {}
+        self.known = Known(self.encode_chunk)
+        self.spaced = frozenset(i for i, p in self.piece.items() if p[0] == SPACE) | frozenset(self.runs.values())
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by repeated merging of the best pair: the rule that the table stands on."""
@@ -87,46 +112,48 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: int, right: int) -> bool:
-        found = self.beside.get((left, right))
-        if found is None:
-            a, b = self.piece[left], self.piece[right]
-            found = self.beside[left, right] = self.merged(a + b) == [a, b]
+    def allowed(self, before: int, token: int) -> bool:
+        """Whether a token may follow another one; after -1 (the beginning, a letter outside) whether it is reached at all."""
+        parts = [self.piece[token]] if before < 0 else [self.piece[before], self.piece[token]]
+        found = self.beside[before << 16 | token] = self.merged("".join(parts)) == parts
         return found
 
-    def reachable(self, token: int) -> bool:
-        found = self.whole.get(token)
-        if found is None:
-            found = self.whole[token] = self.merged(self.piece[token]) == [self.piece[token]]
-        return found
-
-    def table(self, text: str) -> list[tuple[int, int]]:
-        """For each prefix its last token as (length, id); id -1 for a letter outside the vocabulary."""
-        last = [(0, -1)] + [(1, -1)] * len(text)
-        filled = [True] + [False] * len(text)
+    def table(self, text: str) -> tuple[list[int], list[int]]:
+        """For each prefix the id of its last token and its length; id -1 for a letter outside the vocabulary."""
+        token_at, length_at = [-1] * (len(text) + 1), [1] * (len(text) + 1)
+        beside = self.beside
         for end, (length, token) in self.automaton.iter(text):
-            if filled[end + 1]:
-                continue
-            before = last[end + 1 - length][1]
-            if (self.compatible(before, token)) if before >= 0 else self.reachable(token):
-                last[end + 1], filled[end + 1] = (length, token), True
-        return last
-
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+            end += 1
+            if token_at[end] < 0:
+                before = token_at[end - length]
+                fits = beside.get(before << 16 | token)
+                if self.allowed(before, token) if fits is None else fits:
+                    token_at[end], length_at[end] = token, length
+        return token_at, length_at
+
+    def encode_chunk(self, chunk: str) -> list[int]:
         text = chunk.replace(" ", SPACE)
-        last, at, back = self.table(text), len(text), []
+        token_at, length_at = self.table(text)
+        at, back, plain = len(text), [], True
         while at:
-            length, token = last[at]
+            token = token_at[at]
+            if token < 0 or token == self.single:
+                plain = False
             back.append(token if token >= 0 else text[at - 1])
-            at -= length
+            at -= length_at[at]
+        back.reverse()
+        return back if plain else self.with_runs(back)
+
+    def with_runs(self, tokens: list[int | str]) -> list[int]:
+        """Joins runs of single spaces and writes letters outside the vocabulary as bytes."""
         ids: list[int] = []
-        single, run = self.id.get(SPACE), 0
-        for token in [*reversed(back), None]:
-            if token is not None and token == single:
+        run = 0
+        for token in [*tokens, None]:
+            if token == self.single:
                 run += 1
                 continue
             while run:
-                # 16 joins with 14 and 2; where no longer piece fits, the longest one below stands.
+                # no piece has 15 spaces, but one has 16: 14 and 2 join
                 step = max(k for k in self.runs if k <= run)
                 ids.append(self.runs[step])
                 run -= step
@@ -134,35 +161,21 @@ class Codec:
                 ids.extend(self.byte_id[b] for b in token.encode())
             elif token is not None:
                 ids.append(token)
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        import re
+        return ids
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as packed 32-bit numbers."""
         if not text:
-            return []
-        out: list[int] = []
-        known = self.known
-        for chunk in re.findall(r" *[^ \n]+|[ ]+|\n", " " + text.replace(SPACE, " ")):
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.encode_chunk(chunk)
-                if len(chunk) < 64:
-                    known[chunk] = ids
-            out.extend(ids)
-        return out
+            return b""
+        return b"".join(map(self.known.__getitem__, CHUNK.findall(" " + text.replace(SPACE, " "))))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding puts first goes."""
         joined = b"".join(map(self.surface.__getitem__, ids))
-        return (joined[1:] if joined[:1] == b" " and ids[0] in self.spaced() else joined).decode("utf-8", "replace")
-
-    def spaced(self) -> frozenset[int]:
-        if not hasattr(self, "_spaced"):
-            self._spaced = frozenset(i for i, s in enumerate(self.surface) if s[:1] == b" " and i not in self.byte_id.values())
-        return self._spaced
+        return (joined[1:] if ids and ids[0] in self.spaced else joined).decode("utf-8", "replace")
 
 
 _loaded: dict[int, Codec] = {}
@@ -205,7 +218,10 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids") ->
 
     def make(column: pa.Array) -> pa.Array:
         own = codec(model)
-        return pa.array([own.encode(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
+        packed = [own.packed(t or "") for t in column.to_pylist()]
+        ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+        ids = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
 
     return _with_column(df, ids, T.ArrayType(T.IntegerType()), text, make)
 
@@ -215,7 +231,9 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
 
     def make(column: pa.Array) -> pa.Array:
         own = codec(model)
-        return pa.array([own.decode(i or []) for i in column.to_pylist()], pa.string())
+        column = column.cast(pa.list_(pa.int32()))
+        found = [own.decode(v.values.to_numpy().tolist() if v.is_valid else []) for v in column]
+        return pa.array(found, pa.string())
 
     return _with_column(df, text, T.StringType(), ids, make)
 
