@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import sentencepiece_bpe, sharding, simhash
+from proofline.llm import quality, sentencepiece_bpe, sharding, simhash
 from proofline.llm.common import table
 
 #: Where the vocabulary files are; replace it to use another place.
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file()))
 
@@ -36,6 +40,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
