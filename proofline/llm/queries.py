@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import quality, sentencepiece_bpe, sharding, simhash
+from proofline.llm import quality, repeats, sentencepiece_bpe, sharding, simhash
 from proofline.llm.common import table
 
 #: Where the vocabulary files are; replace it to use another place.
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file()))
 
@@ -41,6 +45,7 @@ _QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op7_suffix_array": op7_suffix_array,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
