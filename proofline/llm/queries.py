@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import quality, repeats, sentencepiece_bpe, sharding, simhash
+from proofline.llm import quality, repeats, secrets, sentencepiece_bpe, sharding, simhash
 from proofline.llm.common import table
 
 #: Where the vocabulary files are; replace it to use another place.
@@ -21,6 +21,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
