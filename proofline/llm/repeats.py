@@ -39,9 +39,9 @@ from proofline.llm.common import slices, stored, text_of
 LENGTH = 400
 PIECE = 32
 HALF = (LENGTH - PIECE) // 2
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 2048
 #: Bytes of contexts that are put into suffix order at a time, or one group if that is larger.
-SORTED = 4_000_000
+SORTED = 1_000_000
 LAST = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 
