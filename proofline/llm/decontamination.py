@@ -32,18 +32,21 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import slices
+from proofline.llm.common import sent, slices
 
 BUCKETS = 1 << 20
 _PARTS = 64
 BLOCK = 2048
 RANK = 256
-COSINE = 0.4
+COSINE = 0.5
 #: Share of an item's words in common order that suffices alone, and with the answer words.
 LCS_ALONE = 0.75
 LCS_WITH_ANSWER = 0.5
 ANSWER_SHARE = 0.6
 
+#: Words of documents that are projected at a time.
+STRETCH = 8192
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TABLE = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -120,7 +123,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
     Each product with the matrix is a pass over the items; products with its transpose are summed over items by term.
     """
     spark = items.sparkSession
-    sent = spark.sparkContext.broadcast(idf)
+    common = spark.sparkContext.broadcast(idf)
 
     def times(factor: dict[int, np.ndarray] | None) -> np.ndarray:
         other = spark.sparkContext.broadcast(factor)
@@ -129,7 +132,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
             for batch in batches:
                 out = []
                 for text in _raw(batch.column(1)):
-                    terms, value = _row(words_of(text), sent.value)
+                    terms, value = _row(words_of(text), common.value)
                     rows = _random(terms, rank) if other.value is None else np.stack([other.value[t] for t in terms.tolist()] or [np.zeros(rank)] * 0).reshape(len(terms), rank)
                     out.append((value @ rows).tolist() if len(terms) else [0.0] * rank)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["row", "v"])
@@ -144,7 +147,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
             held: dict[int, np.ndarray] = {}
             for batch in batches:
                 for row, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), strict=True):
-                    terms, value = _row(words_of(text), sent.value)
+                    terms, value = _row(words_of(text), common.value)
                     for term, x in zip(terms.tolist(), value.tolist(), strict=True):
                         held[term] = held.get(term, 0) + x * other.value[row]
             yield pa.RecordBatch.from_arrays(
@@ -223,25 +226,34 @@ class Block:
         mass = np.r_[0, (weight.astype(np.float64) ** 2).cumsum()]
         inside = np.r_[0, (np.where(place >= 0, weight, 0).astype(np.float64) ** 2).cumsum()]
         begins = np.r_[0, ends[:-1]]
-        for size, items in zip(self.lengths, self.of_length, strict=True):
-            if not len(items):
-                continue
+        last = np.repeat(ends, ends - begins)
+        found = []
+        for size in self.lengths:
             starts = np.union1d(np.arange(0, len(place), max(1, size // 4)), begins[begins < ends])
-            stops = np.minimum(starts + size, ends[np.searchsorted(ends, starts, side="right")])
+            stops = np.minimum(starts + size, last[starts])
             total = mass[stops] - mass[starts]
             able = (inside[stops] - inside[starts]) >= self.cosine**2 * total
-            starts, stops, total = starts[able], stops[able], total[able]
-            for cut in range(0, len(starts), 256):
-                a, b, norm = starts[cut : cut + 256], stops[cut : cut + 256], np.sqrt(total[cut : cut + 256])
-                at = np.repeat(a - np.r_[0, (b - a).cumsum()[:-1]], b - a) + np.arange((b - a).sum())
-                owner = np.repeat(np.arange(len(a)), b - a)
-                known = place[at] >= 0
-                rows = self.vectors[place[at[known]]] * weight[at[known]][:, None]
-                passage = np.zeros((len(a), self.vectors.shape[1]), dtype=np.float32)
-                first = np.flatnonzero(np.r_[True, np.diff(owner[known]) > 0]) if known.any() else []
-                if len(first):
-                    passage[owner[known][first]] = np.add.reduceat(rows, first, axis=0)
-                score = passage @ self.latent[items].T / np.maximum(norm, 1e-12)[:, None]
+            found.append((starts[able], stops[able], np.sqrt(np.maximum(total[able], 1e-12))))
+        for low in range(0, len(place), STRETCH):
+            own = [tuple(x[np.searchsorted(f[0], low) : np.searchsorted(f[0], low + STRETCH)] for x in f) for f in found]
+            high = max((int(o[1].max()) for o in own if len(o[1])), default=low)
+            if high == low:
+                continue
+            # words of the benchmark inside a passage that is left are projected once, and passages are differences of sums
+            edge = np.zeros(high - low + 1, dtype=np.int64)
+            for a, b, _ in own:
+                np.add.at(edge, a - low, 1)
+                np.add.at(edge, b - low, -1)
+            used = (edge.cumsum()[:-1] > 0) & (place[low:high] >= 0)
+            at = low + np.flatnonzero(used)
+            sums = np.zeros((len(at) + 1, self.vectors.shape[1]))
+            np.cumsum(self.vectors[place[at]] * weight[at][:, None], axis=0, out=sums[1:])
+            count = np.r_[0, used.cumsum()]
+            for (a, b, norm), items in zip(own, self.of_length, strict=True):
+                if not len(a) or not len(items):
+                    continue
+                passage = (sums[count[b - low]] - sums[count[a - low]]).astype(np.float32)
+                score = passage @ self.latent[items].T / norm[:, None].astype(np.float32)
                 for p, i in zip(*np.nonzero(score >= self.cosine), strict=True):
                     yield int(items[i]), int(a[p]), int(b[p]), float(score[p, i])
 
@@ -308,18 +320,18 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
     plain = docs.select("doc_id", "text")
     out = None
     for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        own = sent(docs.sparkSession, block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1_000_000):
-                found = sent.value.links(_raw(batch.column(1)))
+                found = own().links(_raw(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([f[0] for f in found], pa.int32())),
-                        pa.array([sent.value.ids[f[1]] for f in found], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None),
+                        pa.array([own().ids[f[1]] for f in found], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None),
                         pa.array([f[2] for f in found], pa.float64()),
                         pa.array([f[3] for f in found], pa.int64()),
-                        pa.array([len(sent.value.words[f[1]]) for f in found], pa.int64()),
+                        pa.array([len(own().words[f[1]]) for f in found], pa.int64()),
                         pa.array([f[4] for f in found], pa.float64()),
                         pa.array([f[5] for f in found], pa.int64()),
                         pa.array([f[6] for f in found], pa.int64()),
@@ -336,11 +348,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: i
     """The documents without a link to the benchmark, all columns as they were."""
     out = docs
     for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        own = sent(docs.sparkSession, block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1_000_000):
-                linked = {f[0] for f in sent.value.links(_raw(batch.column(batch.schema.get_field_index("text"))))}
+                linked = {f[0] for f in own().links(_raw(batch.column(batch.schema.get_field_index("text"))))}
                 yield batch.filter(pa.array([i not in linked for i in range(batch.num_rows)]))
 
         out = out.mapInArrow(run, out.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import quality, repeats, secrets, sentencepiece_bpe, sharding, simhash
+from proofline.llm import decontamination, html_text, quality, repeats, secrets, sentencepiece_bpe, sharding, simhash
 from proofline.llm.common import table
 
 #: Where the vocabulary files are; replace it to use another place.
@@ -25,6 +25,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -45,13 +49,19 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file()))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html_text": op2_html_text,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_suffix_array": op7_suffix_array,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_decontamination": op10_decontamination,
 }
 
 
