@@ -7,13 +7,16 @@ import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions of these modules travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_folder: list[str] = []
 
@@ -47,11 +50,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def code_point_bytes() -> int:
-    """Bytes per code point in the arrays of the map functions."""
-    return 4
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of one slice stay near `limit` bytes; a longer text stands alone."""
     for batch in batches:
@@ -67,7 +65,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             yield batch.slice(begin)
 
 
-def by_value() -> None:
-    """Sends this package's functions with the tasks, so executors need no install of it."""
-    for name in [n for n in sys.modules if n.startswith("proofline.llm")]:
-        cloudpickle.register_pickle_by_value(sys.modules[name])
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a value of bounded size, with its class, so that workers need no install of this package."""
+    pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get() -> object:
+        if not held:
+            held.append(cloudpickle.loads(pickled.value))
+        return held[0]
+
+    return get

@@ -65,14 +65,27 @@ def rolled(codes: np.ndarray, seeds: np.ndarray, places: np.ndarray, length: int
     return out
 
 
+def rolled_all(codes: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
+    """The same hashes at every place, in one sweep."""
+    size = max(0, len(codes) - length + 1)
+    out = seeds[:size].copy()
+    with np.errstate(over="ignore"):
+        for step in range(length):
+            out *= _FACTOR
+            out += codes[step : step + size]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 @dataclass
 class Windows:
-    """The n-grams of some texts, back to back."""
+    """The n-grams of some texts, back to back; `sizes` counts those of each text, `all_seeds` goes with `codes`."""
 
     codes: np.ndarray
     places: np.ndarray
     seeds: np.ndarray
     sizes: np.ndarray
+    all_seeds: np.ndarray
 
 
 def windows(texts: list[bytes], langs: list[str | None], order: int) -> Windows:
@@ -82,8 +95,32 @@ def windows(texts: list[bytes], langs: list[str | None], order: int) -> Windows:
     codes = np.concatenate([x for b in bodies for x in (mark, b)] or [mark]).astype(np.uint64)
     begins = np.r_[0, (sizes + order - 1).cumsum()[:-1]] if len(sizes) else sizes
     places = np.repeat(begins - np.r_[0, sizes.cumsum()[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else sizes
-    seeds = np.repeat(np.array([seed(x) for x in langs], dtype=np.uint64), sizes)
-    return Windows(codes, places, seeds, sizes)
+    own = np.array([seed(x) for x in langs], dtype=np.uint64)
+    return Windows(codes, places, np.repeat(own, sizes), sizes, np.repeat(own, sizes + order - 1))
+
+
+def counted(seen: Windows, order: int) -> tuple[list[str], list[int]]:
+    """The distinct n-grams of some texts of one language, and how often each occurs."""
+    if not len(seen.places):
+        return [], []
+    alphabet = np.unique(seen.codes)
+    if len(alphabet) > 4096 or order > 5:
+        hashes = rolled(seen.codes, seen.seeds, seen.places, order)
+        _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        return spelled(seen.codes, seen.places[first], order), counts.tolist()
+    # up to 4096 kinds of letters: an n-gram fits 60 bits and can be read back after sorting
+    number = np.zeros(int(alphabet[-1]) + 1, dtype=np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    short = number[seen.codes]
+    packed = np.zeros(len(short) - order + 1, dtype=np.int64)
+    for step in range(order):
+        packed = (packed << 12) | short[step : step + len(packed)]
+    packed = np.sort(packed[seen.places])
+    cut = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
+    kinds, counts = packed[cut], np.diff(np.r_[cut, len(packed)])
+    rows = alphabet[np.stack([kinds >> (12 * (order - 1 - step)) & 4095 for step in range(order)], axis=1)].astype("<u4")
+    text = rows.tobytes().decode("utf-32-le", "replace")
+    return [text[i : i + order] for i in range(0, len(text), order)], counts.tolist()
 
 
 def spelled(codes: np.ndarray, places: np.ndarray, order: int) -> list[str]:
@@ -118,13 +155,9 @@ def count_ngrams(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bo
                     by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 seen = windows(texts, [lang] * len(texts), order)
-                for cut in range(0, len(seen.places), 4_000_000):
-                    places = seen.places[cut : cut + 4_000_000]
-                    hashes = rolled(seen.codes, seen.seeds[cut : cut + 4_000_000], places, order)
-                    _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                    found = held.setdefault(lang, {})
-                    for gram, n in zip(spelled(seen.codes, places[first], order), counts.tolist(), strict=True):
-                        found[gram] = found.get(gram, 0) + n
+                found = held.setdefault(lang, {})
+                for gram, n in zip(*counted(seen, order), strict=True):
+                    found[gram] = found.get(gram, 0) + n
             if sum(map(len, held.values())) > HELD:
                 yield out()
                 held.clear()
@@ -197,12 +230,24 @@ class Arrays:
     hashes: dict[int, np.ndarray] = field(default_factory=dict)
     p: dict[int, np.ndarray] = field(default_factory=dict)
     backoff: dict[int, np.ndarray] = field(default_factory=dict)
+    index: dict[int, tuple[np.ndarray, np.ndarray, np.uint64]] = field(default_factory=dict)
 
     def find(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.hashes[k]
-        at = np.searchsorted(own, hashes)
-        at[at == len(own)] = 0
-        return at, own[at] == hashes
+        """Places of hashes among those of an order, and which are there. Hashes are even, so their first bits nearly say where."""
+        if k not in self.index:  # made where it is used, once for a worker
+            bits = max(1, len(self.hashes[k]).bit_length())
+            edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            starts = np.searchsorted(self.hashes[k], edges).astype(np.int32)
+            self.index[k] = starts, np.r_[self.hashes[k], np.uint64(0xFFFFFFFFFFFFFFFF)], np.uint64(64 - bits)
+        starts, own, shift = self.index[k]
+        at = starts[(hashes >> shift).astype(np.int64)]
+        short = np.flatnonzero(own[at] < hashes)
+        while len(short):
+            at[short] += 1
+            short = short[own[at[short]] < hashes[short]]
+        found = own[at] == hashes
+        at[at == len(own) - 1] = 0
+        return at, found & (len(own) > 1)
 
     def score(self, seen: Windows) -> np.ndarray:
         """Log probability of the last letter of each n-gram."""
@@ -210,7 +255,13 @@ class Arrays:
         todo = np.arange(len(seen.places))
         for k in range(self.order, 0, -1):
             start = seen.places[todo] + (self.order - k)
-            at, found = self.find(k, rolled(seen.codes, seen.seeds[todo], start, k))
+            if k == self.order:
+                hashes = rolled_all(seen.codes, seen.all_seeds, k)[seen.places]
+            else:
+                hashes = rolled(seen.codes, seen.seeds[todo], start, k)
+            at, found = self.find(k, hashes)
+            if not len(self.p[k]):
+                continue
             known = found & ~np.isnan(self.p[k][at])
             out[todo[known]] += self.p[k][at[known]]
             todo, start = todo[~known], start[~known]
@@ -255,10 +306,7 @@ def mean_log(model: Arrays, texts: list[bytes], langs: list[str | None]) -> list
     """Minus the mean log probability of a letter of each text: the log of its perplexity."""
     out: list[float | None] = []
     seen = windows(texts, langs, model.order)
-    total = np.zeros(len(seen.places) + 1)
-    for cut in range(0, len(seen.places), 1_000_000):
-        part = slice(cut, cut + 1_000_000)
-        total[cut + 1 : cut + 1 + len(seen.places[part])] = model.score(Windows(seen.codes, seen.places[part], seen.seeds[part], seen.sizes))
+    total = np.r_[0.0, model.score(seen)]
     total = total.cumsum()
     ends = seen.sizes.cumsum()
     for size, end in zip(seen.sizes.tolist(), ends.tolist(), strict=True):
@@ -291,9 +339,7 @@ def joined_scores(df: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
         for batch in slices(batches, "text"):
             for key, text, lang in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 seen = windows([text], [lang], order)
-                hashes = rolled(seen.codes, seen.seeds, seen.places, order)
-                _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                grams = spelled(seen.codes, seen.places[first], order)
+                grams, counts = counted(seen, order)
                 size = len(grams)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * size, pa.int64()), pa.array([lang] * size, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],

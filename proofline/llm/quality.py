@@ -11,8 +11,8 @@ is scored and judged.
 
 A missing or empty text has no words and fails the plain rules. A language that
 is missing is one of its own. Repeated rows are judged alike. In a language
-whose documents all fail the plain rules nothing is left to judge. Columns
-other than id, text and language are not read.
+whose documents all fail the plain rules nothing is left to judge. Other columns
+pass through; columns named like a count or a verdict are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofline.llm import ngram_lm
-from proofline.llm.common import slices, stored, text_of
+from proofline.llm.common import sent, slices, stored, text_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -93,51 +94,60 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def rules(df: DataFrame, model: ngram_lm.Arrays | None = None) -> DataFrame:
-    """(doc_id, lang, key, the counts, base_failed), and log_perplexity if a model is given as arrays."""
-    sent = df.sparkSession.sparkContext.broadcast(model) if model else None
+    """Adds `key` (hash of the text), the counts, `base_failed`, and `log_perplexity`: null unless a model is given as arrays."""
+    own = sent(df.sparkSession, model) if model else None
+    made = ["key", *_COUNTS, "log_perplexity"]
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (*made, "base_failed", "__text")])
+    names = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1_000_000):
-            texts = [v.as_buffer().to_pybytes() for v in batch.column(2)]
+        for batch in slices(batches, "__text", 1_000_000):
+            texts = [v.as_buffer().to_pybytes() for v in batch.column("__text")]
             found = np.array([counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
-            langs = batch.column(1).to_pylist()
-            logs = ngram_lm.mean_log(sent.value, texts, langs) if sent else [None] * len(texts)
+            langs = batch.column("__lang").to_pylist()
+            logs = ngram_lm.mean_log(own(), texts, langs) if own else [None] * len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(c) for c in found.T), pa.array(logs, pa.float64())],
-                ["doc_id", "lang", "key", *_COUNTS, "log_perplexity"],
+                [*(batch.column(c) for c in names), batch.column("__key"), *(pa.array(c) for c in found.T), pa.array(logs, pa.float64())],
+                [*names, *made],
             )
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    plain = df.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
-    schema = f"doc_id {kind}, lang string, key long, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double"
-    out = plain.mapInArrow(run, schema)
+    fields = [T.StructField("key", T.LongType()), *(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("log_perplexity", T.DoubleType())]
+    read = plain.select("*", text_of().alias("__text"), F.xxhash64(text_of()).alias("__key"), F.col("lang").cast("string").alias("__lang"))
+    out = read.mapInArrow(run, T.StructType([*plain.schema.fields, *fields]))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
 def judge(df: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(doc_id, lang, key, the counts, base_failed, log_perplexity, low, high, kept) of every row."""
-    plain = df.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
+    """Adds to every row its counts, `base_failed`, `log_perplexity` and the verdict `kept`. The rows are stored once with them."""
+    plain = df.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     model = ngram_lm.train(plain, accept=reads_as_prose)
     found = ngram_lm.arrays(model)
     if found is not None:
-        rows = stored(rules(plain, found), "quality")
+        rows = stored(rules(df, found), "quality")
     else:
-        scores = ngram_lm.joined_scores(plain, model).withColumnsRenamed({"key": "k", "lang": "l"})
-        same = (F.col("key") == F.col("k")) & F.col("lang").eqNullSafe(F.col("l"))
-        rows = stored(rules(plain).drop("log_perplexity").join(scores, same, "left").drop("k", "l"), "quality")
+        scores = ngram_lm.joined_scores(plain, model).withColumnsRenamed({"key": "__k", "lang": "__l", "log_perplexity": "__p"})
+        same = (F.col("key") == F.col("__k")) & F.col("lang").cast("string").eqNullSafe(F.col("__l"))
+        met = rules(df).join(scores, same, "left").withColumn("log_perplexity", F.col("__p"))
+        rows = stored(met.drop("__k", "__l", "__p"), "quality")
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     prose = ~F.col("base_failed") & (F.col("n_symbols") <= SYMBOL_SHARE * F.col("n_words"))
-    bands = rows.filter(prose).groupBy("lang").agg(quartiles.alias("q")).select(
-        F.col("lang").alias("bl"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high")
-    )
+    bands = rows.filter(prose).groupBy(F.col("lang").cast("string").alias("__lang")).agg(quartiles.alias("__q"))
     # one row per language: small, and left to Spark to send or to shuffle
-    met = rows.join(bands, F.col("lang").eqNullSafe(F.col("bl")), "left").drop("bl")
-    room = width * (F.col("high") - F.col("low")) * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("word_chars", F.lit(1))))
-    inside = F.col("log_perplexity").between(F.col("low") - room, F.col("high") + room)
-    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    met = rows.join(bands, F.col("lang").cast("string").eqNullSafe(F.col("__lang")), "left")
+    low, high = F.col("__q")[0], F.col("__q")[1]
+    room = width * (high - low) * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("word_chars", F.lit(1))))
+    inside = F.col("log_perplexity").between(low - room, high + room)
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__q", "key")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The rows that pass, with their own columns."""
+    return judge(df).filter("kept").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def report(df: DataFrame) -> DataFrame:
     """Per document its counts, whether the plain rules fail, and the verdict."""
-    return judge(df).select("doc_id", *_COUNTS, "base_failed", "kept", "log_perplexity")
+    return judge(df.select("doc_id", "text", "lang").withColumn("text", text_of())).select(
+        "doc_id", *_COUNTS, "base_failed", "kept", "log_perplexity"
+    )
