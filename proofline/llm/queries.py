@@ -6,19 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import decontamination, html_text, quality, repeats, secrets, sentencepiece_bpe, sharding, simhash
+from proofline.llm import (
+    decontamination,
+    html_text,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    sentencepiece_bpe,
+    sharding,
+    simhash,
+    warc,
+)
 from proofline.llm.common import table
 
-#: Where the vocabulary files are; replace it to use another place.
-TOKENIZER_FILE: str | None = None
+#: Where the vocabulary files are; set it to use another folder.
+TOKENIZER_FOLDER: str | None = None
 
 
-def tokenizer_file() -> str:
-    if TOKENIZER_FILE:
-        return TOKENIZER_FILE
+def tokenizer_file(name: str) -> str:
+    if TOKENIZER_FOLDER:
+        return f"{TOKENIZER_FOLDER}/{name}"
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +52,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = packing.ranks_of(tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, end=50256)
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file()))
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), sentencepiece_bpe.load_model(tokenizer_file("piece_bpe_32k.model")))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +81,9 @@ _QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
     "op7_suffix_array": op7_suffix_array,
+    "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
@@ -70,4 +94,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.ORACLE}
