@@ -142,8 +142,9 @@ def judge(df: DataFrame, width: float = WIDTH) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows that pass, with their own columns."""
-    return judge(df).filter("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows that pass, with their own columns, whatever they are called."""
+    plain = df.select("text", "lang", *[F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(df.columns)])
+    return judge(plain).filter("kept").select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def report(df: DataFrame) -> DataFrame:
