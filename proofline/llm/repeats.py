@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.common import slices, stored, text_of
@@ -290,6 +290,12 @@ def _matched(keep_first: bool, limit: int):
     return run
 
 
+def _other(column: str) -> Column:
+    """Another key for the same values. A side that was just grouped by a column moves again for a join by this one, so that
+    Spark can split the join where a value is hot."""
+    return F.col(column).bitwiseXOR(F.lit(1))
+
+
 def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id", text: str = "text", limit: int = GROUP_LIMIT) -> DataFrame:
     """Stored table (key, text, copies, first, spans) of the texts in which strings of `LENGTH` bytes are repeated.
 
@@ -302,9 +308,9 @@ def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id",
     ).filter(F.length("text") >= LENGTH)
     pieces = stored(docs.select("key", "text").mapInArrow(_pieces, "hash long, key binary, begin int, span int, shift int"), "repeat-pieces")
     place = F.xxhash64("key", "begin")
-    twice = pieces.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select((F.col("hash") + 0).alias("h"))
+    twice = pieces.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select(_other("hash").alias("h"))
     wanted = (
-        pieces.withColumn("h", F.col("hash") + 0).join(twice, "h", "left_semi")
+        pieces.withColumn("h", _other("hash")).join(twice, "h", "left_semi")
         .groupBy("key").agg(F.collect_set(F.struct("hash", "begin", "span", "shift")).alias("anchors"))
     )
     texts = docs.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("first").alias("first"))
@@ -315,8 +321,8 @@ def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id",
     )
     contexts = members.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "begin")).alias("place"))
     contexts = stored(contexts, "repeat-contexts")
-    several = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select((F.col("hash") + 0).alias("h"))
-    unequal = contexts.withColumn("h", F.col("hash") + 0).join(several, "h", "left_semi").select("hash", "digest", "place.first", "place.begin")
+    several = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(_other("hash").alias("h"))
+    unequal = contexts.withColumn("h", _other("hash")).join(several, "h", "left_semi").select("hash", "digest", "place.first", "place.begin")
     parts = texts.mapInArrow(lambda b: _parts(b, True), "hash long, digest binary, shift int, part binary")
     parts = parts.join(unequal, ["hash", "digest"]).select("hash", "digest", "shift", "part", "first", "begin")
     schema = "hash long, digest binary, low int, high int, window binary, first long, begin int"
@@ -333,8 +339,8 @@ def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id",
     )
     by_context = ranges.groupBy("hash", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     known = contexts.join(by_context, ["hash", "digest"], "left").filter("n > 1 or ranges is not null")
-    known = known.select((F.col("hash") + 0).alias("h"), F.concat("digest", F.lit(b"")).alias("g"), "n", "place", "ranges")
-    own = members.join(known, (F.col("hash") == F.col("h")) & (F.col("digest") == F.col("g")))
+    known = known.select(_other("hash").alias("h"), F.concat("digest", F.lit(b"")).alias("g"), "n", "place", "ranges")
+    own = members.join(known, (_other("hash") == F.col("h")) & (F.col("digest") == F.col("g")))
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high")))
     all_of_it = F.struct("first", "begin") != F.col("place") if keep_first else F.col("n") > 1
     spans = F.transform(
