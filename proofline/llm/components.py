@@ -40,13 +40,13 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     """Links every neighbour of a node (for large-star the larger ones, else all) to the node's smallest neighbour."""
     smallest = links.groupBy("a").agg(F.min("b").alias("m")).select(
         # a derived key makes both sides move, so that the join can be split at a node with many links
-        (F.col("a") + 0).alias("k"), F.least("a", "m").alias("m")
+        F.col("a").bitwiseXOR(F.lit(1)).alias("k"), F.least("a", "m").alias("m")
     )
-    met = links.withColumn("k", F.col("a") + 0).join(smallest, "k")
+    met = links.withColumn("k", F.col("a").bitwiseXOR(F.lit(1))).join(smallest, "k")
     if larger:
         out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            smallest.select(F.col("k").alias("a"), F.col("m").alias("b"))
+            smallest.select(F.col("k").bitwiseXOR(F.lit(1)).alias("a"), F.col("m").alias("b"))
         )
     return out.filter(F.col("a") != F.col("b")).distinct()

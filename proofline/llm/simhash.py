@@ -240,10 +240,10 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         "fp", F.coalesce("root", "fp").alias("root"), "id"
     )
     named = placed.groupBy("root").agg(F.min("id").alias("component"))
-    by_print = placed.select("fp", (F.col("root") + 0).alias("k")).join(
-        named.select((F.col("root") + 0).alias("k"), "component"), "k"
-    ).select((F.col("fp") + 0).alias("k"), "component")
-    return rows.withColumn("k", F.col("fp") + 0).join(by_print, "k").select("id", "fp", "component")
+    by_print = placed.select("fp", F.col("root").bitwiseXOR(F.lit(1)).alias("k")).join(
+        named.select(F.col("root").bitwiseXOR(F.lit(1)).alias("k"), "component"), "k"
+    ).select(F.col("fp").bitwiseXOR(F.lit(1)).alias("k"), "component")
+    return rows.withColumn("k", F.col("fp").bitwiseXOR(F.lit(1))).join(by_print, "k").select("id", "fp", "component")
 
 
 def report(df: DataFrame) -> DataFrame:
