@@ -167,6 +167,29 @@ UNKNOWN_AGENT = "Agent non identifié"
 CUTOFF_NOTE = "Message antérieur à la remise à zéro ; non réimporté"
 MISSING_FILE_NOTE = "Fichier media introuvable sur disque au moment du traitement backend"
 
-# --- fixed values: limits of the operational queries -------------------------------
-MAX_ROWS = 20_000
-MAX_DAYS = 93
+# --- why an operational query cannot be answered -----------------------------------
+SCOPE_NEEDS_PERIOD = "coverage needs a selected period"
+SCOPE_OUT_OF_ORDER = "the period ends before it begins"
+SCOPE_TOO_LONG = "the period is longer than the caller allows"
+
+# --- fixed values: codes and texts of the rules for single applications ------------
+COACH_SUFFIX = "coach"
+CHECK_ONLY_CODES = ("watercoach", "yebcoach", "financecoach")
+LABEL_CODE = "pfnlcoach"
+LABELS = ("uploaddata", "telechargerlesdonnees")
+NO_SUCCESS_WORDS_CODE = "agricoach"
+TEXT_CHECK_VISIBLE = "eCoach : une coche de réussite visible suffit (Data facultatif)"
+TEXT_LABEL_UNCONFIRMED = "PFNLCoach : premiere coche non confirmee"
+CHECK_CONFIDENCE = 0.95
+
+# --- fixed values: placeholders of a reminder --------------------------------------
+APPLICATION_TO_STATE = "Application à préciser"
+GROUP_TO_STATE = "Groupe à préciser"
+DATE_TO_STATE = "Date à préciser"
+ANSWER_IN_GROUP = "Renvoyez la correction dans le groupe WhatsApp d'origine."
+
+# --- fixed values: words of a phone's own notification panel -----------------------
+PANEL_RECORDER = ("enregistrement de l'ecran", "screen recording", "enregistrement d'ecran")
+PANEL_SILENT = ("notifications silencieuses", "tout effacer")
+PANEL_TILES = ("bluetooth", "mode avion", "airplane mode")
+PANEL_CONTROLS = ("notifications", "effacer", "gerer", "clear all", "economiseur")

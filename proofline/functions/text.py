@@ -87,9 +87,10 @@ def chat_address(sender: Column) -> Column:
     return F.when(sender.rlike(r"^\d+@(c\.us|lid)$"), sender)
 
 
-def recipient(sender: Column, phone: Column) -> Column:
-    """Chat address of a sender, or one made from the phone."""
-    return F.coalesce(chat_address(sender), F.concat(phone_key(phone), F.lit("@c.us")))
+def recipient(sender: Column, phone: Column, agent_phone: Column | None = None) -> Column:
+    """Chat address of a sender, or one made from the phone: the sender's, and only if that is missing the agent's."""
+    called = phone if agent_phone is None else F.coalesce(non_empty(phone), agent_phone)
+    return F.coalesce(chat_address(sender), F.concat(phone_key(called), F.lit("@c.us")))
 
 
 def business_key(value: Column) -> Column:
@@ -128,11 +129,9 @@ def notification_panel(text: Column) -> Column:
             found = found | folded.contains(word)
         return found
 
-    recorder = has("enregistrement de l'ecran", "screen recording", "enregistrement d'ecran") | (
-        folded.contains("notifications silencieuses") & folded.contains("tout effacer")
-    )
-    tiles = has("bluetooth", "mode avion", "airplane mode")
-    controls = has("notifications", "effacer", "gerer", "clear all", "economiseur")
+    silent, erase = K.PANEL_SILENT
+    recorder = has(*K.PANEL_RECORDER) | (folded.contains(silent) & folded.contains(erase))
+    tiles, controls = has(*K.PANEL_TILES), has(*K.PANEL_CONTROLS)
     return F.coalesce(recorder & tiles & controls, F.lit(False))
 
 
@@ -142,12 +141,11 @@ def suggested_message(
     """Reminder text for one case, with a placeholder for whatever is unknown."""
     return F.concat(
         F.lit("Bonjour "), F.coalesce(name, F.lit("")),
-        F.lit(", votre rapport ("), F.coalesce(non_empty(app), F.lit("Application à préciser")),
-        F.lit(" / "), F.coalesce(non_empty(group), F.lit("Groupe à préciser")),
-        F.lit(" / "), F.coalesce(non_empty(day), F.lit("Date à préciser")),
+        F.lit(", votre rapport ("), F.coalesce(non_empty(app), F.lit(K.APPLICATION_TO_STATE)),
+        F.lit(" / "), F.coalesce(non_empty(group), F.lit(K.GROUP_TO_STATE)),
+        F.lit(" / "), F.coalesce(non_empty(day), F.lit(K.DATE_TO_STATE)),
         F.lit(") est à refaire. Motif : "), reason,
-        F.lit(f". {K.RECORDING_INSTRUCTIONS} Renvoyez la correction dans le groupe WhatsApp d'origine. "
-              f"{K.PRIVATE_CHAT_NOTICE} Référence de suivi : "),
+        F.lit(f". {K.RECORDING_INSTRUCTIONS} {K.ANSWER_IN_GROUP} {K.PRIVATE_CHAT_NOTICE} Référence de suivi : "),
         ref.cast("string"), F.lit("."),
     )
 

@@ -235,6 +235,10 @@ def case_history_join(
     )
 
 
-def with_recipient(submissions: DataFrame) -> DataFrame:
-    """Adds recipient from the first sender and the phone (see `join_sender`)."""
-    return submissions.withColumn("recipient", recipient(F.col("sender_external_id"), F.col("sender_phone")))
+def with_recipient(submissions: DataFrame, agents: DataFrame) -> DataFrame:
+    """Adds recipient from the first sender, the sender's phone or else the phone of the registered agent."""
+    phones = agents.select("agent_id", F.col("phone").alias("__agent_phone"))
+    rows = lookup(submissions, phones, "agent_id", "evidence_id")
+    return rows.withColumn(
+        "recipient", recipient(F.col("sender_external_id"), F.col("sender_phone"), F.col("__agent_phone"))
+    ).drop("__agent_phone")

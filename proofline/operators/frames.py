@@ -7,6 +7,7 @@ text, confidence; `check_visible` says whether an image check was seen.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +15,11 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions.dates import parse_report_date
 from proofline.functions.ids import find_id_candidates, normalize_id
-from proofline.functions.joins import lookup
+from proofline.functions.joins import lookup, split_join
 from proofline.functions.status import sync_text_status
-from proofline.functions.text import has_text, non_empty, notification_panel
+from proofline.functions.text import fold_text, has_text, let, non_empty, notification_panel
 from proofline.operators.matching import fuzzy_id_match
 
-COACH_SUFFIX = "coach"  # fixed value: codes ending so follow the visible-check rule
-CHECK_TEXT = "coche visible"
-
-
 def frame_time(frames: DataFrame) -> Column:
     """Seconds from the beginning; offsets of end frames count back from the duration."""
     duration = F.col("duration_seconds") if "duration_seconds" in frames.columns else F.lit(0)
@@ -32,37 +29,76 @@ def frame_time(frames: DataFrame) -> Column:
 
 def frame_state(
     frames: DataFrame, apps: DataFrame, success: Sequence[str] = K.SUCCESS_KEYWORDS,
-    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = False,
+    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = True,
 ) -> DataFrame:
     """(proof_id, sync_status, evidence_text, confidence) told by the frames in time order.
 
-    `apps` gives the application code of each proof. Frames of a notification
-    panel are ignored and an explicit failure always counts. Under the
-    visible-check rule only a check on a frame that does not fail, or a
-    failure, changes the state; words of success alone do not. Otherwise the
-    last frame with any known words decides. Either way the state is that of
-    the last frame with an effect, so one aggregate replaces an ordered fold.
+    `apps` gives the application code of each proof. Frames of a notification panel are ignored and a failure always
+    counts. For plain codes the last frame with known words decides. Codes ending in `coach` follow these rules:
+
+    - a visible check on a frame that does not fail is a success;
+    - a success stands until a failure, whatever other frames say;
+    - `watercoach`, `yebcoach` and `financecoach` listen to checks only, `pfnlcoach` also to its label, which confirms
+      nothing, `agricoach` to all words but those of success, and any other code to all words.
+
+    What decides is then either the last frame of some kind, or the first words of success after the last failure.
     """
     rows = frames.join(apps.select("proof_id", "code"), "proof_id", "left")
-    rows = rows.where(
-        F.col("position").isin("start", "middle", "end") & ~notification_panel(F.coalesce("text", F.lit("")))
-    ).withColumn("read", sync_text_status(F.col("text"), success, error, fuzzy))
-    read = F.col("read")
-    by_check = F.coalesce(F.col("code").endswith(COACH_SUFFIX), F.lit(False))
-    effect = (
-        F.when(read["status"] == "FAILED", read)
-        .when(by_check & F.coalesce("check_visible", F.lit(False)), F.struct(
-            F.lit("SUCCESS").alias("status"), F.lit(CHECK_TEXT).alias("matched"), F.lit(0.95).alias("confidence")
-        ))
-        .when(~by_check & read["matched"].isNotNull(), read)
+    counted = F.col("position").isin("start", "middle", "end") & ~notification_panel(F.coalesce("text", F.lit("")))
+    coach = F.coalesce(F.col("code").endswith(K.COACH_SUFFIX), F.lit(False))
+    letters = F.regexp_replace(fold_text(F.col("text")), "[^a-z]", "")
+    labelled = F.coalesce(reduce(lambda a, b: a | b, [letters.contains(x) for x in K.LABELS]), F.lit(False))
+
+    def effect(kind: str, status: Column, matched: Column, confidence: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.struct(status.alias("status"), matched.alias("matched"), confidence.alias("confidence")).alias("told")
+        )
+
+    def judged(read: Column) -> Column:
+        own = (read["status"], read["matched"], read["confidence"])
+        said = read["matched"].isNotNull()
+        return (
+            F.when(read["status"] == "FAILED", effect("failure", *own))
+            .when(~coach & said, effect("words", *own))
+            .when(coach & F.coalesce("check_visible", F.lit(False)), effect(
+                "check", F.lit("SUCCESS"), F.lit(K.TEXT_CHECK_VISIBLE), F.lit(K.CHECK_CONFIDENCE)))
+            .when(coach & (F.col("code") == K.LABEL_CODE), F.when(labelled, effect(
+                "doubt", F.lit("UNCONFIRMED"), F.lit(K.TEXT_LABEL_UNCONFIRMED), F.lit(0.0))))
+            .when(~coach | ~said | F.col("code").isin(*K.CHECK_ONLY_CODES), F.lit(None))
+            .when(read["status"] != "SUCCESS", effect("doubt", *own))
+            .when(F.col("code") != K.NO_SUCCESS_WORDS_CODE, effect("good", *own))
+        )
+
+    rows = rows.withColumn("read", F.when(counted, sync_text_status(F.col("text"), success, error, fuzzy)))
+    rows = rows.select(
+        "proof_id", coach.alias("coach"), F.struct(frame_time(frames).alias("second"), "frame_id").alias("order"),
+        F.when(F.col("read").isNotNull(), let(F.col("read"), judged)).alias("effect"),
+    )
+
+    def last(kind: str) -> list[Column]:
+        held = F.when(F.col("effect.kind") == kind, F.col("order"))
+        return [F.max_by("effect.told", held).alias(kind), F.max(held).alias(f"{kind}_at")]
+
+    ends = rows.groupBy("proof_id").agg(
+        *last("failure"), *last("check"), *last("doubt"), F.bool_or("coach").alias("coach"),
+        F.max_by("effect.told", F.when(F.col("effect").isNotNull(), F.col("order"))).alias("words"),
+    )
+    # only words of success for coach codes look back at the last failure; no other frame moves twice
+    after = split_join(rows.where("effect.kind = 'good'"), ends.select("proof_id", "failure_at"), ["proof_id"])
+    after = after.where(F.col("failure_at").isNull() | (F.col("order") > F.col("failure_at")))
+    first = after.groupBy("proof_id").agg(F.min_by("effect.told", "order").alias("good"))
+    ends = ends.join(first, "proof_id", "left")
+
+    def later(place: str) -> Column:
+        return F.col(place).isNotNull() & (F.col("failure_at").isNull() | (F.col(place) > F.col("failure_at")))
+
+    told = (
+        F.when(~F.col("coach"), F.col("words")).when(later("check_at"), F.col("check"))
+        .when(F.col("good").isNotNull(), F.col("good")).when(later("doubt_at"), F.col("doubt")).otherwise(F.col("failure"))
     )
-    rows = rows.withColumns({"effect": effect, "second": frame_time(frames)})
-    order = F.when(F.col("effect").isNotNull(), F.struct("second", "frame_id"))
-    last = rows.groupBy("proof_id").agg(F.max_by("effect", order).alias("last"))
-    every = frames.select("proof_id").distinct()
-    return every.join(last, "proof_id", "left").select(
-        "proof_id", F.coalesce("last.status", F.lit("UNCONFIRMED")).alias("sync_status"),
-        F.col("last.matched").alias("evidence_text"), F.coalesce("last.confidence", F.lit(0.0)).alias("confidence"),
+    return ends.withColumn("told", told).select(
+        "proof_id", F.coalesce("told.status", F.lit("UNCONFIRMED")).alias("sync_status"),
+        F.col("told.matched").alias("evidence_text"), F.coalesce("told.confidence", F.lit(0.0)).alias("confidence"),
     )
 
 

@@ -73,11 +73,9 @@ def import_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def error_report(rows: DataFrame, n: int = 1000) -> DataFrame:
-    """The first `n` rejected rows with their errors; the rows themselves are all kept."""
-    return rows.where(~F.col("is_valid")).select("row_number", "raw_group_id", "validation_errors").orderBy(
-        "row_number"
-    ).limit(n)
+def error_report(rows: DataFrame) -> DataFrame:
+    """Every rejected row with its errors."""
+    return rows.where(~F.col("is_valid")).select("row_number", "raw_group_id", "validation_errors")
 
 
 def import_ledger(rows: DataFrame, mapping: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:

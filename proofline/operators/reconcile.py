@@ -151,14 +151,31 @@ def nearest_date_match(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def dup_claims(claims: DataFrame) -> DataFrame:
-    """Adds is_repeat: an earlier claim has the same application, group and date."""
-    first = first_by(claims, CLAIM_KEY, ["received_at", "evidence_id"], ["evidence_id"]).withColumnRenamed(
-        "evidence_id", "first_id"
+def gate() -> Column:
+    """What stops a claim before it is compared with anything, or null: a status that its own columns settle."""
+    needs_check = (
+        F.coalesce("requires_review", F.lit(True)) | F.coalesce("date_is_ambiguous", F.lit(True))
+        | ~present(F.col("application_id").cast("string")) | (F.col("processing_status") != "COMPLETED")
     )
-    return split_join(claims, first, CLAIM_KEY).withColumn(
-        "is_repeat", F.col("evidence_id") != F.col("first_id")
-    ).drop("first_id")
+    return (
+        F.when(~present(F.col("group_id")), "ID_ILLISIBLE")
+        .when(~present(F.col("sync_date")), "DATE_ILLISIBLE")
+        .when(F.col("sync_status") == "FAILED", "ECHEC_SYNCHRONISATION")
+        .when(F.coalesce(F.col("sync_status") != "SUCCESS", F.lit(True)), "SYNCHRONISATION_NON_CONFIRMEE")
+        .when(needs_check, "VERIFICATION_MANUELLE")
+    )
+
+
+def dup_claims(claims: DataFrame) -> DataFrame:
+    """Adds is_repeat: an earlier claim that passes the gates has the same application, group and date.
+
+    A claim that a gate stops is neither a repeat nor repeated.
+    """
+    rows = claims.withColumn("__gate", gate())
+    first = first_by(rows.where("__gate IS NULL"), CLAIM_KEY, ["received_at", "evidence_id"], ["evidence_id"])
+    joined = split_join(rows, first.withColumnRenamed("evidence_id", "first_id"), CLAIM_KEY)
+    again = F.col("__gate").isNull() & (F.col("evidence_id") != F.col("first_id"))
+    return joined.withColumn("is_repeat", F.coalesce(again, F.lit(False))).drop("first_id", "__gate")
 
 
 def dup_ledger(ledger: DataFrame) -> DataFrame:
@@ -176,18 +193,7 @@ def _claim_results(
     claims: DataFrame, ledger: DataFrame, ledger_all: DataFrame, assignments: DataFrame,
     app: str | None, tolerance_days: int,
 ) -> DataFrame:
-    needs_check = (
-        F.coalesce("requires_review", F.lit(True)) | F.coalesce("date_is_ambiguous", F.lit(True))
-        | ~present(F.col("application_id").cast("string")) | (F.col("processing_status") != "COMPLETED")
-    )
-    gate = (
-        F.when(~present(F.col("group_id")), "ID_ILLISIBLE")
-        .when(~present(F.col("sync_date")), "DATE_ILLISIBLE")
-        .when(F.col("sync_status") == "FAILED", "ECHEC_SYNCHRONISATION")
-        .when(F.coalesce(F.col("sync_status") != "SUCCESS", F.lit(True)), "SYNCHRONISATION_NON_CONFIRMEE")
-        .when(needs_check, "VERIFICATION_MANUELLE")
-    )
-    gated = claims.withColumn("gate", gate)
+    gated = claims.withColumn("gate", gate())
     # Everything below depends on the distinct (application, group, date) only.
     open_claims = gated.where("gate IS NULL")
     points = open_claims.groupBy(*CLAIM_KEY).agg(

@@ -13,7 +13,6 @@ from proofline.functions.text import non_empty, suggested_message
 from proofline.operators.cases import case_members, with_recipient
 
 MIN_SECONDS = 60
-MAX_DRAFTS = 50
 
 
 def _now(now: dt.datetime | str) -> Column:
@@ -21,10 +20,11 @@ def _now(now: dt.datetime | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _proofs(submissions: DataFrame) -> DataFrame:
-    return with_recipient(submissions).select(
-        F.col("evidence_id").alias("case_evidence_id"), "recipient", "application_id", "group_id",
-        "sync_date", "sender_name",
+def _proofs(submissions: DataFrame, agents: DataFrame, applications: DataFrame) -> DataFrame:
+    """Per submission whom to write to, and what to call its application."""
+    names = applications.select("application_id", F.col("name").alias("application"))
+    return lookup(with_recipient(submissions, agents), names, "application_id", "evidence_id").select(
+        F.col("evidence_id").alias("case_evidence_id"), "recipient", "application", "group_id", "sync_date", "sender_name", "received_at",
     )
 
 
@@ -37,7 +37,7 @@ def _blocked_groups(members: DataFrame, attempts: DataFrame, now: dt.datetime |
 
 
 def reminder_candidates(
-    ids: DataFrame, cases: DataFrame, submissions: DataFrame, attempts: DataFrame, now: dt.datetime | str
+    ids: DataFrame, cases: DataFrame, submissions: DataFrame, attempts: DataFrame, agents: DataFrame, now: dt.datetime | str
 ) -> DataFrame:
     """One row per report among the requested cases, with what stands in the way.
 
@@ -51,7 +51,9 @@ def reminder_candidates(
     blocked = _blocked_groups(open_members, attempts, now)
     rows = asked.join(
         open_members.select("case_evidence_id", "group_key"), "case_evidence_id", "left"
-    ).join(_proofs(submissions), "case_evidence_id", "left")
+    ).join(
+        with_recipient(submissions, agents).select(F.col("evidence_id").alias("case_evidence_id"), "recipient"), "case_evidence_id", "left"
+    )
     rows = lookup(rows, blocked, "group_key", "case_evidence_id")
     lead = F.coalesce("group_key", F.concat(F.lit("unknown "), F.col("case_evidence_id").cast("string")))
     outcome = (
@@ -63,9 +65,10 @@ def reminder_candidates(
 
 
 def prepare_drafts(
-    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, now: dt.datetime | str, n: int = MAX_DRAFTS
+    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, agents: DataFrame, applications: DataFrame,
+    now: dt.datetime | str, n: int | None = None,
 ) -> DataFrame:
-    """The first `n` reports that can be reminded, oldest case first, with their draft text."""
+    """Every report that can be reminded, with its draft text; with `n`, the first ones, oldest case first."""
     members = case_members(cases, submissions)
     groups = members.groupBy("group_key").agg(
         F.min_by(F.struct("case_evidence_id", "reason"), F.struct("received_at", "case_evidence_id")).alias("lead"),
@@ -75,25 +78,27 @@ def prepare_drafts(
     ready = groups.join(_blocked_groups(members, attempts, now), "group_key", "left_anti").select(
         "lead.*", "received_at"
     )
-    rows = ready.join(_proofs(submissions), "case_evidence_id").where("recipient IS NOT NULL")
+    proofs = _proofs(submissions, agents, applications).drop("received_at")
+    rows = ready.join(proofs, "case_evidence_id").where("recipient IS NOT NULL")
     body = suggested_message(
-        F.col("sender_name"), F.col("application_id"), F.col("group_id"), F.col("sync_date"),
+        F.col("sender_name"), F.col("application"), F.col("group_id"), F.col("sync_date"),
         F.col("reason"), F.col("case_evidence_id"),
     )
-    return rows.orderBy("received_at", "case_evidence_id").limit(n).select(
-        "case_evidence_id", "recipient", body.alias("body")
-    )
+    if n is not None:
+        rows = rows.orderBy("received_at", "case_evidence_id").limit(n)
+    return rows.select("case_evidence_id", "recipient", body.alias("body"))
 
 
-def digest_entries(cases: DataFrame, submissions: DataFrame, day: dt.date | str) -> DataFrame:
+def digest_entries(
+    cases: DataFrame, submissions: DataFrame, agents: DataFrame, applications: DataFrame, day: dt.date | str
+) -> DataFrame:
     """Unresolved cases of proofs received on `day`, with the recipient and the line of the digest."""
-    facts = with_recipient(submissions).where(
-        F.to_date("received_at") == F.lit(str(day)).cast("date")
-    ).select(
-        F.col("evidence_id").alias("case_evidence_id"), "recipient", "application_id", "group_id"
+    received = submissions.where(F.to_date("received_at") == F.lit(str(day)).cast("date"))
+    facts = _proofs(received, agents, applications).select(
+        "case_evidence_id", "recipient", "application", "group_id"
     ).where("recipient IS NOT NULL")
     text = F.concat(
-        F.coalesce(non_empty(F.col("application_id")), F.lit(K.UNKNOWN_APPLICATION)), F.lit(" / "),
+        F.coalesce(non_empty(F.col("application")), F.lit(K.UNKNOWN_APPLICATION)), F.lit(" / "),
         F.coalesce(non_empty(F.col("group_id")), F.lit(K.UNREADABLE_GROUP)), F.lit(" : "), F.col("reason"),
         F.lit(". Réf. "), F.col("case_evidence_id").cast("string"),
     )
@@ -103,8 +108,8 @@ def digest_entries(cases: DataFrame, submissions: DataFrame, day: dt.date | str)
 
 
 def reminder_digest(
-    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, campaigns: DataFrame, day: dt.date | str,
-    max_chars: int = K.DIGEST_MAX_CHARS,
+    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, campaigns: DataFrame, agents: DataFrame,
+    applications: DataFrame, day: dt.date | str, max_chars: int = K.DIGEST_MAX_CHARS,
 ) -> DataFrame:
     """One row per recipient of the day: prepared with a body, or skipped with the reason.
 
@@ -112,7 +117,7 @@ def reminder_digest(
     one was confirmed that day, or when the body would be too long. The length
     follows from counts and sums, so lines are gathered only where they fit.
     """
-    lines = digest_entries(cases, submissions, day)
+    lines = digest_entries(cases, submissions, agents, applications, day)
     opening = K.DIGEST_OPENING.format(day)
     closing = "\n".join((K.DIGEST_CLOSING, K.RECORDING_INSTRUCTIONS, K.PRIVATE_CHAT_NOTICE))
     sizes = lines.groupBy("recipient").agg(
@@ -148,9 +153,10 @@ def reminder_digest(
 
 
 def daily_digest(
-    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, campaigns: DataFrame, now: dt.datetime
+    cases: DataFrame, submissions: DataFrame, attempts: DataFrame, campaigns: DataFrame, agents: DataFrame,
+    applications: DataFrame, now: dt.datetime,
 ) -> DataFrame:
     """The digest of the day of `now`; empty before the evening hour."""
-    digest = reminder_digest(cases, submissions, attempts, campaigns, now.date().isoformat())
+    digest = reminder_digest(cases, submissions, attempts, campaigns, agents, applications, now.date().isoformat())
     return digest if now.hour >= K.DIGEST_HOUR else digest.where(F.lit(False))
 

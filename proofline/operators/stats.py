@@ -255,21 +255,10 @@ def keyword_union(profiles: DataFrame, defaults: Sequence[str]) -> DataFrame:
     return own.unionByName(fixed).distinct()
 
 
-def agents_nested(agents: DataFrame, assignments: DataFrame, chunk_rows: int = 1000) -> DataFrame:
-    """Each agent with its sorted list of (application, group).
+def agents_nested(agents: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Each agent with its assignments, a row for each (application, group); nulls where an agent has none.
 
-    A list longer than `chunk_rows` is dealt into several rows, numbered by
-    `chunk`, so that no single task or row has to hold an unbounded list.
+    Rows and not lists: the shape does not change with the number of assignments.
     """
-    sizes = assignments.groupBy("agent_id").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    dealt = split_join(assignments, sizes, ["agent_id"], "inner").withColumn(
-        "chunk", F.pmod(F.xxhash64("application_id", "group_id"), F.col("chunks")).cast("int")
-    )
-    lists = dealt.groupBy("agent_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("application_id", "group_id"))).alias("assignments")
-    )
-    return agents.select("agent_id", "full_name").join(lists, "agent_id", "left").select(
-        "agent_id", "full_name", F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        F.coalesce("assignments", F.array().cast("array<struct<application_id:string,group_id:string>>"))
-        .alias("assignments"),
-    )
+    own = assignments.select("agent_id", "application_id", "group_id").distinct()
+    return agents.select("agent_id", "full_name").join(own, "agent_id", "left")

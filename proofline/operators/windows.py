@@ -12,15 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.joins import first_by, split_join
+from proofline.functions.joins import first_by, lookup, split_join
 from proofline.functions.text import has_text
 
 
 def content_dedup(files: DataFrame, hash_col: str, order: Sequence[str] = ("received_at", "evidence_id"),
                   ident: str = "evidence_id") -> DataFrame:
-    """Adds duplicate_of_id: the first file with the same content, null for that first file itself."""
-    first = first_by(files, [hash_col], list(order), [ident]).withColumnRenamed(ident, "first_id")
-    return split_join(files, first, [hash_col]).withColumn(
+    """Adds duplicate_of_id: the first file with the same content, null for that first file and where the hash is unknown."""
+    known = files.where(F.col(hash_col).isNotNull())
+    first = first_by(known, [hash_col], list(order), [ident]).withColumnRenamed(ident, "first_id")
+    return lookup(files, first, hash_col, ident).withColumn(
         "duplicate_of_id", F.when(F.col(ident) != F.col("first_id"), F.col("first_id"))
     ).drop("first_id")
 

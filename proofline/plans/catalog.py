@@ -236,7 +236,7 @@ def q_list_audit(t: Tables) -> DataFrame:
 
 @query
 def q_search_channels(t: Tables) -> DataFrame:
-    return listing.search_channels(t["channels"], "AN").select("channel_id", "name")
+    return listing.search_channels(t["channels"], "tion_1").select("channel_id", "name")
 
 
 @query
@@ -246,10 +246,12 @@ def q_cutoff_filter(t: Tables) -> DataFrame:
 
 @query
 def q_scope_guard(t: Tables) -> DataFrame:
-    rows = t["submissions"].select("evidence_id")
-    q = datasets.OperationQuery("evidence", START, END)
-    datasets.scope_guard(q, rows, max_rows=10**9)
-    return rows
+    asked = t.sql("""
+select evidence_id, case evidence_id%3 when 0 then 'coverage' when 1 then 'evidence' else 'followups' end as dataset,
+ case when evidence_id%4=0 then 'all' else 'selected' end as scope, cast(received_at as date) as first_day,
+ date_add(cast(received_at as date), cast(evidence_id%120 - 10 as int)) as last_day from submissions""")
+    problem = datasets.scope_problem(F.col("dataset"), F.col("scope"), F.col("first_day"), F.col("last_day"), max_days=93)
+    return asked.select("evidence_id", problem.alias("problem"))
 
 
 # --- joins ------------------------------------------------------------------------
@@ -335,16 +337,16 @@ def q_asof_forward_match(t: Tables) -> DataFrame:
 @query
 def q_match_guards(t: Tables) -> DataFrame:
     near = t.sql("""
-select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
-where group_id is not null group by sender_identity, application_id, group_id, sync_date""")
+select a.evidence_id, b.evidence_id as replacement_id from proofs a join proofs b on a.sender_identity=b.sender_identity
+ and a.group_id=b.group_id and a.sync_date=b.sync_date and a.evidence_id<b.evidence_id""")
     return cases.match_guards(near, t["proofs"])
 
 
 @query
 def q_manual_link_check(t: Tables) -> DataFrame:
     near = t.sql("""
-select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
-group by sender_identity, coalesce(group_id, 'none'), cast(received_at as date)""")
+select a.evidence_id, b.evidence_id as replacement_id from proofs a join proofs b on a.sender_identity=b.sender_identity
+ and coalesce(a.group_id, 'none')=coalesce(b.group_id, 'none') and cast(a.received_at as date)=cast(b.received_at as date) and a.evidence_id<b.evidence_id""")
     return cases.manual_link_check(near, t["proofs"])
 
 
@@ -524,7 +526,9 @@ def q_campaign_stats(t: Tables) -> DataFrame:
 
 @query
 def q_reminder_digest(t: Tables) -> DataFrame:
-    return reminders.reminder_digest(t["open_cases"], t["proofs"], t["attempts"], t["campaigns"], TODAY)
+    return reminders.reminder_digest(
+        t["open_cases"], t["contacts"], t["attempts"], t["campaigns"], t["agents"], t["applications"], TODAY
+    )
 
 
 @query
@@ -564,10 +568,7 @@ from supplier""")
 
 @query
 def q_agents_nested(t: Tables) -> DataFrame:
-    pair = F.transform("assignments", lambda a: F.concat(a["application_id"], F.lit("/"), a["group_id"]))
-    return stats.agents_nested(t["agents"], t["agent_groups"], chunk_rows=100_000).select(
-        "agent_id", "full_name", F.array_join(pair, "|").alias("assignments")
-    )
+    return stats.agents_nested(t["agents"], t["agent_groups"])
 
 
 @query
@@ -597,7 +598,7 @@ def q_import_dups(t: Tables) -> DataFrame:
 
 @query
 def q_content_dedup(t: Tables) -> DataFrame:
-    files = t["documents"].withColumn("sha256", F.sha2("text", 256))
+    files = t["documents"].withColumn("sha256", F.when(F.col("doc_id") % 11 != 0, F.sha2("text", 256)))
     return windows.content_dedup(files, "sha256", ["doc_id"], "doc_id").select("doc_id", "sha256", "duplicate_of_id")
 
 
@@ -765,6 +766,22 @@ def q_recipient(t: Tables) -> DataFrame:
     )
 
 
+@query
+def q_recipient_of_agent(t: Tables) -> DataFrame:
+    return cases.with_recipient(t["contacts"], t["agents"]).select("evidence_id", "recipient")
+
+
+@query
+def q_import_errors(t: Tables) -> DataFrame:
+    rows, _ = imports.import_ledger(t["raw_rows"], RAW_MAPPING)
+    return imports.error_report(rows).select("row_number", "raw_group_id", *_text("validation_errors"))
+
+
+@query
+def q_complete_usable(t: Tables) -> DataFrame:
+    return cases.complete_usable(t["proofs"]).select("evidence_id", "processing_status")
+
+
 @query
 def q_business_key(t: Tables) -> DataFrame:
     return t["raw_rows"].select("row_number", text.business_key(F.col("raw_id")).alias("business_id"))
@@ -788,10 +805,10 @@ def q_month_key(t: Tables) -> DataFrame:
 @query
 def q_suggested_message(t: Tables) -> DataFrame:
     body = text.suggested_message(
-        F.col("sender_name"), F.col("application_id"), F.col("group_id"), F.col("sync_date"),
-        F.col("sync_status"), F.col("evidence_id"),
+        F.col("sender_name"), F.col("name"), F.col("group_id"), F.col("sync_date"), F.col("sync_status"), F.col("evidence_id"),
     )
-    return t["intake"].select("evidence_id", body.alias("body"))
+    names = t["applications"].select("application_id", "name")
+    return t["intake"].join(names, "application_id", "left").select("evidence_id", body.alias("body"))
 
 
 @query
@@ -860,7 +877,7 @@ def q_followup_dataset(t: Tables) -> DataFrame:
 @query
 def q_coverage_dataset(t: Tables) -> DataFrame:
     q = datasets.OperationQuery("coverage", START, END, status="MISSING", agent="supplier")
-    return datasets.coverage_dataset(t.operations(), q, max_cells=None)[0].select(
+    return datasets.coverage_dataset(t.operations(), q)[0].select(
         "sender_identity", "application", "group", "date", "status"
     )
 
@@ -875,12 +892,12 @@ def q_rebuild_cases(t: Tables) -> DataFrame:
 @query
 def q_reminder_candidates(t: Tables) -> DataFrame:
     asked = t["open_cases"].select("case_evidence_id")
-    return reminders.reminder_candidates(asked, t["open_cases"], t["proofs"], t["attempts"], NOW)
+    return reminders.reminder_candidates(asked, t["open_cases"], t["contacts"], t["attempts"], t["agents"], NOW)
 
 
 @query
 def q_prepare_drafts(t: Tables) -> DataFrame:
-    return reminders.prepare_drafts(t["open_cases"], t["proofs"], t["attempts"], NOW)
+    return reminders.prepare_drafts(t["open_cases"], t["contacts"], t["attempts"], t["agents"], t["applications"], NOW)
 
 
 # --- streaming -----------------------------------------------------------------------------------
@@ -986,7 +1003,7 @@ def q_tumbling_counts(t: Tables) -> DataFrame:
 @query
 def q_daily_digest(t: Tables) -> DataFrame:
     now = dt.datetime.fromisoformat("2024-01-17 22:30:00")
-    return reminders.daily_digest(t["open_cases"], t["proofs"], t["attempts"], t["campaigns"], now)
+    return reminders.daily_digest(t["open_cases"], t["contacts"], t["attempts"], t["campaigns"], t["agents"], t["applications"], now)
 
 
 @query

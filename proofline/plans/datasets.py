@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
@@ -35,18 +35,22 @@ class OperationQuery:
     status: str = ""
 
 
-def scope_guard(q: OperationQuery, rows: DataFrame | None = None, max_rows: int | None = K.MAX_ROWS,
-                max_days: int | None = K.MAX_DAYS) -> None:
-    """Raises when the period or the result is too large; never cuts.
+def scope_problem(dataset: Column, scope: Column, start: Column, end: Column, max_days: int | None = None) -> Column:
+    """Why a query cannot be answered as asked, or null: coverage without a period, days out of order, and, only if the
+    caller sets `max_days`, a period that is longer."""
+    days = F.datediff(end, start) + 1
+    problem = F.when((dataset == "coverage") & (scope == "all"), K.SCOPE_NEEDS_PERIOD).when(days < 1, K.SCOPE_OUT_OF_ORDER)
+    return problem if max_days is None else problem.when(days > max_days, K.SCOPE_TOO_LONG)
 
-    Counting stops one row past the limit. Pass None to lift a limit on a cluster.
-    """
+
+def scope_guard(q: OperationQuery, max_days: int | None = None) -> None:
+    """Raises for a query that cannot be answered as asked (see `scope_problem`). It neither runs a job nor cuts."""
     if q.dataset == "coverage" and q.scope == "all":
-        raise ScopeError("coverage needs a selected period")
-    if q.end < q.start or (max_days is not None and (q.end - q.start).days + 1 > max_days):
-        raise ScopeError(f"choose an ordered period of at most {max_days} days")
-    if rows is not None and max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
-        raise ScopeError(f"more than {max_rows} rows: narrow the filters")
+        raise ScopeError(K.SCOPE_NEEDS_PERIOD)
+    if q.end < q.start:
+        raise ScopeError(K.SCOPE_OUT_OF_ORDER)
+    if max_days is not None and (q.end - q.start).days + 1 > max_days:
+        raise ScopeError(K.SCOPE_TOO_LONG)
 
 
 def operational_filter(view: DataFrame, q: OperationQuery) -> DataFrame:
@@ -82,16 +86,17 @@ def _in_scope(view: DataFrame, q: OperationQuery) -> DataFrame:
     return view.where(F.col("date").between(q.start.isoformat(), q.end.isoformat()))
 
 
-def evidence_dataset(tables: Mapping[str, DataFrame], q: OperationQuery) -> tuple[DataFrame, DataFrame]:
-    scope_guard(q)
+def evidence_dataset(tables: Mapping[str, DataFrame], q: OperationQuery, max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of the submissions in scope. A limit on days holds only if the caller sets one."""
+    scope_guard(q, max_days)
     view = _in_scope(_view(tables), q)
     rows = operational_filter(view, q)
     return rows, S.operational_totals(rows, view)
 
 
-def followup_dataset(tables: Mapping[str, DataFrame], q: OperationQuery) -> tuple[DataFrame, DataFrame]:
+def followup_dataset(tables: Mapping[str, DataFrame], q: OperationQuery, max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Case groups of the submissions in scope, with the attributes of the leading one."""
-    scope_guard(q)
+    scope_guard(q, max_days)
     view = _in_scope(_view(tables), q)
     # The view already carries everything a report key needs.
     proofs = view.select(
@@ -107,16 +112,9 @@ def followup_dataset(tables: Mapping[str, DataFrame], q: OperationQuery) -> tupl
     return rows, S.operational_totals(rows, view)
 
 
-def coverage_dataset(
-    tables: Mapping[str, DataFrame], q: OperationQuery, max_cells: int | None = K.MAX_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """The participant calendar. The number of cells is checked before it is built."""
-    scope_guard(q)
+def coverage_dataset(tables: Mapping[str, DataFrame], q: OperationQuery, max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The participant calendar, whatever its size."""
+    scope_guard(q, max_days)
     view = _view(tables)
-    if max_cells is not None:
-        days = (q.end - q.start).days + 1 if q.cadence == "daily" else 1
-        people = V.first_observation(view, q.end)
-        if people.limit(max_cells // days + 1).count() * days > max_cells:
-            raise ScopeError(f"more than {max_cells} expected checks: shorten the period")
     rows = operational_filter(V.coverage(view, tables["ledger"], q.start, q.end, q.cadence), q)
     return rows, S.operational_totals(rows, _in_scope(view, q))

@@ -50,6 +50,12 @@ from submissions s""",
 select i.*, concat(sender_phone, '@c.us') as sender_identity,
  case when user_id%3=1 then concat('99', cast(user_id as string), '@lid') end as sender_external_id
 from intake i""",
+    "contacts": """
+select evidence_id, received_at, application_id, group_id, sync_date, date_is_ambiguous, requires_review, sync_status, processing_status,
+ duplicate_of_id, media_type, raw_text, confidence, sender_identity, sender_name, agent_id,
+ case when evidence_id%10=0 then null when evidence_id%10=5 then '' else sender_phone end as sender_phone,
+ case when evidence_id%10=0 then null else sender_external_id end as sender_external_id
+from proofs""",
     "ledger": """
 select event_id as row_id, concat('app', cast(k%5 as string)) as application_id,
  case when event_id%6=0 then concat('gr', cast(100+user_id%3 as string), '.zone-0')
@@ -104,9 +110,6 @@ select evidence_id as case_evidence_id,
  case when evidence_id%6=0 then evidence_id+1 end as replacement_evidence_id, received_at as created_at,
  concat('motif ', cast(evidence_id%5 as string)) as reason
 from submissions where sync_status<>'SUCCESS'""",
-    "pairs": """
-select case_evidence_id as evidence_id, case_evidence_id + d as replacement_id
-from prior_cases cross join (select 1 as d union all select 2 as d union all select 3 as d) t""",
     "campaigns": """
 select cast(cast(received_at as date) as string) as day, concat(sender_phone, '@c.us') as recipient,
  case when evidence_id%3=0 then 'UNKNOWN' else 'SENT' end as status
@@ -137,7 +140,7 @@ from supplier""",
     "texts": """
 select event_id as evidence_id, case event_id%8 when 0 then 'Synchronisation réussie !'
   when 1 then 'Une erreur est survenue: Failed' when 2 then 'Bouton Synchroniser visible'
-  when 3 then 'Données non synchronisées' when 4 then 'Synchronisation en cours'
+  when 3 then 'Données non synchronisées' when 4 then 'Synchronisation en cours, upload data'
   when 5 then 'completed but then Failed' when 6 then '' else 'FieldCoach upload complete' end as text,
  case when event_id%3=0 then 'start' when event_id%3=1 then 'middle' else 'end' end as position,
  event_id%60 as offset_seconds, user_id as proof_id, k%2=0 as check_visible, cast(k as double)/100 as confidence
@@ -153,7 +156,8 @@ select evidence_id as frame_id, proof_id, position, offset_seconds, 120 as durat
   when evidence_id%10=1 then concat('Jeudi ', cast(1+evidence_id%28 as string), ' juillet 2026') else text end as text
 from texts""",
     "proof_apps": """
-select distinct proof_id, case when proof_id%2=0 then 'fieldcoach' else 'terrain' end as code from texts""",
+select distinct proof_id, case proof_id%9 when 0 then 'fieldcoach' when 1 then 'watercoach' when 2 then 'pfnlcoach' when 3 then 'yebcoach'
+ when 4 then 'financecoach' when 5 then 'agricoach' when 6 then null else 'terrain' end as code from texts""",
     "readings": """
 select conv_id as proof_id, conv_id*1000+turn as reading_id, text, cast((conv_id*7+turn*13)%100 as double)/100 as confidence,
  cast(conv_id%10 as double)/10 as id_confidence, 0.9 as date_confidence, 1.0 as sync_confidence

@@ -254,8 +254,9 @@ from (select f.*, c.status as old, c.replacement_evidence_id as old_rep,
  from flagged f left join prior_cases c on c.case_evidence_id=f.evidence_id left join flagged r on r.evidence_id=c.replacement_evidence_id
  left join next_usable s on s.evidence_id=f.evidence_id where c.case_evidence_id is not null or f.new_reason is not null) z""",
     "recipients": """
-select evidence_id, application_id, group_id, sync_date, sender_name, received_at, coalesce(case when regexp_matches(sender_external_id, '^\\d+@(c\\.us|lid)$')
- then sender_external_id end, concat(sender_phone, '@c.us')) as recipient from proofs""",
+select p.evidence_id, a.name as application, p.group_id, p.sync_date, p.sender_name, p.received_at,
+ case when regexp_matches(p.sender_external_id, '^\\d+@(c\\.us|lid)$') then p.sender_external_id else coalesce(nullif(p.sender_phone, ''), g.phone) || '@c.us' end as recipient
+from contacts p left join agents g on g.agent_id=p.agent_id left join applications a on a.application_id=p.application_id""",
     "norm_ids": IDS_VIEW,
     "import_rows": f"""
 select i.row_number, nullif(i.raw_id,'') as raw_group_id, i.norm as normalized_group_id, nullif(i.raw_date,'') as sync_date_raw,
@@ -284,8 +285,8 @@ select recipient, entries, length(full_body) as body_length, outcome, case when
    recipient in (select recipient from campaigns where day='{day}' union select recipient from attempts where status in ('SENDING','UNKNOWN')
     or (status in ('SENT','MANUALLY_CONFIRMED') and cast(created_at as date)=date '{day}')) as stopped from (
    select r.recipient, row_number() over (partition by r.recipient order by c.case_evidence_id) as rk,
-    concat(coalesce(r.application_id, {_q(K.UNKNOWN_APPLICATION)}), ' / ', coalesce(nullif(r.group_id,''), {_q(K.UNREADABLE_GROUP)}), ' : ', c.reason, '. Réf. ', c.case_evidence_id) as line
-   from open_cases c join recipients r on r.evidence_id=c.case_evidence_id
+    concat(coalesce(r.application, {_q(K.UNKNOWN_APPLICATION)}), ' / ', coalesce(nullif(r.group_id,''), {_q(K.UNREADABLE_GROUP)}), ' : ', c.reason, '. Réf. ', c.case_evidence_id) as line
+   from open_cases c join recipients r on r.evidence_id=c.case_evidence_id and r.recipient is not null
    where c.status<>'RESOLVED' and cast(r.received_at as date)=date '{day}') a group by recipient) b) c"""
 
 
@@ -402,9 +403,10 @@ where f.status='WAITING' and floor(epoch(timestamp '{NOW}' - f.last_sent_at)/864
 select message_id, evidence_id, message_date, channel_id from messages where download_status='FAILED'
 order by message_date desc, message_id, evidence_id limit 100 offset 10""",
     "list_audit": "select * from audit where action='purchase' order by created_at desc, audit_id limit 100",
-    "search_channels": "select channel_id, name from channels where name ilike '%AN%'",
+    "search_channels": "select channel_id, name from channels where name ilike '%tion_1%'",
     "cutoff_filter": f"select evidence_id, message_date < timestamp '{CUTOFF}' as is_late from messages",
-    "scope_guard": "select evidence_id from submissions",
+    "scope_guard": f"""
+select evidence_id, case when evidence_id%3=0 and evidence_id%4=0 then {_q(K.SCOPE_NEEDS_PERIOD)} when evidence_id%120-10 < 0 then {_q(K.SCOPE_OUT_OF_ORDER)} when evidence_id%120-10+1 > 93 then {_q(K.SCOPE_TOO_LONG)} end as problem from submissions""",
     # joins
     "join_extraction": f"""
 select evidence_id, received_at, processing_status, group_id, sync_date, sync_status from submissions where {DONE} and duplicate_of_id is null""",
@@ -433,15 +435,15 @@ select evidence_id, row_id, ledger_date, gap from ({_nearest(f"(select * from su
     "match_guards": f"""
 select p.evidence_id, p.replacement_id, coalesce(b.usable and a.keyed and b.keyed and b.received_at>=a.received_at and a.sender_identity=b.sender_identity
  and a.application_id=b.application_id and a.group_id=b.group_id and a.sync_date=b.sync_date, false) as ok from (
- select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs where group_id is not null
- group by sender_identity, application_id, group_id, sync_date) p
+ select a.evidence_id, b.evidence_id as replacement_id from proofs a join proofs b on a.sender_identity=b.sender_identity
+ and a.group_id=b.group_id and a.sync_date=b.sync_date and a.evidence_id<b.evidence_id) p
  left join flagged a on a.evidence_id=p.evidence_id left join flagged b on b.evidence_id=p.replacement_id""",
     "manual_link_check": """
 select p.evidence_id, p.replacement_id, coalesce(b.usable and a.sender_identity=b.sender_identity and b.received_at>=a.received_at
  and (a.application_id is null or coalesce(a.application_id=b.application_id,false)) and (coalesce(a.group_id,'')='' or coalesce(a.group_id=b.group_id,false))
  and (coalesce(a.sync_date,'')='' or coalesce(a.sync_date=b.sync_date,false)), false) as ok from (
- select min(evidence_id) as evidence_id, max(evidence_id) as replacement_id from proofs
- group by sender_identity, coalesce(group_id,'none'), cast(received_at as date)) p
+ select a.evidence_id, b.evidence_id as replacement_id from proofs a join proofs b on a.sender_identity=b.sender_identity
+ and coalesce(a.group_id, 'none')=coalesce(b.group_id, 'none') and cast(a.received_at as date)=cast(b.received_at as date) and a.evidence_id<b.evidence_id) p
  join flagged a on a.evidence_id=p.evidence_id join flagged b on b.evidence_id=p.replacement_id""",
     "returned_after_reminder": "select case_evidence_id, returned_count from followups where attempt_count>0",
     "coverage": "select * from cover",
@@ -547,18 +549,23 @@ select proof_id, round(avg(confidence), 3) as mean_ocr, max(confidence) as best_
 select concat('mot', s_nationkey) as keyword from supplier where s_acctbal>0 union select concat('cle', s_suppkey%20) from supplier where s_acctbal>0
 union select unnest([{_list(K.SUCCESS_KEYWORDS)}])""",
     "agents_nested": """
-select a.agent_id, a.full_name, coalesce(string_agg(concat(g.application_id, '/', g.group_id), '|' order by g.application_id, g.group_id) filter (g.group_id is not null), '') as assignments
-from agents a left join agent_groups g on g.agent_id=a.agent_id group by 1,2""",
+select a.agent_id, a.full_name, g.application_id, g.group_id from agents a left join agent_groups g on g.agent_id=a.agent_id""",
     "case_groups": """
 select l.case_evidence_id, s.case_count, d.group_key is not null as resolved, d.replacement_evidence_id from case_lead l
 join case_size s on s.group_key=l.group_key left join case_done d on d.group_key=l.group_key""",
     # windows
     "dup_claims": """
-select evidence_id, row_number() over (partition by application_id, group_id, sync_date order by received_at, evidence_id)>1 as is_repeat from r_claims""",
+select evidence_id, open and row_number() over (partition by open, application_id, group_id, sync_date order by received_at, evidence_id)>1 as is_repeat
+from (select *, coalesce(group_id,'')<>'' and coalesce(sync_date,'')<>'' and coalesce(sync_status='SUCCESS',false) and not coalesce(requires_review,true)
+  and not coalesce(date_is_ambiguous,true) and application_id is not null and processing_status='COMPLETED' as open from r_claims) c""",
     "dup_ledger": "select row_id, count(*) over (partition by group_id, sync_date) as n from ledger",
     "import_dups": "select row_number, normalized_group_id, is_duplicate from import_rows",
     "content_dedup": """
-select doc_id, sha256(text) as sha256, nullif(min(doc_id) over (partition by sha256(text)), doc_id) as duplicate_of_id from documents""",
+select doc_id, h as sha256, case when h is not null then nullif(min(doc_id) over (partition by h), doc_id) end as duplicate_of_id
+from (select doc_id, case when doc_id%11<>0 then sha256(text) end as h from documents) d""",
+    "recipient_of_agent": "select evidence_id, recipient from recipients",
+    "import_errors": "select row_number, raw_group_id, validation_errors from import_rows where validation_errors<>''",
+    "complete_usable": f"select evidence_id, case when {USABLE} then 'COMPLETED' else processing_status end as processing_status from proofs",
     "latest_run": "select job_id as run_id, finished_at from jobs where status='COMPLETED' order by finished_at desc, job_id desc limit 1",
     "best_status": f"""
 select user_id, status, evidence_id, best_date, submission_count from (select *, count(*) over (partition by user_id) as submission_count,
@@ -632,24 +639,28 @@ select evidence_id, coalesce(case when regexp_matches(sender_external_id, '^\\d+
     "week_start": "select event_id, cast(cast(date_trunc('week', ts) as date) as varchar) as week from events",
     "month_key": "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month from orders",
     "suggested_message": f"""
-select evidence_id, concat('Bonjour ', coalesce(sender_name,''), ', votre rapport (', coalesce(application_id,'Application à préciser'), ' / ',
+select evidence_id, concat('Bonjour ', coalesce(sender_name,''), ', votre rapport (', coalesce(a.name,'Application à préciser'), ' / ',
  coalesce(group_id,'Groupe à préciser'), ' / ', coalesce(sync_date,'Date à préciser'), ') est à refaire. Motif : ', sync_status, '. ',
- {_q(K.RECORDING_INSTRUCTIONS)}, ' Renvoyez la correction dans le groupe WhatsApp d''origine. ', {_q(K.PRIVATE_CHAT_NOTICE)}, ' Référence de suivi : ', evidence_id, '.') as body from intake""",
+ {_q(K.RECORDING_INSTRUCTIONS)}, ' Renvoyez la correction dans le groupe WhatsApp d''origine. ', {_q(K.PRIVATE_CHAT_NOTICE)}, ' Référence de suivi : ', evidence_id, '.') as body from intake i left join applications a on a.application_id=i.application_id""",
     "append_history": "select evidence_id, case when evidence_id%2=0 then 2 else 1 end as entries from submissions",
     "validation_errors": "select row_number, validation_errors='' as is_valid, validation_errors from import_rows",
     "notification_panel": f"select frame_id, {PANEL} as is_panel from frame_read",
     # pipelines
     "import_ledger": "select *, validation_errors='' as is_valid from import_rows",
     "frame_state": f"""
-select p.proof_id, coalesce(s.status,'UNCONFIRMED') as sync_status, s.matched as evidence_text, coalesce(s.confidence,0.0) as confidence
-from (select distinct proof_id from frames) p left join (
- select proof_id, arg_max(status, o) as status, arg_max(matched, o) as matched, arg_max(confidence, o) as confidence from (
-  select f.proof_id, struct_pack(t := at_time, i := frame_id) as o, case when f.status='FAILED' then 'FAILED' when a.code like '%coach' then 'SUCCESS' else f.status end as status,
-   case when f.status<>'FAILED' and a.code like '%coach' then 'coche visible' else f.matched end as matched,
-   case when f.status<>'FAILED' and a.code like '%coach' then 0.95 when f.status='UNCONFIRMED' then 0.0 else 1.0 end as confidence
-  from frame_read f left join proof_apps a on a.proof_id=f.proof_id
-  where not {PANEL} and (f.status='FAILED' or (a.code like '%coach' and f.check_visible) or (a.code not like '%coach' and f.matched is not null))) e group by 1) s
- on s.proof_id=p.proof_id""",
+select proof_id, last.status as sync_status, last.matched as evidence_text, last.confidence from (
+ select proof_id, list_reduce(list_prepend(struct_pack(status := 'UNCONFIRMED', matched := cast(null as varchar), confidence := 0.0::double, kind := 'N'),
+  list(struct_pack(status := status, matched := matched, confidence := confidence, kind := kind) order by at_time, frame_id)),
+  lambda a, x: case when x.kind in ('F','C','W') or (x.kind in ('G','U') and a.status<>'SUCCESS') then x else a end) as last from (
+  select proof_id, frame_id, at_time, kind, case kind when 'C' then 'SUCCESS' when 'U' then 'UNCONFIRMED' else status end as status,
+   case when kind='C' then {_q(K.TEXT_CHECK_VISIBLE)} when kind='U' and code='pfnlcoach' then {_q(K.TEXT_LABEL_UNCONFIRMED)} else matched end as matched,
+   case when kind='C' then 0.95 when kind='U' or status='UNCONFIRMED' then 0.0 else 1.0 end as confidence from (
+   select f.*, a.code, case when position not in ('start','middle','end') or {PANEL} then 'N' when status='FAILED' then 'F'
+    when coalesce(a.code, '') not like '%coach' then case when matched is not null then 'W' else 'N' end
+    when check_visible then 'C' when a.code in ('watercoach','yebcoach','financecoach') then 'N'
+    when a.code='pfnlcoach' then case when regexp_matches(regexp_replace(f, '[^a-z]', '', 'g'), 'uploaddata|telechargerlesdonnees') then 'U' else 'N' end
+    when matched is null then 'N' when status='SUCCESS' then case when a.code='agricoach' then 'N' else 'G' end else 'U' end as kind
+   from frame_read f left join proof_apps a on a.proof_id=f.proof_id) k) e group by 1) z""",
     "apply_reviews": """
 select s.evidence_id, coalesce(g.v, s.group_id) as group_id, coalesce(d.v, s.sync_date) as sync_date, case when d.v is not null then false else s.date_is_ambiguous end as date_is_ambiguous,
  case when o.validated or o.completed then false else s.requires_review end as requires_review, case when o.validated then 'SUCCESS' else s.sync_status end as sync_status,
@@ -675,7 +686,7 @@ from vfollowups f join vw v on v.evidence_id=f.case_evidence_id""",
 select sender_identity, application, "group", date, status from cover where status='MISSING' and lower(agent) like '%supplier%'""",
     "rebuild_cases": "select * from rebuilt",
     "reminder_candidates": f"""
-select case_evidence_id, case when outcome='closed' then r.recipient else r.recipient end as recipient, outcome from (
+select case_evidence_id, r.recipient, case when outcome<>'closed' and r.recipient is null then 'no_recipient' else outcome end as outcome from (
  select coalesce(k.group_key, concat('unknown ', a.case_evidence_id)) as lead, min(a.case_evidence_id) as case_evidence_id,
   max(case when k.group_key is null then 'closed' when b.group_key is not null then 'blocked' else 'ready' end) as outcome
  from (select case_evidence_id from open_cases) a left join (select * from keyed_cases where status<>'RESOLVED') k on k.case_evidence_id=a.case_evidence_id
@@ -683,13 +694,13 @@ select case_evidence_id, case when outcome='closed' then r.recipient else r.reci
   where t.status in ('SENDING','UNKNOWN') or t.created_at > timestamp '{NOW}' - interval 60 second) b on b.group_key=k.group_key group by 1) q
  join recipients r on r.evidence_id=q.case_evidence_id""",
     "prepare_drafts": f"""
-select l.case_evidence_id, r.recipient, concat('Bonjour ', coalesce(r.sender_name,''), ', votre rapport (', coalesce(r.application_id,'Application à préciser'), ' / ',
+select l.case_evidence_id, r.recipient, concat('Bonjour ', coalesce(r.sender_name,''), ', votre rapport (', coalesce(r.application,'Application à préciser'), ' / ',
  coalesce(r.group_id,'Groupe à préciser'), ' / ', coalesce(r.sync_date,'Date à préciser'), ') est à refaire. Motif : ', l.reason, '. ', {_q(K.RECORDING_INSTRUCTIONS)},
  ' Renvoyez la correction dans le groupe WhatsApp d''origine. ', {_q(K.PRIVATE_CHAT_NOTICE)}, ' Référence de suivi : ', l.case_evidence_id, '.') as body
 from case_lead l join recipients r on r.evidence_id=l.case_evidence_id where l.group_key not in (select group_key from case_done)
  and l.group_key not in (select y.group_key from attempts t join keyed_cases y on y.case_evidence_id=t.case_evidence_id
   where t.status in ('SENDING','UNKNOWN') or t.created_at > timestamp '{NOW}' - interval 60 second)
-order by l.received_at, l.case_evidence_id limit 50""",
+and r.recipient is not null""",
     # streaming (batch twins)
     "stream_dedup": "select distinct message_id from messages",
     "stream_route": f"""

@@ -125,17 +125,34 @@ def test_groups_share_a_report_and_returns_need_the_first_reminder(spark, submis
     assert rows[5]["status"] == "OPEN"
 
 
+def agents(spark):
+    return spark.createDataFrame([(7, "70000009"), (8, "none")], "agent_id bigint, phone string")
+
+
+def applications(spark):
+    return spark.createDataFrame([("a", "Suivi A")], "application_id string, name string")
+
+
+def test_agent_phone_stands_in_for_a_missing_one(spark, submissions):
+    subs = submissions(
+        dict(sender_phone=None, agent_id=7), dict(sender_phone="", agent_id=7), dict(sender_phone="x", agent_id=7),
+        dict(sender_phone=None, agent_id=8), dict(sender_phone=None), dict(sender_phone=None, agent_id=7, sender_external_id="99@lid"),
+    )
+    got = {r["evidence_id"]: r["recipient"] for r in C.with_recipient(subs, agents(spark)).collect()}
+    assert got == {1: "70000009@c.us", 2: "70000009@c.us", 3: None, 4: None, 5: None, 6: "99@lid"}
+
+
 def test_reminder_candidates_and_drafts(spark, submissions):
     subs = submissions(dict(**BAD), dict(**BAD), dict(group_id="gr2.b", **BAD), dict(group_id="gr3.c", sender_phone="x", **BAD),
                        dict(group_id="gr4.d", **BAD))
     cases = cases_for(spark, 1, 2, 3, 4).unionByName(cases_for(spark, 5, status="RESOLVED"))
     sent = attempts(spark, (3, at(10), "UNKNOWN"))
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 99)], "case_evidence_id bigint")
-    out = by_id(reminders.reminder_candidates(ids, cases, subs, sent, NOW))
+    out = by_id(reminders.reminder_candidates(ids, cases, subs, sent, agents(spark), NOW))
     assert {k: r["outcome"] for k, r in out.items()} == {
         1: "ready", 3: "blocked", 4: "no_recipient", 5: "closed", 99: "closed"
     }
-    drafts = reminders.prepare_drafts(cases, subs, sent, NOW).collect()
+    drafts = reminders.prepare_drafts(cases, subs, sent, agents(spark), applications(spark), NOW).collect()
     assert [r["case_evidence_id"] for r in drafts] == [1] and "Référence de suivi : 1." in drafts[0]["body"]
 
 
@@ -145,13 +162,13 @@ def test_digest_one_message_per_recipient_and_uncertain_is_never_retried(spark,
     cases = cases_for(spark, 1, 2, 3, 4)
     campaigns = spark.createDataFrame([], "day string, recipient string, status string")
     sent = spark.createDataFrame([(1, 3, "70000002@c.us", at(8, day=1), "b", "UNKNOWN", None)], ATTEMPT)
-    rows = {r["recipient"]: r for r in reminders.reminder_digest(cases, subs, sent, campaigns, "2026-07-30").collect()}
+    rows = {r["recipient"]: r for r in reminders.reminder_digest(cases, subs, sent, campaigns, agents(spark), applications(spark), "2026-07-30").collect()}
     assert rows["70000001@c.us"]["outcome"] == "prepared" and rows["70000001@c.us"]["entries"] == 2
     body = rows["70000001@c.us"]["body"]
-    assert "1. a / gr1.a : motif. Réf. 1\n2. a / gr2.b" in body
+    assert "1. Suivi A / gr1.a : motif. Réf. 1\n2. Suivi A / gr2.b" in body
     assert len(body) == rows["70000001@c.us"]["body_length"]
     assert rows["70000002@c.us"]["outcome"] == "skipped_sent_or_uncertain"
-    early = reminders.daily_digest(cases, subs, sent, campaigns, dt.datetime(2026, 7, 30, 21, 59))
+    early = reminders.daily_digest(cases, subs, sent, campaigns, agents(spark), applications(spark), dt.datetime(2026, 7, 30, 21, 59))
     assert early.count() == 0
 
 
@@ -159,11 +176,11 @@ def test_digest_too_long_is_skipped_whole(spark, submissions):
     subs = submissions(*[dict(group_id=f"gr{i}.x", **BAD) for i in range(120)])
     campaigns = spark.createDataFrame([], "day string, recipient string, status string")
     row = reminders.reminder_digest(
-        cases_for(spark, *range(1, 121)), subs, attempts(spark), campaigns, "2026-07-30"
+        cases_for(spark, *range(1, 121)), subs, attempts(spark), campaigns, agents(spark), applications(spark), "2026-07-30"
     ).first()
     assert (row["outcome"], row["body"], row["entries"]) == ("skipped_too_long", None, 120)
     full = reminders.reminder_digest(
-        cases_for(spark, *range(1, 121)), subs, attempts(spark), campaigns, "2026-07-30", max_chars=10**6
+        cases_for(spark, *range(1, 121)), subs, attempts(spark), campaigns, agents(spark), applications(spark), "2026-07-30", max_chars=10**6
     ).first()
     assert len(full["body"]) == full["body_length"] == row["body_length"]
 

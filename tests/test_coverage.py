@@ -75,15 +75,14 @@ def test_scope_guard_raises_and_never_cuts(spark, submissions, tables):
     with pytest.raises(datasets.ScopeError):
         datasets.scope_guard(datasets.OperationQuery("evidence", day, day - dt.timedelta(days=1)))
     with pytest.raises(datasets.ScopeError):
-        datasets.scope_guard(datasets.OperationQuery("evidence", day, day + dt.timedelta(days=93)))
-    datasets.scope_guard(datasets.OperationQuery("evidence", day, day + dt.timedelta(days=92)))
+        datasets.scope_guard(datasets.OperationQuery("evidence", day, day + dt.timedelta(days=93)), max_days=93)
+    datasets.scope_guard(datasets.OperationQuery("evidence", day, day + dt.timedelta(days=92)), max_days=93)
+    datasets.scope_guard(datasets.OperationQuery("evidence", day, day + dt.timedelta(days=9999)))
     with pytest.raises(datasets.ScopeError):
         datasets.scope_guard(datasets.OperationQuery("coverage", day, day, scope="all"))
-    with pytest.raises(datasets.ScopeError):
-        datasets.scope_guard(datasets.OperationQuery("evidence", day, day), spark.range(4), max_rows=3)
     t = tables(submissions(dict()))
-    with pytest.raises(datasets.ScopeError):
-        datasets.coverage_dataset(t, datasets.OperationQuery("coverage", day, day + dt.timedelta(days=5)), max_cells=3)
+    rows, _ = datasets.coverage_dataset(t, datasets.OperationQuery("coverage", day, day + dt.timedelta(days=199)))
+    assert rows.count() == 200
 
 
 def test_status_aliases_and_totals(spark, submissions, tables):
@@ -148,9 +147,9 @@ def test_overview_without_rows_and_share_rounding(spark, submissions):
     assert {r["status"]: r["percent"] for r in stats.status_share(three).collect()} == {"x": 66.7, "y": 33.3}
 
 
-def test_nested_agents_are_dealt_into_whole_chunks(spark):
+def test_agents_have_a_row_for_each_assignment(spark):
     agents = spark.createDataFrame([(1, "A"), (2, "B")], "agent_id bigint, full_name string")
     links = spark.createDataFrame([(1, "a", f"g{i}") for i in range(25)], "agent_id bigint, application_id string, group_id string")
-    rows = stats.agents_nested(agents, links, chunk_rows=10).collect()
-    assert len([r for r in rows if r["agent_id"] == 1]) == 3
-    assert sorted(a["group_id"] for r in rows for a in r["assignments"]) == sorted(f"g{i}" for i in range(25))
+    rows = stats.agents_nested(agents, links.unionByName(links)).collect()
+    assert sorted(r["group_id"] for r in rows if r["agent_id"] == 1) == sorted(f"g{i}" for i in range(25))
+    assert [r["group_id"] for r in rows if r["agent_id"] == 2] == [None]

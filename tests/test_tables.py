@@ -215,7 +215,17 @@ def test_last_explicit_state_wins(spark):
 
 
 def test_visible_check_rule(spark):
-    assert fold(spark, "fieldcoach", ("start", 1, "completed", False))["sync_status"] == "UNCONFIRMED"
+    assert fold(spark, "fieldcoach", ("start", 1, "completed", False))["sync_status"] == "SUCCESS"
+    later = fold(spark, "fieldcoach", ("start", 1, "completed", False), ("middle", 5, "upload complete", False), ("end", 1, "en cours", False))
+    assert (later["sync_status"], later["evidence_text"]) == ("SUCCESS", "completed")  # the first words of success stand
+    assert fold(spark, "fieldcoach", ("start", 1, "completed", False), ("middle", 5, "Failed", False), ("end", 1, "en cours", False))["sync_status"] == "UNCONFIRMED"
+    for code in ("watercoach", "yebcoach", "financecoach", "pfnlcoach", "agricoach"):
+        assert fold(spark, code, ("start", 1, "completed", False))["sync_status"] == "UNCONFIRMED"
+        assert fold(spark, code, ("start", 1, "completed", False))["evidence_text"] is None
+        assert fold(spark, code, ("start", 1, "Failed", False), ("end", 9, "completed", False))["sync_status"] == "FAILED"
+    assert fold(spark, "pfnlcoach", ("start", 1, "Failed", False), ("end", 9, "Upload Data", False))["sync_status"] == "UNCONFIRMED"
+    assert fold(spark, "agricoach", ("start", 1, "Failed", False), ("end", 9, "en cours", False))["sync_status"] == "UNCONFIRMED"
+    assert fold(spark, "watercoach", ("start", 1, "Failed", False), ("end", 9, "en cours", False))["sync_status"] == "FAILED"
     assert fold(spark, "fieldcoach", ("start", 1, "", True), ("end", 1, "en cours", False))["sync_status"] == "SUCCESS"
     assert fold(spark, "fieldcoach", ("start", 1, "", True), ("end", 1, "Failed", True))["sync_status"] == "FAILED"
     assert fold(spark, "fieldcoach", ("start", 1, "Failed", False), ("end", 1, "", True))["sync_status"] == "SUCCESS"
