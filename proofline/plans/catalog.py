@@ -917,6 +917,14 @@ def _message_stream(t: Tables) -> DataFrame:
     return t.spark.sql(_STREAM_MESSAGES, stream=stream)
 
 
+def _in_parts(t: Tables, rows: DataFrame, root: str, parts: int = 4) -> DataFrame:
+    """A stream of the rows in as many micro-batches, dealt by hash and so out of their order in time."""
+    rows.withColumn("part", F.pmod(F.xxhash64(F.col(rows.columns[0])), F.lit(parts))).repartition("part").sortWithinPartitions(
+        "part").write.partitionBy("part").parquet(f"{root}/incoming")
+    schema = t.spark.read.parquet(f"{root}/incoming").schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/incoming").drop("part")
+
+
 def _run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     root = scratch(t.spark, label)
     feed.run_available(stream, f"{root}/checkpoint", f"{root}/rows")
@@ -925,8 +933,9 @@ def _run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
 
 @query
 def q_stream_dedup(t: Tables) -> DataFrame:
-    return _run_to_table(t, feed.stream_dedup(_message_stream(t)), "dedup").select("message_id", "channel_id")\
-        .select("message_id")
+    root = scratch(t.spark, "dedup-in")
+    parts = _in_parts(t, t["messages"].select("evidence_id", "message_id", "message_date"), root)
+    return _run_to_table(t, feed.stream_dedup(parts), "dedup").select("message_id")
 
 
 @query
@@ -956,9 +965,7 @@ def q_stream_content_dedup(t: Tables) -> DataFrame:
 @query
 def q_stream_case_state(t: Tables) -> DataFrame:
     root = scratch(t.spark, "cases")
-    parts = f"{root}/incoming"
-    t["proofs"].write.parquet(parts)
-    stream = readers.read_messages(t.spark, parts, streaming=True)
+    stream = _in_parts(t, t["proofs"], root, parts=2)
     feed.run_available(stream, f"{root}/checkpoint", feed.case_state_sink(root, t["prior_cases"], NOW))
     return feed.latest_rows(feed.read_batches(t.spark, f"{root}/cases"), ["case_evidence_id"]).select(
         "case_evidence_id", "status", "replacement_evidence_id", "reason"
@@ -975,13 +982,8 @@ def q_gateway_transitions(t: Tables) -> DataFrame:
 @query
 def q_stream_gateway(t: Tables) -> DataFrame:
     root = scratch(t.spark, "gateway")
-    events = readers.read_messages(t.spark, t.sf_dir, streaming=True, pattern="events.parquet")
-    states = t.spark.sql("""
-select event_id, ts as at_time, user_id as gateway_id, case event_type when 'error' then 'ERROR' when 'view' then 'CONNECTED'
- when 'click' then 'CONNECTED' when 'purchase' then null else 'RECONNECTING' end as connection_state from {events}""",
-                         events=events)
-    feed.run_available(states, f"{root}/checkpoint", feed.gateway_sink(root))
-    return feed.read_batches(t.spark, f"{root}/changes").select(
+    feed.run_available(_in_parts(t, t["gateway"], root), f"{root}/checkpoint", feed.gateway_sink(root))
+    return feed.gateway_changes(t.spark, root).select(
         "event_id", "gateway_id", "connection_state", "previous_state"
     )
 
@@ -995,7 +997,8 @@ def q_incremental_files(t: Tables) -> DataFrame:
 @query
 def q_tumbling_counts(t: Tables) -> DataFrame:
     root = scratch(t.spark, "counts")
-    counts = feed.tumbling_counts(_message_stream(t))
+    parts = _in_parts(t, t["messages"].select("evidence_id", "message_date", "channel_id", "download_status"), root)
+    counts = feed.tumbling_counts(parts)
     feed.run_available(counts, f"{root}/checkpoint", feed.upsert_sink(f"{root}/rows"), "update")
     return feed.latest_rows(feed.read_batches(t.spark, f"{root}/rows"), ["day", "channel_id"])
 

@@ -9,9 +9,9 @@ own batch id, so that a repeated batch overwrites itself.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,16 +47,23 @@ def read_batches(spark: SparkSession, root: str, before: int | None = None) -> D
     return rows if before is None else rows.where(F.col("batch") < before)
 
 
-def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the row of its newest batch."""
+def latest_rows(rows: DataFrame, keys: list[str], version: Sequence[str] = ()) -> DataFrame:
+    """For each key the row of its newest batch; within a batch the one with the largest `version` columns.
+
+    Versions that tie are told apart by the row's values, so the outcome never depends on the order of arrival.
+    """
     values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("v")
+    newest = F.max_by(F.struct(*values), F.struct("batch", *version, *values)).alias("v")
     return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
-def stream_dedup(messages: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Each message id once, for repeats within the watermark."""
-    return messages.withWatermark("message_date", watermark).dropDuplicatesWithinWatermark(["message_id"])
+def stream_dedup(messages: DataFrame) -> DataFrame:
+    """Each message id once, however late a message or its repeat comes: late messages stay, an id is never taken twice.
+
+    On a stream the ids live in the state store, looked up by key in each micro-batch (use the RocksDB store for large
+    feeds). No watermark bounds the state, since forgetting an id would process it again.
+    """
+    return messages.dropDuplicates(["message_id"])
 
 
 def stream_late(messages: DataFrame, cutoff: dt.datetime | str) -> DataFrame:
@@ -129,11 +136,15 @@ def content_dedup_sink(root: str) -> Callable[[DataFrame, int], None]:
     return process
 
 
-def case_state_sink(root: str, cases: DataFrame, now: dt.datetime | str) -> Callable[[DataFrame, int], None]:
+def case_state_sink(
+    root: str, cases: DataFrame, now: dt.datetime | str, version: Sequence[str] = ()
+) -> Callable[[DataFrame, int], None]:
     """Batch function: upkeep of cases, right for proofs that finish out of order.
 
     Only reports a batch touches are rebuilt: their submissions so far, latest
-    version each, and their cases. Writes `<root>/submissions` and `<root>/cases`.
+    version each, and their cases. `version` names the columns that tell two
+    versions of a submission in one batch apart (a time of change). Writes
+    `<root>/submissions` and `<root>/cases`.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -141,10 +152,7 @@ def case_state_sink(root: str, cases: DataFrame, now: dt.datetime | str) -> Call
         batch.write.mode("overwrite").parquet(batch_folder(f"{root}/submissions", batch_id))
         everything = read_batches(spark, f"{root}/submissions", batch_id + 1)
         own = batch.select("evidence_id").distinct()
-        touched = batch.select(*KEY).dropna().distinct()
-        current = latest_rows(everything, ["evidence_id"])
-        # Siblings by report key, plus the batch's own rows whose key is not complete.
-        related = current.join(touched, KEY, "left_semi").select("evidence_id").union(own).distinct()
+        current = latest_rows(everything, ["evidence_id"], version)
         past = read_batches(spark, f"{root}/cases", batch_id)
         prior = cases
         if past is not None:
@@ -156,7 +164,10 @@ def case_state_sink(root: str, cases: DataFrame, now: dt.datetime | str) -> Call
         hit = prior.join(
             own.select(F.col("evidence_id").alias("replacement_evidence_id")), "replacement_evidence_id", "left_semi"
         ).select(F.col("case_evidence_id").alias("evidence_id"))
-        wanted = related.union(hit).distinct()
+        seeds = own.union(hit).distinct()
+        # Siblings by report key, plus rows whose key is not complete.
+        touched = current.join(seeds, "evidence_id", "left_semi").select(*KEY).dropna().distinct()
+        wanted = current.join(touched, KEY, "left_semi").select("evidence_id").union(seeds).distinct()
         subset = current.join(wanted, "evidence_id", "left_semi")
         prior = prior.join(
             wanted.select(F.col("evidence_id").alias("case_evidence_id")), "case_evidence_id", "left_semi"
@@ -180,29 +191,60 @@ def gateway_transitions(events: DataFrame, key: str = "gateway_id", slot: str =
 
 
 def gateway_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """Batch function: state changes across batches, and the last state of each gateway."""
+    """Batch function: state changes of gateways across batches, right also for heartbeats that come late or without state.
+
+    Heartbeats are kept by day. A batch touches some days of some gateways; these days are worked out anew, and the
+    next day of each, whose first change may now be another. They begin with the last known state of the nearest
+    earlier day. So a batch reads the days it touches and a table with one row per gateway and day. Writes
+    `<root>/changes` and `<root>/done`; `gateway_changes` reads what holds.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        past = read_batches(spark, f"{root}/last", batch_id)
-        line = batch.withColumn("__old", F.lit(False))
-        if past is not None:
-            carried = latest_rows(past, ["gateway_id"]).withColumn("__old", F.lit(True))
-            line = line.unionByName(carried, allowMissingColumns=True)
-        gateway_transitions(line).where("NOT __old").drop("__old").write.mode("overwrite").parquet(
-            batch_folder(f"{root}/changes", batch_id)
+        values = ["event_id", "gateway_id", "at_time", "connection_state"]
+        own = batch.select(*values).withColumn("day", F.to_date("at_time"))
+        own.write.mode("overwrite").partitionBy("day").parquet(batch_folder(f"{root}/beats", batch_id))
+        beats = read_batches(spark, f"{root}/beats", batch_id + 1)
+        ends = own.where("connection_state IS NOT NULL").groupBy("gateway_id", "day").agg(
+            F.max(F.struct("at_time", "event_id", "connection_state")).alias("end")
+        )
+        ends.write.mode("overwrite").parquet(batch_folder(f"{root}/ends", batch_id))
+        touched = spark.read.parquet(batch_folder(f"{root}/ends", batch_id)).select("gateway_id", "day")
+        # batches of one day are folded by the largest end
+        every = read_batches(spark, f"{root}/ends", batch_id + 1).join(touched.select("gateway_id").distinct(), "gateway_id", "left_semi")
+        line = Window.partitionBy("gateway_id").orderBy("day")
+        days = every.groupBy("gateway_id", "day").agg(F.max("end").alias("end")).withColumns({
+            "before": F.lag("end.connection_state").over(line), "next_day": F.lead("day").over(line),
+        })
+        anew = days.join(touched, ["gateway_id", "day"], "left_semi")
+        again = anew.select("gateway_id", "day").unionByName(
+            anew.where("next_day IS NOT NULL").select("gateway_id", F.col("next_day").alias("day"))
+        ).distinct()
+        carried = days.join(again, ["gateway_id", "day"], "left_semi").select("gateway_id", "day", "before")
+        rows = beats.where("connection_state IS NOT NULL").select(*values, "day").join(carried, ["gateway_id", "day"])
+        inside = Window.partitionBy("gateway_id", "day").orderBy("at_time", "event_id")
+        previous = F.coalesce(F.lag("connection_state").over(inside), "before")
+        changed = rows.withColumn("previous_state", previous).where(
+            "previous_state IS NULL OR previous_state <> connection_state"
         )
-        values = ["at_time", "event_id", "connection_state"]
-        line.groupBy("gateway_id").agg(F.max(F.struct(*values)).alias("v")).select("gateway_id", "v.*").write.mode(
-            "overwrite"
-        ).parquet(batch_folder(f"{root}/last", batch_id))
+        changed.drop("before").write.mode("overwrite").parquet(batch_folder(f"{root}/changes", batch_id))
+        carried.select("gateway_id", "day").write.mode("overwrite").parquet(batch_folder(f"{root}/done", batch_id))
 
     return process
 
 
-def tumbling_counts(messages: DataFrame, width: str = "1 day", watermark: str = "2 days") -> DataFrame:
-    """Messages per channel and window of event time; late rows beyond the watermark are dropped."""
-    rows = messages.withWatermark("message_date", watermark) if messages.isStreaming else messages
+def gateway_changes(spark: SparkSession, root: str) -> DataFrame:
+    """The state changes that hold after all batches: of each gateway and day those of the last batch that worked it out."""
+    done = read_batches(spark, f"{root}/done").groupBy("gateway_id", "day").agg(F.max("batch").alias("batch"))
+    return read_batches(spark, f"{root}/changes").join(done, ["gateway_id", "day", "batch"], "left_semi").drop("batch", "day")
+
+
+def tumbling_counts(messages: DataFrame, width: str = "1 day", watermark: str | None = None) -> DataFrame:
+    """Messages per channel and window of event time. Every message counts, however late, in update mode.
+
+    A caller who can do without late messages may set a watermark, which bounds the state and drops what is later.
+    """
+    rows = messages.withWatermark("message_date", watermark) if watermark and messages.isStreaming else messages
     fetched = F.col("download_status") == "DOWNLOADED"
     return rows.groupBy(F.window("message_date", width).alias("w"), "channel_id").agg(
         F.count("*").alias("messages"), F.count_if(fetched).alias("downloaded")

@@ -36,7 +36,7 @@ def messages(spark, *rows):
 def test_each_message_once_across_batches(spark, tmp_path):
     rows = messages(spark, *[(f"m{i % 7}", 1, i % 3, i, "DOWNLOADED", "x", 0) for i in range(30)])
     feed_files(rows, str(tmp_path / "in"), 3, "evidence_id")
-    out = feed.stream_dedup(stream(spark, str(tmp_path / "in"), rows.schema), "1 day")
+    out = feed.stream_dedup(stream(spark, str(tmp_path / "in"), rows.schema))
     feed.run_available(out, str(tmp_path / "c"), str(tmp_path / "out"))
     got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("message_id").collect()]
     assert sorted(got) == [f"m{i}" for i in range(7)]
@@ -105,16 +105,47 @@ def test_case_state_is_right_for_any_order_of_arrival(spark, tmp_path, submissio
     assert C.match_guards(pairs, subs).where("NOT ok").count() == 0
 
 
+GATEWAY = "event_id int, gateway_id string, at_time timestamp_ntz, connection_state string"
+
+
+def gateway_run(spark, root, *batches):
+    sink = feed.gateway_sink(root)
+    for number, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, GATEWAY), number)
+    return sorted((r["event_id"], r["previous_state"]) for r in feed.gateway_changes(spark, root).collect())
+
+
 def test_gateway_changes_across_batches(spark, tmp_path):
-    rows = [(i, "g", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), s) for i, s in enumerate("AABBBCAA")]
-    events = spark.createDataFrame(rows, "event_id int, gateway_id string, at_time timestamp_ntz, connection_state string")
-    for number in range(4):
-        events.where(F.floor(F.col("event_id") / 2) == number).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rng = random.Random(3)
+    rows = [(i, rng.choice("gh"), dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(90)), rng.choice(["A", "B", "C", None])) for i in range(80)]
+    events = spark.createDataFrame(rows, GATEWAY)
+    feed_files(events, str(tmp_path / "in"), 4, "event_id")  # out of order in time
     root = str(tmp_path / "state")
     feed.run_available(stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "c"), feed.gateway_sink(root))
-    got = sorted((r["event_id"], r["previous_state"]) for r in feed.read_batches(spark, f"{root}/changes").collect() if r["event_id"])
-    twin = sorted((r["event_id"], r["previous_state"]) for r in feed.gateway_transitions(events).collect() if r["event_id"])
-    assert got == twin == [(2, "A"), (5, "B"), (6, "C")]
+    got = sorted((r["event_id"], r["previous_state"]) for r in feed.gateway_changes(spark, root).collect())
+    assert got == sorted((r["event_id"], r["previous_state"]) for r in feed.gateway_transitions(events).collect())
+
+
+def test_gateway_heartbeats_without_state_and_late_ones(spark, tmp_path):
+    at_minute = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    nothing = gateway_run(spark, str(tmp_path / "a"), [(1, "g", at_minute(1), "A"), (2, "g", at_minute(2), None)],
+                          [(3, "g", at_minute(3), "A"), (4, "g", at_minute(4), "B")])
+    assert nothing == [(1, None), (4, "A")]
+    late = gateway_run(spark, str(tmp_path / "b"), [(1, "g", at_minute(1), "A"), (5, "g", at_minute(5), "B")],
+                       [(3, "g", at_minute(3), "A"), (6, "g", at_minute(6), "B")])
+    assert late == [(1, None), (5, "A")]
+    day = 1440
+    over = gateway_run(spark, str(tmp_path / "c"), [(1, "g", at_minute(1), "A"), (9, "g", at_minute(9 * day), "B")],
+                       [(5, "g", at_minute(5 * day), "B")])
+    assert over == [(1, None), (5, "A")]
+
+
+def test_versions_of_one_batch_are_told_apart(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, 5, "PENDING"), (1, 0, 6, "COMPLETED"), (2, 0, 9, "NEW"), (2, 1, 1, "OLD")], "id int, batch int, changed int, status string"
+    )
+    for order in (rows, rows.orderBy("status"), rows.orderBy(F.desc("status"))):
+        assert {r["id"]: r["status"] for r in feed.latest_rows(order, ["id"], ["changed"]).collect()} == {1: "COMPLETED", 2: "OLD"}
 
 
 def test_window_counts_update_across_batches(spark, tmp_path):
