@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,17 +30,85 @@ def _segments(length: Column, edits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), edits), piece)
 
 
-def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
-    """Every distinct (id, known) pair with a Levenshtein score of at least `cut`, exactly.
+#: Shortened forms that one text may have: above it, pairs of its length are found by shared pieces.
+FORMS = 10_000
+
+
+def _most_dropped(length: Column) -> Column:
+    """Most letters that may be dropped from a text of this length so that no more than `FORMS` forms come about."""
+    most = [max(d for d in range(n // 2 + 1) if comb(n, d) <= FORMS) for n in range(1, 65)]
+    return F.when(length <= len(most), F.element_at(F.array(*[F.lit(m) for m in most]), length)).otherwise(F.lit(-1))
+
+
+def _common_letters(a: Column, b: Column, cut: float, metric: str) -> Column:
+    """Least length of the longest common subsequence of two texts of these lengths whose score is at least `cut`."""
+    if metric == "indel":
+        return F.ceil((a + b) * (cut / 200.0) - 1e-9).cast("int")
+    longer = F.greatest(a, b)
+    return (longer - _edit_budget(longer, cut)).cast("int")
+
+
+def _forms(text: Column, dropped: Column) -> Column:
+    """Every distinct text that is left when `dropped` letters go."""
+    def one_less(held: Column, _: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(held, lambda t: F.transform(
+            F.sequence(F.lit(1), F.length(t)),
+            lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))),
+        ))))
+
+    return F.when(dropped > 0, F.aggregate(F.sequence(F.lit(1), dropped), F.array(text), one_less)).otherwise(F.array(text))
+
+
+def _by_forms(texts: DataFrame, name: str, cut: float, metric: str) -> DataFrame:
+    """(own, other, form, name): hashes of the forms of each text that a partner of another length can share with it."""
+    share = cut / 100.0
+    own = F.length(name)
+    reach = (2 - share) / share if metric == "indel" else 1 / share
+    partners = F.sequence(F.greatest(F.ceil(own / reach - 1e-9), F.lit(1)).cast("int"), F.floor(own * reach + 1e-9).cast("int"))
+    rows = texts.select(name, own.alias("own"), F.explode(partners).alias("other"))
+    rows = rows.withColumn("kept", _common_letters(F.col("own"), F.col("other"), cut, metric))
+    rows = rows.where("kept <= own AND kept <= other AND kept > 0")
+    few = (F.col("own") - F.col("kept") <= _most_dropped(F.col("own"))) & (F.col("other") - F.col("kept") <= _most_dropped(F.col("other")))
+    return rows.where(few).select(
+        "own", "other", F.explode(_forms(F.col(name), F.col("own") - F.col("kept"))).alias("form"), name
+    ).select("own", "other", F.xxhash64("form").alias("form"), name)
+
+
+def similar_pairs(ids: DataFrame, known: DataFrame, cut: float, metric: str = "levenshtein") -> DataFrame:
+    """Every distinct (id, known) pair with a Levenshtein score of at least `cut`, exactly; with `metric="indel"`, of that score.
+
+    Two texts that are close enough have a common subsequence of a length that
+    follows from their own lengths. So each side drops as many letters as that
+    leaves, in every way, and pairs come from an equality join on what is left:
+    they are about as many as the pairs sought, however many ids there are. Where
+    a text is too long for this (more than `FORMS` forms), pairs of its length
+    come from an equality join on pieces instead, of which close texts share one.
+    """
+    left = ids.select(F.col(ids.columns[0]).alias("id")).where("id IS NOT NULL AND id <> ''").distinct()
+    right = known.select(F.col(known.columns[0]).alias("known")).where("known IS NOT NULL AND known <> ''").distinct()
+    mine = _by_forms(left, "id", cut, metric)
+    theirs = _by_forms(right, "known", cut, metric).select(
+        F.col("other").alias("own"), F.col("own").alias("other"), "form", "known"
+    )
+    met = mine.join(theirs, ["own", "other", "form"]).select("id", "known")
+    # indel >= s implies Levenshtein edits <= (1 - s) * (la + lb), hence the lower bar for pieces
+    bar = cut if metric == "levenshtein" else max(100.0 - 2 * (100.0 - cut), 1.0)
+    met = met.unionByName(_by_pieces(left, right, bar, cut, metric)).distinct()
+    if metric == "indel":
+        scored = met.withColumn("score", indel_ratio(F.col("id"), F.col("known")))
+    else:
+        scored = met.withColumn("score", levenshtein_ratio(F.col("id"), F.col("known")))
+    return scored.where(F.col("score") >= cut - 1e-9)
+
+
+def _by_pieces(left: DataFrame, right: DataFrame, cut: float, asked: float, metric: str) -> DataFrame:
+    """Candidates among pairs with a long text (see `similar_pairs`).
 
     Two texts at most k edits apart share one of k + 1 pieces of either text.
     Piece i (from 0) can be taken where at most i edits lie before it and at most
-    k - i after it, which bounds its shift. So pairs come from an equality join on
-    pieces of equal length, number and letters, and only those are scored.
+    k - i after it, which bounds its shift.
     """
     share = cut / 100.0
-    left = ids.select(F.col(ids.columns[0]).alias("id")).where("id IS NOT NULL AND id <> ''").distinct()
-    right = known.select(F.col(known.columns[0]).alias("known")).where("known IS NOT NULL AND known <> ''").distinct()
 
     # Pieces of a known id, for every edit budget a partner's length can lead to.
     size = F.length("known")
@@ -60,6 +129,10 @@ def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
     mine = F.length("id")
     lengths = F.sequence(F.ceil(mine * share - 1e-9).cast("int"), F.floor(mine / share + 1e-9).cast("int"))
     probes = left.select("id", mine.alias("mine"), F.explode(lengths).alias("size")).where("size > 0")
+    kept = _common_letters(F.col("mine"), F.col("size"), asked, metric)
+    probes = probes.where(
+        (F.col("mine") - kept > _most_dropped(F.col("mine"))) | (F.col("size") - kept > _most_dropped(F.col("size")))
+    )
     probes = probes.withColumn("edits", _edit_budget(F.greatest("mine", "size"), cut))
     probes = probes.select(
         "id", "mine", "size", "edits", F.explode(_segments(F.col("size"), F.col("edits"))).alias("piece")
@@ -80,9 +153,7 @@ def similar_pairs(ids: DataFrame, known: DataFrame, cut: float) -> DataFrame:
         "id", "size", "edits", "i", F.expr("substring(id, place, width)").alias("letters")
     ).distinct()
 
-    met = probes.join(pieces, ["size", "edits", "i", "letters"]).select("id", "known").distinct()
-    scored = met.select("id", "known", levenshtein_ratio(F.col("id"), F.col("known")).alias("score"))
-    return scored.where(F.col("score") >= cut - 1e-9)
+    return probes.join(pieces, ["size", "edits", "i", "letters"]).select("id", "known").distinct()
 
 
 def fuzzy_id_match(
@@ -95,20 +166,11 @@ def fuzzy_id_match(
     for a review. Only ids with some candidate at `threshold` are listed. A
     second score below `threshold - margin` cannot change anything and is null.
 
-    `metric="indel"` re-scores the same candidates by the longest common
-    subsequence; it gathers them at a lower bar, since one substitution costs
-    that metric twice.
+    `metric="indel"` scores by the longest common subsequence.
     """
-    floor = threshold - margin
-    if metric == "levenshtein":
-        pairs = similar_pairs(ids, known, floor)
-    elif metric == "indel":
-        # indel >= s implies Levenshtein edits <= (1 - s) * (la + lb), hence this bar.
-        bar = max(100.0 - 2 * (100.0 - floor), 1.0)
-        pairs = similar_pairs(ids, known, bar).withColumn("score", indel_ratio(F.col("id"), F.col("known")))
-        pairs = pairs.where(F.col("score") >= floor)
-    else:
+    if metric not in ("levenshtein", "indel"):
         raise ValueError("metric is 'levenshtein' or 'indel'")
+    pairs = similar_pairs(ids, known, threshold - margin, metric)
     rank = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("known"))
     top = pairs.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= 2)
     best = top.groupBy("id").agg(

@@ -474,6 +474,14 @@ from attempts a join open_cases c on c.case_evidence_id=a.case_evidence_id join
 where a.created_at>=timestamp '2024-01-15' and a.created_at<timestamp '2024-01-19'""",
     "channel_links": "select c.channel_id, c.name, l.project_id from channels c left join links l on l.channel_id=c.channel_id",
     "channel_conflict": "select channel_id, name from channels where channel_id in (select channel_id from links where project_id<>1)",
+    "fuzzy_id_match_indel": """
+select id, known as best_id, score as best_score, second as second_score, score-coalesce(second, 0)>=2 as accepted,
+ not (score-coalesce(second, 0)>=2) or (known<>id and score<97) as needs_review from (
+ select *, row_number() over (partition by id order by score desc, known) as rk, lead(score) over (partition by id order by score desc, known) as second from (
+  select id, known, 200.0*list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: case when x=y then 1 else 0 end))),
+    lambda held, hit: list_transform(range(1, len(hit)+1), lambda j: list_max(list_transform(range(1, j+1), lambda t: greatest(held[t], case when t>1 then held[t-1] else 0 end + hit[t])))))[-1]
+    / (len(a)+len(b)) as score from (select id, known, string_split(id, '') as a, string_split(known, '') as b from read_ids, known_ids) c) p
+ where score>=80-1e-9) q where rk=1 and score>=82""",
     "fuzzy_id_match": """
 select id, known as best_id, round(score, 4) as best_score, score-coalesce(second, 0)>=5 as accepted from (
  select *, row_number() over (partition by id order by score desc, known) as rk, lead(score) over (partition by id order by score desc, known) as second from (

@@ -59,6 +59,9 @@ def test_similar_pairs_equal_brute_force(spark, cut):
 
     left, right = sorted({word() for _ in range(120)}), sorted({word() for _ in range(120)})
     right += [left[0] + "x", left[1][1:]]
+    long = "".join(rng.choice("abcdefgh") for _ in range(90))  # too long for its forms, found by pieces
+    left.append(long)
+    right += [long[:40] + "Z" + long[41:], long[5:], "".join(rng.sample(long, 90))]
     got = matching.similar_pairs(
         spark.createDataFrame([(w,) for w in left], "id string"), spark.createDataFrame([(w,) for w in right], "k string"), cut
     ).collect()
@@ -69,6 +72,28 @@ def test_similar_pairs_equal_brute_force(spark, cut):
     assert {(r["id"], r["known"]) for r in got} == expected and len(got) == len(expected)
 
 
+def test_indel_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    left = sorted({"".join(rng.choice("ab1.") for _ in range(rng.randint(1, 12))) for _ in range(80)})
+    right = sorted({"".join(rng.choice("ab1.") for _ in range(rng.randint(1, 12))) for _ in range(80)})
+    got = matching.similar_pairs(
+        spark.createDataFrame([(w,) for w in left], "id string"), spark.createDataFrame([(w,) for w in right], "k string"), 75, "indel"
+    ).collect()
+    assert {(r["id"], r["known"]) for r in got} == {(a, b) for a in left for b in right if ratio(a, b) >= 75 - 1e-9}
+
+
+def test_candidates_of_an_id_do_not_grow_with_the_ids(spark):
+    def met(n):
+        ids = spark.range(n).select(F.concat(F.lit("gr"), F.md5(F.col("id").cast("string")).substr(1, 10), F.lit(".zone-n")).alias("id"))
+        other = spark.range(n).select(F.concat(F.lit("gr"), F.md5((F.col("id") + 10**9).cast("string")).substr(1, 10), F.lit(".zone-n")).alias("id"))
+        mine, theirs = (matching._by_forms(x, "id", 88, "levenshtein") for x in (ids, other.unionByName(ids.limit(n // 10))))
+        return mine.withColumnRenamed("id", "a").join(theirs.select(F.col("other").alias("own"), F.col("own").alias("other"), "form", "id"),
+                                                      ["own", "other", "form"]).select("a", "id").distinct().count() / n
+
+    small, large = met(1000), met(8000)
+    assert small < 0.3 and large < 0.3  # a pair for each planted copy, and few others
+
+
 def test_indel_candidates_equal_brute_force(spark):
     rng = random.Random(1)
     left = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(6, 9))) for _ in range(40)})
