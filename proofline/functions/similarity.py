@@ -20,27 +20,31 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _WORD = 63  # letters of a keyword that fit one machine word with a carry bit
-_CODES = 0x3000  # code points told apart; keywords beyond take the slow way
 
 
-def _letter_bits(keyword: str) -> np.ndarray:
-    """For each code point, the places of the keyword it stands at."""
-    bits = np.zeros(_CODES, dtype=np.uint64)
+def _letter_bits(keyword: str, codes: np.ndarray) -> np.ndarray:
+    """For each of the code points, the places of the keyword it stands at; none for letters the keyword lacks."""
+    places: dict[int, int] = {}
     for place, letter in enumerate(keyword):
-        bits[min(ord(letter), _CODES - 1)] |= np.uint64(1 << place)
-    return bits
+        places[ord(letter)] = places.get(ord(letter), 0) | 1 << place
+    letters = np.array(sorted(places), dtype=np.int64)
+    bits = np.array([places[c] for c in letters.tolist()], dtype=np.uint64)
+    at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    return np.where(letters[at] == codes, bits[at], np.uint64(0))
 
 
 def _lcs_many(keyword: str, windows: np.ndarray) -> np.ndarray:
     """LCS length of `keyword` with each row of code points (0 = padding)."""
-    if len(keyword) > _WORD or any(ord(c) >= _CODES - 1 for c in keyword):
+    if not keyword:
+        return np.zeros(len(windows), dtype=np.int64)
+    if len(keyword) > _WORD:
         return np.array([_lcs_long(keyword, row) for row in windows], dtype=np.int64)
     rows, width = windows.shape
-    bits = _letter_bits(keyword)
+    bits = _letter_bits(keyword, windows)
     full = np.uint64((1 << len(keyword)) - 1)
     state = np.full(rows, full, dtype=np.uint64)
     for column in range(width):
-        hit = state & bits[np.minimum(windows[:, column], _CODES - 1)]
+        hit = state & bits[:, column]
         state = ((state + hit) | (state - hit)) & full
     unset = (~state) & full
     return np.bitwise_count(unset).astype(np.int64)
@@ -80,8 +84,7 @@ class WordTable:
         words = [t.split() for t in texts]
         flat = [w for part in words for w in part]
         self.texts = len(texts)
-        self.codes = np.frombuffer(" ".join(flat).encode("utf-32-le"), dtype=np.uint32)
-        self.codes = np.minimum(self.codes, _CODES - 1).astype(np.int32)
+        self.codes = np.frombuffer(" ".join(flat).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         sizes = np.array([len(w) for w in flat], dtype=np.int64)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
@@ -123,7 +126,7 @@ def _lcs_runs(keyword: str, codes: np.ndarray, start: np.ndarray, sizes: np.ndar
         padded = np.where(steps < sizes[:, None], codes[np.minimum(start[:, None] + steps, len(codes) - 1)], 0)
         return _lcs_many(keyword, padded)
     # A last entry without any letter stands for places past the end of a run.
-    letters = np.append(_letter_bits(keyword)[codes], np.uint64(0))
+    letters = np.append(_letter_bits(keyword, codes), np.uint64(0))
     full = np.uint64((1 << len(keyword)) - 1)
     state = np.full(len(start), full, dtype=np.uint64)
     for step in steps:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Sequence
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,26 +13,60 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 
 
+HANGUL = range(0xAC00, 0xD7A4)
+
+
 @lru_cache(maxsize=None)
-def _translation(form: str) -> tuple[str, str]:
-    """(characters, replacements) for every single letter that `form` rewrites to one letter.
+def _rewritten(form: str) -> dict[str, str]:
+    """What a normal form makes of each letter, without combining marks for NFKD: only letters that change.
 
-    Built from the Unicode tables over the Latin, punctuation and full-width
-    blocks, so that `translate` does what normalisation plus dropping the
-    combining marks would do there.
+    Built from the Unicode tables. Hangul syllables stay whole; they would fall into letters without losing any mark.
     """
-    marks = "".join(chr(c) for c in range(0x300, 0x370)) if form == "NFKD" else ""
-    source, target = [], []
-    for lo, hi in ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFF01, 0xFF5F)):
-        for code in range(lo, hi):
-            char = chr(code)
-            plain = "".join(
-                c for c in unicodedata.normalize(form, char) if not (marks and unicodedata.combining(c))
-            )
-            if len(plain) == 1 and plain != char:
-                source.append(char)
-                target.append(plain)
-    return "".join(source) + marks, "".join(target)
+    out = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if code in HANGUL or 0xD800 <= code < 0xE000:
+            continue
+        plain = plain_letters(chr(code)) if form == "NFKD" else unicodedata.normalize(form, chr(code))
+        if plain != chr(code):
+            out[chr(code)] = plain
+    return out
+
+
+def plain_letters(word: str) -> str:
+    """NFKD of a word without combining marks; Hangul syllables stay whole."""
+    parts = (c if ord(c) in HANGUL else unicodedata.normalize("NFKD", c) for c in word)
+    return "".join(c for part in parts for c in part if not unicodedata.combining(c))
+
+
+@lru_cache(maxsize=None)
+def _translation(form: str) -> tuple[str, str]:
+    """(characters, replacements) of letters rewritten to one letter, then of those that go, as `translate` takes them."""
+    single = {c: p for c, p in _rewritten(form).items() if len(p) == 1}
+    gone = [c for c, p in _rewritten(form).items() if not p]
+    return "".join([*single, *gone]), "".join(single.values())
+
+
+def _spread(text: Column, form: str) -> Column:
+    """The text with every letter that becomes several written out; texts without one are left alone."""
+    several = {c: p for c, p in _rewritten(form).items() if len(p) > 1}
+    letters = "".join(several)
+    width = max(map(len, several.values()))
+    # the k-th letters of all replacements, the letters with longer ones first: what is beyond a table's end goes
+    tables = []
+    for k in range(width):
+        long_enough = [c for c, p in several.items() if len(p) > k]
+        rest = [c for c, p in several.items() if len(p) <= k]
+        tables.append(("".join([*long_enough, *rest]), "".join(several[c][k] for c in long_enough)))
+    codes = sorted(map(ord, several))
+    ranges, begin = [], codes[0]
+    for code, following in zip(codes, [*codes[1:], None], strict=True):
+        if following != code + 1:
+            ranges.append(f"\\x{{{begin:x}}}-\\x{{{code:x}}}")
+            begin = following
+    written = F.transform(F.split(text, ""), lambda c: F.when(
+        F.lit(letters).contains(c) & (c != ""), F.concat(*[F.translate(c, source, target) for source, target in tables])
+    ).otherwise(c))
+    return F.when(text.rlike(f"[{''.join(ranges)}]"), F.array_join(written, "")).otherwise(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,9 +75,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_text(text: Column, underscores: bool = False) -> Column:
-    """Lower case without accents; with `underscores`, `_` becomes a space."""
+    """Lower case in compatible plain letters without accents (NFKD less its marks); with `underscores`, `_` becomes a space."""
     source, target = _translation("NFKD")
-    folded = F.lower(F.translate(text, source, target))
+    folded = F.lower(F.translate(_spread(text, "NFKD"), source, target))
     return F.translate(folded, "_", " ") if underscores else folded
 
 
@@ -121,18 +156,15 @@ def notification_panel(text: Column) -> Column:
     Three groups of words must all be met: a recorder or a silent list, a
     connectivity tile, and a panel control.
     """
-    folded = fold_text(text)
-
-    def has(*words: str) -> Column:
-        found = folded.contains(words[0])
-        for word in words[1:]:
-            found = found | folded.contains(word)
-        return found
-
-    silent, erase = K.PANEL_SILENT
-    recorder = has(*K.PANEL_RECORDER) | (folded.contains(silent) & folded.contains(erase))
-    tiles, controls = has(*K.PANEL_TILES), has(*K.PANEL_CONTROLS)
-    return F.coalesce(recorder & tiles & controls, F.lit(False))
+    def judged(folded: Column) -> Column:
+        def has(words: Sequence[str]) -> Column:
+            return reduce(lambda a, b: a | b, [folded.contains(w) for w in words])
+
+        silent, erase = K.PANEL_SILENT
+        recorder = has(K.PANEL_RECORDER) | (folded.contains(silent) & folded.contains(erase))
+        return recorder & has(K.PANEL_TILES) & has(K.PANEL_CONTROLS)
+
+    return F.coalesce(let(fold_text(text), judged), F.lit(False))
 
 
 def suggested_message(

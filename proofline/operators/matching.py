@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions.similarity import indel_ratio, levenshtein_ratio, partial_ratio
-from proofline.functions.text import fold_text, has_text
+from proofline.functions.text import fold_text, has_text, plain_letters
 from proofline.session import scratch
 
 
@@ -222,10 +222,7 @@ def detect_application(
 
 
 def _fold_word(word: str) -> str:
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
-    return plain.lower()
+    return plain_letters(word).lower()
 
 
 def _global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -139,9 +139,9 @@ select s_suppkey + 1 as row_number, case when s_suppkey%9=0 then ' ' when s_supp
 from supplier""",
     "texts": """
 select event_id as evidence_id, case event_id%8 when 0 then 'Synchronisation réussie !'
-  when 1 then 'Une erreur est survenue: Failed' when 2 then 'Bouton Synchroniser visible'
+  when 1 then 'Envoi du lot 3: Failed' when 2 then 'Appuyez sur Synchroniser'
   when 3 then 'Données non synchronisées' when 4 then 'Synchronisation en cours, upload data'
-  when 5 then 'completed but then Failed' when 6 then '' else 'FieldCoach upload complete' end as text,
+  when 5 then 'lot 1 completed, lot 2 Failed' when 6 then '' else 'FieldCoach upload complete' end as text,
  case when event_id%3=0 then 'start' when event_id%3=1 then 'middle' else 'end' end as position,
  event_id%60 as offset_seconds, user_id as proof_id, k%2=0 as check_visible, cast(k as double)/100 as confidence
 from ev0""",
