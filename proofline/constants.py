@@ -66,6 +66,8 @@ REASON_DEFAULT = "Preuve à vérifier avant confirmation"
 # --- fixed values: extraction review reasons ----------------------------------
 REVIEW_NO_ID = "Aucun identifiant de groupe detecte dans le texte OCR"
 REVIEW_ID_UNSURE = "Format d'identifiant non reconnu avec certitude"
+REVIEW_ID_CLOSE = "Correspondance floue ambigue avec les IDs connus (meilleur: %s, score %s)"
+SURE_REPLACEMENT = 97
 REVIEW_NO_DATE = "Aucun motif de date detecte dans le texte OCR"
 REVIEW_BAD_DATE = "Le motif de date n'a pas pu etre interprete (probablement langue non supportee)"
 REVIEW_NO_YEAR = "Annee absente et aucune date de contexte disponible : date non confirmee"

@@ -104,64 +104,52 @@ def frame_state(
 
 def extraction_outcome(
     texts: DataFrame, known: DataFrame | None = None, success: Sequence[str] = K.SUCCESS_KEYWORDS,
-    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = False,
+    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = True,
 ) -> DataFrame:
     """One row per proof: group id, date, status, confidences, review flag and reasons.
 
-    Id and date come from the start frames, else from all frames; the status
-    from the end frames. Each frame is read on its own and the proof takes the
-    first valid id, the first date-like piece and the gravest status, so texts
-    of a proof are never gathered.
+    The texts of the start frames are read as one, a line for each, and so are those of the end frames (a proof has a
+    few of either). Id and date come from the start, and where it has none and the end says anything, from both; the
+    status from the end. The id is the first piece that is valid or clearly close to a `known` one.
     """
-    rows = texts.withColumns({"second": frame_time(texts), "text": F.coalesce("text", F.lit(""))})
-    read_ids = F.transform(
-        find_id_candidates(F.col("text")), lambda c: F.struct(c.alias("raw"), normalize_id(c).alias("n"))
-    )
-    first_id = F.try_element_at(F.filter(read_ids, lambda r: r["n"]["valid"]), F.lit(1))
-    context = F.col("context_date") if "context_date" in texts.columns else None
-    rows = rows.withColumns({
-        "id": first_id, "date": parse_report_date(F.col("text"), context),
-        "status": sync_text_status(F.col("text"), success, error, fuzzy),
-    })
-    is_start, is_end = F.col("position") == "start", F.col("position") == "end"
-    order = F.struct("second", "frame_id")
-
-    def first(value: str, condition: Column) -> Column:
-        return F.min_by(value, F.when(condition, order))
-
-    # Within the end frames: a failure first, then an operation under way, then a success.
-    gravity = (
-        F.when(F.col("status.status") == "FAILED", 0)
-        .when((F.col("status.status") == "UNCONFIRMED") & F.col("status.matched").isNotNull(), 1)
-        .when(F.col("status.status") == "SUCCESS", 2)
-    )
-    rows = rows.withColumn("gravity", gravity)
-    has_id, has_date = F.col("id").isNotNull(), F.col("date.raw_text").isNotNull()
-    outcome = rows.groupBy("proof_id").agg(
-        first("id", is_start & has_id).alias("start_id"), first("id", has_id).alias("any_id"),
-        first("date", is_start & has_date).alias("start_date"), first("date", has_date).alias("any_date"),
-        F.min_by("status", F.when(is_end & F.col("gravity").isNotNull(), F.struct("gravity", "second", "frame_id")))
-        .alias("status"),
-        F.avg("confidence").alias("ocr"),
-        F.coalesce(F.bool_or(is_end & has_text(F.col("text"))), F.lit(False)).alias("has_end"),
-    )
-    chosen = F.coalesce("start_id", F.when(F.col("has_end"), F.col("any_id")))
-    readable_start = F.when(F.col("start_date.normalized_date").isNotNull(), F.col("start_date"))
-    date = F.coalesce(readable_start, F.when(F.col("has_end"), F.col("any_date")), F.col("start_date"))
-    outcome = outcome.select(
-        "proof_id", chosen.alias("id"), date.alias("date"), "status", "ocr"
-    ).withColumn("group_id", F.col("id.n.normalized"))
+    rows = texts.withColumn("order", F.struct(frame_time(texts).alias("second"), "frame_id"))
+    joined = lambda position: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("position") == position, F.struct("order", F.coalesce("text", F.lit("")).alias("text"))
+    ))), lambda r: r["text"]), "\n").alias(position)
+    context = [F.first("context_date", ignorenulls=True).alias("context_date")] if "context_date" in texts.columns else []
+    proofs = rows.groupBy("proof_id").agg(joined("start"), joined("end"), F.avg("confidence").alias("ocr"), *context)
+    proofs = proofs.withColumn("both", F.concat("start", F.lit("\n"), "end")).withColumn("has_end", has_text(F.col("end")))
+    pieces = lambda text, second: F.transform(find_id_candidates(text), lambda c, i: F.struct(
+        F.lit(second).alias("second"), i.alias("i"), c.alias("raw")
+    ))
+    read = proofs.select("proof_id", F.explode(F.concat(
+        pieces(F.col("start"), False), F.when(F.col("has_end"), pieces(F.col("both"), True)).otherwise(F.array().cast("array<struct<second:boolean,i:int,raw:string>>"))
+    )).alias("piece")).select("proof_id", "piece", normalize_id(F.col("piece.raw")).alias("n"))
+    read = read.withColumn("asked", F.coalesce("n.normalized", F.lower(F.trim("piece.raw"))))
     if known is not None:
-        near = fuzzy_id_match(outcome.select("group_id"), known).withColumnRenamed("id", "group_id")
-        outcome = lookup(outcome, near, "group_id", "proof_id")
+        near = fuzzy_id_match(read.select("asked"), known).withColumnRenamed("id", "asked")
+        read = lookup(read, near, "asked", "proof_id")
     else:
-        outcome = outcome.withColumns({
-            "best_id": F.lit(None).cast("string"), "best_score": F.lit(None).cast("double"),
-            "accepted": F.lit(None).cast("boolean"), "needs_review": F.lit(None).cast("boolean"),
+        read = read.withColumns({
+            "best_id": F.lit(None).cast("string"), "best_score": F.lit(None).cast("double"), "accepted": F.lit(None).cast("boolean"),
         })
-    replaced = F.coalesce(
-        F.col("accepted") & (F.col("best_id") != F.col("group_id")) & ~F.col("needs_review"), F.lit(False)
-    )
+    clear = F.coalesce("accepted", F.lit(False))
+    found = read.where(F.col("n.valid") | clear).groupBy("proof_id").agg(F.min_by(
+        F.struct("piece.raw", "n", "best_id", "best_score", "accepted"), F.struct("piece.second", "piece.i")
+    ).alias("id"))
+    date_of = lambda text: parse_report_date(F.col(text), F.col("context_date") if context else None)
+    outcome = proofs.join(found, "proof_id", "left").withColumns({
+        "first_date": date_of("start"), "any_date": date_of("both"), "status": sync_text_status(F.col("end"), success, error, fuzzy),
+    })
+    readable = F.col("first_date.normalized_date").isNotNull() | ~F.col("has_end")
+    outcome = outcome.withColumn("date", F.when(readable, F.col("first_date")).otherwise(F.col("any_date"))).withColumns({
+        "date": F.when(F.col("date.raw_text").isNotNull(), F.col("date")), "group_id": F.col("id.n.normalized"),
+        "best_id": F.col("id.best_id"), "best_score": F.col("id.best_score"), "accepted": F.col("id.accepted"),
+    })
+    other = F.coalesce(F.col("accepted") & ~F.col("best_id").eqNullSafe(F.col("group_id")), F.lit(False))
+    close = other & (F.col("best_score") < K.SURE_REPLACEMENT)
+    replaced = other & ~close
+    raced = F.coalesce(~F.col("accepted"), F.lit(False))
     id_confidence = F.when(replaced, F.col("best_score") / 100).otherwise(
         F.coalesce("id.n.confidence", F.lit(0.0))
     )
@@ -170,8 +158,8 @@ def extraction_outcome(
     sync_confidence = F.coalesce("status.confidence", F.lit(0.0))
     ocr = F.coalesce("ocr", F.lit(0.0))
     reasons = F.array_compact(F.array(
-        F.when(F.col("group_id").isNull(), K.REVIEW_NO_ID)
-        .when(F.coalesce("needs_review", F.lit(False)), K.REVIEW_ID_UNSURE),
+        F.when(F.col("id").isNull(), K.REVIEW_NO_ID)
+        .when(close, F.format_string(K.REVIEW_ID_CLOSE, "best_id", F.round("best_score", 1))).when(raced, K.REVIEW_ID_UNSURE),
         F.when(F.col("date").isNull(), K.REVIEW_NO_DATE).otherwise(F.col("date.note")),
         F.when(ocr < K.READABLE_CONFIDENCE, K.REVIEW_UNREADABLE),
         F.when(sync != "SUCCESS", K.REVIEW_SYNC),

@@ -145,6 +145,17 @@ from (select *, regexp_extract(raw, '^\\d+\\s*([^\\d\\s.]+)', 1) as word from (
  select *, {_TIDY.format(f"nullif(regexp_extract(raw_date, {_q(DATE_PATTERN)}, 1), '')")} as raw, {{context}} as ctx_year
  from raw_rows) a) b"""
 
+_ID_HITS = (
+    "list_filter(list_transform(regexp_extract_all({t}, "
+    + _q("(?i)" + K.ID_CANDIDATE) + "), lambda h: trim(regexp_extract(trim(h, e' \\n\\r\\t'), '^([^\\n\\r]*)', 1), e'\\n\\r')), lambda p: p<>'')"
+)
+_CUT = "regexp_replace({}, '(^|\\s)" + K.STANDALONE_DATE + "(\\s|$)', e'\\\\1\\n\\\\2', 'g')"
+
+#: 200 * LCS / letters of two lists of letters a and b, row by row of the usual table.
+_INDEL = """200.0*list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: case when x=y then 1 else 0 end))),
+    lambda held, hit: list_transform(range(1, len(hit)+1), lambda j: list_max(list_transform(range(1, j+1), lambda t: greatest(held[t], case when t>1 then held[t-1] else 0 end + hit[t])))))[-1]
+    / (len(a)+len(b))"""
+
 ORACLE_VIEWS: dict[str, str] = {
     **VIEWS,
     **_reconcile("r_", APP, f"application_id='{APP}'", f"select * from ledger where application_id='{APP}'", 0),
@@ -271,6 +282,28 @@ select *, lower(strip_accents(text)) as f, case when position='end' then duratio
 from ({STATUS_VIEW.format(source="frames")}) r""",
     "known_ids": "select distinct group_id as known from ledger",
     "read_ids": "select distinct norm as id from norm_ids where norm is not null",
+    "scan_texts": """
+select proof_id, coalesce(string_agg(coalesce(text,''), chr(10) order by at_time, frame_id) filter (position='start'), '') as start_text,
+ coalesce(string_agg(coalesce(text,''), chr(10) order by at_time, frame_id) filter (position='end'), '') as text, avg(confidence) as ocr,
+ regexp_matches(coalesce(string_agg(text, ' ') filter (position='end'), ''), '\\S') as has_end
+from (select *, case when position='end' then duration_seconds-offset_seconds else offset_seconds end as at_time from scans) f group by 1""",
+    "scan_parts": """
+select proof_id, 0 as second, start_text as part from scan_texts union all select proof_id, 1, concat(start_text, chr(10), text) from scan_texts where has_end""",
+    "scan_pieces": f"""
+select proof_id, second, nth, raw_id from (select proof_id, second, unnest(hits) as raw_id, generate_subscripts(hits, 1) as nth
+ from (select proof_id, second, {_ID_HITS.replace("{t}", _CUT.replace("{}", _CUT.replace("{}", "part")))} as hits from scan_parts) h) g""",
+    "scan_norm": IDS_VIEW.replace("raw_rows", "scan_pieces"),
+    "scan_near": """
+select asked, known as best, score, score-coalesce(second_score, 0)>=5 as accepted from (
+ select *, row_number() over (partition by asked order by score desc, known) as rk, lead(score) over (partition by asked order by score desc, known) as second_score from (
+  select asked, known, 100.0*(1-levenshtein(asked, known)::double/greatest(length(asked), length(known))) as score
+  from (select distinct coalesce(norm, lower(trim(raw_id))) as asked from scan_norm) a, known_ids) p where score>=83-1e-9) q where rk=1 and score>=88""",
+    "scan_ids": """
+select * from (select n.*, k.best, k.score, k.accepted, row_number() over (partition by proof_id order by second, nth) as rk
+ from scan_norm n left join scan_near k on k.asked=coalesce(n.norm, lower(trim(n.raw_id))) where n.norm is not null or coalesce(k.accepted, false)) z where rk=1""",
+    "scan_dates": "select proof_id, second, raw, has_year, case when true then cast(d as varchar) end as day from (" +
+        DATES_VIEW.replace("{context}", "null").replace("from raw_rows", "from (select proof_id, second, part as raw_date from scan_parts) raw_part") + ") dated",
+    "scan_status": STATUS_VIEW.format(source="scan_texts"),
     "media_plain": "select file_name, case when file_name like '%.mp4' then 'video' else 'image' end as kind from media_files",
 }
 
@@ -313,11 +346,6 @@ _ROUTE = f"""case when message_date < timestamp '{CUTOFF}' then 'SKIPPED_NO_MEDI
 _CHANGES = """
 select {ident}, {key}, {state}, prev as previous_state from (select *, lag({state}) over (partition by {key} order by {at}, {ident}) as prev
  from {source} where {state} is not null) s where prev is null or prev<>{state}"""
-_ID_HITS = (
-    "list_filter(list_transform(regexp_extract_all({t}, "
-    + _q("(?i)" + K.ID_CANDIDATE) + "), lambda h: trim(regexp_extract(trim(h, e' \\n\\r\\t'), '^([^\\n\\r]*)', 1), e'\\n\\r')), lambda p: p<>'')"
-)
-_CUT = "regexp_replace({}, '(^|\\s)" + K.STANDALONE_DATE + "(\\s|$)', e'\\\\1\\n\\\\2', 'g')"
 
 
 def _detect() -> str:
@@ -474,13 +502,32 @@ from attempts a join open_cases c on c.case_evidence_id=a.case_evidence_id join
 where a.created_at>=timestamp '2024-01-15' and a.created_at<timestamp '2024-01-19'""",
     "channel_links": "select c.channel_id, c.name, l.project_id from channels c left join links l on l.channel_id=c.channel_id",
     "channel_conflict": "select channel_id, name from channels where channel_id in (select channel_id from links where project_id<>1)",
-    "fuzzy_id_match_indel": """
+    "extraction_outcome": f"""
+select p.proof_id, i.raw_id as raw_group_id, case when replaced then best else i.norm end as group_id,
+ case when replaced then 'correction_floue' when i.norm is null then null when i.num<>i.digits or i.low<>i.norm then 'regex_corrige' else 'regex' end as id_method,
+ d.raw as raw_date, d.day as sync_date, coalesce(d.day is null or not d.has_year, true) as date_is_ambiguous, s.status as sync_status, s.matched as evidence_text,
+ id_c as confidence_group, coalesce(case when d.day is null then 0.0 when d.has_year then 0.9 else 0.6 end, 0.0) as confidence_date, sync_c as confidence_sync,
+ round((id_c + coalesce(case when d.day is null then 0.0 when d.has_year then 0.9 else 0.6 end, 0.0) + sync_c + ocr) / 4, 3) as global_confidence,
+ reasons<>'' as requires_review, nullif(reasons, '') as review_reasons
+from (select *, concat_ws('; ', case when i.proof_id is null then {_q(K.REVIEW_NO_ID)} when close then concat('Correspondance floue ambigue avec les IDs connus (meilleur: ', best, ', score ', round(score, 1), ')')
+   when raced then {_q(K.REVIEW_ID_UNSURE)} end,
+  case when d.raw is null then {_q(K.REVIEW_NO_DATE)} when d.day is null and not d.has_year then {_q(K.REVIEW_NO_YEAR)} when d.day is null then {_q(K.REVIEW_BAD_DATE)} end,
+  case when ocr<{K.READABLE_CONFIDENCE} then {_q(K.REVIEW_UNREADABLE)} end, case when s.status<>'SUCCESS' then {_q(K.REVIEW_SYNC)} end) as reasons,
+  case when replaced then score/100 when i.proof_id is null then 0.0 when i.norm is null then 0.0 when i.num<>i.digits then 0.75 else 1.0 end as id_c,
+  case when s.matched is null or s.status='UNCONFIRMED' then 0.0 else 1.0 end as sync_c
+ from (select p.proof_id, p.ocr, i, s, coalesce(case when a.raw is not null and (a.day is not null or not p.has_end) then a else b end, a) as d, i.best, i.score,
+   coalesce(i.accepted and i.best is distinct from i.norm and i.score<97, false) as close, coalesce(i.accepted and i.best is distinct from i.norm and i.score>=97, false) as replaced,
+   coalesce(not i.accepted, false) as raced
+  from scan_texts p join scan_status s on s.proof_id=p.proof_id left join (select * from scan_dates where second=0) a on a.proof_id=p.proof_id
+  left join (select * from scan_dates where second=1) b on b.proof_id=p.proof_id left join scan_ids i on i.proof_id=p.proof_id) x) p""",
+    "indel_ratio": f"""
+select row_number, case when raw_id='' and agent='' then 100.0 when raw_id='' or agent='' then 0.0 else round({_INDEL}, 3) end as score
+from (select row_number, raw_id, agent, string_split(raw_id, '') as a, string_split(agent, '') as b from raw_rows) r""",
+    "fuzzy_id_match_indel": f"""
 select id, known as best_id, score as best_score, second as second_score, score-coalesce(second, 0)>=2 as accepted,
  not (score-coalesce(second, 0)>=2) or (known<>id and score<97) as needs_review from (
  select *, row_number() over (partition by id order by score desc, known) as rk, lead(score) over (partition by id order by score desc, known) as second from (
-  select id, known, 200.0*list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: case when x=y then 1 else 0 end))),
-    lambda held, hit: list_transform(range(1, len(hit)+1), lambda j: list_max(list_transform(range(1, j+1), lambda t: greatest(held[t], case when t>1 then held[t-1] else 0 end + hit[t])))))[-1]
-    / (len(a)+len(b)) as score from (select id, known, string_split(id, '') as a, string_split(known, '') as b from read_ids, known_ids) c) p
+  select id, known, {_INDEL} as score from (select id, known, string_split(id, '') as a, string_split(known, '') as b from read_ids, known_ids) c) p
  where score>=80-1e-9) q where rk=1 and score>=82""",
     "fuzzy_id_match": """
 select id, known as best_id, round(score, 4) as best_score, score-coalesce(second, 0)>=5 as accepted from (

@@ -262,6 +262,8 @@ def test_extraction_outcome(spark):
         (1, 2, "end", 1, 100, "Synchronisation réussie", False, 0.7),
         (2, 3, "start", 1, 100, "rien", False, 0.4), (2, 4, "end", 1, 100, "grO.est 30/07/2026 completed", False, 0.4),
         (3, 5, "start", 1, 100, "gr1.zone-norb\n30 juillet", False, 0.9),
+        (4, 6, "end", 9, 100, "lot\nSynchronisation", False, 0.9), (4, 7, "end", 8, 100, "réussie", False, 0.9),
+        (5, 8, "start", 1, 100, "gr1.zone-nord5", False, 0.9), (6, 9, "start", 1, 100, "GRx.zone-nord", False, 0.9),
     ]
     known = spark.createDataFrame([("gr1.zone-nord",), ("gr8.autre-village",)], "k string")
     out = {r["proof_id"]: r for r in frames.extraction_outcome(spark.createDataFrame(rows, FRAME), known).collect()}
@@ -270,7 +272,14 @@ def test_extraction_outcome(spark):
     assert (out[2]["group_id"], out[2]["id_method"], out[2]["sync_date"]) == ("gr0.est", "regex_corrige", "2026-07-30")
     assert "insuffisamment lisible" in out[2]["review_reasons"]
     assert (out[3]["group_id"], out[3]["sync_date"]) == ("gr1.zone-norb", None)
-    assert "non reconnu avec certitude" in out[3]["review_reasons"] and "Annee absente" in out[3]["review_reasons"]
+    assert "meilleur: gr1.zone-nord, score 92.3" in out[3]["review_reasons"] and "Annee absente" in out[3]["review_reasons"]
+    assert out[4]["sync_status"] == "SUCCESS"  # words that go on in the next frame
+    close = spark.createDataFrame([("gr1.zone-nord1",), ("gr1.zone-nord2",)], "k string")
+    raced = {r["proof_id"]: r for r in frames.extraction_outcome(spark.createDataFrame(rows, FRAME), close).collect()}
+    assert "non reconnu avec certitude" in raced[5]["review_reasons"]
+    near = spark.createDataFrame([("grx.zone-nord",)], "k string")
+    fixed = {r["proof_id"]: r for r in frames.extraction_outcome(spark.createDataFrame(rows, FRAME), near).collect()}
+    assert (fixed[6]["group_id"], fixed[6]["id_method"]) == ("grx.zone-nord", "correction_floue")
 
 
 def test_retention_protects_shared_and_pending_paths(spark, submissions):
