@@ -195,3 +195,15 @@ PANEL_RECORDER = ("enregistrement de l'ecran", "screen recording", "enregistreme
 PANEL_SILENT = ("notifications silencieuses", "tout effacer")
 PANEL_TILES = ("bluetooth", "mode avion", "airplane mode")
 PANEL_CONTROLS = ("notifications", "effacer", "gerer", "clear all", "economiseur")
+
+# --- fixed values: words that settle a status whatever else is said -----------------
+NOT_DONE = r"\b(non synchronis\w*|pas synchronis\w*|not sync\w*|unsynced|not completed|non termine\w*)\b"
+UNDER_WAY = r"\b(en cours|en attente|in progress|pending)\b"
+
+# --- fixed values: what a date looks like; the first alternative at the leftmost place wins
+DATE_PATTERN = (
+    r"(?i)(\d{4}-\d{2}-\d{2}"
+    r"|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}"
+    rf"|\d{{1,2}}\s*,?\s*(?:{'|'.join(MONTHS_FR)})\.?\s*,?\s*\d{{0,4}}"
+    rf"|\d{{1,2}}\s*,?\s*(?:{'|'.join(MONTHS_EN)})\.?\s*,?\s*\d{{0,4}})"
+)

@@ -8,16 +8,7 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions.text import let
 
-_WORDS_FR = "|".join(K.MONTHS_FR)
-_WORDS_EN = "|".join(K.MONTHS_EN)
-
-# The first alternative that fits at the leftmost place wins.
-DATE_PATTERN = (
-    r"(?i)(\d{4}-\d{2}-\d{2}"
-    r"|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}"
-    rf"|\d{{1,2}}\s*,?\s*(?:{_WORDS_FR})\.?\s*,?\s*\d{{0,4}}"
-    rf"|\d{{1,2}}\s*,?\s*(?:{_WORDS_EN})\.?\s*,?\s*\d{{0,4}})"
-)
+DATE_PATTERN = K.DATE_PATTERN
 
 
 def _tidy(piece: Column) -> Column:

@@ -1,6 +1,6 @@
 """Predicates and derived columns of a submission.
 
-They read the columns of the submission schema by name (see `schemas`), so one
+They read the columns of the submission schema by name, so one
 expression serves every operator. A submission without an extraction has null
 extraction columns; every predicate then answers false rather than null.
 """

@@ -18,11 +18,7 @@ from proofline.functions.text import fold_text, has_text, let
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NOT_DONE = (
-    r"\b(non synchronis\w*|pas synchronis\w*|not sync\w*|unsynced|not completed|non termine\w*)\b"
-)
 CHUNK_LETTERS = 500_000
-UNDER_WAY = r"\b(en cours|en attente|in progress|pending)\b"
 
 
 def needed_score(keyword: str) -> int:
@@ -123,9 +119,9 @@ def _judge(text: Column, folded: Column, bad: Column, good: Column) -> Column:
     nothing = outcome("UNCONFIRMED", F.lit(None), F.lit(0.0))
     return (
         F.when(~has_text(text), nothing)
-        .when(folded.rlike(NOT_DONE), outcome("FAILED", F.lit(K.TEXT_NOT_SYNCED), F.lit(1.0)))
+        .when(folded.rlike(K.NOT_DONE), outcome("FAILED", F.lit(K.TEXT_NOT_SYNCED), F.lit(1.0)))
         .when(bad["keyword"].isNotNull(), outcome("FAILED", bad["keyword"], bad["score"] / 100))
-        .when(folded.rlike(UNDER_WAY), outcome("UNCONFIRMED", F.lit(K.TEXT_IN_PROGRESS), F.lit(0.0)))
+        .when(folded.rlike(K.UNDER_WAY), outcome("UNCONFIRMED", F.lit(K.TEXT_IN_PROGRESS), F.lit(0.0)))
         .when(good["keyword"].isNotNull(), outcome("SUCCESS", good["keyword"], good["score"] / 100))
         .otherwise(nothing)
     )

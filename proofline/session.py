@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ SQL_SETTINGS = {
 # Longer scratch writes can be re-read after an executor is lost: the folder is
 # the one the cluster names, never a disk of one machine.
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_folder: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -53,13 +56,16 @@ def local_session(cpus: int | str = 8, app: str = "proofline") -> SparkSession:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under the shared checkpoint folder of the session.
 
-    Only a session with no such folder (tests, one machine) gets a local one.
+    Only a `local[...]` session with no such folder (tests, one machine) gets a temporary one, removed at its end.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root and spark.sparkContext.getCheckpointDir():
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "proofline")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="proofline-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        root = _own_folder[0]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
