@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Lets Spark hand texts to Python few at a time: they may be long, and both sides hold whole batches, outside the heap too."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", 4 * rows)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a missing one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of one slice stay near `limit` bytes; a longer text stands alone."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
@@ -65,8 +72,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             yield batch.slice(begin)
 
 
-def sent(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcasts a value of bounded size, with its class, so that workers need no install of this package."""
+def sent(spark: SparkSession, value: object) -> tuple[Callable[[], object], Broadcast]:
+    """Broadcasts a value of bounded size, with its class, so that workers need no install of this package.
+
+    Gives the function that reads it in a task, and the broadcast, which may be destroyed once no task needs it.
+    """
     pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     held: list = []
 
@@ -75,4 +85,4 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
             held.append(cloudpickle.loads(pickled.value))
         return held[0]
 
-    return get
+    return get, pickled

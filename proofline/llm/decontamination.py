@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import sent, slices
+from proofline.llm.common import sent, slices, small_batches
 
 BUCKETS = 1 << 20
 _PARTS = 64
@@ -137,8 +137,9 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
                     out.append((value @ rows).tolist() if len(terms) else [0.0] * rank)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["row", "v"])
 
-        got = items.mapInArrow(run, "row long, v array<double>").orderBy("row").collect()
-        return np.array([r.v for r in got]).reshape(len(got), rank)
+        got = items.mapInArrow(run, "row long, v array<double>").orderBy("row").toArrow()
+        other.destroy()
+        return got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, rank)
 
     def transposed(factor: np.ndarray) -> dict[int, np.ndarray]:
         other = spark.sparkContext.broadcast(factor)
@@ -156,8 +157,9 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
 
         parts = items.mapInArrow(run, "term long, v array<double>").select("term", F.posexplode("v").alias("j", "x"))
         sums = parts.groupBy("term", "j").agg(F.sum("x").alias("x")).groupBy("term")
-        rows = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("v")).collect()
-        return {r.term: np.array(r.v) for r in rows}
+        rows = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("v")).toArrow()
+        other.destroy()
+        return dict(zip(rows.column("term").to_pylist(), rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, rank), strict=True))
 
     basis, _ = np.linalg.qr(times(None))
     width = basis.shape[1]
@@ -172,6 +174,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
     small = np.stack([found[t] for t in terms.tolist()])[:, :width]
     values, vectors = np.linalg.eigh(small.T @ small)
     kept = values > values.max() * 1e-8
+    common.destroy()
     return terms, (small @ vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
 
 
@@ -303,7 +306,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None,
             continue
         own = [(n, block[i][1]) for n, i in enumerate(kept)]
         items = spark.createDataFrame(own, "row long, text string").repartition(max(1, len(own) // 256))
-        terms, vectors = randomised_svd(items, idf, RANK)
+        terms, vectors = randomised_svd(items, idf, min(RANK, len(own)))
         place = {int(t): i for i, t in enumerate(terms)}
         latent = np.zeros((len(own), vectors.shape[1]), dtype=np.float32)
         for n, i in enumerate(kept):
@@ -318,12 +321,13 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, cosine double, common_words long, item_words long, answer_share double, first_word long, last_word long"
     plain = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     out = None
     for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        own = sent(docs.sparkSession, block)
+        own, _ = sent(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1_000_000):
+            for batch in slices(batches, "text"):
                 found = own().links(_raw(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -346,12 +350,13 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = BLOCK) -> DataFrame:
     """The documents without a link to the benchmark, all columns as they were."""
+    small_batches(docs.sparkSession)
     out = docs
     for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        own = sent(docs.sparkSession, block)
+        own, _ = sent(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1_000_000):
+            for batch in slices(batches, "text"):
                 linked = {f[0] for f in own().links(_raw(batch.column(batch.schema.get_field_index("text"))))}
                 yield batch.filter(pa.array([i not in linked for i in range(batch.num_rows)]))
 

@@ -288,17 +288,19 @@ def arrays(model: dict[int, DataFrame]) -> Arrays | None:
             codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
             seeds = np.array([found[x] for x in langs], dtype=np.uint64)
             hashes = rolled(codes, seeds, np.arange(len(grams)) * size, size).view(np.int64)
-            logs = [pa.array(np.log(c.to_numpy(zero_copy_only=False).astype(float))) for c in batch.columns[2:4]]
+            logs = [pa.array(np.log(c.to_numpy(zero_copy_only=False).astype(float)).astype(np.float32)) for c in batch.columns[2:4]]
             yield pa.RecordBatch.from_arrays([pa.array(hashes), *logs], ["hash", "p", "backoff"])
 
     out = Arrays(max(model))
     for k, rows in model.items():
-        got = rows.select("lang", "gram", "p", "backoff").mapInArrow(run, "hash long, p double, backoff double").toArrow()
+        got = rows.select("lang", "gram", "p", "backoff").mapInArrow(run, "hash long, p float, backoff float").toArrow()
         hashes = got.column(0).to_numpy().view(np.uint64)
         by = np.argsort(hashes)
         out.hashes[k] = hashes[by]
-        out.p[k] = got.column(1).to_numpy()[by].astype(np.float32)
-        out.backoff[k] = got.column(2).to_numpy()[by].astype(np.float32)
+        out.p[k] = got.column(1).to_numpy()[by]
+        out.backoff[k] = got.column(2).to_numpy()[by]
+        got = hashes = by = None
+        pa.default_memory_pool().release_unused()
     return out
 
 

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import sent, slices
+from proofline.llm.common import sent, slices, small_batches
 
 LENGTH = 2048
 GROUP = 4096
@@ -106,14 +106,14 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
 
 def pieces(df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, key, piece, n, ids): every document's ids in pieces of at most `length`; `key` is a hash of the row."""
-    model = sent(df.sparkSession, (ranks, pattern))
+    model, _ = sent(df.sparkSession, (ranks, pattern))
     width = narrowest(max(end, max(ranks.values(), default=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=model()[1], mergeable_ranks=model()[0], special_tokens={})
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text"):
             source, piece, sizes, ids = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = np.array([*own.encode_ordinary(text), end], dtype=width)
@@ -129,6 +129,7 @@ def pieces(df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, lengt
     kind = df.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     plain = df.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    small_batches(df.sparkSession)
     return plain.mapInArrow(run, f"doc_id {kind}, key long, piece int, n int, ids binary")
 
 

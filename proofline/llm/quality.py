@@ -18,7 +18,7 @@ pass through; columns named like a count or a verdict are replaced.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.llm import ngram_lm
-from proofline.llm.common import sent, slices, stored, text_of
+from proofline.llm.common import sent, slices, small_batches, stored, text_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -38,6 +38,8 @@ MOST_REPEATED = 20
 WIDTH = 3.0
 SHORT = 1600
 SYMBOL_SHARE = 0.1
+#: Rejected texts that are broadcast to take them out (about 40 bytes each).
+REJECTED = 1_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -93,38 +95,43 @@ def reads_as_prose(text: bytes) -> bool:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def rules(df: DataFrame, model: ngram_lm.Arrays | None = None) -> DataFrame:
-    """Adds `key` (hash of the text), the counts, `base_failed`, and `log_perplexity`: null unless a model is given as arrays."""
-    own = sent(df.sparkSession, model) if model else None
+def rules(df: DataFrame, model: Callable[[], ngram_lm.Arrays] | None = None) -> DataFrame:
+    """Every row without its text, with `key` (hash of the text), the counts, `base_failed`, and `log_perplexity`: null unless a
+    function is given that reads a model's arrays in a task."""
     made = ["key", *_COUNTS, "log_perplexity"]
-    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (*made, "base_failed", "__text")])
-    names = plain.columns
+    plain = df.select("text", *[F.col(f"`{c}`") for c in df.columns if c not in (*made, "base_failed", "text")])
+    names = plain.columns[1:]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 1_000_000):
-            texts = [v.as_buffer().to_pybytes() for v in batch.column("__text")]
+        for batch in slices(batches, "text"):
+            texts = [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column("text")]
             found = np.array([counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
             langs = batch.column("__lang").to_pylist()
-            logs = ngram_lm.mean_log(own(), texts, langs) if own else [None] * len(texts)
+            logs = ngram_lm.mean_log(model(), texts, langs) if model else [None] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), batch.column("__key"), *(pa.array(c) for c in found.T), pa.array(logs, pa.float64())],
                 [*names, *made],
             )
 
     fields = [T.StructField("key", T.LongType()), *(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("log_perplexity", T.DoubleType())]
-    read = plain.select("*", text_of().alias("__text"), F.xxhash64(text_of()).alias("__key"), F.col("lang").cast("string").alias("__lang"))
-    out = read.mapInArrow(run, T.StructType([*plain.schema.fields, *fields]))
+    read = plain.select("*", F.xxhash64(text_of()).alias("__key"), F.col("lang").cast("string").alias("__lang"))
+    out = read.mapInArrow(run, T.StructType([*plain.schema.fields[1:], *fields]))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
 def judge(df: DataFrame, width: float = WIDTH) -> DataFrame:
-    """Adds to every row its counts, `base_failed`, `log_perplexity` and the verdict `kept`. The rows are stored once with them."""
+    """Every row without its text, with `key`, counts, `base_failed`, `log_perplexity` and the verdict `kept`; stored once."""
+    small_batches(df.sparkSession)
     plain = df.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     model = ngram_lm.train(plain, accept=reads_as_prose)
     found = ngram_lm.arrays(model)
     if found is not None:
-        rows = stored(rules(df, found), "quality")
+        arrays, held = sent(df.sparkSession, found)
+        found = None
+        rows = stored(rules(df, arrays), "quality")
+        held.destroy()
     else:
         scores = ngram_lm.joined_scores(plain, model).withColumnsRenamed({"key": "__k", "lang": "__l", "log_perplexity": "__p"})
         same = (F.col("key") == F.col("__k")) & F.col("lang").cast("string").eqNullSafe(F.col("__l"))
@@ -138,17 +145,27 @@ def judge(df: DataFrame, width: float = WIDTH) -> DataFrame:
     low, high = F.col("__q")[0], F.col("__q")[1]
     room = width * (high - low) * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("word_chars", F.lit(1))))
     inside = F.col("log_perplexity").between(low - room, high + room)
-    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__q", "key")
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__q")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows that pass, with their own columns, whatever they are called."""
-    plain = df.select("text", "lang", *[F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(df.columns)])
-    return judge(plain).filter("kept").select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(df.columns)])
+    """The rows that pass, with their own columns, whatever they are called.
+
+    A verdict depends on text and language alone, so the rejected (hash, language) pairs are taken out by an anti join.
+    Up to `REJECTED` of them are broadcast, which leaves the texts where they are; beyond that Spark shuffles.
+    """
+    verdict = judge(df.select("text", "lang")).filter("NOT kept").select(
+        F.col("key").alias("__key"), F.col("lang").cast("string").alias("__lang")
+    ).distinct()
+    rejected = stored(verdict, "rejected")
+    if rejected.count() <= REJECTED:
+        rejected = F.broadcast(rejected)
+    same = (F.xxhash64(text_of()) == F.col("__key")) & F.col("lang").cast("string").eqNullSafe(F.col("__lang"))
+    return df.join(rejected, same, "left_anti")
 
 
 def report(df: DataFrame) -> DataFrame:
     """Per document its counts, whether the plain rules fail, and the verdict."""
-    return judge(df.select("doc_id", "text", "lang").withColumn("text", text_of())).select(
+    return judge(df.select("doc_id", "text", "lang")).select(
         "doc_id", *_COUNTS, "base_failed", "kept", "log_perplexity"
     )

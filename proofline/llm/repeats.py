@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import slices, stored, text_of
+from proofline.llm.common import slices, small_batches, stored, text_of
 
 LENGTH = 400
 PIECE = 32
@@ -302,6 +302,7 @@ def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id",
     `key` is the MD5 of the text, `copies` counts its rows, `first` is its smallest id, `spans` are the ranges covered by
     repeated strings of one copy of the text, in no order and overlapping. Copies of a text are the caller's to count.
     """
+    small_batches(df.sparkSession)
     body = F.encode(text_of(f"`{text}`"), "UTF-8")
     docs = df.select(
         F.unhex(F.md5(body)).alias("key"), body.alias("text"), F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST)).alias("first")

@@ -30,9 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofline.llm.common import small_batches
+
 SPACE = "▁"
 #: Distinct words a Python worker keeps at hand before it lets go of those not met lately; a matter of memory only.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Pairs of tokens whose judgement is kept.
+PAIRS = 1_000_000
 CHUNK = re.compile(r" *[^ \n]+|[ ]+|\n")
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -115,6 +119,8 @@ class Codec:
     def allowed(self, before: int, token: int) -> bool:
         """Whether a token may follow another one; after -1 (the beginning, a letter outside) whether it is reached at all."""
         parts = [self.piece[token]] if before < 0 else [self.piece[before], self.piece[token]]
+        if len(self.beside) >= PAIRS:
+            self.beside.clear()
         found = self.beside[before << 16 | token] = self.merged("".join(parts)) == parts
         return found
 
@@ -178,15 +184,14 @@ class Codec:
         return (joined[1:] if ids and ids[0] in self.spaced else joined).decode("utf-8", "replace")
 
 
-_loaded: dict[int, Codec] = {}
+_loaded: dict[bytes, Codec] = {}
 
 
 def codec(model: bytes) -> Codec:
-    """One codec per Python worker and model, with what it has learnt so far."""
-    key = hash(model)
-    if key not in _loaded:
-        _loaded[key] = Codec(model)
-    return _loaded[key]
+    """One codec per task and model, with what it has learnt so far; its memory goes with the task."""
+    if model not in _loaded:
+        _loaded[model] = Codec(model)
+    return _loaded[model]
 
 
 def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
@@ -210,6 +215,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make)
                 names = [f.name for f in part.schema if f.name != f"__{name}"]
                 yield pa.RecordBatch.from_arrays([*columns, made], [*names, name])
 
+    small_batches(df.sparkSession)
     return plain.mapInArrow(run, schema)
 
 
@@ -238,9 +244,31 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
     return _with_column(df, text, T.StringType(), ids, make)
 
 
+def encode_decode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """Replaces a text by its `ids` and the text `decoded` from them, in one pass of Python workers."""
+    kept = [c for c in df.columns if c not in (text, "ids", "decoded")]
+    fields = [f for f in df.schema.fields if f.name in kept]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                packed = [own.packed(t or "") for t in part.column(0).to_pylist()]
+                ids = np.frombuffer(b"".join(packed), dtype=np.int32)
+                ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+                texts = [own.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists, pa.array(texts, pa.string())], [*kept, "ids", "decoded"])
+
+    small_batches(df.sparkSession)
+    return df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, model: bytes) -> DataFrame:
     """Per document the number of ids, their hash, and the hash of the text decoded from them."""
-    both = decode(encode(df.select("doc_id", "text"), model).drop("text"), model)
+    both = encode_decode(df.select("doc_id", "text"), model)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

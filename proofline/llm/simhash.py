@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import stored
+from proofline.llm.common import small_batches, stored
 from proofline.llm.components import components
 
 RADIUS = 3
@@ -77,6 +77,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
     kind = df.schema[id_column].dataType.simpleString()
+    small_batches(df.sparkSession)
     narrow = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     return narrow.mapInArrow(run, f"id {kind}, fp long")
 

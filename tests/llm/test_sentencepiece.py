@@ -58,5 +58,7 @@ def test_other_columns_stay(documents):
     df = documents((1, "ab")).withColumnRenamed("key", "ids")
     assert S.encode(df, model).columns == ["doc_id", "text", "lang", "source", "n_chars", "hash", "ids"]
     assert S.encode(df.limit(0), model).count() == 0
+    both = S.encode_decode(df, model)
+    assert both.columns == ["doc_id", "lang", "source", "n_chars", "hash", "ids", "decoded"] and both.first().decoded == "ab"
     row = S.decode(S.encode(df, model), model, text="text").first()
     assert row.text == "ab" and row.hash == 7
