@@ -85,6 +85,9 @@ class WordTable:
         flat = [w for part in words for w in part]
         self.texts = len(texts)
         self.codes = np.frombuffer(" ".join(flat).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        # letters by number, so that a keyword looks up each kind of letter once
+        self.kinds, self.letters = np.unique(self.codes, return_inverse=True)
+        self.known_runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.array([len(w) for w in flat], dtype=np.int64)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
@@ -93,6 +96,11 @@ class WordTable:
 
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, text) of each run of `n` words; all words of a text that has fewer."""
+        if n not in self.known_runs:
+            self.known_runs[n] = self._runs(n)
+        return self.known_runs[n]
+
+    def _runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin = np.arange(max(len(self.owner) - n + 1, 0))
         begin = begin[self.owner[begin] == self.owner[begin + n - 1]]
         last = begin + n - 1
@@ -111,22 +119,28 @@ def best_window_ratios(keyword: str, table: WordTable, at_least: float) -> np.nd
     # A run whose length differs too much cannot reach the score.
     size = len(keyword)
     reach = (200.0 - at_least) / at_least
-    near = (sizes >= size / reach) & (sizes <= size * reach)
+    near = np.flatnonzero((sizes >= size / reach) & (sizes <= size * reach))
+    # Nor can one with too few of the keyword's letters.
+    bits = _letter_bits(keyword, table.kinds)[table.letters] if len(keyword) <= _WORD else None
+    if bits is not None and len(near):
+        shared = np.concatenate(([0], (bits > 0).cumsum()))
+        enough = shared[start[near] + sizes[near]] - shared[start[near]] >= at_least * (size + sizes[near]) / 200.0 - 1e-9
+        near = near[enough]
     start, sizes, owner = start[near], sizes[near], owner[near]
     if len(start):
-        scores = 200.0 * _lcs_runs(keyword, table.codes, start, sizes) / (size + sizes)
+        scores = 200.0 * _lcs_runs(keyword, table.codes, bits, start, sizes) / (size + sizes)
         np.maximum.at(best, owner, scores)
     return np.where(best >= at_least, best, 0.0)
 
 
-def _lcs_runs(keyword: str, codes: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """LCS length of `keyword` with each stretch of `codes`."""
+def _lcs_runs(keyword: str, codes: np.ndarray, bits: np.ndarray | None, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """LCS length of `keyword` with each stretch of `codes`; `bits` are the keyword's places of each letter."""
     steps = np.arange(sizes.max())
-    if len(keyword) > _WORD:
+    if bits is None:
         padded = np.where(steps < sizes[:, None], codes[np.minimum(start[:, None] + steps, len(codes) - 1)], 0)
         return _lcs_many(keyword, padded)
     # A last entry without any letter stands for places past the end of a run.
-    letters = np.append(_letter_bits(keyword, codes), np.uint64(0))
+    letters = np.append(bits, np.uint64(0))
     full = np.uint64((1 << len(keyword)) - 1)
     state = np.full(len(start), full, dtype=np.uint64)
     for step in steps:
