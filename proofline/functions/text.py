@@ -77,7 +77,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def fold_text(text: Column, underscores: bool = False) -> Column:
     """Lower case in compatible plain letters without accents (NFKD less its marks); with `underscores`, `_` becomes a space."""
     source, target = _translation("NFKD")
-    folded = F.lower(F.translate(_spread(text, "NFKD"), source, target))
+    # plain texts are most of all, and need no table
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(_spread(text, "NFKD"), source, target)).otherwise(text)
+    folded = F.lower(plain)
     return F.translate(folded, "_", " ") if underscores else folded
 
 
