@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,8 +48,8 @@ def exact_keyword(folded: Column, keywords: Sequence[str]) -> Column:
     return found
 
 
-def fuzzy_keyword(folded: Column, keywords: Sequence[str]) -> Column:
-    """struct(keyword, score): the best keyword, exact or close enough."""
+def _scorer(keywords: Sequence[str]) -> Callable[[Sequence[str]], dict[str, tuple[str | None, float]]]:
+    """Gives for distinct texts the best keyword, exact or close enough, and its score."""
     ranked = [(k, needed_score(k), re.compile(_whole_word(k))) for k in keywords if k]
     exact_bar = K.SHORT_KEYWORD_THRESHOLD
 
@@ -66,21 +66,57 @@ def fuzzy_keyword(folded: Column, keywords: Sequence[str]) -> Column:
             chosen[take], top[take], margin[take] = number, scores[take], scores[take] - needed
         return [(ranked[c][0] if c >= 0 else None, float(s)) for c, s in zip(chosen, top)]
 
-    @F.pandas_udf("keyword string, score double")
-    def search(texts: pd.Series) -> pd.DataFrame:
+    def search(texts: Sequence[str]) -> dict[str, tuple[str | None, float]]:
         found: dict[str, tuple[str | None, float]] = {}
         part, letters = [], 0
         # Texts are scored together, a bounded number of letters at a time.
-        for text in texts.dropna().unique():
+        for text in texts:
             part.append(text)
             letters += len(text)
             if letters > CHUNK_LETTERS:
                 found.update(zip(part, score(part)))
                 part, letters = [], 0
         found.update(zip(part, score(part)))
+        return found
+
+    return search
+
+
+def fuzzy_keyword(folded: Column, keywords: Sequence[str]) -> Column:
+    """struct(keyword, score): the best keyword, exact or close enough."""
+    search = _scorer(keywords)
+
+    @F.pandas_udf("keyword string, score double")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        found = search(texts.dropna().unique())
         return pd.DataFrame([found.get(t, (None, 0.0)) for t in texts], columns=["keyword", "score"])
 
-    return search(folded)
+    return best(folded)
+
+
+def _near_words(folded: Column, error: Sequence[str], success: Sequence[str]) -> Column:
+    """The best error and success word of a text, as far as they can matter, and what its fixed words say.
+
+    The text is folded and the fixed words are sought once, in the JVM. What they settle is not scored, and words of
+    success are sought only where no error word was found and nothing is under way.
+    """
+    bad, good = _scorer(error), _scorer(success)
+
+    @F.pandas_udf("bad_word string, bad_score double, good_word string, good_score double, not_done boolean, under_way boolean")
+    def near(told: pd.DataFrame) -> pd.DataFrame:
+        nothing = (None, 0.0)
+        open_texts = told.loc[~told["not_done"].fillna(False).astype(bool), "text"].dropna()
+        wrong = bad(open_texts.unique())
+        quiet = told.loc[~told["under_way"].fillna(False).astype(bool), "text"].dropna()
+        right = good([t for t in quiet.unique() if t in wrong and wrong[t][0] is None])
+        rows = [(*wrong.get(t, nothing), *right.get(t, nothing)) for t in told["text"]]
+        out = pd.DataFrame(rows, columns=["bad_word", "bad_score", "good_word", "good_score"])
+        out["not_done"], out["under_way"] = told["not_done"].to_numpy(), told["under_way"].to_numpy()
+        return out
+
+    return near(let(folded, lambda f: F.struct(
+        f.alias("text"), f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way")
+    )))
 
 
 def sync_text_status(
@@ -97,19 +133,20 @@ def sync_text_status(
     """
     folded = fold_text(text, underscores=True)
     if fuzzy:
-        bad, good = fuzzy_keyword(folded, error), fuzzy_keyword(folded, success)
-        return _judge(text, folded, bad, good)
+        found = _near_words(folded, error, success)
+        bad, good = (F.struct(found[f"{n}_word"].alias("keyword"), found[f"{n}_score"].alias("score")) for n in ("bad", "good"))
+        return _judge(text, found["not_done"], found["under_way"], bad, good)
 
     def exact(keyword: Column) -> Column:
         return F.struct(keyword.alias("keyword"), F.lit(100.0).alias("score"))
 
     return let(folded, lambda f: let(
         F.struct(exact_keyword(f, error).alias("bad"), exact_keyword(f, success).alias("good")),
-        lambda w: _judge(text, f, exact(w["bad"]), exact(w["good"])),
+        lambda w: _judge(text, f.rlike(K.NOT_DONE), f.rlike(K.UNDER_WAY), exact(w["bad"]), exact(w["good"])),
     ))
 
 
-def _judge(text: Column, folded: Column, bad: Column, good: Column) -> Column:
+def _judge(text: Column, not_done: Column, under_way: Column, bad: Column, good: Column) -> Column:
     def outcome(status: str, matched: Column, confidence: Column) -> Column:
         return F.struct(
             F.lit(status).alias("status"), matched.cast("string").alias("matched"),
@@ -119,9 +156,9 @@ def _judge(text: Column, folded: Column, bad: Column, good: Column) -> Column:
     nothing = outcome("UNCONFIRMED", F.lit(None), F.lit(0.0))
     return (
         F.when(~has_text(text), nothing)
-        .when(folded.rlike(K.NOT_DONE), outcome("FAILED", F.lit(K.TEXT_NOT_SYNCED), F.lit(1.0)))
+        .when(not_done, outcome("FAILED", F.lit(K.TEXT_NOT_SYNCED), F.lit(1.0)))
         .when(bad["keyword"].isNotNull(), outcome("FAILED", bad["keyword"], bad["score"] / 100))
-        .when(folded.rlike(K.UNDER_WAY), outcome("UNCONFIRMED", F.lit(K.TEXT_IN_PROGRESS), F.lit(0.0)))
+        .when(under_way, outcome("UNCONFIRMED", F.lit(K.TEXT_IN_PROGRESS), F.lit(0.0)))
         .when(good["keyword"].isNotNull(), outcome("SUCCESS", good["keyword"], good["score"] / 100))
         .otherwise(nothing)
     )
