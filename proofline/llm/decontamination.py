@@ -2,10 +2,13 @@
 
 Words are weighed by their inverse document frequency over the whole corpus,
 counted in `BUCKETS` hashed buckets (a table of fixed size, whatever the
-corpus). The benchmark's passages, in blocks of at most `BLOCK` items, form a
+corpus). The benchmark's passages, in blocks of at most `RANK` items, form a
 TF-IDF matrix of which a randomised SVD is taken in Spark: rows are multiplied
 by a random matrix and by each other's factors in tasks, sums over terms are
-made by grouping, and only matrices of a block's own size reach the driver.
+made by grouping, and only matrices of a block's own size reach the driver. A
+block has no more items than the rank, so its basis holds them whole and the
+latent score of a passage is its cosine, however large the benchmark is. The
+blocks of `BLOCK` items are matched in one pass over the documents.
 
 Every document is cut into overlapping passages of a few lengths, those of the
 items. A passage whose share of benchmark words cannot reach the cosine is left
@@ -36,8 +39,9 @@ from proofline.llm.common import sent, slices, small_batches
 
 BUCKETS = 1 << 20
 _PARTS = 64
-BLOCK = 2048
+#: Items of a block, which its basis covers, and of the blocks of one pass.
 RANK = 256
+BLOCK = 2048
 COSINE = 0.5
 #: Share of an item's words in common order that suffices alone, and with the answer words.
 LCS_ALONE = 0.75
@@ -191,8 +195,6 @@ class Block:
     cosine: float
 
     def __post_init__(self):
-        self.place = np.full(BUCKETS, -1, dtype=np.int32)
-        self.place[self.terms] = np.arange(len(self.terms))
         longest = max(map(len, self.words))
         self.lengths, size = [], max(4, min(map(len, self.words)))
         while True:
@@ -260,17 +262,15 @@ class Block:
                 for p, i in zip(*np.nonzero(score >= self.cosine), strict=True):
                     yield int(items[i]), int(a[p]), int(b[p]), float(score[p, i])
 
-    def links(self, texts: list[bytes]) -> list[tuple[int, int, float, int, float, int, int]]:
+    def links(
+        self, split: list[list[bytes]], every: list[bytes], ends: np.ndarray, buckets: np.ndarray
+    ) -> list[tuple[int, int, float, int, float, int, int]]:
         """(document, item, cosine, common words, answer share, first word, last word): the best checked place of each pair."""
-        split = [words_of(t) for t in texts]
-        every = [w for s in split for w in s]
-        if not every:
-            return []
-        ends = np.cumsum([len(s) for s in split])
-        buckets = buckets_of(every)
         best: dict[tuple[int, int], tuple] = {}
         tried: set[tuple[int, int, int]] = set()
-        for item, a, b, score in self.candidates(self.place[buckets], self.idf[buckets], ends):
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[self.terms] = np.arange(len(self.terms))
+        for item, a, b, score in self.candidates(place[buckets], self.idf[buckets], ends):
             document = int(np.searchsorted(ends, a, side="right"))
             own = len(self.words[item])
             low = max(a - own // 2, int(ends[document] - len(split[document])))
@@ -289,8 +289,22 @@ class Block:
         return [best[k] for k in sorted(best)]
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None, cosine: float = COSINE, size: int = BLOCK) -> Iterator[Block]:
-    """The blocks of a benchmark (item_id, text) against the weights of the documents."""
+def links(group: list[Block], texts: list[bytes]) -> Iterator[tuple[Block, tuple[int, int, float, int, float, int, int]]]:
+    """The links of each block of a group, with the block; texts are parted once."""
+    split = [words_of(t) for t in texts]
+    every = [w for s in split for w in s]
+    if not every:
+        return
+    ends = np.cumsum([len(s) for s in split])
+    buckets = buckets_of(every)
+    for block in group:
+        for found in block.links(split, every, ends, buckets):
+            yield block, found
+
+
+def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None, cosine: float = COSINE, size: int = RANK) -> Iterator[Block]:
+    """The blocks of a benchmark (item_id, text) against the weights of the documents; a block takes `RANK` items at most."""
+    size = min(size, RANK)
     spark = docs.sparkSession
     idf = weights(docs) if idf is None else idf
     named = benchmark.select("item_id", F.col("text").alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
@@ -306,7 +320,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None,
             continue
         own = [(n, block[i][1]) for n, i in enumerate(kept)]
         items = spark.createDataFrame(own, "row long, text string").repartition(max(1, len(own) // 256))
-        terms, vectors = randomised_svd(items, idf, min(RANK, len(own)))
+        terms, vectors = randomised_svd(items, idf, len(own), rounds=0)  # a basis of all rows needs no refining
         place = {int(t): i for i, t in enumerate(terms)}
         latent = np.zeros((len(own), vectors.shape[1]), dtype=np.float32)
         for n, i in enumerate(kept):
@@ -315,7 +329,14 @@ def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None,
         yield Block(idf, terms, vectors, [block[i][0] for i in kept], [words[i] for i in kept], latent, cosine)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, benchmark: DataFrame, cosine: float, size: int) -> Iterator[list[Block]]:
+    """The blocks that are matched in one pass: `BLOCK` items or a little less."""
+    every = blocks(docs, benchmark, cosine=cosine, size=size)
+    while group := [b for _, b in zip(range(max(1, BLOCK // min(size, RANK))), every, strict=False)]:
+        yield group
+
+
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, common_words, item_words, answer_share, first_word, last_word): every checked link."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -323,19 +344,20 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
     plain = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     out = None
-    for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        own, _ = sent(docs.sparkSession, block)
+    for group in groups(docs, benchmark, cosine, size):
+        own, _ = sent(docs.sparkSession, group)
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                found = own().links(_raw(batch.column(1)))
+                met = list(links(own(), _raw(batch.column(1))))
+                found = [f for _, f in met]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([f[0] for f in found], pa.int32())),
-                        pa.array([own().ids[f[1]] for f in found], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None),
+                        pa.array([b.ids[f[1]] for b, f in met], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None),
                         pa.array([f[2] for f in found], pa.float64()),
                         pa.array([f[3] for f in found], pa.int64()),
-                        pa.array([len(own().words[f[1]]) for f in found], pa.int64()),
+                        pa.array([len(b.words[f[1]]) for b, f in met], pa.int64()),
                         pa.array([f[4] for f in found], pa.float64()),
                         pa.array([f[5] for f in found], pa.int64()),
                         pa.array([f[6] for f in found], pa.int64()),
@@ -348,16 +370,16 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = RANK) -> DataFrame:
     """The documents without a link to the benchmark, all columns as they were."""
     small_batches(docs.sparkSession)
     out = docs
-    for block in blocks(docs, benchmark, cosine=cosine, size=size):
-        own, _ = sent(docs.sparkSession, block)
+    for group in groups(docs, benchmark, cosine, size):
+        own, _ = sent(docs.sparkSession, group)
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                linked = {f[0] for f in own().links(_raw(batch.column(batch.schema.get_field_index("text"))))}
+                linked = {f[0] for _, f in links(own(), _raw(batch.column(batch.schema.get_field_index("text"))))}
                 yield batch.filter(pa.array([i not in linked for i in range(batch.num_rows)]))
 
         out = out.mapInArrow(run, out.schema)

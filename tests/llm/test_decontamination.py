@@ -88,3 +88,15 @@ def test_edges(spark, documents):
     assert D.clean(docs, items).count() == 2
     assert D.find(docs, items.limit(0)).count() == 0 and D.clean(docs, items.limit(0)).count() == 5
     assert D.find(docs.limit(0), items).count() == 0
+
+
+def test_large_benchmark_finds_every_verbatim_copy(spark, documents):
+    rng = random.Random(8)
+    syllables = "an ter ing ou rel sta ti me le de con ver si ly ab".split()
+    kinds = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    some = lambda n: [rng.choice(kinds) for _ in range(n)]
+    items = [(i, some(rng.randint(15, 40))) for i in range(2100)]
+    docs = [(i, " ".join(some(40) + w + some(40))) for i, w in items] + [(5000 + i, " ".join(some(100))) for i in range(50)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find(documents(*docs), benchmark).select("doc_id", "item_id").collect()}
+    assert got == {(i, i) for i, _ in items}
