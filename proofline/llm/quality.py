@@ -6,12 +6,13 @@ and rejects documents outside their language's band: from the lower quartile
 less `WIDTH` quartile distances to the upper one plus as much. A short text
 says less about itself, so its band is wider, by the root of `SHORT` / letters.
 The model is counted over all documents with enough words and no more than
-`SYMBOL_SHARE` symbols for each word, and so are the quartiles; every document
-is scored and judged.
+`SYMBOL_SHARE` symbols for each word. The quartiles are those of their distinct
+texts, so that copies of one text do not close the band, and the distance
+counts as `LEAST_SPREAD` at least. Every document is scored and judged.
 
 A missing or empty text has no words and fails the plain rules. A language that
-is missing is one of its own. Repeated rows are judged alike. In a language
-whose documents all fail the plain rules nothing is left to judge. Other columns
+is missing is one of its own. Repeated rows are judged alike. Where a
+language has no band, the plain rules alone decide. Other columns
 pass through; columns named like a count or a verdict are replaced.
 """
 
@@ -37,6 +38,9 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 WIDTH = 3.0
 SHORT = 1600
+#: Quartile distance that a band has at least, and decimals of a log perplexity: copies may differ in their last bits.
+LEAST_SPREAD = 0.03
+DECIMALS = 9
 SYMBOL_SHARE = 0.1
 #: Rejected texts that are broadcast to take them out (about 40 bytes each).
 REJECTED = 1_000_000
@@ -137,15 +141,17 @@ def judge(df: DataFrame, width: float = WIDTH) -> DataFrame:
         same = (F.col("key") == F.col("__k")) & F.col("lang").cast("string").eqNullSafe(F.col("__l"))
         met = rules(df).join(scores, same, "left").withColumn("log_perplexity", F.col("__p"))
         rows = stored(met.drop("__k", "__l", "__p"), "quality")
+    rows = rows.withColumn("log_perplexity", F.round("log_perplexity", DECIMALS))
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     prose = ~F.col("base_failed") & (F.col("n_symbols") <= SYMBOL_SHARE * F.col("n_words"))
-    bands = rows.filter(prose).groupBy(F.col("lang").cast("string").alias("__lang")).agg(quartiles.alias("__q"))
+    texts = rows.filter(prose).groupBy("key", F.col("lang").cast("string").alias("__lang")).agg(F.min("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("__lang").agg(quartiles.alias("__q"))
     # one row per language: small, and left to Spark to send or to shuffle
     met = rows.join(bands, F.col("lang").cast("string").eqNullSafe(F.col("__lang")), "left")
     low, high = F.col("__q")[0], F.col("__q")[1]
-    room = width * (high - low) * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("word_chars", F.lit(1))))
+    room = width * F.greatest(high - low, F.lit(LEAST_SPREAD)) * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("word_chars", F.lit(1))))
     inside = F.col("log_perplexity").between(low - room, high + room)
-    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__q")
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("__lang", "__q")
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -98,3 +98,20 @@ def test_edges(documents):
     got = {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.report(documents(*rows)).collect()}
     assert got == {(1, 0, True, False), (None, 0, True, False), (3, 11, False, True), (4, 3000, True, False)}
     assert quality.report(documents(*rows).limit(0)).count() == 0
+
+
+def test_copies_do_not_close_the_band(documents, rng):
+    words = "the and of river stone house walk bright under over slow green light water field".split()
+    some = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(30, 80)))
+    own, copied = [(i, some()) for i in range(60)], some()
+    junk = [(2000, " ".join("".join(rng.choice("zqxjvwk") for _ in range(5)) for _ in range(80)))]
+    rows = own + [(100 + i, copied) for i in range(240)] + junk  # one text holds 80% of the language
+    assert {r.doc_id for r in quality.keep(documents(*rows)).collect()} == {*range(60), *range(100, 340)}
+    copies = quality.judge(documents(*rows)).filter("doc_id BETWEEN 100 AND 339")
+    assert copies.select("log_perplexity", "kept").distinct().count() == 1
+
+
+def test_without_a_band_plain_rules_decide(documents):
+    marked = " ".join(f"word{i} #" for i in range(30))  # too many symbols to teach, and no rule against it
+    got = {r.doc_id: r.kept for r in quality.report(documents((1, marked, "xx"), (2, "a b", "xx"))).collect()}
+    assert got == {1: True, 2: False}
