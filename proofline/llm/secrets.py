@@ -7,13 +7,16 @@ number. Three statistics are taken: chi-squared against equal use of the
 alphabet, runs above and below the middle of the alphabet, and serial
 correlation of neighbours.
 
-Each statistic is held against two models. Ordinary strings use signs as all
-the table's candidates outside the patterns do; from their single and double
-counts come its mean and variance at any length. Random strings use every sign
+Each statistic is held against two models. Ordinary strings use signs as the
+table's distinct candidates outside the patterns do, less those that lie nearer
+to random strings; from their single and double counts come its mean and
+variance at any length. Random strings use every sign
 alike. The three are combined by their distance between the two models, so a
 short string, which tells little, gets little. Words are made of syllables and
 so vary more than single signs would: the spread of the combined figure is
-taken from the quartiles of all candidates of an encoding and length class. The
+taken from the quartiles of the distinct ordinary candidates of an encoding and
+length class, so that neither many secrets nor many copies of one pass for
+ordinary. The
 chance that an ordinary string looks as random is the p-value. It is weighed by
 the power of the test at this length and encoding, and the false discovery rate
 over all candidates of the table is held at `RATE` (weighted
@@ -46,6 +49,8 @@ KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 16
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
 RATE = 0.01
+#: Distance between ordinary and random strings from which a string is told to be nearer to one of them.
+TELLS = 4.0
 #: A candidate is refused as random if one of three tests rejects it at this level.
 NOT_RANDOM = 0.001
 #: Bins of p-values: hundredths of a decade, up to 300 decades.
@@ -228,6 +233,34 @@ def lower_tail(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def _may_be_random(m: Column) -> Column:
+    """Whether none of the three tests refuses a measured candidate as random."""
+    k, n = m["k"].cast("double"), m["n"].cast("double")
+    chi, steps = k / n * m["squares"] - n, n - 1
+    serial = F.when(m["own"] > 0, m["products"] / m["own"]).otherwise(1.0)
+    uniform = [
+        1 - lower_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)),
+        2 * lower_tail(-F.abs(m["changes"] - steps / 2) / F.sqrt(steps / 4)),
+        2 * lower_tail(-F.abs(serial) * F.sqrt(steps)),
+    ]
+    return F.least(*uniform) > NOT_RANDOM / 3
+
+
+def _ordinary(z: Column, far: Column) -> Column:
+    """Whether a candidate is no nearer to random strings than to ordinary ones, as far as that can be told."""
+    return z.isNull() | (far < TELLS) | (z > -far / 2)
+
+
+def ordinary_of(strings: DataFrame) -> list[dict]:
+    """The model of ordinary strings from distinct candidates `m`: first of those refused as random, then of all that lie near it."""
+    refused, every = (ordinary_model(s.select("m.text")) for s in (strings.filter(~_may_be_random(F.col("m"))), strings))
+    first = [r or e for r, e in zip(refused, every, strict=True)]
+    if not any(first):
+        return first
+    near = strings.withColumn("s", _scored(F.col("m"), first)).filter(_ordinary(F.col("s.z"), F.col("s.far")))
+    return [n or f for n, f in zip(ordinary_model(near.select("m.text")), first, strict=True)]
+
+
 def _scored(m: Column, model: list[dict]) -> Column:
     """(z, far, random) of a measured candidate: how it lies to ordinary strings, and how far random ones lie."""
     of = {name: _by_encoding(m["e"], [x[name] if x else None for x in model]) for name in ("s2", "s3", "changes", "serial")}
@@ -250,14 +283,9 @@ def _scored(m: Column, model: list[dict]) -> Column:
     length = F.sqrt(sum((w * w for w in weights), F.lit(1e-12)))
     # combined, ordinary strings have mean 0 and random ones -length
     combined = sum((w * x for w, x in zip(weights, z, strict=True)), F.lit(0.0)) / length
-    uniform = [
-        1 - lower_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)),
-        2 * lower_tail(-F.abs(m["changes"] - steps / 2) / F.sqrt(steps / 4)),
-        2 * lower_tail(-F.abs(serial) * F.sqrt(steps)),
-    ]
     return F.struct(
         m["start"].alias("start"), (m["start"] + m["n"]).alias("end"), m["e"].alias("e"), combined.alias("z"), length.alias("far"),
-        (F.least(*uniform) > NOT_RANDOM / 3).alias("random"),
+        _may_be_random(m).alias("random"),
     )
 
 
@@ -272,10 +300,13 @@ def _class_of(e: Column, n: Column) -> Column:
 def _spread(each: DataFrame) -> list[tuple[float, float]]:
     """Place and spread of ordinary strings for every encoding and length class (one row for each is fetched).
 
-    A class of under 1000 candidates takes those of the largest class, as it may consist of secrets.
+    `each` holds distinct strings, of which those nearer to random ones are left out at any number. A class of under 1000
+    others, or whose middle lies nearer to random strings, takes those of the largest class left.
     """
+    each = each.filter(_ordinary(F.col("z"), F.col("far")))
     quartiles = F.percentile_approx("z", [0.25, 0.5, 0.75], 10_000).alias("q")
-    found = {r.c: (r.n, r.q) for r in each.groupBy(_class_of(F.col("e"), F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("n"), quartiles).collect()}
+    classes = each.groupBy(_class_of(F.col("e"), F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("n"), quartiles, F.avg("far").alias("far"))
+    found = {r.c: (r.n, r.q) for r in classes.collect() if r.q[1] > -r.far / 2}
     own = {c: (q[1], max(1.0, (q[2] - q[0]) / 1.349)) for c, (n, q) in found.items()}
     usual = own[max(found, key=lambda c: found[c][0])] if found else (0.0, 1.0)
     return [own[c] if found.get(c, (0,))[0] >= 1000 else (min(0.0, usual[0]), usual[1]) for c in range(len(ENCODINGS) * len(CLASSES))]
@@ -294,13 +325,16 @@ def scan(df: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """
     plain = df.drop("secrets")
     rows = stored(candidates(plain, text).withColumn("__some", F.size("__found") > 0), "secret-candidates")
-    model = ordinary_model(rows.filter("__some").select(F.explode("__found.text").alias("text")))
+    every = rows.filter("__some").select(F.explode("__found").alias("m"))
+    strings = stored(every.withColumn("__text", F.col("m.text")).dropDuplicates(["__text"]).select("m"), "secret-strings")
+    model = ordinary_of(strings)
     if not any(model):
         return rows.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__base").alias("secrets"))
     scored = F.transform("__found", lambda m: _scored(m, model))
     each = rows.filter("__some").select(F.explode(scored).alias("m")).select("m.e", "m.z", "m.far", (F.col("m.end") - F.col("m.start")).alias("n"))
     each = each.filter("z is not null")
-    spread = _spread(each)
+    kinds = strings.select(_scored(F.col("m"), model).alias("s"), F.col("m.n").alias("n")).select("s.e", "s.z", "s.far", "n")
+    spread = _spread(kinds.filter("z is not null"))
     each = each.select(*_chances(F.col("e"), F.col("n"), F.col("z"), F.col("far"), spread))
     mean, m = each.agg(F.avg("power"), F.count(F.lit(1))).first()
     if not m:

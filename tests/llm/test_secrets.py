@@ -89,3 +89,16 @@ def test_redaction(documents):
 def test_no_python_in_the_plan(documents):
     plan = secrets.report(documents(*CASES))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_secrets_and_many_copies_are_found(documents):
+    rng = random.Random(5)
+    syllables = ["an", "ter", "ing", "ou", "rel", "sta", "tion", "ment", "le", "de", "con", "ver", "sion", "ly", "ab", "le"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(7, 12)))
+    rows = [(i, " ".join(word() for _ in range(20))) for i in range(300)]
+    keys = [base64.b64encode(rng.randbytes(45)).decode() for _ in range(5000)]
+    for tokens in (keys, keys[:1] * 5000):
+        found = secrets.scan(documents(*rows, *((1000 + i, f"see {k} there") for i, k in enumerate(tokens))))
+        hits = {r.doc_id: r.text[s.start : s.end] for r in found.filter(F.size("secrets") > 0).collect() for s in r.secrets}
+        assert sum(hits.get(1000 + i) == k for i, k in enumerate(tokens)) >= 4750
+        assert sum(i < 1000 for i in hits) <= 60
