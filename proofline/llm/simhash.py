@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import small_batches, stored
+from proofline.llm.common import small_batches, stored, text_of
 from proofline.llm.components import components
 
 RADIUS = 3
@@ -257,12 +257,13 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
-    """The rows of `df` whose id names their group: one document of each group of near duplicates.
+    """One row of each group of near duplicates: that of the smallest id, among those of the smallest hash of the text.
 
-    Rows with the same id count as one document, of which one row stays; a missing id counts as an id that comes last.
+    A missing id comes last. Rows alike in id and text are one; different texts under one id are not.
     """
-    kept = near_duplicates(df).filter(F.col("id").eqNullSafe(F.col("component")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    ids = kept.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__key"))
-    met = df.withColumn("__key", key).join(ids, "__key", "left_semi")
-    return met.dropDuplicates(["__key"]).drop("__key")
+    mark = F.xxhash64(text_of())
+    name = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    groups = near_duplicates(df.select(name.alias("__name"), "text"), "__name").select("component").distinct()
+    kept = groups.select(F.col("component.id").alias("__id"), F.col("component.mark").alias("__kept"))
+    met = df.withColumn("__mark", mark).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__kept")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__mark"]).drop("__mark")

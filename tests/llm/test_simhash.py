@@ -84,3 +84,11 @@ def test_ids_missing_in_a_whole_group(documents):
     got = simhash.report(documents((None, "a b c d"), (None, "a b c d"))).collect()
     assert [r.component_id for r in got] == [None, None]
     assert simhash.one_of_each(documents((None, "a b c d"), (None, "a b c d"))).count() == 1
+
+
+def test_one_row_of_each_group_whatever_its_id(documents):
+    a, b, c = "stone river light water", "green house under walk", "slow field bright over"
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, "other words than those"), (3, a)]
+    kept = simhash.one_of_each(documents(*rows)).collect()
+    assert sorted(r.text for r in kept) == sorted({a, b, c, "other words than those"})
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 1]
