@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm import (
+    clusters,
     decontamination,
     html_text,
     packing,
     quality,
+    ranking,
     repeats,
     secrets,
     sentencepiece_bpe,
     sharding,
     simhash,
     warc,
+    word_bpe,
 )
 from proofline.llm.common import table
 
@@ -75,6 +78,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), word_bpe.load_model(tokenizer_file("word_bpe_49k.json")))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
 _QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html_text": op2_html_text,
@@ -86,6 +101,9 @@ _QUERIES = {
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_clusters": op13_clusters,
 }
 
 
@@ -94,4 +112,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE}
+    return {"op8_warc": warc.ORACLE, "op11_ranked_search": ranking.ORACLE, "op13_clusters": clusters.ORACLE}
