@@ -7,34 +7,36 @@ number. Three statistics are taken: chi-squared against equal use of the
 alphabet, runs above and below the middle of the alphabet, and serial
 correlation of neighbours.
 
-Each statistic is held against two models. Ordinary strings use signs as the
-table's distinct candidates outside the patterns do, less those that lie nearer
-to random strings; from their single and double counts come its mean and
-variance at any length. Random strings use every sign
-alike. The three are combined by their distance between the two models, so a
-short string, which tells little, gets little. Words are made of syllables and
-so vary more than single signs would: the spread of the combined figure is
-taken from the quartiles of the distinct ordinary candidates of an encoding and
-length class, so that neither many secrets nor many copies of one pass for
-ordinary. The
-chance that an ordinary string looks as random is the p-value. It is weighed by
-the power of the test at this length and encoding, and the false discovery rate
-over all candidates of the table is held at `RATE` (weighted
-Benjamini-Hochberg; p-values are rounded up to hundredths of a decade, which
-bounds the table that settles the limit). A candidate is reported if it is
-below the limit, is not refused as random, and touches no match of a pattern.
+Each statistic is held against two models. Ordinary strings use signs as a fixed
+reference model says (shares of letters in prose, a few capitals and digits, signs
+followed by their own kind), to which the counts of the table's distinct
+candidates outside the patterns are added, less those that lie nearer to random
+strings; from single and double counts come mean and variance at any length.
+Random strings use every sign alike. The three are combined by their distance
+between the two models, so a short string, which tells little, gets little. Words
+are made of syllables and so vary more than single signs would: the spread of the
+combined figure starts from a usual one and takes in the quartiles of the
+distinct ordinary candidates of an encoding and length class. Neither has a least
+number of strings, so what is found does not hang on the size of a table, and
+neither many secrets nor many copies of one pass for ordinary. The chance that an
+ordinary string looks as random is the p-value. It is weighed by the power of the
+test at this length and encoding, and the false discovery rate over all candidates
+of the table is held at `RATE` (weighted Benjamini-Hochberg; p-values are rounded
+up to hundredths of a decade, which bounds the table that settles the limit). A
+candidate is reported if it is below the limit, is not refused as random, and
+touches no match of a pattern.
 
 Places are code points, ends exclusive. A missing or empty text has no spans.
 Repeated rows count as often as they occur. Columns of other names pass
 through; columns named like an output are replaced. Building the result runs
-jobs: the candidates are stored once, and two small aggregates are fetched.
+jobs: rows and candidates are stored, and small aggregates are fetched.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.common import stored, text_of
@@ -65,15 +67,25 @@ ENCODINGS = (
     ("lower", _LOWER),
     ("upper", _UPPER),
     ("base32", _UPPER + "234567"),
-    ("lower36", _DIGITS + _LOWER),
-    ("upper36", _DIGITS + _UPPER),
-    ("letters", _UPPER + _LOWER),
-    ("base62", _UPPER + _LOWER + _DIGITS),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
-    ("all", _UPPER + _LOWER + _DIGITS + "+/-_"),
+    ("lower36", _LOWER + _DIGITS),
+    ("upper36", _UPPER + _DIGITS),
+    ("letters", _LOWER + _UPPER),
+    ("base62", _LOWER + _UPPER + _DIGITS),
+    ("base64", _LOWER + _UPPER + _DIGITS + "+/"),
+    ("base64url", _LOWER + _UPPER + _DIGITS + "-_"),
+    ("all", _LOWER + _UPPER + _DIGITS + "+/-_"),
 )
 
+# How often letters stand in Latin-script prose, in thousandths, from a to z.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: What the reference model of ordinary strings takes for granted: shares of capitals, digits and other signs, how much
+#: likelier a sign is followed by one of its own kind, and how much likelier vowels and consonants take turns.
+CAPITALS, NUMBERS, OTHERS, SAME_KIND, TURNS = 0.15, 0.05, 0.02, 1.5, 1.5
+#: Signs and pairs that the reference model counts as, beside those of the table, and strings that a class's usual spread does.
+REFERENCE_SIGNS, REFERENCE_STRINGS = 5000, 200
+#: Spread of ordinary strings where the table says nothing: words are made of syllables, so more than single signs would have.
+USUAL_SPREAD = 2.0
+
 
 def running(values: Column, combine) -> Column:
     """Running totals of an array by doubling steps, so that long arrays stay cheap."""
@@ -140,82 +152,111 @@ def _encoding(text: Column) -> Column:
     return number
 
 
-def _by_encoding(encoding: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), encoding + 1)
-
-
-def _statistics(found: Column) -> Column:
-    """Adds to each (start, text) its encoding, length, sum of squared counts, changes of side and products of neighbours."""
-    numbered = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), _encoding(m["text"]).alias("e")))
-    alphabets, sizes = [a for _, a in ENCODINGS], [len(a) for _, a in ENCODINGS]
-    valued = F.transform(numbered, lambda m: F.struct(
-        m["start"].alias("start"), m["text"].alias("text"), m["e"].alias("e"), _by_encoding(m["e"], sizes).alias("k"),
-        F.transform(F.split(m["text"], ""), lambda c: F.instr(_by_encoding(m["e"], alphabets), c)).alias("v"),
+def _table(spark: SparkSession, key: str, **columns: list) -> DataFrame:
+    """A small table from lists, numbered from 0 in `key`. No larger than encodings and length classes, so it may go to all."""
+    size = len(next(iter(columns.values())))
+    return F.broadcast(spark.range(size).select(
+        F.col("id").cast("int").alias(key),
+        *[F.element_at(F.array(*[F.lit(v) for v in values]), F.col("id").cast("int") + 1).alias(name) for name, values in columns.items()],
     ))
 
-    def measured(m: Column) -> Column:
-        v, k, n = m["v"], m["k"], F.size(m["v"])
-        # the squares grow by 2c + 1 when a sign is met for the c + 1st time; sorted, equal signs are neighbours
-        squares = F.aggregate(
-            F.array_sort(v), F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("sum")),
-            lambda a, x: F.struct(
-                x.alias("last"),
-                F.when(x == a["last"], a["c"] + 1).otherwise(F.lit(1).cast("long")).alias("c"),
-                (a["sum"] + F.when(x == a["last"], 2 * a["c"] + 1).otherwise(F.lit(1).cast("long"))).alias("sum"),
-            ),
-            lambda a: a["sum"],
-        )
-        first, second = F.slice(v, F.lit(1), n - 1), F.slice(v, F.lit(2), n - 1)
-        changes = F.zip_with(first, second, lambda x, y: ((2 * x <= k) != (2 * y <= k)).cast("int"))
-        products = F.zip_with(first, second, lambda x, y: (2 * x - k - 1) * (2 * y - k - 1))
-        total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.struct(
-            m["start"].alias("start"), m["text"].alias("text"), m["e"].alias("e"), k.alias("k"), n.alias("n"), squares.alias("squares"),
-            total(changes).alias("changes"), total(products).alias("products"),
-            total(F.transform(v, lambda x: (2 * x - k - 1) * (2 * x - k - 1))).alias("own"),
-        )
-
-    return F.transform(valued, measured)
-
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `base` (spans of the patterns) and `found` (candidates outside them, with statistics). Columns clash by `__`."""
+    """Adds `__base` (spans of the patterns), `__outside` (array<struct<start, text>>: candidates that touch none) and `__row`."""
     body = text_of(f"`{text}`")
-    with_base = df.withColumn("__base", base_spans(body))
-    outside = F.filter(
-        matches(body, CANDIDATE, body.rlike(CANDIDATE.replace(",}", "}"))),
-        lambda m: ~_touches(F.col("__base"), m["start"], m["start"] + F.length(m["text"])),
+    placed = df.withColumn("__base", base_spans(body)).withColumn(
+        "__runs", matches(body, CANDIDATE, body.rlike(CANDIDATE.replace(",}", "}")))
+    )
+    outside = F.filter("__runs", lambda m: ~_touches(F.col("__base"), m["start"], m["start"] + F.length(m["text"])))
+    return placed.withColumn("__outside", outside).drop("__runs").withColumn("__row", F.monotonically_increasing_id())
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Each candidate as a row: encoding, length, sum of squared counts, changes of side and products of neighbours."""
+    found = rows.filter(F.size("__outside") > 0).select("__row", F.explode("__outside").alias("m"))
+    found = found.select("__row", "m.start", "m.text").withColumn("e", _encoding(F.col("text")))
+    alphabets = _table(rows.sparkSession, "e", alphabet=[a for _, a in ENCODINGS], k=[len(a) for _, a in ENCODINGS])
+    valued = found.join(alphabets, "e").select(
+        "__row", "start", "text", "e", "k", F.transform(F.split("text", ""), lambda c: F.instr(F.col("alphabet"), c)).alias("v")
+    )
+    v, k, n = F.col("v"), F.col("k"), F.size("v")
+    # the squares grow by 2c + 1 when a sign is met for the c + 1st time; sorted, equal signs are neighbours
+    squares = F.aggregate(
+        F.array_sort(v), F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("sum")),
+        lambda a, x: F.struct(
+            x.alias("last"),
+            F.when(x == a["last"], a["c"] + 1).otherwise(F.lit(1).cast("long")).alias("c"),
+            (a["sum"] + F.when(x == a["last"], 2 * a["c"] + 1).otherwise(F.lit(1).cast("long"))).alias("sum"),
+        ),
+        lambda a: a["sum"],
     )
-    return with_base.withColumn("__outside", outside).withColumn("__found", _statistics(F.col("__outside"))).drop("__outside")
+    # one walk over neighbours: the sign before, changes of side, products, and the signs' own squares
+    zero = F.lit(0).cast("long")
+    walk = F.aggregate(
+        v, F.struct(F.lit(0).alias("last"), zero.alias("changes"), zero.alias("products"), zero.alias("own")),
+        lambda a, x: F.struct(
+            x.alias("last"),
+            (a["changes"] + F.when((a["last"] > 0) & ((2 * a["last"] <= k) != (2 * x <= k)), 1).otherwise(0)).alias("changes"),
+            (a["products"] + F.when(a["last"] > 0, (2 * a["last"] - k - 1) * (2 * x - k - 1)).otherwise(0)).alias("products"),
+            (a["own"] + (2 * x - k - 1) * (2 * x - k - 1)).alias("own"),
+        ),
+    )
+    return valued.select("__row", "start", "text", "e", "k", n.alias("n"), squares.alias("squares"), walk.alias("w")).select(
+        "__row", "start", "text", "e", "k", "n", "squares", "w.changes", "w.products", "w.own"
+    )
+
 
+def _kind(sign: str) -> int:
+    return 0 if sign in _LOWER else 1 if sign in _UPPER else 2 if sign in _DIGITS else 3
+
+
+def reference_shares() -> dict[str, float]:
+    """How often each sign stands in ordinary strings, before any table is seen."""
+    plain = dict(zip(_LOWER, (n / sum(LETTERS) for n in LETTERS), strict=True))
+    out = {c: q * (1 - CAPITALS - NUMBERS - OTHERS) for c, q in plain.items()}
+    out |= {c.upper(): q * CAPITALS for c, q in plain.items()}
+    out |= {c: NUMBERS / 10 for c in _DIGITS} | {c: OTHERS / 4 for c in "+/-_"}
+    return out
 
-def ordinary_model(found: DataFrame) -> list[dict]:
-    """Per encoding what ordinary strings do: sums of squared and cubed shares, rate of changes, correlation; None if unknown.
 
-    Counts over all candidates meet in a table of pairs of signs (at most 66 x 66 rows), which is all that is fetched.
+def _follows(x: str, y: str) -> float:
+    """How much likelier than by its share `y` follows `x` in the reference model."""
+    vowels = "aeiouyAEIOUY"
+    turn = TURNS if _kind(x) < 2 and _kind(y) < 2 and (x in vowels) != (y in vowels) else 1.0
+    return turn * (SAME_KIND if _kind(x) == _kind(y) else 1.0)
+
+
+def ordinary_model(found: DataFrame | None) -> list[dict]:
+    """Per encoding what ordinary strings do: sums of squared and cubed shares, rate of changes, correlation.
+
+    The reference model counts as `REFERENCE_SIGNS` signs and pairs; those of the candidates are added to it, at any
+    number. Counts over all candidates meet in a table of pairs of signs (at most 66 x 66 rows), which is all that is fetched.
     """
-    signs = found.select(F.explode(F.split("text", "")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    letters = F.split("text", "")
-    pairs = found.select(F.explode(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
-    pairs = pairs.filter("p.y is not null").groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
-    single = {r.x: r.n for r in signs.collect()}
-    double = {(r.x, r.y): r.n for r in pairs.collect()}
+    single: dict = {}
+    double: dict = {}
+    if found is not None:
+        signs = found.select(F.explode(F.split("text", "")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        letters = F.split("text", "")
+        pairs = found.select(F.explode(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
+        pairs = pairs.filter("p.y is not null").groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
+        single = {r.x: r.n for r in signs.collect()}
+        double = {(r.x, r.y): r.n for r in pairs.collect()}
+    usual = reference_shares()
     out = []
     for _, alphabet in ENCODINGS:
         k = len(alphabet)
         number = {c: i + 1 for i, c in enumerate(alphabet)}
-        counts = [single.get(c, 0) for c in alphabet]
-        total = sum(counts)
-        near = [(number[x], number[y], n) for (x, y), n in double.items() if x in number and y in number]
-        met = sum(n for *_, n in near)
-        if total < 1000 or met < 1000:  # too few to tell what is ordinary
-            out.append(None)
-            continue
+        whole = sum(usual[c] for c in alphabet)
+        counts = [single.get(c, 0) + REFERENCE_SIGNS * usual[c] / whole for c in alphabet]
+        guess = {(x, y): usual[x] * usual[y] * _follows(x, y) for x in alphabet for y in alphabet}
+        scale = REFERENCE_SIGNS / sum(guess.values())
+        near = [(number[x], number[y], double.get((x, y), 0) + scale * n) for (x, y), n in guess.items()]
+        met, total = sum(n for *_, n in near), sum(counts)
         shares = [c / total for c in counts]
         own = sum(n * ((2 * x - k - 1) ** 2 + (2 * y - k - 1) ** 2) / 2 for x, y, n in near)
         out.append({
             "s2": sum(q**2 for q in shares), "s3": sum(q**3 for q in shares),
-            "changes": min(max(sum(n for x, y, n in near if (2 * x <= k) != (2 * y <= k)) / met, 1e-6), 1 - 1e-6),
+            "rate": min(max(sum(n for x, y, n in near if (2 * x <= k) != (2 * y <= k)) / met, 1e-6), 1 - 1e-6),
             "serial": sum(n * (2 * x - k - 1) * (2 * y - k - 1) for x, y, n in near) / own,
         })
     return out
@@ -233,130 +274,138 @@ def lower_tail(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-def _may_be_random(m: Column) -> Column:
+def _may_be_random() -> Column:
     """Whether none of the three tests refuses a measured candidate as random."""
-    k, n = m["k"].cast("double"), m["n"].cast("double")
-    chi, steps = k / n * m["squares"] - n, n - 1
-    serial = F.when(m["own"] > 0, m["products"] / m["own"]).otherwise(1.0)
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    chi, steps = k / n * F.col("squares") - n, n - 1
+    serial = F.when(F.col("own") > 0, F.col("products") / F.col("own")).otherwise(1.0)
     uniform = [
         1 - lower_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)),
-        2 * lower_tail(-F.abs(m["changes"] - steps / 2) / F.sqrt(steps / 4)),
+        2 * lower_tail(-F.abs(F.col("changes") - steps / 2) / F.sqrt(steps / 4)),
         2 * lower_tail(-F.abs(serial) * F.sqrt(steps)),
     ]
     return F.least(*uniform) > NOT_RANDOM / 3
 
 
-def _ordinary(z: Column, far: Column) -> Column:
-    """Whether a candidate is no nearer to random strings than to ordinary ones, as far as that can be told."""
-    return z.isNull() | (far < TELLS) | (z > -far / 2)
+def _ordinary() -> Column:
+    """Whether a scored candidate is no nearer to random strings than to ordinary ones, as far as that can be told."""
+    return (F.col("far") < TELLS) | (F.col("z") > -F.col("far") / 2)
 
 
-def ordinary_of(strings: DataFrame) -> list[dict]:
-    """The model of ordinary strings from distinct candidates `m`: first of those refused as random, then of all that lie near it."""
-    refused, every = (ordinary_model(s.select("m.text")) for s in (strings.filter(~_may_be_random(F.col("m"))), strings))
-    first = [r or e for r, e in zip(refused, every, strict=True)]
-    if not any(first):
-        return first
-    near = strings.withColumn("s", _scored(F.col("m"), first)).filter(_ordinary(F.col("s.z"), F.col("s.far")))
-    return [n or f for n, f in zip(ordinary_model(near.select("m.text")), first, strict=True)]
-
-
-def _scored(m: Column, model: list[dict]) -> Column:
-    """(z, far, random) of a measured candidate: how it lies to ordinary strings, and how far random ones lie."""
-    of = {name: _by_encoding(m["e"], [x[name] if x else None for x in model]) for name in ("s2", "s3", "changes", "serial")}
-    k, n = m["k"].cast("double"), m["n"].cast("double")
-    chi = k / n * m["squares"] - n
-    mean = k * (1 + (n - 1) * of["s2"]) - n
-    spread = 4 * n * (n - 1) * (n - 2) * (of["s3"] - of["s2"] * of["s2"]) + 2 * n * (n - 1) * (of["s2"] - of["s2"] * of["s2"])
-    deviation = k / n * F.sqrt(F.greatest(spread, F.lit(1e-9)))
-    z = [(chi - mean) / deviation]
-    far = [(mean - (k - 1)) / deviation]
-    rate, steps = of["changes"], n - 1
-    deviation = F.sqrt(steps * rate * (1 - rate))
-    side = F.signum(0.5 - rate)
-    z.append(side * (steps * rate - m["changes"]) / deviation)
-    far.append(F.abs(0.5 - rate) * steps / deviation)
-    serial = F.when(m["own"] > 0, m["products"] / m["own"]).otherwise(1.0)
-    z.append(F.signum(of["serial"]) * (serial - of["serial"]) * F.sqrt(steps))
-    far.append(F.abs(of["serial"]) * F.sqrt(steps))
-    weights = [F.greatest(d, F.lit(0.0)) for d in far]
-    length = F.sqrt(sum((w * w for w in weights), F.lit(1e-12)))
-    # combined, ordinary strings have mean 0 and random ones -length
-    combined = sum((w * x for w, x in zip(weights, z, strict=True)), F.lit(0.0)) / length
-    return F.struct(
-        m["start"].alias("start"), (m["start"] + m["n"]).alias("end"), m["e"].alias("e"), combined.alias("z"), length.alias("far"),
-        _may_be_random(m).alias("random"),
+def scored(found: DataFrame, model: list[dict]) -> DataFrame:
+    """Adds `z` and `far` to measured candidates: how they lie to ordinary strings, and how far random ones lie."""
+    names = ("s2", "s3", "rate", "serial")
+    rows = found.join(_table(found.sparkSession, "e", **{f"__{n}": [float(x[n]) for x in model] for n in names}), "e")
+    s2, s3, rate, usual = (F.col(f"__{n}") for n in names)
+    k, n, steps = F.col("k").cast("double"), F.col("n").cast("double"), F.col("n").cast("double") - 1
+    spread = 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2) + 2 * n * (n - 1) * (s2 - s2 * s2)
+    rows = rows.select(
+        *found.columns,
+        (k / n * F.sqrt(F.greatest(spread, F.lit(1e-9)))).alias("__d1"), F.sqrt(steps * rate * (1 - rate)).alias("__d2"),
+        (k / n * F.col("squares") - n).alias("__chi"), (k * (1 + (n - 1) * s2) - n).alias("__mean"),
+        F.when(F.col("own") > 0, F.col("products") / F.col("own")).otherwise(1.0).alias("__own"), rate.alias("__rate"), usual.alias("__usual"),
+    )
+    side, sign, root = F.signum(0.5 - F.col("__rate")), F.signum("__usual"), F.sqrt(steps)
+    rows = rows.select(
+        *found.columns,
+        F.greatest((F.col("__mean") - (k - 1)) / F.col("__d1"), F.lit(0.0)).alias("__w1"), ((F.col("__chi") - F.col("__mean")) / F.col("__d1")).alias("__z1"),
+        (F.abs(0.5 - F.col("__rate")) * steps / F.col("__d2")).alias("__w2"),
+        (side * (steps * F.col("__rate") - F.col("changes")) / F.col("__d2")).alias("__z2"),
+        (F.abs("__usual") * root).alias("__w3"), (sign * (F.col("__own") - F.col("__usual")) * root).alias("__z3"),
     )
+    w, z = [F.col(f"__w{i}") for i in (1, 2, 3)], [F.col(f"__z{i}") for i in (1, 2, 3)]
+    rows = rows.select(
+        *found.columns, F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2] + 1e-12).alias("far"), (w[0] * z[0] + w[1] * z[1] + w[2] * z[2]).alias("__sum")
+    )
+    # combined, ordinary strings have mean 0 and random ones -far
+    return rows.withColumn("z", F.col("__sum") / F.col("far")).drop("__sum")
 
 
 #: Lengths from which a class of its own begins.
 CLASSES = (16, 20, 24, 32, 48, 64, 128)
 
 
-def _class_of(e: Column, n: Column) -> Column:
-    return e * len(CLASSES) + sum(((n >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
+def _class() -> Column:
+    return F.col("e") * len(CLASSES) + sum(((F.col("n") >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
+
+
+def ordinary_of(strings: DataFrame) -> list[dict]:
+    """The model of ordinary strings from distinct measured candidates, less those that lie nearer to random ones.
+
+    The reference model tells first which those are; what it keeps makes the model.
+    """
+    return ordinary_model(scored(strings, ordinary_model(None)).filter(_ordinary()).select("text"))
 
 
 def _spread(each: DataFrame) -> list[tuple[float, float]]:
     """Place and spread of ordinary strings for every encoding and length class (one row for each is fetched).
 
-    `each` holds distinct strings, of which those nearer to random ones are left out at any number. A class of under 1000
-    others, or whose middle lies nearer to random strings, takes those of the largest class left.
+    `each` holds distinct scored strings, of which those nearer to random ones are left out. Each class takes its own
+    quartiles and lower tail, and the usual spread, which counts as `REFERENCE_STRINGS` strings, at any number; a class whose middle
+    lies nearer to random strings keeps the usual one.
     """
-    each = each.filter(_ordinary(F.col("z"), F.col("far")))
-    quartiles = F.percentile_approx("z", [0.25, 0.5, 0.75], 10_000).alias("q")
-    classes = each.groupBy(_class_of(F.col("e"), F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("n"), quartiles, F.avg("far").alias("far"))
-    found = {r.c: (r.n, r.q) for r in classes.collect() if r.q[1] > -r.far / 2}
-    own = {c: (q[1], max(1.0, (q[2] - q[0]) / 1.349)) for c, (n, q) in found.items()}
-    usual = own[max(found, key=lambda c: found[c][0])] if found else (0.0, 1.0)
-    return [own[c] if found.get(c, (0,))[0] >= 1000 else (min(0.0, usual[0]), usual[1]) for c in range(len(ENCODINGS) * len(CLASSES))]
+    quartiles = F.percentile_approx("z", [0.25, 0.5, 0.75, 0.05, 0.01], 10_000).alias("q")
+    classes = each.filter(_ordinary()).groupBy(_class().alias("c")).agg(F.count(F.lit(1)).alias("n"), quartiles, F.avg("far").alias("far"))
+    out = [(0.0, USUAL_SPREAD)] * (len(ENCODINGS) * len(CLASSES))
+    for r in classes.collect():
+        if r.q[1] > -r.far / 2:
+            # the tail towards random strings may be longer than the middle tells
+            own = max(1.0, (r.q[2] - r.q[0]) / 1.349, (r.q[1] - r.q[3]) / 1.645, (r.q[1] - r.q[4]) / 2.326)
+            share = r.n / (r.n + REFERENCE_STRINGS)
+            out[r.c] = (share * r.q[1], math.sqrt(share * own**2 + (1 - share) * USUAL_SPREAD**2))
+    return out
 
 
-def _chances(e: Column, n: Column, z: Column, far: Column, spread: list[tuple[float, float]]) -> tuple[Column, Column]:
-    """The p-value of a candidate, and the power of the test at its length."""
-    place, width = (_by_encoding(_class_of(e, n), [float(s[i]) for s in spread]) for i in (0, 1))
-    return lower_tail((z - place) / width).alias("p"), lower_tail((far + place) / width - 3.0).alias("power")
+def judged(found: DataFrame, spread: list[tuple[float, float]]) -> DataFrame:
+    """Adds to scored candidates the p-value `p` and the `power` of the test at their length and encoding."""
+    classes = _table(found.sparkSession, "__class", __place=[s[0] for s in spread], __width=[s[1] for s in spread])
+    rows = found.withColumn("__class", _class()).join(classes, "__class")
+    place, width = F.col("__place"), F.col("__width")
+    return rows.withColumns({
+        "p": lower_tail((F.col("z") - place) / width), "power": lower_tail((F.col("far") + place) / width - 3.0)
+    }).drop("__class", "__place", "__width")
 
 
-def scan(df: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """Adds `secrets`: array<struct<start, kind, end>> by start and kind; kind is a place in `KINDS`.
-
-    Only columns of `df` are read beside the text; they are written once to the shared folder with what is found.
-    """
-    plain = df.drop("secrets")
-    rows = stored(candidates(plain, text).withColumn("__some", F.size("__found") > 0), "secret-candidates")
-    every = rows.filter("__some").select(F.explode("__found").alias("m"))
-    strings = stored(every.withColumn("__text", F.col("m.text")).dropDuplicates(["__text"]).select("m"), "secret-strings")
+def random_spans(rows: DataFrame, rate: float = RATE) -> DataFrame | None:
+    """(__row, spans) of the candidates told from ordinary strings; None if there are no candidates. Runs jobs."""
+    found = stored(measured(rows), "secret-strings")
+    strings = found.dropDuplicates(["text"])
     model = ordinary_of(strings)
-    if not any(model):
-        return rows.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__base").alias("secrets"))
-    scored = F.transform("__found", lambda m: _scored(m, model))
-    each = rows.filter("__some").select(F.explode(scored).alias("m")).select("m.e", "m.z", "m.far", (F.col("m.end") - F.col("m.start")).alias("n"))
-    each = each.filter("z is not null")
-    kinds = strings.select(_scored(F.col("m"), model).alias("s"), F.col("m.n").alias("n")).select("s.e", "s.z", "s.far", "n")
-    spread = _spread(kinds.filter("z is not null"))
-    each = each.select(*_chances(F.col("e"), F.col("n"), F.col("z"), F.col("far"), spread))
+    spread = _spread(scored(strings, model))
+    kept = ("__row", "start", "n", "p", "power")
+    each = stored(judged(scored(found, model), spread).select(*kept, _may_be_random().alias("random")), "secret-chances")
     mean, m = each.agg(F.avg("power"), F.count(F.lit(1))).first()
     if not m:
-        return rows.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__base").alias("secrets"))
-
-    def bin_of(p: Column, power: Column) -> Column:
-        weighed = F.least(p * F.lit(float(mean)) / F.greatest(power, F.lit(1e-300)), F.lit(1.0))
-        return F.floor(-F.log10(F.greatest(weighed, F.lit(1e-300))) * BINS)
-
-    held = {r.bin: r.n for r in each.groupBy(bin_of(F.col("p"), F.col("power")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit, rank = None, 0
+        return None
+    weighed = F.least(F.col("p") * F.lit(float(mean)) / F.greatest("power", F.lit(1e-300)), F.lit(1.0))
+    each = each.withColumn("bin", F.floor(-F.log10(F.greatest(weighed, F.lit(1e-300))) * BINS))
+    held = {r.bin: r.n for r in each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limit, rank = 10**9, 0
     for b in sorted(held, reverse=True):
         rank += held[b]
         if m * 10 ** (-b / BINS) <= rate * rank:
             limit = b
-    low = F.lit(limit if limit is not None else 10**9)
-    passed = F.filter(
-        scored, lambda c: c["random"] & (bin_of(*_chances(c["e"], c["end"] - c["start"], c["z"], c["far"], spread)) >= low)
+    span = F.struct("start", F.lit(3).alias("kind"), (F.col("start") + F.col("n")).alias("end"))
+    return each.filter(F.col("random") & (F.col("bin") >= limit)).groupBy("__row").agg(F.collect_list(span).alias("__extra"))
+
+
+def scan(df: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """Adds `secrets`: array<struct<start, kind, end>> by start and kind; kind is a place in `KINDS`.
+
+    The rows are written once to the shared folder with what the patterns find. Candidates go on as rows of their own,
+    without the text they stand in; only rows that have any meet the spans found.
+    """
+    plain = df.drop("secrets")
+    rows = stored(candidates(plain, text), "secret-candidates")
+    spans = random_spans(rows, rate)
+    own = [F.col(f"`{c}`") for c in plain.columns]
+    if spans is None:
+        return rows.select(*own, F.col("__base").alias("secrets"))
+    asked = rows.filter(F.size("__outside") > 0).join(spans, "__row", "left")
+    extra = F.coalesce("__extra", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    return asked.select(*own, F.array_sort(F.concat("__base", extra)).alias("secrets")).unionByName(
+        rows.filter(F.size("__outside") == 0).select(*own, F.col("__base").alias("secrets"))
     )
-    extra = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    every = F.when(F.col("__some"), F.array_sort(F.concat("__base", extra))).otherwise(F.col("__base"))
-    return rows.withColumn("secrets", every).drop("__base", "__found", "__some")
 
 
 def spelled(spans: Column) -> Column:

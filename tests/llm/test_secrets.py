@@ -102,3 +102,30 @@ def test_many_secrets_and_many_copies_are_found(documents):
         hits = {r.doc_id: r.text[s.start : s.end] for r in found.filter(F.size("secrets") > 0).collect() for s in r.secrets}
         assert sum(hits.get(1000 + i) == k for i, k in enumerate(tokens)) >= 4750
         assert sum(i < 1000 for i in hits) <= 60
+
+
+def _ordinary(rng):
+    part = lambda most: "".join(rng.choice(["an", "ter", "ing", "ou", "rel", "sta", "tion", "ment", "le", "de", "con", "ver"]) for _ in range(rng.randint(1, most)))
+    kinds = (lambda: part(12) + part(9), lambda: "".join(part(3).capitalize() for _ in range(4)), lambda: "-".join(part(3) for _ in range(4)), lambda: part(4) + "_" + part(4) + str(rng.randint(1, 2030)))
+    return rng.choice(kinds)()
+
+
+def test_what_is_found_does_not_hang_on_the_size_of_the_table(documents):
+    rng = random.Random(8)
+    signs = dict(secrets.ENCODINGS)
+    for ordinary, tokens in ((0, 1), (0, 30), (60, 30), (2500, 30)):
+        rows = [(i, f"see {_ordinary(rng)} there") for i in range(ordinary)]
+        keys = {10_000 + j: "".join(rng.choice(signs[e]) for _ in range(n)) for j, (e, n) in enumerate([(e, n) for e in ("letters", "base62", "base64", "base64url") for n in (40, 64)] * tokens)}
+        found = secrets.scan(documents(*rows, *((i, f"see {k} there") for i, k in keys.items()))).filter(F.size("secrets") > 0).collect()
+        hits = {r.doc_id: r.text[s.start : s.end] for r in found for s in r.secrets}
+        assert sum(hits.get(i) == k for i, k in keys.items()) >= 0.9 * len(keys), (ordinary, tokens)
+        assert sum(i < 10_000 for i in hits) <= 0.01 * ordinary
+
+
+def test_no_expression_is_too_large_for_generated_code(documents):
+    rows = secrets.candidates(documents(*CASES))
+    found = secrets.judged(secrets.scored(secrets.measured(rows), secrets.ordinary_model(None)), [(0.0, 1.0)] * (len(secrets.ENCODINGS) * len(secrets.CLASSES)))
+    for df in (rows, found):
+        generated = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [int(m) for m in re.findall(r"maxMethodCodeSize:\s*(\d+)", generated.toString())]
+        assert max(sizes, default=0) < 64 * 1024
