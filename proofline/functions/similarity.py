@@ -8,7 +8,7 @@ at once with numpy, one bit per keyword letter.
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -126,6 +126,16 @@ def best_window_ratios(keyword: str, table: WordTable, at_least: float) -> np.nd
         shared = np.concatenate(([0], (bits > 0).cumsum()))
         enough = shared[start[near] + sizes[near]] - shared[start[near]] >= at_least * (size + sizes[near]) / 200.0 - 1e-9
         near = near[enough]
+    # Nor one with too few of its runs of three letters: a letter gone breaks three, one put in breaks two.
+    if bits is not None and len(near) and size >= 3 and len(bits) >= 3:
+        triple = np.zeros(len(bits), dtype=np.int64)
+        triple[:-2] = (bits[:-2] & (bits[1:-1] >> np.uint64(1)) & (bits[2:] >> np.uint64(2))) > 0
+        held = np.concatenate(([0], triple.cumsum()))
+        own = sizes[near]
+        common = np.ceil(at_least * (size + own) / 200.0 - 1e-9).astype(np.int64)
+        whole = own - 2 - 3 * (own - common) - 2 * (size - common)
+        last = start[near] + np.maximum(own - 2, 0)
+        near = near[held[last] - held[start[near]] >= whole]
     start, sizes, owner = start[near], sizes[near], owner[near]
     if len(start):
         scores = 200.0 * _lcs_runs(keyword, table.codes, bits, start, sizes) / (size + sizes)
@@ -149,34 +159,218 @@ def _lcs_runs(keyword: str, codes: np.ndarray, bits: np.ndarray | None, start: n
     return np.bitwise_count((~state) & full).astype(np.int64)
 
 
-def partial_ratio_text(keyword: str, text: str) -> float:
-    """Best ratio of a keyword with any stretch of the text no longer than it."""
-    if not keyword or not text:
-        return 0.0
-    if len(text) < len(keyword):
-        keyword, text = text, keyword
-    size = len(keyword)
-    codes = np.array([ord(c) for c in text], dtype=np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(codes, size)
-    best = float(_lcs_many(keyword, windows).max()) * 100.0 / size
-    # Stretches cut off by the beginning or the end of the text.
-    edges = [text[:n] for n in range(1, size)] + [text[-n:] for n in range(1, size)]
-    if edges:
-        scores = 200.0 * _lcs_many(keyword, _pad(edges)) / (size + np.array([len(e) for e in edges]))
-        best = max(best, float(scores.max()))
-    return best
+def lcs_pairs(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """LCS length of each pair, all pairs of a batch at once: a bit for each letter of the shorter text."""
+    short = [a if len(a) <= len(b) else b for a, b in zip(left, right, strict=True)]
+    long = [b if len(a) <= len(b) else a for a, b in zip(left, right, strict=True)]
+    sizes = np.array([len(s) for s in short], dtype=np.int64)
+    out = np.zeros(len(short), dtype=np.int64)
+    few = np.flatnonzero((sizes > 0) & (sizes <= _WORD))
+    for begin in range(0, len(few), 4096):
+        rows = few[begin : begin + 4096]
+        out[rows] = _lcs_rows(_pad([short[i] for i in rows]), _pad([long[i] for i in rows]), sizes[rows])
+    for i in np.flatnonzero(sizes > _WORD):
+        out[i] = _lcs_long(short[i], np.array([ord(c) for c in long[i]], dtype=np.int64))
+    return out
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """Indel similarity of two columns."""
+def _lcs_rows(short: np.ndarray, long: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """LCS length of each row of code points of `short` with the same row of `long` (0 = padding)."""
+    places = np.uint64(1) << np.arange(short.shape[1], dtype=np.uint64)
+    full = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
+    state = full.copy()
+    for column in range(long.shape[1]):
+        codes = long[:, column]
+        bits = np.where((short == codes[:, None]) & (codes[:, None] > 0), places, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        hit = state & bits
+        state = ((state + hit) | (state - hit)) & full
+    return np.bitwise_count((~state) & full).astype(np.int64)
 
-    @F.pandas_udf("double")
-    def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if x is None or y is None else ratio(x, y) for x, y in zip(left, right)
-        ], dtype="float64")
 
-    return score(a, b)
+def ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Indel similarity of each pair; two empty texts are equal."""
+    total = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], dtype=np.float64)
+    return np.where(total > 0, 200.0 * lcs_pairs(left, right) / np.maximum(total, 1), 100.0)
+
+
+def partial_ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Best ratio of the shorter text of each pair with a stretch of the longer one that is no longer than it.
+
+    Texts of equal length are tried both ways round. An empty text scores 0 unless both are empty.
+    """
+    out = np.zeros(len(left))
+    owner: list[int] = []
+    needles: list[str] = []
+    windows: list[str] = []
+
+    def settle() -> None:
+        if owner:
+            np.maximum.at(out, owner, ratios(needles, windows))
+        for held in (owner, needles, windows):
+            held.clear()
+
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        if not a or not b:
+            out[i] = 100.0 if a == b else 0.0
+            continue
+        for needle, text in ((a, b), (b, a)):
+            if len(needle) > len(text):
+                continue
+            if needle in text:
+                out[i] = 100.0
+                break
+            size = len(needle)
+            letters = set(needle)
+            # a stretch that begins or ends with a letter the needle lacks is never the best one
+            stretches = [text[:n] for n in range(1, size) if text[n - 1] in letters]
+            stretches += [text[n : n + size] for n in range(len(text) - size) if text[n + size - 1] in letters]
+            stretches += [text[n:] for n in range(len(text) - size, len(text)) if text[n] in letters]
+            owner.extend([i] * len(stretches))
+            needles.extend([needle] * len(stretches))
+            windows.extend(stretches)
+        if len(owner) > 20_000:
+            settle()
+    settle()
+    return out
+
+
+#: Fixed values of the weighted score: what scores by words, and by stretches of a text at least 1.5 times or over 8 times as long, count for.
+BY_WORDS = 0.95
+LONGER, MUCH_LONGER = 1.5, 8.0
+BY_STRETCH, BY_SHORT_STRETCH = 0.9, 0.6
+
+
+def _word_scores(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """The better of two ratios: of all words in order, and of the words that only one side has."""
+    words = [(sorted(a.split()), sorted(b.split())) for a, b in pairs]
+    only = [(sorted({*a} - {*b}), sorted({*b} - {*a}), {*a} & {*b}) for a, b in words]
+    joined = ratios([" ".join(a) for a, _ in words], [" ".join(b) for _, b in words])
+    rests = [(" ".join(a), " ".join(b)) for a, b, _ in only]
+    shared = lcs_pairs([a for a, _ in rests], [b for _, b in rests])
+    out = joined.copy()
+    for i, ((a, b), (left, right, both)) in enumerate(zip(words, only, strict=True)):
+        if not a or not b:
+            continue
+        if both and not (left and right):
+            out[i] = 100.0
+            continue
+        own, other = map(len, rests[i])
+        common = len(" ".join(both))
+        gap = 1 if common else 0
+        total = 2 * (common + gap) + own + other
+        best = 100.0 - 100.0 * (own + other - 2 * shared[i]) / total
+        if common:
+            best = max(best, *(100.0 - 100.0 * (gap + n) / (2 * common + gap + n) for n in (own, other)))
+        out[i] = max(out[i], best)
+    return out
+
+
+def _word_stretch_scores(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """100 where a word is shared, else the better partial ratio of all words in order and of the distinct ones."""
+    words = [(sorted(a.split()), sorted(b.split())) for a, b in pairs]
+    joined = [(" ".join(a), " ".join(b)) for a, b in words]
+    distinct = [(" ".join(sorted({*a})), " ".join(sorted({*b}))) for a, b in words]
+    out = np.maximum(
+        partial_ratios([a for a, _ in joined], [b for _, b in joined]),
+        partial_ratios([a for a, _ in distinct], [b for _, b in distinct]),
+    )
+    return np.where([bool({*a} & {*b}) for a, b in words], 100.0, out)
+
+
+def weighted_ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """The weighted composite of each pair.
+
+    Texts of about one length score by their ratio and, for a little less, by their words; where one is at least 1.5
+    times as long, by the best stretch and, for less again, by the best stretch of words. Empty texts score 0.
+    """
+    out = np.zeros(len(left))
+    whole = [i for i, (a, b) in enumerate(zip(left, right, strict=True)) if a and b]
+    if not whole:
+        return out
+    a, b = [left[i] for i in whole], [right[i] for i in whole]
+    score = ratios(a, b)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.float64)
+    times = sizes.max(axis=1) / sizes.min(axis=1)
+    worded = np.array([x.split() != [x] or y.split() != [y] for x, y in zip(a, b, strict=True)])
+    scale = np.where(times <= MUCH_LONGER, BY_STRETCH, BY_SHORT_STRETCH)
+
+    def raise_to(rows: np.ndarray, scores: Callable, factor: np.ndarray | float) -> None:
+        if len(rows):
+            score[rows] = np.maximum(score[rows], scores(rows) * factor)
+
+    # texts of one word each score by words just as they do as a whole
+    near, far = np.flatnonzero((times < LONGER) & worded), np.flatnonzero(times >= LONGER)
+    raise_to(near, lambda rows: _word_scores([(a[i], b[i]) for i in rows]), BY_WORDS)
+    raise_to(far, lambda rows: partial_ratios([a[i] for i in rows], [b[i] for i in rows]), scale[far])
+    far = far[worded[far]]
+    raise_to(far, lambda rows: _word_stretch_scores([(a[i], b[i]) for i in rows]), BY_WORDS * scale[far])
+    out[whole] = score
+    return out
+
+
+def _batched(scores: Callable[[Sequence[str], Sequence[str]], np.ndarray]) -> Callable[[Column, Column], Column]:
+    def column(a: Column, b: Column) -> Column:
+        @F.pandas_udf("double")
+        def score(left: pd.Series, right: pd.Series) -> pd.Series:
+            held = (left.notna() & right.notna()).to_numpy()
+            out = np.full(len(left), np.nan)
+            out[held] = scores(left[held].tolist(), right[held].tolist())
+            return pd.Series(out).astype("Float64").mask(~held)
+
+        return score(a, b)
+
+    return column
+
+
+#: Indel similarity of two columns.
+indel_ratio = _batched(ratios)
+#: Weighted composite score of two columns.
+weighted_ratio = _batched(weighted_ratios)
+
+
+def keyword_partials(keyword: str, texts: Sequence[str]) -> np.ndarray:
+    """Best ratio of a keyword with a stretch of each text, all texts at once; a shorter text is sought in the keyword."""
+    out = np.zeros(len(texts))
+    size = len(keyword)
+    short = [i for i, t in enumerate(texts) if len(t) <= size or size > _WORD]
+    out[short] = partial_ratios([keyword] * len(short), [texts[i] for i in short])
+    rest = [i for i, t in enumerate(texts) if size < len(t) and size <= _WORD]
+    if not rest or not size:
+        return out
+    # every text with as many blanks around it as let a stretch hang over either end
+    lengths = np.array([len(texts[i]) for i in rest], dtype=np.int64)
+    blank = "\0" * (size - 1)
+    joined = blank + blank.join(texts[i] for i in rest) + blank
+    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    kinds, letters = np.unique(codes, return_inverse=True)
+    known = _letter_bits(keyword, kinds)
+    known[kinds == 0] = 0
+    bits = known[letters]
+    full = np.uint64((1 << size) - 1)
+    begins = len(codes) - size + 1
+    best = np.zeros(begins)
+    for begin in range(0, begins, 1 << 18):
+        end = min(begin + (1 << 18), begins)
+        state = np.full(end - begin, full, dtype=np.uint64)
+        for step in range(size):
+            hit = state & bits[begin + step : end + step]
+            state = ((state + hit) | (state - hit)) & full
+        best[begin:end] = np.bitwise_count((~state) & full)
+    starts = np.cumsum(lengths + size - 1) - lengths
+    # a stretch that begins at place p of a text ends within it, or is cut off at either end
+    place = np.concatenate([np.arange(1 - size, n) for n in lengths])
+    owner = np.repeat(np.arange(len(rest)), lengths + size - 1)
+    letters_in = np.minimum(place + size, lengths[owner]) - np.maximum(place, 0)
+    scores = 200.0 * best[starts[owner] + place] / (size + letters_in)
+    found = np.zeros(len(rest))
+    np.maximum.at(found, owner, scores)
+    out[rest] = found
+    return out
+
+
+def partial_ratio_text(keyword: str, text: str) -> float:
+    """Best ratio of a keyword with any stretch of the text no longer than it."""
+    return float(keyword_partials(keyword, [text])[0]) if keyword and text else 0.0
 
 
 def partial_ratio(text: Column, keywords: Sequence[str]) -> Column:
@@ -185,9 +379,11 @@ def partial_ratio(text: Column, keywords: Sequence[str]) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        scores = {
-            t: max((partial_ratio_text(k, t) for k in words), default=0.0) for t in texts.dropna().unique()
-        }
+        kinds = [t for t in texts.dropna().unique()]
+        best = np.zeros(len(kinds))
+        for word in words:
+            best = np.maximum(best, keyword_partials(word, kinds))
+        scores = dict(zip(kinds, best.tolist(), strict=True))
         return pd.Series([scores.get(t, 0.0) for t in texts], dtype="float64")
 
     return score(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,28 +95,56 @@ def fuzzy_keyword(folded: Column, keywords: Sequence[str]) -> Column:
     return best(folded)
 
 
+def possible_keyword(folded: Column, keyword: str) -> Column:
+    """Whether a run of words in the text may reach the bar of a keyword: it holds the word, or enough of its letter triples.
+
+    A run of n letters at score s shares s * (m + n) / 2 letters with the m of the keyword. A letter of the keyword
+    that goes breaks three of its triples, one put in breaks two, so at least so many of them stand in the text.
+    """
+    whole = folded.contains(keyword)
+    needed = needed_score(keyword)
+    if needed >= K.SHORT_KEYWORD_THRESHOLD:
+        return whole
+    size, lost = len(keyword), 1 - needed / 100.0
+    # gone + put in <= lost * (2 * size - gone + put in): the worst is all of one kind
+    broken = int(max(3 * 2 * lost * size / (1 + lost), 2 * 2 * lost * size / (1 - lost)) + 1e-9)
+    triples = [keyword[i : i + 3] for i in range(size - 2)]
+    if len(triples) - broken < 1:
+        return F.lit(True)
+    held = reduce(lambda a, b: a + b, [F.when(folded.contains(t), 1).otherwise(0) for t in triples])
+    return whole | (held >= len(triples) - broken)
+
+
 def _near_words(folded: Column, error: Sequence[str], success: Sequence[str]) -> Column:
     """The best error and success word of a text, as far as they can matter, and what its fixed words say.
 
-    The text is folded and the fixed words are sought once, in the JVM. What they settle is not scored, and words of
-    success are sought only where no error word was found and nothing is under way.
+    The text is folded and the fixed words are sought once, in the JVM. What they settle is not scored, nor are texts
+    that can reach no keyword's bar, and words of success are sought only where no error word was found and nothing is
+    under way.
     """
     bad, good = _scorer(error), _scorer(success)
 
     @F.pandas_udf("bad_word string, bad_score double, good_word string, good_score double, not_done boolean, under_way boolean")
     def near(told: pd.DataFrame) -> pd.DataFrame:
         nothing = (None, 0.0)
-        open_texts = told.loc[~told["not_done"].fillna(False).astype(bool), "text"].dropna()
-        wrong = bad(open_texts.unique())
-        quiet = told.loc[~told["under_way"].fillna(False).astype(bool), "text"].dropna()
-        right = good([t for t in quiet.unique() if t in wrong and wrong[t][0] is None])
-        rows = [(*wrong.get(t, nothing), *right.get(t, nothing)) for t in told["text"]]
+        wrong = bad(told["bad_text"].dropna().unique())
+        quiet = told["good_text"].dropna().unique()
+        right = good([t for t in quiet if wrong.get(t, nothing)[0] is None])
+        rows = [(*wrong.get(b, nothing), *(right.get(g, nothing) if wrong.get(b, nothing)[0] is None else nothing)) for b, g in zip(told["bad_text"], told["good_text"])]
         out = pd.DataFrame(rows, columns=["bad_word", "bad_score", "good_word", "good_score"])
         out["not_done"], out["under_way"] = told["not_done"].to_numpy(), told["under_way"].to_numpy()
         return out
 
-    return near(let(folded, lambda f: F.struct(
-        f.alias("text"), f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way")
+    def any_of(f: Column, keywords: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a | b, [possible_keyword(f, k) for k in keywords if k], F.lit(False))
+
+    return near(let(folded, lambda f: let(
+        F.struct(f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way")),
+        lambda fixed: F.struct(
+            F.when(~fixed["not_done"] & any_of(f, error), f).alias("bad_text"),
+            F.when(~fixed["not_done"] & ~fixed["under_way"] & any_of(f, success), f).alias("good_text"),
+            fixed["not_done"].alias("not_done"), fixed["under_way"].alias("under_way"),
+        ),
     )))
 
 
@@ -123,13 +152,14 @@ def sync_text_status(
     text: Column,
     success: Sequence[str] = K.SUCCESS_KEYWORDS,
     error: Sequence[str] = K.ERROR_KEYWORDS,
-    fuzzy: bool = False,
+    fuzzy: bool = True,
 ) -> Column:
     """struct(status, matched, confidence) of one text.
 
     A stated negation or an error word always wins over a success word, and an
-    operation still under way is never a success. With `fuzzy`, long keywords
-    also match near spellings (Arrow UDF); without it all stays built in.
+    operation still under way is never a success. Long keywords also match near
+    spellings: texts that hold enough pieces of one to reach its bar, which the
+    JVM tells, are scored by an Arrow UDF. Without `fuzzy` only whole words do.
     """
     folded = fold_text(text, underscores=True)
     if fuzzy:

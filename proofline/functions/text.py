@@ -83,10 +83,74 @@ def fold_text(text: Column, underscores: bool = False) -> Column:
     return F.translate(folded, "_", " ") if underscores else folded
 
 
+@lru_cache(maxsize=None)
+def _mark_classes() -> dict[str, int]:
+    """The combining class of each letter that has one."""
+    return {chr(c): k for c in range(0x300, sys.maxunicode + 1) if (k := unicodedata.combining(chr(c)))}
+
+
+@lru_cache(maxsize=None)
+def _pairs() -> dict[str, str]:
+    """Each two letters that stand for one letter, from the Unicode tables; Hangul, which follows a rule, is not among them."""
+    out = {}
+    for code in range(0xC0, sys.maxunicode + 1):
+        letter = chr(code)
+        if code in HANGUL or 0xD800 <= code < 0xE000 or unicodedata.normalize("NFC", letter) != letter:
+            continue
+        parts = unicodedata.decomposition(letter).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out["".join(chr(int(p, 16)) for p in parts)] = letter
+    return out
+
+
+def _looked_up(table: dict[str, object], kind: str) -> Column:
+    """A literal map, built as one text so that the plan stays small. Its letters are no separators."""
+    return F.expr(f"str_to_map({_sql_text(chr(1).join(k + chr(2) + str(v) for k, v in table.items()))}, '\\u0001', '\\u0002')").cast(f"map<string,{kind}>")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _composed(text: Column) -> Column:
+    """Letters and the marks behind them as one letter where there is one; marks in canonical order first."""
+    classes, pairs = _looked_up(_mark_classes(), "int"), _looked_up(_pairs(), "string")
+    letters = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), F.coalesce(F.try_element_at(classes, c), F.lit(0)).alias("k")))
+    # a mark belongs to the last letter before it that is none; marks of one letter go by class, equal ones stay in order
+    starters = F.aggregate(
+        letters,
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<n:int,k:int,i:int,c:string>>").alias("out")),
+        lambda held, x: let(held["n"] + F.when(x["k"] == 0, 1).otherwise(0), lambda n: F.struct(
+            n.alias("n"), F.array_append(held["out"], F.struct(n.alias("n"), x["k"].alias("k"), F.size(held["out"]).alias("i"), x["c"].alias("c"))).alias("out")
+        )),
+    )["out"]
+
+    def step(held: Column, x: Column) -> Column:
+        # `last` is the class of the mark that stands between the letter and this one, -1 where nothing does
+        free = (held["last"] < x["k"]) & ((x["k"] > 0) | (held["last"] < 0))
+        return let(F.when(free & (held["letter"] != ""), F.try_element_at(pairs, F.concat(held["letter"], x["c"]))), lambda one: F.when(
+            one.isNotNull(), F.struct(held["done"].alias("done"), one.alias("letter"), held["marks"].alias("marks"), held["last"].alias("last"))
+        ).when(x["k"] > 0, F.struct(
+            held["done"].alias("done"), held["letter"].alias("letter"), F.concat(held["marks"], x["c"]).alias("marks"), x["k"].alias("last")
+        )).otherwise(F.struct(
+            F.concat(held["done"], held["letter"], held["marks"]).alias("done"), x["c"].alias("letter"), F.lit("").alias("marks"), F.lit(-1).alias("last")
+        )))
+
+    begin = F.struct(F.lit("").alias("done"), F.lit("").alias("letter"), F.lit("").alias("marks"), F.lit(-1).alias("last"))
+    return F.aggregate(F.array_sort(starters), begin, step, lambda held: F.concat(held["done"], held["letter"], held["marks"]))
+
+
 def compat_text(text: Column) -> Column:
-    """Full-width letters, hard spaces and the like in their plain form."""
-    source, target = _translation("NFKC")
-    return F.translate(text, source, target)
+    """NFKC: full-width letters, ligatures, hard spaces and the like in their plain form, letters and marks composed.
+
+    Hangul letters stay apart. Plain texts, which are most of all, need no table.
+    """
+    def rewritten(part: Column, form: str) -> Column:
+        source, target = _translation(form)
+        return F.translate(_spread(part, form), source, target)
+
+    marked = let(rewritten(text, "NFKC"), lambda w: F.when(w.rlike(r"\p{M}"), _composed(rewritten(w, "NFD"))).otherwise(w))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(text)
 
 
 def strip(text: Column) -> Column:

@@ -118,6 +118,12 @@ def complete_usable(submissions: DataFrame) -> DataFrame:
     )
 
 
+def rebuild_followups(cases: DataFrame, submissions: DataFrame, now: dt.datetime | str) -> tuple[DataFrame, DataFrame]:
+    """(cases, submissions) after a rebuild: usable submissions that waited for review are completed, then cases are recomputed."""
+    completed = complete_usable(submissions)
+    return rebuild_cases(cases, completed, now), completed
+
+
 def case_members(cases: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each case with its group: the report key when complete, else the case alone."""
     facts = submissions.select(

@@ -73,12 +73,9 @@ def coverage(
     first, last = str(start), str(end)
     counted = (F.col("date_basis") == "report_date") & F.col("date").between(first, last)
     if cadence == "daily":
-        days = F.transform(
-            F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")), lambda d: d.cast("string")
-        )
-        own_day, period_end = F.col("date"), F.col("day")
+        own_day, period_end, length = F.col("date"), F.col("day"), F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date")) + 1
     else:
-        days, own_day, period_end = F.array(F.lit(first)), F.lit(first), F.lit(last)
+        own_day, period_end, length = F.lit(first), F.lit(last), F.lit(1)
 
     # One pass over the view: first to one row per participant and day, then to one per
     # participant with its days, of which there are no more than the calendar has.
@@ -88,16 +85,28 @@ def coverage(
         F.min(order).alias("first_at"), F.min_by(F.struct(*ATTRIBUTES), order).alias("attributes"),
         F.min_by(best, F.when(counted, _best_first())).alias("best"), F.count_if(counted).alias("submission_count"),
     )
-    observed = F.when(F.col("day").isNotNull(), F.struct(
-        F.col("day"), F.struct("best.*", "submission_count").alias("found")
-    ))
+    place = F.datediff(F.col("day").try_cast("date"), F.lit(first).cast("date"))
+    observed = F.when(place.isNotNull(), F.struct(place.alias("place"), F.struct("best.*", "submission_count").alias("f")))
     people = per_day.groupBy(*PARTICIPANT).agg(
         F.min("first_at").alias("first_at"), F.min_by("attributes", "first_at").alias("attributes"),
-        F.map_from_entries(F.collect_list(observed)).alias("found"),
+        F.array_sort(F.collect_list(observed)).alias("found"),
     ).where("first_at IS NOT NULL")
-    grid = people.select(*PARTICIPANT, "attributes.*", "found", F.explode(days).alias("day")).select(
-        *PARTICIPANT, *ATTRIBUTES, "day", F.try_element_at("found", F.col("day")).alias("f")
-    ).select(*PARTICIPANT, *ATTRIBUTES, "day", "f.*")
+
+    # Observed days split the calendar into stretches without any: each is unfolded behind the day it follows, the first
+    # one at the beginning. So the cells come out in order and no day is looked up.
+    def missing(begin: Column, end: Column) -> Column:
+        days = F.when(begin < end, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(days, lambda d: F.struct(d.alias("place"), F.lit(None).cast(people.schema["found"].dataType.elementType["f"].dataType).alias("f")))
+
+    def stretch(seen: Column, i: Column) -> Column:
+        following = F.coalesce(F.try_element_at("found", i + 2)["place"], length)
+        return F.concat(F.array(seen), missing(seen["place"] + 1, following))
+
+    start_of = F.coalesce(F.try_element_at("found", F.lit(1))["place"], length)
+    cells = F.concat(missing(F.lit(0), start_of), F.flatten(F.transform("found", stretch)))
+    grid = people.select(*PARTICIPANT, "attributes.*", "found", F.explode(cells).alias("cell")).select(
+        *PARTICIPANT, *ATTRIBUTES, F.date_add(F.lit(first).cast("date"), F.col("cell.place")).cast("string").alias("day"), "cell.f.*"
+    )
     return ledger_presence(grid, ledger).select(
         "sender_identity", "agent_id", "agent", "locality", "application_id", "application", "group",
         F.col("day").alias("date"), period_end.alias("period_end"),

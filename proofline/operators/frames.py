@@ -104,13 +104,14 @@ def frame_state(
 
 def extraction_outcome(
     texts: DataFrame, known: DataFrame | None = None, success: Sequence[str] = K.SUCCESS_KEYWORDS,
-    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = True,
+    error: Sequence[str] = K.ERROR_KEYWORDS, fuzzy: bool = True, metric: str = "weighted",
 ) -> DataFrame:
     """One row per proof: group id, date, status, confidences, review flag and reasons.
 
     The texts of the start frames are read as one, a line for each, and so are those of the end frames (a proof has a
     few of either). Id and date come from the start, and where it has none and the end says anything, from both; the
-    status from the end. The id is the first piece that is valid or clearly close to a `known` one.
+    status from the end. The id is the first piece that is valid or clearly close to a `known` one,
+    by the `metric` of `fuzzy_id_match`.
     """
     rows = texts.withColumn("order", F.struct(frame_time(texts).alias("second"), "frame_id"))
     joined = lambda position: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
@@ -127,7 +128,7 @@ def extraction_outcome(
     )).alias("piece")).select("proof_id", "piece", normalize_id(F.col("piece.raw")).alias("n"))
     read = read.withColumn("asked", F.coalesce("n.normalized", F.lower(F.trim("piece.raw"))))
     if known is not None:
-        near = fuzzy_id_match(read.select("asked"), known).withColumnRenamed("id", "asked")
+        near = fuzzy_id_match(read.select("asked"), known, metric).drop("candidates").withColumnRenamed("id", "asked")
         read = lookup(read, near, "asked", "proof_id")
     else:
         read = read.withColumns({

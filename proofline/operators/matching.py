@@ -4,197 +4,246 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.similarity import indel_ratio, levenshtein_ratio, partial_ratio
+from proofline.functions.similarity import (
+    BY_STRETCH, LONGER, MUCH_LONGER, indel_ratio, levenshtein_ratio, partial_ratio, weighted_ratio,
+)
 from proofline.functions.text import fold_text, has_text, plain_letters
 from proofline.session import scratch
 
 
-def _edit_budget(length: Column, cut: float) -> Column:
-    """Most edits a pair whose longer side has `length` letters may differ by."""
-    return F.floor(length * ((100.0 - cut) / 100.0) + 1e-9).cast("int")
+#: Beyond the letters of a text, so that its ends make grams of their own.
+_BEGIN, _END = "\u0001", "\u0002"
+#: Grams that a stretch must share among the rarest of the shorter text; asked for only where so many must be left.
+SHARED = 3
 
 
-def _segments(length: Column, edits: Column) -> Column:
-    """Array of struct(i, from, size): `length` cut into edits + 1 even pieces."""
-    def piece(i: Column) -> Column:
-        start = F.floor(i * length / (edits + 1)).cast("int")
-        end = F.floor((i + 1) * length / (edits + 1)).cast("int")
-        return F.struct(i.alias("i"), (start + 1).alias("from"), (end - start).alias("size"))
+def _gram_size(cut: float, metric: str) -> int:
+    """Letters of a gram: as many as leave a good part of a text's grams whole at this score."""
+    lost = 1 - cut / 100.0
+    if metric == "levenshtein":
+        return max(1, min(4, int(0.7 / lost))) if lost > 0 else 4
+    return max(1, min(3, int(0.36 / lost))) if lost > 0 else 3
 
-    return F.transform(F.sequence(F.lit(0), edits), piece)
 
+def _least_common(a: Column, b: Column, cut: float) -> Column:
+    """Least length of the longest common subsequence of two texts of these lengths with an indel score of `cut`."""
+    return F.ceil((a + b) * (cut / 200.0) - 1e-9).cast("int")
 
-#: Shortened forms that one text may have: above it, pairs of its length are found by shared pieces.
-FORMS = 10_000
 
+def _broken(own: Column, other: Column, cut: float, metric: str, q: int) -> Column:
+    """Most grams of a text of length `own` that a partner of length `other` at score `cut` may lack.
 
-def _most_dropped(length: Column) -> Column:
-    """Most letters that may be dropped from a text of this length so that no more than `FORMS` forms come about."""
-    most = [max(d for d in range(n // 2 + 1) if comb(n, d) <= FORMS) for n in range(1, 65)]
-    return F.when(length <= len(most), F.element_at(F.array(*[F.lit(m) for m in most]), length)).otherwise(F.lit(-1))
+    A letter gone breaks q grams; one put in breaks q - 1. A Levenshtein edit breaks q.
+    """
+    if metric == "levenshtein":
+        return F.floor(F.greatest(own, other) * (1 - cut / 100.0) + 1e-9).cast("int") * q
+    common = _least_common(own, other, cut)
+    return (own - common) * q + (other - common) * (q - 1)
+
+
+def _shift(own: Column, other: Column, cut: float, metric: str) -> tuple[Column, Column]:
+    """Least and most that a shared gram may stand further on in the other text."""
+    if metric == "levenshtein":
+        edits = F.floor(F.greatest(own, other) * (1 - cut / 100.0) + 1e-9).cast("int")
+        return -edits, edits
+    common = _least_common(own, other, cut)
+    return common - own, other - common
+
+
+def _grams(texts: DataFrame, q: int, ends: bool) -> DataFrame:
+    """(text, whole, size, place, gram): every gram of `form`, with those over its ends or without. Hashes, so rows stay small."""
+    padded = F.concat(F.lit(_BEGIN * (q - 1)), F.col("form"), F.lit(_END * (q - 1))) if ends else F.col("form")
+    last = F.length(padded) - (q - 1)
+    places = F.sequence(F.lit(1), last) if ends else F.when(last > 0, F.sequence(F.lit(1), last))
+    return texts.select("text", "whole", "form", F.length("form").alias("size"), padded.alias("padded"), F.explode(places).alias("place")).select(
+        "text", "whole", "form", "size", "place", F.xxhash64(F.expr(f"substring(padded, place, {q})")).alias("gram")
+    )
 
 
-def _common_letters(a: Column, b: Column, cut: float, metric: str) -> Column:
-    """Least length of the longest common subsequence of two texts of these lengths whose score is at least `cut`."""
-    if metric == "indel":
-        return F.ceil((a + b) * (cut / 200.0) - 1e-9).cast("int")
-    longer = F.greatest(a, b)
-    return (longer - _edit_budget(longer, cut)).cast("int")
+def _ranked(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds the place of each gram of a form when the rarest come first; `seen` has the number of each gram."""
+    order = Window.partitionBy("text", "form").orderBy(F.coalesce("n", F.lit(0)), "gram", "place")
+    return rows.join(seen, "gram", "left").withColumn("rank", F.row_number().over(order)).drop("n")
 
 
-def _forms(text: Column, dropped: Column) -> Column:
-    """Every distinct text that is left when `dropped` letters go."""
-    def one_less(held: Column, _: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(held, lambda t: F.transform(
-            F.sequence(F.lit(1), F.length(t)),
-            lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))),
-        ))))
+def _renamed(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "gram"])
 
-    return F.when(dropped > 0, F.aggregate(F.sequence(F.lit(1), dropped), F.array(text), one_less)).otherwise(F.array(text))
 
+def _by_grams(left: DataFrame, right: DataFrame, cut: float, metric: str, guard: Column | None = None) -> DataFrame:
+    """(id, known) of every pair whose forms may reach the score: those that share one of their rarest grams, in place.
 
-def _by_forms(texts: DataFrame, name: str, cut: float, metric: str) -> DataFrame:
-    """(own, other, form, name): hashes of the forms of each text that a partner of another length can share with it."""
+    The grams of all texts are ordered from the rarest to the most frequent. If a partner may lack d grams of a text,
+    then it has one of its first d + 1 grams in that order, at a place that differs by no more than the edits allow;
+    the same holds the other way round. So only these meet, and each text has no more rows than letters and ends. What
+    meets must be within as many Levenshtein edits as the score leaves, of which there are never more than of others.
+    """
+    q = _gram_size(cut, metric)
     share = cut / 100.0
-    own = F.length(name)
     reach = (2 - share) / share if metric == "indel" else 1 / share
-    partners = F.sequence(F.greatest(F.ceil(own / reach - 1e-9), F.lit(1)).cast("int"), F.floor(own * reach + 1e-9).cast("int"))
-    rows = texts.select(name, own.alias("own"), F.explode(partners).alias("other"))
-    rows = rows.withColumn("kept", _common_letters(F.col("own"), F.col("other"), cut, metric))
-    rows = rows.where("kept <= own AND kept <= other AND kept > 0")
-    few = (F.col("own") - F.col("kept") <= _most_dropped(F.col("own"))) & (F.col("other") - F.col("kept") <= _most_dropped(F.col("other")))
-    return rows.where(few).select(
-        "own", "other", F.explode(_forms(F.col(name), F.col("own") - F.col("kept"))).alias("form"), name
-    ).select("own", "other", F.xxhash64("form").alias("form"), name)
 
-
-def similar_pairs(ids: DataFrame, known: DataFrame, cut: float, metric: str = "levenshtein") -> DataFrame:
-    """Every distinct (id, known) pair with a Levenshtein score of at least `cut`, exactly; with `metric="indel"`, of that score.
-
-    Two texts that are close enough have a common subsequence of a length that
-    follows from their own lengths. So each side drops as many letters as that
-    leaves, in every way, and pairs come from an equality join on what is left:
-    they are about as many as the pairs sought, however many ids there are. Where
-    a text is too long for this (more than `FORMS` forms), pairs of its length
-    come from an equality join on pieces instead, of which close texts share one.
-    """
-    left = ids.select(F.col(ids.columns[0]).alias("id")).where("id IS NOT NULL AND id <> ''").distinct()
-    right = known.select(F.col(known.columns[0]).alias("known")).where("known IS NOT NULL AND known <> ''").distinct()
-    mine = _by_forms(left, "id", cut, metric)
-    theirs = _by_forms(right, "known", cut, metric).select(
-        F.col("other").alias("own"), F.col("own").alias("other"), "form", "known"
+    def side(texts: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+        size = F.col("size")
+        if metric == "indel":
+            # the most that any partner may lack: the longest partner leaves the most letters to put in
+            longest = F.floor(size * reach + 1e-9).cast("int")
+            most = F.greatest(_broken(size, longest, cut, metric, q), _broken(size, F.ceil(size / reach - 1e-9).cast("int"), cut, metric, q), _broken(size, size, cut, metric, q)) + q
+        else:
+            most = _broken(size, F.floor(size / share + 1e-9).cast("int"), cut, metric, q)
+        return _renamed(_ranked(_grams(texts, q, True), seen).where(F.col("rank") <= most + 1), name)
+
+    every = _grams(left, q, True).select("gram").unionByName(_grams(right, q, True).select("gram"))
+    seen = every.groupBy("gram").agg(F.count("*").alias("n"))
+    mine, theirs = side(left, seen, "a"), side(right, seen, "b")
+    a, b = F.col("a_size"), F.col("b_size")
+    low, high = _shift(a, b, cut, metric)
+    lack_a, lack_b = _broken(a, b, cut, metric, q), _broken(b, a, cut, metric, q)
+    met = mine.join(theirs, "gram").where(
+        (F.greatest(a, b) <= F.least(a, b) * reach + 1e-9) & (F.col("b_place") - F.col("a_place")).between(low, high)
+        & (F.col("a_rank") <= lack_a + 1) & (F.col("b_rank") <= lack_b + 1)
+    )
+    if guard is not None:
+        met = met.where(guard)
+    size = F.length("a_form") + F.length("b_form") if metric == "indel" else F.greatest(F.length("a_form"), F.length("b_form"))
+    near = F.levenshtein("a_form", "b_form") <= F.floor(size * (1 - share) + 1e-9)
+    return met.select("a_text", "b_text", "a_form", "b_form").distinct().where(near).select(
+        F.col("a_text").alias("id"), F.col("b_text").alias("known")
     )
-    met = mine.join(theirs, ["own", "other", "form"]).select("id", "known")
-    # indel >= s implies Levenshtein edits <= (1 - s) * (la + lb), hence the lower bar for pieces
-    bar = cut if metric == "levenshtein" else max(100.0 - 2 * (100.0 - cut), 1.0)
-    met = met.unionByName(_by_pieces(left, right, bar, cut, metric)).distinct()
-    if metric == "indel":
-        scored = met.withColumn("score", indel_ratio(F.col("id"), F.col("known")))
-    else:
-        scored = met.withColumn("score", levenshtein_ratio(F.col("id"), F.col("known")))
-    return scored.where(F.col("score") >= cut - 1e-9)
 
 
-def _by_pieces(left: DataFrame, right: DataFrame, cut: float, asked: float, metric: str) -> DataFrame:
-    """Candidates among pairs with a long text (see `similar_pairs`).
+def _by_stretches(left: DataFrame, right: DataFrame, cut: float, most: float) -> DataFrame:
+    """(id, known) of every pair in which a stretch of the longer form may score `cut` with the shorter, by the rarest grams of the shorter one.
 
-    Two texts at most k edits apart share one of k + 1 pieces of either text.
-    Piece i (from 0) can be taken where at most i edits lie before it and at most
-    k - i after it, which bounds its shift.
+    A stretch has no ends, so grams lie inside. Texts are apart by at least `LONGER` and at most `most` times.
     """
-    share = cut / 100.0
-
-    # Pieces of a known id, for every edit budget a partner's length can lead to.
-    size = F.length("known")
-    longest = F.floor(size / share + 1e-9).cast("int")
-    pieces = right.select(
-        "known", size.alias("size"),
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(size, longest), lambda n: _edit_budget(n, cut)
-        ))).alias("edits"),
-    ).select(
-        "known", "size", "edits", F.explode(_segments(F.col("size"), F.col("edits"))).alias("piece")
-    ).select(
-        "known", "size", "edits", F.col("piece.i").alias("i"),
-        F.expr("substring(known, piece.from, piece.size)").alias("letters"),
+    lost = 1 - cut / 100.0
+    q = 2
+    # either letters only go, from a stretch at an end, or as many are put in
+    broken = max(q * 2 * lost / (1 + lost), (2 * q - 1) * lost)
+
+    def lack(size: Column) -> Column:
+        return F.floor(size * broken + 1e-9).cast("int")
+
+    every = _grams(left, q, False).select("gram").unionByName(_grams(right, q, False).select("gram"))
+    seen = every.groupBy("gram").agg(F.count("*").alias("n"))
+    mine, theirs = (_renamed(_ranked(_grams(t, q, False), seen), n) for t, n in ((left, "a"), (right, "b")))
+    a, b, wa, wb = (F.col(c) for c in ("a_size", "b_size", "a_whole", "b_whole"))
+    apart = F.greatest(wa, wb).between(F.least(wa, wb) * LONGER - 1e-9, F.least(wa, wb) * most + 1e-9)
+    rare = ((a <= b) & (F.col("a_rank") <= lack(a) + SHARED)) | ((b <= a) & (F.col("b_rank") <= lack(b) + SHARED))
+    short = F.least(a, b)
+    least = F.least(short - (q - 1) - lack(short), F.lit(SHARED))
+    pairs = mine.join(theirs, "gram").where(apart & rare).groupBy("a_text", "b_text", "a_form", "b_form").agg(
+        F.count("*").alias("n"), F.min(least).alias("least")
+    ).where("n >= least").select(F.col("a_text").alias("id"), F.col("b_text").alias("known"))
+
+    def letters(texts: DataFrame, name: str, alone: bool) -> DataFrame:
+        rows = texts.where("length(form) = 1" if alone else f"whole <= {most}")
+        return rows.select(F.col("text").alias(name), F.explode(F.array_distinct(F.split("form", ""))).alias("letter")).where("letter <> ''")
+
+    # one letter has no gram
+    return pairs.unionByName(letters(left, "id", True).join(letters(right, "known", False), "letter").select("id", "known")).unionByName(
+        letters(right, "known", True).join(letters(left, "id", False), "letter").select("id", "known")
     )
 
-    # The same pieces cut from an id, at every length a partner can have and every shift.
-    mine = F.length("id")
-    lengths = F.sequence(F.ceil(mine * share - 1e-9).cast("int"), F.floor(mine / share + 1e-9).cast("int"))
-    probes = left.select("id", mine.alias("mine"), F.explode(lengths).alias("size")).where("size > 0")
-    kept = _common_letters(F.col("mine"), F.col("size"), asked, metric)
-    probes = probes.where(
-        (F.col("mine") - kept > _most_dropped(F.col("mine"))) | (F.col("size") - kept > _most_dropped(F.col("size")))
+
+def _forms(texts: DataFrame, words: bool) -> DataFrame:
+    """(text, whole, form): the text, and with `words` also all its words in order and its distinct words in order."""
+    own = texts.select("text", F.length("text").alias("whole"))
+    if not words:
+        return own.withColumn("form", F.col("text"))
+    split = F.array_sort(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    forms = F.array_distinct(F.array(
+        F.col("text"), F.array_join(split, " "), F.array_join(F.array_distinct(split), " ")
+    ))
+    return own.withColumn("form", F.explode(forms)).where("form <> ''")
+
+
+def _by_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, known) of every pair that shares a word, where one has several."""
+    def words(texts: DataFrame, name: str, several: bool | None) -> DataFrame:
+        split = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+        many = F.col("text").rlike(r"\s")
+        rows = texts if several is None else texts.where(many if several else ~many)
+        return rows.select(F.col("text").alias(name), F.explode(split).alias("word"))
+
+    return words(left, "id", True).join(words(right, "known", None), "word").select("id", "known").unionByName(
+        words(left, "id", False).join(words(right, "known", True), "word").select("id", "known")
     )
-    probes = probes.withColumn("edits", _edit_budget(F.greatest("mine", "size"), cut))
-    probes = probes.select(
-        "id", "mine", "size", "edits", F.explode(_segments(F.col("size"), F.col("edits"))).alias("piece")
-    ).select(
-        "id", "mine", "size", "edits", "piece",
-        (F.col("mine") - F.col("size")).alias("longer"), F.col("piece.i").alias("i"),
-    ).select(
-        "*", F.explode(F.sequence(
-            F.greatest(-F.col("i"), F.col("longer") - F.col("edits") + F.col("i")),
-            F.least(F.col("i"), F.col("longer") + F.col("edits") - F.col("i")),
-        )).alias("shift"),
-    ).select(
-        "id", "size", "edits", "i",
-        F.col("piece.from").alias("place"), F.col("piece.size").alias("width"), "shift", "mine",
-    ).withColumn("place", F.col("place") + F.col("shift")).where(
-        "place >= 1 AND place + width - 1 <= mine"
-    ).select(
-        "id", "size", "edits", "i", F.expr("substring(id, place, width)").alias("letters")
-    ).distinct()
-
-    return probes.join(pieces, ["size", "edits", "i", "letters"]).select("id", "known").distinct()
+
+
+def similar_pairs(ids: DataFrame, known: DataFrame, cut: float, metric: str = "levenshtein") -> DataFrame:
+    """(id, known, score) of every distinct pair with a score of at least `cut`, exactly.
+
+    `metric` is "levenshtein", "indel" or "weighted" (see `weighted_ratios`). Candidates come from equality joins on
+    the rarest grams of each text, one row for each letter at most, and are then scored; texts of several words meet
+    on a shared word, too. Bars are 40 or more for Levenshtein, 50 for indel, 81 for the weighted score. A text that
+    repeats one letter as its only word is compared with texts of up to eight letters.
+    """
+    least = {"levenshtein": 40, "indel": 50, "weighted": 81}[metric]
+    if not least <= cut <= 100:
+        raise ValueError(f"a {metric} bar is from {least} to 100")
+    left = ids.select(F.col(ids.columns[0]).alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    right = known.select(F.col(known.columns[0]).alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    if metric != "weighted":
+        met = _by_grams(_forms(left, False), _forms(right, False), cut, metric)
+        score = indel_ratio if metric == "indel" else levenshtein_ratio
+    else:
+        mine, theirs = _forms(left, True), _forms(right, True)
+        a, b = F.col("a_whole"), F.col("b_whole")
+        met = _by_grams(mine, theirs, cut, "indel", F.greatest(a, b) < F.least(a, b) * LONGER)
+        if cut <= 100 * BY_STRETCH:
+            met = met.unionByName(_by_stretches(mine, theirs, cut / BY_STRETCH, MUCH_LONGER))
+        met = met.unionByName(_by_words(left, right)).distinct()
+        score = weighted_ratio
+    return met.withColumn("score", score(F.col("id"), F.col("known"))).where(F.col("score") >= cut - 1e-9)
 
 
 def fuzzy_id_match(
-    ids: DataFrame, known: DataFrame, metric: str = "levenshtein", threshold: float = 88, margin: float = 5
+    ids: DataFrame, known: DataFrame, metric: str = "weighted", threshold: float = 88, margin: float = 5, most: int = 3
 ) -> DataFrame:
-    """(id, best_id, best_score, second_score, accepted, needs_review) of each distinct id.
+    """(id, best_id, best_score, second_score, accepted, needs_review, candidates) of each distinct id.
 
     The best known id is accepted when it scores at least `threshold` and leads
     the next one by `margin`; too close a race, or a replacement below 97, asks
     for a review. Only ids with some candidate at `threshold` are listed. A
     second score below `threshold - margin` cannot change anything and is null.
+    `candidates` has up to `most` (known, score), the best first, of at least
+    `threshold - margin`; equal scores go by the known id.
 
-    `metric="indel"` scores by the longest common subsequence.
+    `metric` is that of `similar_pairs`.
     """
-    if metric not in ("levenshtein", "indel"):
-        raise ValueError("metric is 'levenshtein' or 'indel'")
+    if metric not in ("weighted", "levenshtein", "indel"):
+        raise ValueError("metric is 'weighted', 'levenshtein' or 'indel'")
     pairs = similar_pairs(ids, known, threshold - margin, metric)
     rank = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("known"))
-    top = pairs.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= 2)
-    best = top.groupBy("id").agg(
-        F.max(F.when(F.col("place") == 1, F.col("known"))).alias("best_id"),
-        F.max(F.when(F.col("place") == 1, F.col("score"))).alias("best_score"),
-        F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second_score"),
+    top = pairs.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= max(most, 2))
+    best = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "known", "score"))).alias("found")).select(
+        "id", F.col("found")[0]["known"].alias("best_id"), F.col("found")[0]["score"].alias("best_score"),
+        F.try_element_at("found", F.lit(2))["score"].alias("second_score"),
+        F.transform(F.slice("found", 1, most), lambda c: F.struct(c["known"].alias("known"), c["score"].alias("score"))).alias("candidates"),
     ).where(F.col("best_score") >= threshold)
     clear = F.col("best_score") - F.coalesce("second_score", F.lit(0.0)) >= margin
     return best.select(
         "id", "best_id", "best_score", "second_score", clear.alias("accepted"),
-        (~clear | ((F.col("best_id") != F.col("id")) & (F.col("best_score") < 97))).alias("needs_review"),
+        (~clear | ((F.col("best_id") != F.col("id")) & (F.col("best_score") < 97))).alias("needs_review"), "candidates",
     )
 
 
 def detect_application(
     texts: DataFrame, applications: Sequence[tuple[str, str, str, Sequence[str]]],
-    threshold: float = 70, margin: float = 8, fuzzy: bool = False, column: str = "text",
+    threshold: float = 70, margin: float = 8, fuzzy: bool = True, column: str = "text",
 ) -> DataFrame:
     """Adds application_id and detection_score to texts.
 
     `applications` is the registry, (id, code, name, keywords) each: a short
     configured list, so it becomes part of the expression. A keyword inside the
-    text scores 100; with `fuzzy`, near spellings score by an Arrow UDF. The
-    winner needs `threshold` and a lead of `margin` over the next application.
+    text scores 100; with `fuzzy`, near spellings score by an Arrow UDF, for
+    texts that do not hold a keyword of the application. The winner needs `threshold` and a lead of `margin` over the next application.
     """
     folded = fold_text(F.col(column))
 
@@ -208,7 +257,7 @@ def detect_application(
         if not keywords:
             continue
         inside = reduce(lambda a, b: a | b, [F.col("__folded").contains(w) for w in keywords])
-        near = partial_ratio(F.col("__folded"), keywords) if fuzzy else F.lit(0.0)
+        near = partial_ratio(F.when(~inside, F.col("__folded")), keywords) if fuzzy else F.lit(0.0)
         options.append(F.struct(F.when(inside, 100.0).otherwise(near).alias("score"), F.lit(app[0]).alias("app")))
     ranked = F.sort_array(F.array(*options), asc=False)
     rows = rows.withColumn("__ranked", ranked)

@@ -209,6 +209,16 @@ def campaign_stats(campaigns: DataFrame, today: dt.date | str) -> DataFrame:
     return campaigns.where(F.col("day") == str(today)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def campaign_recipients(campaigns: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest campaigns of all days, of one day by recipient: a page of `limit` rows in order."""
+    return campaigns.select("day", "recipient", "status").orderBy(F.col("day").desc(), "recipient", "status").limit(limit)
+
+
+def campaign_runs(runs: DataFrame, limit: int = 30) -> DataFrame:
+    """The last runs of the campaign job with their results, newest first."""
+    return runs.select("run_id", "created_at", "result").orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(limit)
+
+
 def job_health(jobs: DataFrame) -> DataFrame:
     """One row: open and failed jobs."""
     return jobs.agg(

@@ -7,9 +7,10 @@ shuffle), so a hot key never gathers in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.joins import first_by, lookup, split_join
@@ -124,26 +125,33 @@ def best_frame(frames: DataFrame) -> DataFrame:
 
 
 def budget_select(images: DataFrame, per_item: int = 2_000_000, total: int = 10_000_000) -> DataFrame:
-    """Images of each batch kept within a byte budget, in order; one that does not fit is skipped.
+    """(batch_id, turn, image_id): images of each batch kept within a byte budget, in order; one that does not fit is skipped.
 
     Whether an image fits depends on which earlier ones did, so this is a fold
     and not a running sum. The remaining budget only shrinks: of the images of
     one exact size, none after the first `total / size` can be kept, and those
-    are dropped before the fold. A batch is one reminder, whose length limit
-    bounds its images.
+    are dropped first. The fold walks over the sorted rows of a task and carries
+    the bytes used so far, so memory does not grow with a batch.
     """
     same_size = Window.partitionBy("batch_id", "size").orderBy("place", "image_id")
     fit = images.where(F.col("size") <= per_item).withColumn("nth", F.row_number().over(same_size))
     fit = fit.where(F.col("nth") <= F.lit(total) / F.greatest(F.col("size"), F.lit(1)))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "image_id", F.col("size").cast("bigint").alias("size"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, image: Column) -> Column:
-        grown = F.struct(
-            (acc["used"] + image["size"]).alias("used"),
-            F.array_append(acc["kept"], image["image_id"].cast("bigint")).alias("kept"),
-        )
-        return F.when(acc["used"] + image["size"] <= total, grown).otherwise(acc)
-
-    folded = fit.groupBy("batch_id").agg(F.aggregate(ordered, start, step).alias("f"))
-    return folded.select("batch_id", F.posexplode("f.kept").alias("turn", "image_id"))
+    rows = fit.select("batch_id", "place", F.col("image_id").cast("bigint").alias("image_id"), F.col("size").cast("bigint").alias("size"))
+    walked = rows.repartition("batch_id").sortWithinPartitions("batch_id", "place", "image_id")
+    kind = rows.schema["batch_id"].dataType.simpleString()
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, turn = object(), 0, 0  # no batch is equal to it
+        for part in parts:
+            kept, turns = [], []
+            for row, (batch, size) in enumerate(zip(part["batch_id"].to_pylist(), part["size"].to_pylist(), strict=True)):
+                if batch != current:
+                    current, used, turn = batch, 0, 0
+                if used + size <= total:
+                    kept.append(row)
+                    turns.append(turn)
+                    used, turn = used + size, turn + 1
+            taken = part.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken["batch_id"], pa.array(turns, pa.int32()), taken["image_id"]], ["batch_id", "turn", "image_id"])
+
+    return walked.mapInArrow(fold, f"batch_id {kind}, turn int, image_id bigint")

@@ -408,7 +408,7 @@ def q_channel_conflict(t: Tables) -> DataFrame:
 def q_fuzzy_id_match(t: Tables) -> DataFrame:
     read = t["raw_rows"].select(ids.normalize_id(F.col("raw_id"))["normalized"].alias("id"))
     known = t["ledger"].select("group_id")
-    out = matching.fuzzy_id_match(read.where("id IS NOT NULL"), known, threshold=70, margin=5)
+    out = matching.fuzzy_id_match(read.where("id IS NOT NULL"), known, "levenshtein", threshold=70, margin=5)
     return out.select("id", "best_id", F.round("best_score", 4).alias("best_score"), "accepted")
 
 
@@ -417,12 +417,27 @@ def q_fuzzy_id_match_indel(t: Tables) -> DataFrame:
     read = t["raw_rows"].select(ids.normalize_id(F.col("raw_id"))["normalized"].alias("id"))
     return matching.fuzzy_id_match(
         read.where("id IS NOT NULL"), t["ledger"].select("group_id"), metric="indel", threshold=82, margin=2
+    ).drop("candidates")
+
+
+@query
+def q_fuzzy_id_match_weighted(t: Tables) -> DataFrame:
+    read = t["raw_rows"].select(ids.normalize_id(F.col("raw_id"))["normalized"].alias("id"))
+    short = t["ledger"].select(F.expr("concat('ouest', substring(group_id, 1, 6))").alias("id"))  # parts of known ids, and more
+    found = matching.fuzzy_id_match(
+        read.where("id IS NOT NULL").unionByName(short), t["ledger"].select("group_id").unionByName(t["ledger"].select(
+            F.expr("concat('zone-ouest', group_id, '.region-', length(group_id))").alias("group_id")
+        )), threshold=86, margin=2,
+    )
+    return found.select(
+        "id", "best_id", F.round("best_score", 6).alias("best_score"), F.round("second_score", 6).alias("second_score"), "accepted", "needs_review",
+        F.array_join(F.transform("candidates", lambda c: c["known"]), " ").alias("candidates"),
     )
 
 
 @query
 def q_detect_application(t: Tables) -> DataFrame:
-    return matching.detect_application(t["texts"], REGISTRY).select(
+    return matching.detect_application(t["texts"], REGISTRY, fuzzy=False).select(
         "evidence_id", "application_id", "detection_score"
     )
 
@@ -524,6 +539,16 @@ def q_campaign_stats(t: Tables) -> DataFrame:
     return stats.campaign_stats(t["campaigns"], TODAY)
 
 
+@query
+def q_campaign_recipients(t: Tables) -> DataFrame:
+    return stats.campaign_recipients(t["campaigns"])
+
+
+@query
+def q_campaign_runs(t: Tables) -> DataFrame:
+    return stats.campaign_runs(t["campaign_runs"])
+
+
 @query
 def q_reminder_digest(t: Tables) -> DataFrame:
     return reminders.reminder_digest(
@@ -623,7 +648,7 @@ def q_first_observation(t: Tables) -> DataFrame:
 
 @query
 def q_latest_explicit_state(t: Tables) -> DataFrame:
-    rows = t["frames"].withColumn("read", status.sync_text_status(F.col("text"))).select(
+    rows = t["frames"].withColumn("read", status.sync_text_status(F.col("text"), fuzzy=False)).select(
         "proof_id", "frame_id", frames.frame_time(t["frames"]).alias("at_time"),
         F.when(F.col("read.matched").isNotNull(), F.col("read.status")).alias("state"),
     )
@@ -736,7 +761,7 @@ def q_parse_report_date(t: Tables) -> DataFrame:
 
 @query
 def q_sync_text_status(t: Tables) -> DataFrame:
-    s = status.sync_text_status(F.col("text"))
+    s = status.sync_text_status(F.col("text"), fuzzy=False)
     return t["texts"].select("evidence_id", s.alias("s")).select("evidence_id", "s.status", "s.matched", "s.confidence")
 
 
@@ -889,6 +914,13 @@ def q_rebuild_cases(t: Tables) -> DataFrame:
     )
 
 
+@query
+def q_rebuild_followups(t: Tables) -> DataFrame:
+    rebuilt, completed = cases.rebuild_followups(t["prior_cases"], t["proofs"], NOW)
+    own = rebuilt.select(F.col("case_evidence_id").alias("evidence_id"), F.col("status").alias("case_status"), "replacement_evidence_id")
+    return completed.select("evidence_id", "processing_status").join(own, "evidence_id", "left")
+
+
 @query
 def q_reminder_candidates(t: Tables) -> DataFrame:
     asked = t["open_cases"].select("case_evidence_id")
@@ -938,6 +970,14 @@ def q_stream_dedup(t: Tables) -> DataFrame:
     return _run_to_table(t, feed.stream_dedup(parts), "dedup").select("message_id")
 
 
+@query
+def q_stream_dedup_tables(t: Tables) -> DataFrame:
+    root = scratch(t.spark, "dedup-tables")
+    parts = _in_parts(t, t["messages"].select("evidence_id", "message_id", "message_date"), root)
+    feed.run_available(parts, f"{root}/checkpoint", feed.dedup_sink(f"{root}/state"))
+    return feed.read_batches(t.spark, f"{root}/state/new").select("message_id")
+
+
 @query
 def q_stream_route(t: Tables) -> DataFrame:
     routed = feed.stream_route(_message_stream(t), t["channels"], CUTOFF)

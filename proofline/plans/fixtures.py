@@ -114,6 +114,8 @@ from submissions where sync_status<>'SUCCESS'""",
 select cast(cast(received_at as date) as string) as day, concat(sender_phone, '@c.us') as recipient,
  case when evidence_id%3=0 then 'UNKNOWN' else 'SENT' end as status
 from submissions where evidence_id%40=0""",
+    "campaign_runs": """
+select event_id as run_id, ts as created_at, concat('batch ', cast(k as string), ': ', event_type) as result from ev0 where event_id%97=0""",
     "expected_ids": """
 select distinct 0 as project_id, application_id, group_id as business_id from submissions
 where application_id in ('app0','app1') and group_id is not null

@@ -10,6 +10,8 @@ import re
 
 from proofline import constants as K
 from proofline.functions.dates import DATE_PATTERN
+from proofline.functions.status import needed_score
+from proofline.functions.text import plain_letters
 from proofline.plans.catalog import APP, CUTOFF, END, NOW, RAW_MAPPING, REGISTRY, START, TODAY
 from proofline.plans.fixtures import VIEWS, with_views
 
@@ -95,6 +97,7 @@ where group_id is not null and group_id not in (select group_id from {p}claims w
 
 
 FOLDED = "replace(lower(strip_accents(coalesce(text,''))), '_', ' ')"
+FOLDED_PLAIN = "lower(strip_accents(coalesce(text,'')))"
 
 
 def _keyword(keywords) -> str:
@@ -156,6 +159,24 @@ _INDEL = """200.0*list_reduce(list_prepend(list_transform(b, lambda y: 0), list_
     lambda held, hit: list_transform(range(1, len(hit)+1), lambda j: list_max(list_transform(range(1, j+1), lambda t: greatest(held[t], case when t>1 then held[t-1] else 0 end + hit[t])))))[-1]
     / (len(a)+len(b))"""
 
+def _stretches(pairs: str, keep: str = "true") -> str:
+    """(columns of pairs, a, b): the shorter text of each pair with every stretch of the longer one that may hang over its ends."""
+    return f"""select * exclude (i, s, t, w), string_split(s, '') as a, string_split(w, '') as b from (
+ select *, substr(t, greatest(i, 0)+1, length(s)+least(i, 0)) as w from (
+  select *, unnest(range(1-length(s), length(t))) as i from ({pairs}) p0) p1) p2 where {keep}"""
+
+
+def _weighted(pairs: str, bar: float) -> str:
+    """Weighted scores of (id, known) pairs without white space, of at least `bar`; Levenshtein only spares most of the work."""
+    far = f"""select id, known, case when length(id)<=length(known) then id else known end as s, case when length(id)<=length(known) then known else id end as t
+ from ({pairs}) f where greatest(length(id), length(known)) between 1.5*least(length(id), length(known)) and 8*least(length(id), length(known))"""
+    return f"""select id, known, max(score) as score from (
+ select id, known, {_INDEL} as score from (select id, known, string_split(id, '') as a, string_split(known, '') as b from ({pairs}) c0
+  where levenshtein(id, known)<=(1-{bar}/100.0)*(length(id)+length(known))+1e-9) c1
+ union all select id, known, 0.9*{_INDEL} from ({_stretches(far, f"levenshtein(s, w)<=(1-{bar}/90.0)*(length(s)+length(w))+1e-9")}) c2) c3
+ where score>={bar}-1e-9 group by 1,2"""
+
+
 ORACLE_VIEWS: dict[str, str] = {
     **VIEWS,
     **_reconcile("r_", APP, f"application_id='{APP}'", f"select * from ledger where application_id='{APP}'", 0),
@@ -293,11 +314,11 @@ select proof_id, 0 as second, start_text as part from scan_texts union all selec
 select proof_id, second, nth, raw_id from (select proof_id, second, unnest(hits) as raw_id, generate_subscripts(hits, 1) as nth
  from (select proof_id, second, {_ID_HITS.replace("{t}", _CUT.replace("{}", _CUT.replace("{}", "part")))} as hits from scan_parts) h) g""",
     "scan_norm": IDS_VIEW.replace("raw_rows", "scan_pieces"),
-    "scan_near": """
+    "scan_near": f"""
 select asked, known as best, score, score-coalesce(second_score, 0)>=5 as accepted from (
- select *, row_number() over (partition by asked order by score desc, known) as rk, lead(score) over (partition by asked order by score desc, known) as second_score from (
-  select asked, known, 100.0*(1-levenshtein(asked, known)::double/greatest(length(asked), length(known))) as score
-  from (select distinct coalesce(norm, lower(trim(raw_id))) as asked from scan_norm) a, known_ids) p where score>=83-1e-9) q where rk=1 and score>=88""",
+ select *, row_number() over (partition by asked order by score desc, known) as rk, lead(score) over (partition by asked order by score desc, known) as second_score
+ from (select id as asked, known, score from ({_weighted("select asked as id, known from (select distinct coalesce(norm, lower(trim(raw_id))) as asked from scan_norm) a, known_ids", 83)}) w) p) q
+where rk=1 and score>=88""",
     "scan_ids": """
 select * from (select n.*, k.best, k.score, k.accepted, row_number() over (partition by proof_id order by second, nth) as rk
  from scan_norm n left join scan_near k on k.asked=coalesce(n.norm, lower(trim(n.raw_id))) where n.norm is not null or coalesce(k.accepted, false)) z where rk=1""",
@@ -359,6 +380,44 @@ select evidence_id, case when regexp_matches(max(text), '\\S') and max(score)>=7
 from (select *, row_number() over (partition by evidence_id order by score desc, app desc) as rk from ({" union all ".join(map(score, REGISTRY))}) u) v group by evidence_id"""
 
 
+def _near_status(source: str, ident: str) -> str:
+    """Status of each text with near spellings: every run of as many words as a keyword has, by indel ratio."""
+    words = [("bad", k) for k in K.ERROR_KEYWORDS] + [("good", k) for k in K.SUCCESS_KEYWORDS]
+    table = ", ".join(f"({_q(kind)}, {n}, {_q(k)}, {len(k.split())}, {needed_score(k)})" for n, (kind, k) in enumerate(words))
+    lengths = sorted({len(k.split()) for _, k in words})
+    runs = " union all ".join(
+        f"select distinct {ident}, {n} as n, array_to_string(ws[i:i+{n - 1}], ' ') as w from (select *, unnest(range(1, greatest(len(ws)-{n - 1}, 1)+1)) as i from folded) r where len(ws)>0"
+        for n in lengths
+    )
+    return f"""select * from (with folded as (select {ident}, f, list_filter(string_split_regex(f, '\\s+'), lambda x: x<>'') as ws from (select {ident}, {FOLDED} as f from {source}) f0),
+keywords(kind, nr, word, n, needed) as (values {table}),
+near as (select {ident}, kind, nr, word, needed, {_INDEL} as score from (
+  select r.{ident}, k.kind, k.nr, k.word, k.needed, string_split(k.word, '') as a, string_split(r.w, '') as b from ({runs}) r join keywords k on k.n=r.n
+  where k.needed<100 and levenshtein(k.word, r.w)<=0.15*(length(k.word)+length(r.w))+1e-9) n0),
+whole as (select {ident}, kind, nr, word, needed, 100.0 as score from folded join keywords on regexp_matches(f, concat('(^|\\W)', word, '(\\W|$)'))),
+best as (select {ident}, kind, word from (select *, row_number() over (partition by {ident}, kind order by score-needed desc, nr desc) as rk
+  from (select * from near union all select * from whole) s0 where score>=needed) s1 where rk=1)
+select {ident}, case when neg or bad is not null then 'FAILED' when doing then 'UNCONFIRMED' when good is not null then 'SUCCESS' else 'UNCONFIRMED' end as status,
+ case when neg then {_q(K.TEXT_NOT_SYNCED)} when bad is not null then bad when doing then {_q(K.TEXT_IN_PROGRESS)} else good end as matched
+from (select f.{ident}, regexp_matches(f.f, {_q(K.NOT_DONE)}) as neg, regexp_matches(f.f, {_q(K.UNDER_WAY)}) as doing, b.word as bad, g.word as good from folded f
+ left join best b on b.{ident}=f.{ident} and b.kind='bad' left join best g on g.{ident}=f.{ident} and g.kind='good') j) z"""
+
+
+def _detect_near() -> str:
+    words = [(app[0], plain_letters(w).lower()) for app in REGISTRY for w in (app[2], app[1], *app[3])]
+    table = ", ".join(f"({_q(a)}, {_q(w)})" for a, w in words)
+    short = """select f, app, word, case when length(word)<=length(f) then word else f end as s, case when length(word)<=length(f) then f else word end as t
+ from asked where length(f)>0 and not contains(f, word)"""
+    turned = "select f, app, word, f as s, word as t from asked where length(f)=length(word) and f<>word"
+    return f"""select * from (with asked as (select distinct f, app, word from (select {FOLDED_PLAIN} as f from texts) f0 cross join (values {table}) k(app, word)),
+scores as (select f, app, max(score) as score from (select f, app, 100.0 as score from asked where contains(f, word)
+ union all select f, app, {_INDEL} from ({_stretches(short)}) s0 union all select f, app, {_INDEL} from ({_stretches(turned)}) s1) s group by 1,2),
+ranked as (select *, row_number() over (partition by f order by score desc, app desc) as rk from scores),
+told as (select f, max(score) as top, coalesce(min(score) filter (rk=2), 0) as next, max(app) filter (rk=1) as app from ranked group by 1)
+select evidence_id, case when top>=70 and top-next>=8 then app end as application_id, round(coalesce(top, 0.0), 3) as detection_score
+from (select evidence_id, {FOLDED_PLAIN} as f from texts) t left join told using (f)) z"""
+
+
 SQL: dict[str, str] = {
     # sources and sinks
     "read_tabular": "select row_number as line, raw_id, raw_date, agent, locality from raw_rows",
@@ -534,7 +593,16 @@ select id, known as best_id, round(score, 4) as best_score, score-coalesce(secon
  select *, row_number() over (partition by id order by score desc, known) as rk, lead(score) over (partition by id order by score desc, known) as second from (
   select id, known, 100.0*(1-levenshtein(id, known)::double/greatest(length(id), length(known))) as score from read_ids, known_ids) p
  where score>=65-1e-9) q where rk=1 and score>=70""",
+    "fuzzy_id_match_weighted": f"""
+select id, best_id, best_score, second_score, best_score-coalesce(second_score, 0)>=2 as accepted,
+ not (best_score-coalesce(second_score, 0)>=2) or (best_id<>id and best_score<97) as needs_review, candidates from (
+ select id, max(known) filter (rk=1) as best_id, round(max(score), 6) as best_score, round(max(score) filter (rk=2), 6) as second_score,
+  string_agg(known, ' ' order by rk) filter (rk<=3) as candidates from (
+  select *, row_number() over (partition by id order by score desc, known) as rk from ({_weighted("""
+   select id, known from (select id from read_ids union select concat('ouest', substr(known, 1, 6)) from known_ids) i,
+    (select known from known_ids union select concat('zone-ouest', known, '.region-', length(known)) from known_ids) k""", 84)}) w) r group by id) g where best_score>=86""",
     "detect_application": _detect(),
+    "detect_application_fuzzy": _detect_near(),
     "attach_media": """
 select m.message_id, m.media_filename as file_name from chat_messages m where m.media_filename in (select file_name from media_files)
 union all select a.message_id, b.file_name from
@@ -581,6 +649,8 @@ where status in ('SENT','MANUALLY_CONFIRMED') and strftime(created_at, '%Y-%m')=
     "case_send_stats": f"""
 select case_evidence_id, sent_count, last_sent_at, cast(floor(epoch(timestamp '{NOW}' - last_sent_at)/86400) as bigint) as days_since_reminder from followups""",
     "campaign_stats": f"select status, count(*) as n from campaigns where day='{TODAY}' group by 1",
+    "campaign_recipients": "select day, recipient, status from campaigns order by day desc, recipient, status limit 200",
+    "campaign_runs": "select run_id, created_at, result from campaign_runs order by created_at desc, run_id desc limit 30",
     "reminder_digest": _digest(TODAY),
     "project_totals": f"""
 select (select count(*) from received_0) as received, (select count(*) from received_0 where not {COPY} and {USABLE}) as valid,
@@ -684,6 +754,7 @@ from ({DATES_VIEW.replace("{context}", "case when row_number%2=0 then '2024' end
     "sync_text_status": f"""
 select evidence_id, status, matched, case when matched is null or status='UNCONFIRMED' then 0.0 else 1.0 end as confidence
 from ({STATUS_VIEW.format(source="texts")}) s""",
+    "sync_text_status_fuzzy": _near_status("documents", "doc_id"),
     "phone_key": """
 select evidence_id, regexp_replace(sender_phone, '[\\s+().-]', '', 'g') as phone, cast(null as varchar) as address_phone from messages""",
     "recipient": """
@@ -740,6 +811,9 @@ from vfollowups f join vw v on v.evidence_id=f.case_evidence_id""",
     "coverage_dataset": """
 select sender_identity, application, "group", date, status from cover where status='MISSING' and lower(agent) like '%supplier%'""",
     "rebuild_cases": "select * from rebuilt",
+    "rebuild_followups": f"""
+select p.evidence_id, case when {USABLE} then 'COMPLETED' else processing_status end as processing_status, r.status as case_status, r.replacement_evidence_id
+from proofs p left join rebuilt r on r.case_evidence_id=p.evidence_id""",
     "reminder_candidates": f"""
 select case_evidence_id, r.recipient, case when outcome<>'closed' and r.recipient is null then 'no_recipient' else outcome end as outcome from (
  select coalesce(k.group_key, concat('unknown ', a.case_evidence_id)) as lead, min(a.case_evidence_id) as case_evidence_id,
@@ -769,6 +843,7 @@ select channel_id, channel_id not in (select channel_id from channels) as is_new
 select evidence_id, sha256, nullif(first_value(evidence_id) over (partition by sha256 order by ts, evidence_id), evidence_id) as duplicate_of_id
 from (select event_id as evidence_id, ts, md5(concat(user_id, '-', k)) as sha256 from ev0) m""",
     "stream_case_state": "select * from rebuilt",
+    "stream_dedup_tables": "select distinct message_id from messages",
     "gateway_transitions": _CHANGES.format(ident="event_id", key="gateway_id", state="connection_state", at="at_time", source="gateway"),
     "stream_gateway": _CHANGES.format(ident="event_id", key="gateway_id", state="connection_state", at="at_time", source="gateway"),
     "tumbling_counts": """

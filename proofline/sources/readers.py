@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from proofline import constants as K
 from proofline.functions.text import extension, strip
+from proofline.session import scratch
 
 MEDIA_EXTENSIONS = (*K.IMAGE_EXTENSIONS, *K.VIDEO_EXTENSIONS)
 
@@ -20,21 +21,29 @@ DIRECTION_MARKS = "‎‏"
 
 
 def _numbered(df: DataFrame, first: int) -> DataFrame:
-    """Adds row_number in file order, counting from `first` in each file.
+    """Adds row_number in file order, counting from `first` in each file. Runs a job.
 
-    Places come from the block a row was read in, so rows are neither sorted
-    nor shuffled; only one row per block is.
+    The source is scanned once: rows are written with the block they were read
+    in and their place there, and numbered from the written table, so that no
+    second scan has to be split alike. Rows are neither sorted nor shuffled;
+    only one row per block is.
     """
-    rows = df.select(
-        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__id"),
+    spark = df.sparkSession
+    path = scratch(spark, "numbered")
+    kept = df.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)],
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    kept.write.parquet(path)
+    rows = spark.read.schema(kept.schema).parquet(path)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("start"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return rows.join(blocks, ["file", "block"]).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)],
+        (F.col("id") - F.col("start") + F.col("skip") + first).alias("row_number"),
     )
-    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__start"))
-    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__skip", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    return rows.join(blocks, ["__file", "__block"]).withColumn(
-        "row_number", F.col("__id") - F.col("__start") + F.col("__skip") + first
-    ).drop("__file", "__block", "__id", "__start", "__skip")
 
 
 def read_tabular(

@@ -18,8 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from proofline import constants as K
 from proofline.functions import predicates as P
 from proofline.functions.joins import first_by, lookup
-from proofline.operators.cases import rebuild_cases
-from proofline.operators.identity import KEY
+from proofline.streaming.casework import case_state_sink  # noqa: F401
+from proofline.streaming.keylog import KeyLog
 
 
 def run_available(
@@ -61,11 +61,42 @@ def stream_dedup(messages: DataFrame) -> DataFrame:
     """Each message id once, however late a message or its repeat comes: late messages stay, an id is never taken twice.
 
     On a stream the ids live in the state store, looked up by key in each micro-batch (use the RocksDB store for large
-    feeds). No watermark bounds the state, since forgetting an id would process it again.
+    feeds). No watermark bounds the state, since forgetting an id would process it again; `dedup_sink` keeps the ids in
+    tables instead, and no state at all.
     """
     return messages.dropDuplicates(["message_id"])
 
 
+def dedup_sink(
+    root: str, key: str = "message_id", order: Sequence[str] = ("message_date",), rows: int = 100_000, fan: int = 8
+) -> Callable[[DataFrame, int], None]:
+    """Batch function: each key once, of all batches, with nothing in the state store.
+
+    Of the rows of a key in one batch the first by `order` and then by its values stays. Writes `<root>/new` (the rows
+    that stay, by batch) and `<root>/keys` (a `KeyLog`, whose buckets hold about `rows` keys and whose runs merge `fan`
+    at a time).
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        log = KeyLog(batch.sparkSession, f"{root}/keys", key, rows=rows, fan=fan)
+        values = [c for c in batch.columns if c not in (key, *order)]
+        own = first_by(batch, [key], [*order, *values], [*order, *values])
+        asked = _kept(own, f"{root}/asked", batch_id)
+        known = log.earlier(asked, batch_id).withColumnRenamed(key, "__known")
+        fresh = asked.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti").select(*batch.columns)
+        fresh = _kept(fresh, f"{root}/new", batch_id)
+        log.add(fresh, batch_id)
+
+    return process
+
+
+def _kept(rows: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Writes rows of a batch under its id and reads them back, so that all that follows sees the same."""
+    path = batch_folder(root, batch_id)
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def stream_late(messages: DataFrame, cutoff: dt.datetime | str) -> DataFrame:
     """Adds is_late: older than the reset instant. Late rows are kept."""
     return messages.withColumn("is_late", P.cutoff_filter(F.col("message_date"), cutoff))
@@ -106,83 +137,31 @@ def discover_channels(batch: DataFrame, channels: DataFrame) -> DataFrame:
     )
 
 
-def content_dedup_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """Batch function: the first file of each content wins, across all batches.
+def content_dedup_sink(root: str, rows: int = 100_000, fan: int = 8) -> Callable[[DataFrame, int], None]:
+    """Batch function: the first file of each content wins, across all batches. Unknown hashes are no copies.
 
-    Writes `<root>/firsts` (one row per new content) and `<root>/files` (every
-    file with duplicate_of_id).
+    Writes `<root>/firsts` (a `KeyLog` of contents with their first file) and `<root>/files` (every file with
+    duplicate_of_id). A batch reads, besides its own files, the buckets of `firsts` that may hold one of its contents.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = first_by(batch, ["sha256"], ["received_at", "evidence_id"], ["evidence_id"])
-        past = read_batches(spark, f"{root}/firsts", batch_id)
-        if past is not None:
-            own = own.join(past.select("sha256", F.col("evidence_id").alias("earlier")), "sha256", "left")
-        else:
-            own = own.withColumn("earlier", F.lit(None).cast(own.schema["evidence_id"].dataType))
+        log = KeyLog(batch.sparkSession, f"{root}/firsts", "sha256", ["evidence_id"], rows, fan)
+        known = batch.where("sha256 IS NOT NULL")
+        own = _kept(first_by(known, ["sha256"], ["received_at", "evidence_id"], ["evidence_id"]), f"{root}/own", batch_id)
+        earlier = log.earlier(own.select("sha256"), batch_id).withColumnRenamed("evidence_id", "earlier")
         # The resolved table is read back so that both outputs see the same firsts.
-        resolved = f"{root}/resolved/batch={batch_id}"
-        own.select("sha256", "evidence_id", "earlier").write.mode("overwrite").parquet(resolved)
-        own = spark.read.parquet(resolved)
-        own.where("earlier IS NULL").select("sha256", "evidence_id").write.mode("overwrite").parquet(
-            batch_folder(f"{root}/firsts", batch_id)
-        )
+        own = _kept(own.join(earlier, "sha256", "left").select(
+            "sha256", "evidence_id", F.col("earlier").cast(own.schema["evidence_id"].dataType).alias("earlier")
+        ), f"{root}/resolved", batch_id)
+        log.add(own.where("earlier IS NULL").select("sha256", "evidence_id"), batch_id)
         first = own.select("sha256", F.coalesce("earlier", "evidence_id").alias("first_id"))
-        batch.join(first, "sha256", "left").withColumn(
+        lookup(batch, first, "sha256", "evidence_id").withColumn(
             "duplicate_of_id", F.when(F.col("evidence_id") != F.col("first_id"), F.col("first_id"))
         ).drop("first_id").write.mode("overwrite").parquet(batch_folder(f"{root}/files", batch_id))
 
     return process
 
 
-def case_state_sink(
-    root: str, cases: DataFrame, now: dt.datetime | str, version: Sequence[str] = ()
-) -> Callable[[DataFrame, int], None]:
-    """Batch function: upkeep of cases, right for proofs that finish out of order.
-
-    Only reports a batch touches are rebuilt: their submissions so far, latest
-    version each, and their cases. `version` names the columns that tell two
-    versions of a submission in one batch apart (a time of change). Writes
-    `<root>/submissions` and `<root>/cases`.
-    """
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(batch_folder(f"{root}/submissions", batch_id))
-        everything = read_batches(spark, f"{root}/submissions", batch_id + 1)
-        own = batch.select("evidence_id").distinct()
-        current = latest_rows(everything, ["evidence_id"], version)
-        past = read_batches(spark, f"{root}/cases", batch_id)
-        prior = cases
-        if past is not None:
-            newer = latest_rows(past, ["case_evidence_id"])
-            prior = cases.join(newer.select("case_evidence_id"), "case_evidence_id", "left_anti").unionByName(
-                newer, allowMissingColumns=True
-            )
-        # A case whose replacement changed must be looked at again, with its report.
-        hit = prior.join(
-            own.select(F.col("evidence_id").alias("replacement_evidence_id")), "replacement_evidence_id", "left_semi"
-        ).select(F.col("case_evidence_id").alias("evidence_id"))
-        seeds = own.union(hit).distinct()
-        # Siblings by report key, plus rows whose key is not complete.
-        touched = current.join(seeds, "evidence_id", "left_semi").select(*KEY).dropna().distinct()
-        wanted = current.join(touched, KEY, "left_semi").select("evidence_id").union(seeds).distinct()
-        subset = current.join(wanted, "evidence_id", "left_semi")
-        prior = prior.join(
-            wanted.select(F.col("evidence_id").alias("case_evidence_id")), "case_evidence_id", "left_semi"
-        )
-        needed = prior.select(F.col("replacement_evidence_id").alias("evidence_id")).where("evidence_id IS NOT NULL")
-        # Replacements join the subset only to be judged; their own reports are untouched.
-        extra = current.join(needed, "evidence_id", "left_semi").join(wanted, "evidence_id", "left_anti")
-        rebuilt = rebuild_cases(prior, subset.unionByName(extra), now)
-        rebuilt.join(
-            extra.select(F.col("evidence_id").alias("case_evidence_id")), "case_evidence_id", "left_anti"
-        ).write.mode("overwrite").parquet(batch_folder(f"{root}/cases", batch_id))
-
-    return process
-
-
 def gateway_transitions(events: DataFrame, key: str = "gateway_id", slot: str = "minute") -> DataFrame:
     """Heartbeats at which the connection state differs from the one before (batch form)."""
     from proofline.operators.windows import state_changes

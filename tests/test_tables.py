@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from proofline.functions import similarity
 from proofline.functions.similarity import ratio
 from proofline.operators import frames, imports, listing, matching, reviews, windows
 from proofline.session import scratch
@@ -84,16 +85,132 @@ def test_indel_pairs_equal_brute_force(spark):
 
 def test_candidates_of_an_id_do_not_grow_with_the_ids(spark):
     def met(n):
-        ids = spark.range(n).select(F.concat(F.lit("gr"), F.md5(F.col("id").cast("string")).substr(1, 10), F.lit(".zone-n")).alias("id"))
-        other = spark.range(n).select(F.concat(F.lit("gr"), F.md5((F.col("id") + 10**9).cast("string")).substr(1, 10), F.lit(".zone-n")).alias("id"))
-        mine, theirs = (matching._by_forms(x, "id", 88, "levenshtein") for x in (ids, other.unionByName(ids.limit(n // 10))))
-        return mine.withColumnRenamed("id", "a").join(theirs.select(F.col("other").alias("own"), F.col("own").alias("other"), "form", "id"),
-                                                      ["own", "other", "form"]).select("a", "id").distinct().count() / n
+        ids = spark.range(n).select(F.concat(F.lit("gr"), F.md5(F.col("id").cast("string")).substr(1, 10), F.lit(".zone-n")).alias("text"))
+        other = spark.range(n).select(F.concat(F.lit("gr"), F.md5((F.col("id") + 10**9).cast("string")).substr(1, 10), F.lit(".zone-n")).alias("text"))
+        mine, theirs = (matching._forms(x, False) for x in (ids, other.unionByName(ids.limit(n // 10))))
+        return matching._by_grams(mine, theirs, 88, "levenshtein").distinct().count() / n
 
     small, large = met(1000), met(8000)
     assert small < 0.3 and large < 0.3  # a pair for each planted copy, and few others
 
 
+@pytest.mark.parametrize("cut,metric", [(88, "levenshtein"), (65, "levenshtein"), (83, "weighted")])
+def test_an_id_has_at_most_two_rows_for_a_letter(spark, cut, metric):
+    ids = spark.createDataFrame([(f"gr{i}.zone-{'abcdefgh'[i % 8]}uest-{i * 7919 % 1000}",) for i in range(300)], "text string")
+    forms = matching._forms(ids, metric == "weighted")
+    rows = matching._grams(forms, matching._gram_size(cut, "levenshtein" if metric == "levenshtein" else "indel"), True)
+    if metric == "weighted":
+        rows = rows.unionByName(matching._grams(forms, 2, False))
+    letters = ids.agg(F.sum(F.length("text"))).first()[0]
+    assert rows.count() <= 2 * letters
+
+
+def plain_lcs(a, b):
+    line = [0] * (len(b) + 1)
+    for x in a:
+        fresh = [0]
+        for j, y in enumerate(b):
+            fresh.append(line[j] + 1 if x == y else max(line[j + 1], fresh[j]))
+        line = fresh
+    return line[-1]
+
+
+def plain_ratio(a, b):
+    return 200 * plain_lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def plain_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    ways = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+    return max(plain_ratio(s, t[max(i, 0) : i + len(s)]) for s, t in ways for i in range(1 - len(s), len(t)))
+
+
+def plain_weighted(a, b):
+    """The composite, written down once more for one pair."""
+    if not a or not b:
+        return 0.0
+    x, y = sorted(a.split()), sorted(b.split())
+    both, left, right = {*x} & {*y}, " ".join(sorted({*x} - {*y})), " ".join(sorted({*y} - {*x}))
+    times = max(len(a), len(b)) / min(len(a), len(b))
+    if times < 1.5:
+        words = 0.0
+        if x and y:
+            head = " ".join(both)
+            gap = 1 if head else 0
+            if both and not (left and right):
+                words = 100.0
+            else:
+                total = 2 * (len(head) + gap) + len(left) + len(right)
+                words = 100 - 100 * (len(left) + len(right) - 2 * plain_lcs(left, right)) / total
+                if both:
+                    words = max(words, *(100 - 100 * (1 + len(r)) / (2 * len(head) + 1 + len(r)) for r in (left, right)))
+        return max(plain_ratio(a, b), 0.95 * max(plain_ratio(" ".join(x), " ".join(y)), words))
+    scale = 0.9 if times <= 8 else 0.6
+    stretch = 100.0 if both else max(plain_partial(" ".join(x), " ".join(y)), plain_partial(left, right))
+    return max(plain_ratio(a, b), scale * plain_partial(a, b), 0.95 * scale * stretch)
+
+
+@pytest.mark.parametrize("letters,longest", [("ab1.", 12), ("abcdefghij.-", 26), ("abcd ", 18), ("ab", 70)])
+def test_weighted_scores_equal_plain_ones(letters, longest):
+    rng = random.Random(longest)
+    pairs = []
+    for _ in range(250):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+        pairs += [(a, b), (a, a[rng.randint(0, 3) : rng.randint(3, 30)] + b[:2]), (a + b, b + a)]
+    got = similarity.weighted_ratios(*zip(*pairs))
+    assert got.tolist() == pytest.approx([plain_weighted(a, b) for a, b in pairs])
+
+
+@pytest.mark.parametrize("a,b,score", [
+    # by ratio, by a stretch (0.9), by a short stretch (0.6), by words in another order (0.95), by a shared word (0.95 * 0.9)
+    ("gr1.mil-ter", "gr1.mil-tar", 100 * 20 / 22), ("gr1.mil", "gr1.mil-ter-bagadou", 90.0), ("gr", "gr1.mil-ter-bagadou", 60.0),
+    ("zone nord", "nord zone", 95.0), ("nord", "zone nord est", 90.0), ("nord x", "zone nord est ici", 85.5), ("", "a", 0.0), ("ab", "ab", 100.0),
+])
+def test_weighted_score_table(spark, a, b, score):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(similarity.weighted_ratio(F.col("a"), F.col("b")).alias("s")).first()
+    assert row["s"] == pytest.approx(score)
+
+
+@pytest.mark.parametrize("letters,longest,cut", [("ab1.", 9, 83), ("abcde.-", 16, 83), ("abc ", 12, 83), ("abcd", 14, 90), ("abcdef", 30, 88)])
+def test_weighted_pairs_equal_brute_force(spark, letters, longest, cut):
+    rng = random.Random(longest)
+    left = ["".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(70)]
+    right = []
+    for w in left + left:
+        n = rng.randint(0, len(w))
+        right += [w[:n] + rng.choice(letters) + w[n + 1 :], w[n:], w[: n + 1] + "".join(rng.choice(letters) for _ in range(rng.randint(0, 20)))]
+    # texts that repeat one letter as their only word are compared with short texts only
+    plain = lambda words: sorted({w for w in words if len(w) == 1 and w.strip() or len(" ".join({*w.split()})) > 1})
+    left, right = plain(left), plain(right)
+    got = matching.similar_pairs(
+        spark.createDataFrame([(w,) for w in left], "id string"), spark.createDataFrame([(w,) for w in right], "k string"), cut, "weighted"
+    ).collect()
+    expected = {(a, b): s for a in left for b in right if (s := plain_weighted(a, b)) >= cut - 1e-9}
+    assert {(r["id"], r["known"]): r["score"] for r in got} == pytest.approx(expected) and len(got) == len(expected)
+    assert len(expected) > 50
+
+
+def test_three_candidates_best_first(spark):
+    known = ["gr1.mil-ter", "gr1.mil-tar", "gr1.mil-ter-sud", "gr1.mil-terr", "gr9.autre-lieu"]
+    row = matching.fuzzy_id_match(
+        spark.createDataFrame([("gr1.mil-ter",)], "id string"), spark.createDataFrame([(k,) for k in known], "k string"), threshold=88, margin=5
+    ).first()
+    scores = sorted(((plain_weighted("gr1.mil-ter", k), k) for k in known), key=lambda s: (-s[0], s[1]))[:3]
+    assert [(c["known"], c["score"]) for c in row["candidates"]] == [(k, pytest.approx(s)) for s, k in scores]
+    assert (row["accepted"], row["needs_review"]) == (False, True)
+
+
+def test_a_known_id_that_holds_the_read_one_is_taken(spark):
+    row = matching.fuzzy_id_match(
+        spark.createDataFrame([("gr1.mil",)], "id string"), spark.createDataFrame([("gr1.mil-ter-bagadou",), ("gr2.sud",)], "k string")
+    ).first()
+    assert (row["best_id"], row["best_score"], row["accepted"], row["needs_review"]) == ("gr1.mil-ter-bagadou", 90.0, True, True)
+
+
 def test_indel_candidates_equal_brute_force(spark):
     rng = random.Random(1)
     left = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(6, 9))) for _ in range(40)})
