@@ -138,13 +138,11 @@ def _near_words(folded: Column, error: Sequence[str], success: Sequence[str]) ->
     def any_of(f: Column, keywords: Sequence[str]) -> Column:
         return reduce(lambda a, b: a | b, [possible_keyword(f, k) for k in keywords if k], F.lit(False))
 
-    return near(let(folded, lambda f: let(
-        F.struct(f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way")),
-        lambda fixed: F.struct(
-            F.when(~fixed["not_done"] & any_of(f, error), f).alias("bad_text"),
-            F.when(~fixed["not_done"] & ~fixed["under_way"] & any_of(f, success), f).alias("good_text"),
-            fixed["not_done"].alias("not_done"), fixed["under_way"].alias("under_way"),
-        ),
+    # one level of `let`: Spark does not recognise a function of Python again whose argument nests them
+    return near(let(folded, lambda f: F.struct(
+        F.when(~f.rlike(K.NOT_DONE) & any_of(f, error), f).alias("bad_text"),
+        F.when(~f.rlike(K.NOT_DONE) & ~f.rlike(K.UNDER_WAY) & any_of(f, success), f).alias("good_text"),
+        f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way"),
     )))
 
 

@@ -98,7 +98,7 @@ def case_state_sink(
         same_key = reduce(lambda a, b: a & b, [F.col(f"r.{c}").cast("string") == F.col(f"k.{c}") for c in KEY])
         members = _newest(held.alias("r").join(keys.alias("k"), same_key, "left_semi").drop("report_day"), ["evidence_id", *KEY], version)
         alone = own.where(~has_report_key()).unionByName(_newest(
-            _only(versions.days(days_of((hits, "seen_day")), batch_id), hits.where(" OR ".join(f"{c} IS NULL" for c in KEY))), ["evidence_id"], version
+            _only(versions.days(days_of((hits, "seen_day")), batch_id), hits), ["evidence_id"], version
         ).join(own.select("evidence_id"), "evidence_id", "left_anti"))
         members = members.where("NOT gone").select(own.columns).unionByName(alone.where(~has_report_key()))
         subset = _kept(members, root, "subset", batch_id)

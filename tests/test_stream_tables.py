@@ -135,11 +135,12 @@ def test_days(spark, tmp_path):
 
 def final_cases(spark, root):
     newest = feed.latest_rows(feed.read_batches(spark, f"{root}/cases"), ["case_evidence_id"])
-    return sorted((r["case_evidence_id"], r["status"], r["replacement_evidence_id"]) for r in newest.collect())
+    return sorted((r["case_evidence_id"], r["status"], r["replacement_evidence_id"], r["reason"]) for r in newest.collect())
 
 
 def twin_cases(prior, subs):
-    return sorted((r["case_evidence_id"], r["status"], r["replacement_evidence_id"]) for r in C.rebuild_cases(prior, subs, NOW).collect())
+    rows = C.rebuild_cases(prior, subs, NOW).collect()
+    return sorted((r["case_evidence_id"], r["status"], r["replacement_evidence_id"], r["reason"]) for r in rows)
 
 
 def test_rows_that_a_batch_of_cases_reads_stay_level(spark, tmp_path, submissions, monkeypatch):
@@ -170,24 +171,24 @@ def test_a_submission_that_moves_to_another_report_leaves_the_old_one(spark, tmp
     sink = feed.case_state_sink(str(tmp_path), spark.createDataFrame([], CASE), NOW)
     bad = dict(sync_status="FAILED", group_id="gr1.a")
     sink(submissions(dict(bad, evidence_id=1), dict(bad, evidence_id=2, group_id="gr2.b")), 0)
-    assert final_cases(spark, str(tmp_path)) == [(1, "OPEN", None), (2, "OPEN", None)]
+    assert [r[:3] for r in final_cases(spark, str(tmp_path))] == [(1, "OPEN", None), (2, "OPEN", None)]
     fits = dict(evidence_id=3, received_at=dt.datetime(2026, 7, 30, 9), group_id="gr1.a")
     sink(submissions(fits), 1)
-    assert final_cases(spark, str(tmp_path)) == [(1, "RESOLVED", 3), (2, "OPEN", None)]
+    assert [r[:3] for r in final_cases(spark, str(tmp_path))] == [(1, "RESOLVED", 3), (2, "OPEN", None)]
     # corrected to the other group: the second case closes; the first stays with its replacement, which is still usable
     sink(submissions(dict(fits, group_id="gr2.b")), 2)
-    assert final_cases(spark, str(tmp_path)) == [(1, "RESOLVED", 3), (2, "RESOLVED", 3)]
+    assert [r[:3] for r in final_cases(spark, str(tmp_path))] == [(1, "RESOLVED", 3), (2, "RESOLVED", 3)]
     # no longer usable: both open again, wherever their reports are
     for _ in range(2):
         sink(submissions(dict(fits, group_id="gr2.b", sync_status="FAILED")), 3)
-    assert final_cases(spark, str(tmp_path)) == [(1, "OPEN", None), (2, "OPEN", None), (3, "OPEN", None)]
+    assert [r[:3] for r in final_cases(spark, str(tmp_path))] == [(1, "OPEN", None), (2, "OPEN", None), (3, "OPEN", None)]
 
 
 def test_cases_from_before_the_stream_follow_replacements_elsewhere(spark, tmp_path, submissions):
     prior = spark.createDataFrame([
         (1, "RESOLVED", 9, dt.datetime(2026, 7, 1), "m", None), (2, "RESOLVED", 8, dt.datetime(2026, 7, 1), "m", None), (5, "WAITING", None, dt.datetime(2026, 7, 1), "m", None),
     ], CASE)
-    rows = [dict(evidence_id=1, sync_status="FAILED"), dict(evidence_id=2, sync_status="FAILED", group_id="gr2.b"), dict(evidence_id=5, sync_status="FAILED", group_id=None),
+    rows = [dict(evidence_id=1, sync_status="FAILED"), dict(evidence_id=2, sync_status="FAILED", group_id="gr2.b", date_is_ambiguous=True), dict(evidence_id=5, sync_status="FAILED", group_id=None),
             dict(evidence_id=9, sync_status="FAILED", group_id="gr9.z"), dict(evidence_id=8, group_id="gr9.y")]
     subs = submissions(*rows)
     for order in ([1, 9, 2, 8, 5],):
