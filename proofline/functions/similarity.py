@@ -77,6 +77,14 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * float(_lcs_many(a, _pad([b]))[0]) / (len(a) + len(b))
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct code points in order, and for each code point its place among them: by counting, not by sorting."""
+    kinds = np.flatnonzero(np.bincount(codes, minlength=1))
+    places = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, dtype=np.int64)
+    places[kinds] = np.arange(len(kinds))
+    return kinds, places[codes]
+
+
 class WordTable:
     """Words of many texts end to end: code points, and the place and text of each word."""
 
@@ -86,7 +94,7 @@ class WordTable:
         self.texts = len(texts)
         self.codes = np.frombuffer(" ".join(flat).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         # letters by number, so that a keyword looks up each kind of letter once
-        self.kinds, self.letters = np.unique(self.codes, return_inverse=True)
+        self.kinds, self.letters = _numbered(self.codes)
         self.known_runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.array([len(w) for w in flat], dtype=np.int64)
         self.ends = np.cumsum(sizes + 1) - 1
@@ -342,7 +350,7 @@ def keyword_partials(keyword: str, texts: Sequence[str]) -> np.ndarray:
     blank = "\0" * (size - 1)
     joined = blank + blank.join(texts[i] for i in rest) + blank
     codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    kinds, letters = np.unique(codes, return_inverse=True)
+    kinds, letters = _numbered(codes)
     known = _letter_bits(keyword, kinds)
     known[kinds == 0] = 0
     bits = known[letters]

@@ -19,6 +19,7 @@ from proofline.functions.joins import lookup, split_join
 from proofline.functions.status import sync_text_status
 from proofline.functions.text import fold_text, has_text, let, non_empty, notification_panel
 from proofline.operators.matching import fuzzy_id_match
+from proofline.session import scratch
 
 def frame_time(frames: DataFrame) -> Column:
     """Seconds from the beginning; offsets of end frames count back from the duration."""
@@ -111,7 +112,7 @@ def extraction_outcome(
     The texts of the start frames are read as one, a line for each, and so are those of the end frames (a proof has a
     few of either). Id and date come from the start, and where it has none and the end says anything, from both; the
     status from the end. The id is the first piece that is valid or clearly close to a `known` one,
-    by the `metric` of `fuzzy_id_match`.
+    by the `metric` of `fuzzy_id_match`. With `known`, runs jobs: the pieces are stored.
     """
     rows = texts.withColumn("order", F.struct(frame_time(texts).alias("second"), "frame_id"))
     joined = lambda position: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
@@ -128,6 +129,10 @@ def extraction_outcome(
     )).alias("piece")).select("proof_id", "piece", normalize_id(F.col("piece.raw")).alias("n"))
     read = read.withColumn("asked", F.coalesce("n.normalized", F.lower(F.trim("piece.raw"))))
     if known is not None:
+        # the pieces are read for the match and for its outcome
+        path = scratch(texts.sparkSession, "pieces")
+        read.write.parquet(path)
+        read = texts.sparkSession.read.schema(read.schema).parquet(path)
         near = fuzzy_id_match(read.select("asked"), known, metric).drop("candidates").withColumnRenamed("id", "asked")
         read = lookup(read, near, "asked", "proof_id")
     else:

@@ -116,10 +116,11 @@ def _by_grams(left: DataFrame, right: DataFrame, cut: float, metric: str, guard:
     )
 
 
-def _by_stretches(left: DataFrame, right: DataFrame, cut: float, most: float) -> DataFrame:
+def _by_stretches(left: DataFrame, right: DataFrame, cut: float, most: float, single: bool) -> DataFrame:
     """(id, known) of every pair in which a stretch of the longer form may score `cut` with the shorter, by the rarest grams of the shorter one.
 
-    A stretch has no ends, so grams lie inside. Texts are apart by at least `LONGER` and at most `most` times.
+    A stretch has no ends, so grams lie inside. Texts are apart by at least `LONGER` and at most `most` times. `single`
+    tells that a form may be one letter, which has no gram.
     """
     lost = 1 - cut / 100.0
     q = 2
@@ -141,11 +142,13 @@ def _by_stretches(left: DataFrame, right: DataFrame, cut: float, most: float) ->
         F.count("*").alias("n"), F.min(least).alias("least")
     ).where("n >= least").select(F.col("a_text").alias("id"), F.col("b_text").alias("known"))
 
+    if not single:
+        return pairs
+
     def letters(texts: DataFrame, name: str, alone: bool) -> DataFrame:
         rows = texts.where("length(form) = 1" if alone else f"whole <= {most}")
         return rows.select(F.col("text").alias(name), F.explode(F.array_distinct(F.split("form", ""))).alias("letter")).where("letter <> ''")
 
-    # one letter has no gram
     return pairs.unionByName(letters(left, "id", True).join(letters(right, "known", False), "letter").select("id", "known")).unionByName(
         letters(right, "known", True).join(letters(left, "id", False), "letter").select("id", "known")
     )
@@ -176,29 +179,43 @@ def _by_words(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _stored_texts(rows: DataFrame, label: str) -> DataFrame:
+    """The distinct texts of the first column, as `text`, written once: whatever made them is not planned again."""
+    path = scratch(rows.sparkSession, label)
+    texts = rows.select(F.col(rows.columns[0]).cast("string").alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    texts.write.parquet(path)
+    return rows.sparkSession.read.schema(texts.schema).parquet(path)
+
+
 def similar_pairs(ids: DataFrame, known: DataFrame, cut: float, metric: str = "levenshtein") -> DataFrame:
     """(id, known, score) of every distinct pair with a score of at least `cut`, exactly.
 
     `metric` is "levenshtein", "indel" or "weighted" (see `weighted_ratios`). Candidates come from equality joins on
     the rarest grams of each text, one row for each letter at most, and are then scored; texts of several words meet
-    on a shared word, too. Bars are 40 or more for Levenshtein, 50 for indel, 81 for the weighted score. A text that
+    on a shared word, too. Runs a job: the distinct texts of both sides are stored first, as they are read several
+    times. Bars are 40 or more for Levenshtein, 50 for indel, 81 for the weighted score. A text that
     repeats one letter as its only word is compared with texts of up to eight letters.
     """
     least = {"levenshtein": 40, "indel": 50, "weighted": 81}[metric]
     if not least <= cut <= 100:
         raise ValueError(f"a {metric} bar is from {least} to 100")
-    left = ids.select(F.col(ids.columns[0]).alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
-    right = known.select(F.col(known.columns[0]).alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    left, right = _stored_texts(ids, "ids"), _stored_texts(known, "known")
     if metric != "weighted":
         met = _by_grams(_forms(left, False), _forms(right, False), cut, metric)
         score = indel_ratio if metric == "indel" else levenshtein_ratio
     else:
-        mine, theirs = _forms(left, True), _forms(right, True)
+        # ways that these texts cannot meet are left out of the plan
+        spaced, shortest, longest = left.unionByName(right).agg(
+            F.coalesce(F.bool_or(F.col("text").rlike(r"\s")), F.lit(False)), F.min(F.length("text")), F.max(F.length("text"))
+        ).first()
+        mine, theirs = _forms(left, spaced), _forms(right, spaced)
         a, b = F.col("a_whole"), F.col("b_whole")
         met = _by_grams(mine, theirs, cut, "indel", F.greatest(a, b) < F.least(a, b) * LONGER)
-        if cut <= 100 * BY_STRETCH:
-            met = met.unionByName(_by_stretches(mine, theirs, cut / BY_STRETCH, MUCH_LONGER))
-        met = met.unionByName(_by_words(left, right)).distinct()
+        if cut <= 100 * BY_STRETCH and longest is not None and longest >= LONGER * shortest:
+            met = met.unionByName(_by_stretches(mine, theirs, cut / BY_STRETCH, MUCH_LONGER, spaced or shortest == 1))
+        if spaced:
+            met = met.unionByName(_by_words(left, right))
+        met = met.distinct()
         score = weighted_ratio
     return met.withColumn("score", score(F.col("id"), F.col("known"))).where(F.col("score") >= cut - 1e-9)
 
