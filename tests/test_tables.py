@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import similarity
 from proofline.functions.similarity import ratio
-from proofline.operators import frames, imports, listing, matching, reviews, windows
+from proofline.operators import frames, imports, listing, matching, reviews, stats, windows
 from proofline.session import scratch
 from proofline.sources import readers, sinks
 
@@ -464,3 +464,24 @@ def test_manifest_and_safe_csv(spark, tmp_path):
 def test_scratch_follows_the_named_folder(spark):
     folder = scratch(spark, "x")
     assert folder.startswith("/tmp/") and scratch(spark, "x") != folder
+
+
+def test_budget_walks_each_batch_in_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None]), i, rng.randrange(40), rng.choice([0, 3, 7, 7, 25, 60, 101])) for i in range(400)]
+    got = windows.budget_select(spark.createDataFrame(rows, "batch_id int, image_id bigint, place int, size int"), 100, 150).collect()
+    expected = []
+    for batch in (1, 2, 3, None):
+        used, turn = 0, 0
+        for _, image, _, size in sorted((r for r in rows if r[0] == batch), key=lambda r: (r[2], r[1])):
+            if size <= 100 and used + size <= 150:
+                expected.append((batch, turn, image))
+                used, turn = used + size, turn + 1
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_campaign_lists(spark):
+    runs = spark.createDataFrame([(i, dt.datetime(2026, 7, 1) + dt.timedelta(hours=i // 2), f"r{i}") for i in range(70)], "run_id int, created_at timestamp_ntz, result string")
+    assert [r["run_id"] for r in stats.campaign_runs(runs).collect()] == [*range(69, 39, -1)]
+    sent = spark.createDataFrame([("2026-07-01", "b", "SENT"), ("2026-07-02", "c", "SENT"), ("2026-07-02", "a", "UNKNOWN")], "day string, recipient string, status string")
+    assert [tuple(r) for r in stats.campaign_recipients(sent, 2).collect()] == [("2026-07-02", "a", "UNKNOWN"), ("2026-07-02", "c", "SENT")]

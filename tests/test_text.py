@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import unicodedata
 
 import pytest
@@ -206,3 +207,36 @@ def test_word_runs_stay_inside_their_text():
         return score if score >= 50 else 0
 
     assert list(best) == pytest.approx([plain(t) for t in texts])
+
+
+def test_compatibility_form_equals_the_unicode_one(spark):
+    rng = random.Random(5)
+    letters = "abE 1.-" + "".join(map(chr, (0xFB01, 0xFF21, 0x212B, 0x1E9B, 0x323, 0x307, 0x301, 0x327, 0x300, 0x308, 0xE9, 0xDF, 0x3099, 0xFF76, 0xFF9E, 0x2460, 0x1EA5)))
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.compat_text(F.col("w")).alias("c")).collect()
+    for r in rows:
+        assert r["c"] == unicodedata.normalize("NFKC", r["w"]), ascii(r["w"])
+
+
+def test_ligatures_and_marks_in_ids(spark):
+    raw = ["gr12." + chr(0xFB01) + "ni", "gr1.te" + chr(0x301) + "st", chr(0xFF47) + "r3.zone"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(raw)], "i int, w string").select("i", ids.normalize_id(F.col("w"))["normalized"].alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == ["gr12.fini", "gr1.tst", "gr3.zone"]
+
+
+@pytest.mark.parametrize("keyword", ["synchronisation reussie", "upload complete", "donnees non envoyees"])
+def test_no_near_spelling_is_spared(spark, keyword):
+    rng = random.Random(len(keyword))
+    texts = []
+    for _ in range(300):
+        word = list(keyword)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(word))
+            word[i : i + 1] = rng.choice([[], [word[i], "x"], ["y"]])
+        texts.append("ecran " + "".join(word) + " fin")
+    texts.append("rien a voir avec ces mots")
+    table = similarity.WordTable(texts)
+    reached = similarity.best_window_ratios(keyword, table, status.needed_score(keyword)) > 0
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", status.possible_keyword(F.col("t"), keyword).alias("p")).collect()
+    possible = {r["i"]: r["p"] for r in rows}
+    assert all(possible[i] for i in range(300) if reached[i]) and not possible[300] and reached.sum() > 50
