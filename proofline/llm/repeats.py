@@ -13,8 +13,11 @@ but share an anchor are put into suffix order by prefix doubling up to `LENGTH`
 bytes. Elements with equal ranks are ordered by place, so the previous smaller
 place of an element is the one before it with the same rank, and where there is
 none its longest previous factor is shorter than `LENGTH`; likewise for the next
-smaller place. Groups of more than `GROUP_LIMIT` contexts are settled by
-grouping digests of their strings instead: as exact, and dealt out evenly.
+smaller place. A group of more than `GROUP_LIMIT` contexts is halved first: the
+strings that start in one half of the distances to the anchor share more bytes,
+which are the key of smaller groups. Equal halves become one, halves that stand
+alone go, and a half whose group is still too large is halved again, down to one
+start, where the key is the string.
 
 With `keep_first`, bytes covered by a string that occurs earlier (by smallest
 document id, then place) go and the first occurrence stays; without it every
@@ -215,74 +218,54 @@ def _covered(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + LENGTH).tolist(), strict=True))
 
 
-def _matched(keep_first: bool, limit: int):
-    """Rows (hash, digest, shift, part, order) sorted by hash and digest, to (hash, digest, low, high, window, place)."""
+def _matched(keep_first: bool):
+    """Rows (hash, digest, start, part, first, at) sorted by hash and digest, to the repeated ranges (hash, digest, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        names = ["hash", "digest", "low", "high", "window", "first", "begin"]
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        names = ["hash", "digest", "low", "high"]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
 
         def sort(groups: list[list[tuple]]) -> pa.RecordBatch:
-            rows = [r for g in groups if len(g) > 1 for r in g]
-            if not rows:
-                return out([])
-            group = np.repeat(np.arange(sum(len(g) > 1 for g in groups)), [len(g) for g in groups if len(g) > 1])
-            size = np.array([len(r[3]) for r in rows])
-            begin = np.r_[0, size.cumsum()[:-1]]
-            shift = np.array([r[2] for r in rows])
-            within = np.arange(size.sum()) - np.repeat(begin, size)
-            kind = np.repeat(group, size) * 4096 + within - np.repeat(shift, size) + 1024
-            alive, rank = equal_strings(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), begin, size, kind)
-            # contexts in the order in which they occur first
-            occurrence = np.empty(len(rows), dtype=np.int64)
-            occurrence[sorted(range(len(rows)), key=lambda i: (rows[i][4], rows[i][5]))] = np.arange(len(rows))
-            context = np.searchsorted(begin, alive, side="right") - 1
-            found = _factors(occurrence[context], rank, keep_first)
-            alive, context = alive[found], context[found]
-            made = []
-            for i in np.unique(context).tolist():
-                for low, high in _covered(np.sort(alive[context == i] - begin[i])):
-                    made.append((rows[i][0], rows[i][1], low, high, None, None, None))
-            return out(made)
-
-        def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for r in rows:
-                part, shift = r[3], r[2]
-                yield out([
-                    (r[0], r[1], at, at - shift, xxhash.xxh3_128_digest(part[at : at + LENGTH], 7), r[4], r[5])
-                    for at in range(len(part) - LENGTH + 1)
-                ])
+            groups = [g for g in groups if len(g) > 1]
+            rows = [r for g in groups for r in g]
+            made: list[tuple] = []
+            if rows:
+                group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+                size = np.array([len(r[3]) for r in rows])
+                begin = np.r_[0, size.cumsum()[:-1]]
+                start = np.array([r[2] for r in rows])
+                within = np.arange(size.sum()) - np.repeat(begin, size)
+                kind = np.repeat(group, size) * 4096 + within + np.repeat(start, size) + 1024
+                alive, rank = equal_strings(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), begin, size, kind)
+                # contexts in the order in which they occur first
+                occurrence = np.empty(len(rows), dtype=np.int64)
+                occurrence[sorted(range(len(rows)), key=lambda i: (rows[i][4], rows[i][5]))] = np.arange(len(rows))
+                context = np.searchsorted(begin, alive, side="right") - 1
+                found = _factors(occurrence[context], rank, keep_first)
+                places = np.sort(alive[found])
+                owner = np.searchsorted(begin, places, side="right") - 1
+                edges = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)] if len(owner) else np.zeros(1, np.int64)
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    i = owner[a]
+                    made += [(rows[i][0], rows[i][1], low, high) for low, high in _covered(places[a:b] - begin[i])]
+            columns = list(zip(*made, strict=True)) if made else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         ready: list[list[tuple]] = []
-        held, group, long_group = 0, [], False
+        held, group = 0, []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if group and row[0] != group[0][0]:
-                    if not long_group:
-                        ready.append(group)
+                    ready.append(group)
+                    group = []
                     if held > SORTED:
                         yield sort(ready)
                         ready, held = [], 0
-                    group, long_group = [], False
                 if group and row[1] == group[-1][1]:
                     continue
-                if long_group:
-                    yield from windows([row])
-                    group = [row]
-                    continue
                 group.append(row)
                 held += len(row[3])
-                if len(group) > limit:
-                    yield from windows(group)
-                    held -= sum(len(r[3]) for r in group)
-                    group, long_group = [row], True
-        if group and not long_group:
+        if group:
             ready.append(group)
         if ready:
             yield sort(ready)
@@ -290,6 +273,72 @@ def _matched(keep_first: bool, limit: int):
     return run
 
 
+def _halves(groups: DataFrame) -> DataFrame:
+    """Contexts (hash, digest, low, high, start, part, first, at) cut in two by the starts of their strings.
+
+    `low` to `high` are the starts that a group takes in, as distances to the anchor, and `start` is the first one of the
+    context. Gives (hash, digest, offset) of the context, with the same facts of its half: `h` is the key of the bytes that
+    all strings of the half share, `d` names the half by its bytes and start.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    sides = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
+    last = F.col("start") + F.length("part") - LENGTH
+    cut = groups.select("*", F.explode(sides).alias("s")).withColumn("from", F.greatest("start", "s.a")).withColumn("to", F.least(last, F.col("s.b")))
+    cut = cut.filter("from <= to").withColumn("offset", F.col("from") - F.col("start"))
+    shared = F.substring("part", F.col("s.b") - F.col("start") + 1, F.col("s.a") + LENGTH - F.col("s.b"))
+    half = F.substring("part", F.col("offset") + 1, F.col("to") - F.col("from") + LENGTH)
+    name = F.concat(half, F.encode(F.lpad((F.col("from") + 1000).cast("string"), 4, "0"), "UTF-8"))
+    return cut.select(
+        "hash", "digest", "offset", F.xxhash64("hash", "s.a", shared).alias("h"), F.unhex(F.md5(name)).alias("d"),
+        F.col("s.a").alias("low"), F.col("s.b").alias("high"), F.col("from").alias("start"), half.alias("part"), "first", "at",
+    )
+
+
+def _sized(contexts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of groups that fit a task, and of those to be halved; groups of one are in neither."""
+    sizes = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(_other("hash").alias("o"), "kinds")
+    met = contexts.withColumn("o", _other("hash")).join(sizes, "o").drop("o")
+    large = (F.col("kinds") > limit) & (F.col("low") < F.col("high"))
+    return met.filter(~large).drop("kinds"), met.filter(large).drop("kinds")
+
+
+def _ranges(contexts: DataFrame, keep_first: bool, limit: int) -> DataFrame:
+    """Repeated ranges (hash, digest, low, high) of distinct contexts that share an anchor with others."""
+    contexts = stored(contexts, "repeat-unequal")
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    fits, large = _sized(contexts, limit)
+    small = [fits]
+    # at most as many rounds as a group's starts can be halved
+    while not large.isEmpty():
+        halves = stored(_halves(large), f"repeat-halves-{len(levels)}")
+        own = F.struct("first", "at", "digest")
+        distinct = halves.groupBy("h", "d").agg(
+            F.count(F.lit(1)).alias("n"), F.min(own).alias("place"), *(F.first(c).alias(c) for c in ("low", "high", "start", "part"))
+        )
+        distinct = stored(distinct, f"repeat-distinct-{len(levels)}")
+        levels.append((halves, distinct))
+        fits, large = _sized(
+            distinct.select(F.col("h").alias("hash"), F.col("d").alias("digest"), "low", "high", "start", "part", "place.first", "place.at"), limit
+        )
+        small.append(fits)
+    fitting = small[0]
+    for fits in small[1:]:
+        fitting = fitting.unionByName(fits)
+    fitting = fitting.select("hash", "digest", "start", "part", "first", "at").repartition("hash").sortWithinPartitions("hash", "digest")
+    found = stored(fitting.mapInArrow(_matched(keep_first), "hash long, digest binary, low int, high int"), "repeat-matched")
+    # what is found for a half holds for the contexts it was cut from; a half of several contexts is repeated as a whole
+    for halves, distinct in reversed(levels):
+        several = halves.join(distinct.filter("n > 1").select("h", "d", "place"), ["h", "d"])
+        if keep_first:
+            several = several.filter(F.struct("first", "at", "digest") != F.col("place"))
+        whole = several.select("hash", "digest", F.col("offset").alias("low"), (F.col("offset") + F.length("part")).alias("high"))
+        inside = halves.select("hash", "digest", "offset", "h", "d").join(
+            found.select(F.col("hash").alias("h"), F.col("digest").alias("d"), "low", "high"), ["h", "d"]
+        ).select("hash", "digest", (F.col("low") + F.col("offset")).alias("low"), (F.col("high") + F.col("offset")).alias("high"))
+        found = found.unionByName(whole).unionByName(inside)
+    return found
+
+
 def _other(column: str) -> Column:
     """Another key for the same values. A side that was just grouped by a column moves again for a join by this one, so that
     Spark can split the join where a value is hot."""
@@ -325,19 +374,13 @@ def repeats(df: DataFrame, keep_first: bool = False, id_column: str = "doc_id",
     several = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(_other("hash").alias("h"))
     unequal = contexts.withColumn("h", _other("hash")).join(several, "h", "left_semi").select("hash", "digest", "place.first", "place.begin")
     parts = texts.mapInArrow(lambda b: _parts(b, True), "hash long, digest binary, shift int, part binary")
-    parts = parts.join(unequal, ["hash", "digest"]).select("hash", "digest", "shift", "part", "first", "begin")
-    schema = "hash long, digest binary, low int, high int, window binary, first long, begin int"
-    matched = stored(parts.repartition("hash").sortWithinPartitions("hash", "digest").mapInArrow(_matched(keep_first, limit), schema), "repeat-matched")
-    # strings of the large groups, by digest: `high` holds the distance to the anchor
-    strings = matched.filter("window is not null").dropDuplicates(["hash", "digest", "low"])
-    same = strings.groupBy("hash", "high", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "begin", "digest")).alias("least"))
-    same = same.filter("n > 1").select(F.concat("window", F.lit(b"")).alias("w"), F.col("hash").alias("h"), F.col("high").alias("x"), "least")
-    met = strings.join(same, (F.col("window") == F.col("w")) & (F.col("hash") == F.col("h")) & (F.col("high") == F.col("x")))
-    if keep_first:
-        met = met.filter(F.struct("first", "begin", "digest") != F.col("least"))
-    ranges = matched.filter("window is null").select("hash", "digest", "low", "high").unionByName(
-        met.select("hash", "digest", "low", (F.col("low") + LENGTH).alias("high"))
-    )
+    parts = parts.join(unequal, ["hash", "digest"]).dropDuplicates(["hash", "digest"])
+    before = F.col("shift") >= HALF
+    ranges = _ranges(parts.select(
+        "hash", "digest", F.when(before, F.lit(PIECE - LENGTH)).otherwise(F.lit(1 - HALF)).alias("low"),
+        F.when(before, F.lit(-HALF)).otherwise(F.lit(0)).alias("high"),
+        (-F.col("shift")).alias("start"), "part", "first", (F.col("begin") + F.col("shift")).alias("at"),
+    ), keep_first, limit)
     by_context = ranges.groupBy("hash", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     known = contexts.join(by_context, ["hash", "digest"], "left").filter("n > 1 or ranges is not null")
     known = known.select(_other("hash").alias("h"), F.concat("digest", F.lit(b"")).alias("g"), "n", "place", "ranges")
