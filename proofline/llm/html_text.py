@@ -4,9 +4,12 @@ Each piece of text has a path of tags from the root. Per path the characters,
 punctuation marks and pieces are added up; the ratios of both to the pieces are
 smoothed along the page, fused into one weight, and paths at or above a share of
 the heaviest one are content. Pieces on these paths, and those beside them in
-the same content element (headings, short lines), make up the text. Elements
-that say themselves that they are no article (navigation, forms, adverts,
-comments and so on) are left out before.
+the same content element (headings, short lines), make up the text. A group of
+links in that element whose path is too light and that stands beside no heavy
+path, is a menu and left out. Elements that say themselves that they are no
+article (navigation, forms, adverts, comments and so on) are left out before. A
+class or id name, or a form, does not count where the element holds the only
+article, or on a page without one most of the text: then it is a wrapper.
 
 Character references are decoded, white space within a block becomes one space,
 blocks are trimmed and joined by a line feed in page order. A missing or empty
@@ -56,6 +59,10 @@ HINTS = frozenset(
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments disqus reply replies respond".split()
 )
+#: Of these, the words of readers' comments, whose element is never taken for a wrapper.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+#: Elements that group others; a list of links is judged within the nearest one.
+GROUPS = frozenset("article body center details dialog div dl main menu ol section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、·()\"“”«»-]")
 
 _TOKEN = re.compile(
@@ -69,46 +76,89 @@ SHARE = 0.2
 SMOOTH = (0.25, 0.5, 0.25)
 #: Share of the content's characters that its element must hold.
 HOLDS = 0.8
+#: Share of a group's characters in links, and links on a path, from which a group is a menu.
+LINKED = 0.8
+LINKS = 3
 
 
-def _beside(tag: str, attributes: str) -> bool:
-    """Whether an element says that it is not part of the article."""
+def _beside(tag: str, attributes: str) -> str:
+    """Whether an element says that it is not part of the article: "yes", "wrapper" if it may still hold the article, or ""."""
     if tag in ASIDE:
-        return True
+        return "wrapper" if tag == "form" else "yes"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    said = "yes" if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
             spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            if not HINTS.isdisjoint(_NAME.findall(spaced)):
-                return True
+            words = HINTS.intersection(_NAME.findall(spaced))
+            if words:
+                said = said or ("wrapper" if READERS.isdisjoint(words) else "yes")
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
+            return "yes"
+    return said
 
 
 class Piece:
-    """A piece of text: its path, its block, and whether it stands in a link."""
+    """A piece of text: its path, its block, the nearest group, and whether it stands in a link.
 
-    __slots__ = ("block", "link", "path", "text")
+    `aside` and `named` are the nearest element set aside and the nearest article, by number from 1 on, 0 if there is none.
+    """
 
-    def __init__(self, text: str, path: tuple[str, ...], block: int, link: bool):
-        self.text, self.path, self.block, self.link = text, path, block, link
+    __slots__ = ("aside", "block", "group", "link", "named", "path", "text")
+
+    def __init__(self, text: str, path: tuple[str, ...], block: int, link: bool, aside: int, named: int, group: int):
+        self.text, self.path, self.block, self.link, self.aside, self.named, self.group = text, path, block, link, aside, named, group
+
+
+def _opened(out: list[Piece], asides: list[tuple[int, bool]], named: list[int]) -> list[Piece]:
+    """The pieces that stand in no element set aside, once wrappers are opened.
+
+    `asides` has for each element the one around it and whether it may be a wrapper; `named` has for each article the element
+    set aside around it.
+    """
+
+    def chain(aside: int) -> list[int]:
+        found = []
+        while aside:
+            found.append(aside)
+            aside = asides[aside][0]
+        return found
+
+    sizes: dict[int, int] = {}
+    own: dict[int, int] = {}
+    for p in out:
+        size = len(p.text.strip())
+        sizes[p.aside] = sizes.get(p.aside, 0) + size
+        if p.named and p.aside == named[p.named]:
+            own[p.named] = own.get(p.named, 0) + size
+    lifted = {0}
+    if not any(size and not named[n] for n, size in own.items()):
+        inside = [n for n, size in own.items() if size and all(asides[a][1] for a in chain(named[n]))]
+        most = max(sizes, key=sizes.get, default=0)
+        if inside:
+            lifted.update(chain(named[max(inside, key=lambda n: (own[n], -n))]))
+        elif 2 * sizes.get(most, 0) > sum(sizes.values()) and all(asides[a][1] for a in chain(most)):
+            lifted.update(chain(most))
+    return [p for p in out if p.aside in lifted]
 
 
 def pieces(page: str) -> list[Piece]:
     """The pieces of text of a page that no element sets aside, in page order."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []
+    # per open element: tag, and what was nearest before it of the elements set aside, the articles and the groups
+    stack: list[tuple[str, int, int, int]] = []
+    asides: list[tuple[int, bool]] = [(0, True)]
+    named: list[int] = [0]
     path: tuple[str, ...] = ()
-    at, block, aside, link = 0, 0, 0, 0
+    at, block, link, groups = 0, 0, 0, 0
+    aside, name, group = 0, 0, 0
 
     def close(to: int) -> None:
-        nonlocal path, block, aside, link
+        nonlocal path, block, aside, link, name, group
         while len(stack) > to:
-            tag, beside = stack.pop()
-            aside -= beside
+            tag, aside, name, group = stack.pop()
             link -= tag == "a"
             block += tag in BLOCK
         path = path[:to]
@@ -125,8 +175,8 @@ def pieces(page: str) -> list[Piece]:
                 continue
             elif "&" in text:
                 text = html.unescape(text)
-            if not aside and text:
-                out.append(Piece(text, path, block, link > 0))
+            if text:
+                out.append(Piece(text, path, block, link > 0, aside, name, group))
             continue
         tag = tag.lower()
         if found[1]:
@@ -149,8 +199,8 @@ def pieces(page: str) -> list[Piece]:
                     close(i)
                     break
         if tag in VOID:
-            if tag == "br" and out and not aside:
-                out.append(Piece(" ", path, block, link > 0))
+            if tag == "br" and out:
+                out.append(Piece(" ", path, block, link > 0, aside, name, group))
             block += tag in BLOCK
             continue
         if found[3].endswith("/") and tag in ("svg", "math", "path"):
@@ -158,16 +208,24 @@ def pieces(page: str) -> list[Piece]:
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
-            stack.append((tag, False))
+            stack.append((tag, aside, name, group))
             path = (*path, tag)
             continue
-        beside = _beside(tag, found[3])
-        stack.append((tag, beside))
+        stack.append((tag, aside, name, group))
         path = (*path, tag)
-        aside += beside
+        said = _beside(tag, found[3])
+        if said:
+            asides.append((aside, said == "wrapper"))
+            aside = len(asides) - 1
+        if tag in ("article", "main"):
+            named.append(aside)
+            name = len(named) - 1
+        if tag in GROUPS:
+            groups += 1
+            group = groups
         link += tag == "a"
         block += tag in BLOCK
-    return out
+    return _opened(out, asides, named)
 
 
 def content(found: list[Piece]) -> list[Piece]:
@@ -212,7 +270,18 @@ def content(found: list[Piece]) -> list[Piece]:
                 break
             holder, depth = best, depth + 1
     inside = len(holder) > 2 or (named and holder)
-    return [p for p in found if p.path in chosen or (inside and p.path[: len(holder)] == holder)]
+    # menus: groups of links on paths of links alone, without a piece on a content path
+    linked: dict[int, list[int]] = {}
+    heavy: set[int] = set()
+    for p in full:
+        size, links = len(p.text.strip()), p.link and sums[p.path][0] == 0 and sums[p.path][2] >= LINKS
+        own = linked.setdefault(p.group, [0, 0])
+        own[0] += size if links else 0
+        own[1] += size
+        if p.path in chosen:
+            heavy.add(p.group)
+    menus = {g for g, (links, size) in linked.items() if g not in heavy and links and links >= LINKED * size}
+    return [p for p in found if p.path in chosen or (inside and p.path[: len(holder)] == holder and p.group not in menus)]
 
 
 def main_text(page: str | None) -> str:

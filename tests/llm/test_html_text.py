@@ -52,3 +52,40 @@ def test_every_page_of_the_test_table(spark):
         body = re.search("<article>(.*)</article>", r.html, re.S)[1]
         lines = re.sub("</?(?:b|br)>", " ", re.sub("</?(?:p|h1)>", "\n", body)).split("\n")
         assert main_text(r.html) == "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in lines) if x)
+
+
+ARTICLE = "<h1>T</h1>" + "".join(f"<p>Sentence {i}, which goes on, and on, until it ends.</p>" for i in range(5))
+TEXT = "T\n" + "\n".join(f"Sentence {i}, which goes on, and on, until it ends." for i in range(5))
+LINKS = "<ul class=x>" + "".join(f"<li><a href=/{i}>Go to {i}</a></li>" for i in range(20)) + "</ul>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='with-header'", "div id='page-widget-area'", "form action=x"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_a_wrapper_with_hint_words_keeps_the_article(wrapper, inner):
+    tag = wrapper.split()[0]
+    other = "<nav>Menu</nav><div class=comments><p>A comment, from a reader. It is short.</p></div>"
+    assert main_text(f"<body><{wrapper}>{other}{inner.format(ARTICLE)}</{tag}></body>") == TEXT
+
+
+def test_comments_are_no_wrapper():
+    page = "<body><p>Short, but all there is.</p><div class='comments widget'>" + ARTICLE.replace("Sentence", "Reader") + "</div></body>"
+    assert main_text(page) == "Short, but all there is."
+    assert main_text("<body><div class=comments><article>" + ARTICLE + "</article></div></body>") == ""
+
+
+@pytest.mark.parametrize("menu", [LINKS, "<div>" + LINKS + "</div>", "<div>" + "".join(f"<a href=/{i}>Go to {i}</a> | " for i in range(20)) + "</div>"])
+@pytest.mark.parametrize("page", ["<article>{m}{a}</article>", "<div>{m}<article>{a}</article></div>", "<div class=c>{a}{m}</div>", "<div class=rail>{m}{a}</div>"])
+def test_a_menu_with_a_neutral_name_goes(menu, page):
+    assert main_text("<body>" + page.format(m=menu, a=ARTICLE) + "</body>") == TEXT
+
+
+def test_the_share_decides(monkeypatch):
+    from proofline.llm import html_text
+
+    monkeypatch.setattr(html_text, "SHARE", 0)
+    assert "Go to 3" in main_text(f"<article>{ARTICLE}{LINKS}</article>")
+
+
+def test_lists_and_single_links_of_the_article_stay():
+    page = f"<article>{ARTICLE}<ul><li>short</li><li>an <a href=x>item</a></li></ul><p><a href=y>Source</a></p></article>"
+    assert main_text(page) == TEXT + "\nshort\nan item\nSource"
