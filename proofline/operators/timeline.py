@@ -4,53 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.joins import same
-
 
 def asof_forward_match(
     originals: DataFrame, usable: DataFrame, key: Sequence[str],
-    time: str = "received_at", ident: str = "evidence_id", slot: str = "minute",
+    time: str = "received_at", ident: str = "evidence_id", slot: str = "minute", fine: str = "millisecond",
 ) -> DataFrame:
     """(evidence_id, replacement_id): first usable row of the key at or after each original.
 
-    Equal times are broken by the lowest id. Originals without a match are left out.
+    Equal times are broken by the lowest id. Originals without a match are left
+    out, as are rows without a time or a part of the key.
 
-    A key is cut into time slots. Inside a slot one ordered backward pass finds
-    the next usable row; only originals still open then look at the first usable
-    row of the next non-empty slot, from a table with one row per key and slot.
+    Rows shrink to one for each key and instant before anything is ordered, so
+    rows of one instant cost nothing. Instants are read backward within a
+    fine slot, fine slots within a slot and slots within a key: no task holds more
+    than the instants of a fine slot, the fine slots of a slot or a key's slots.
     """
     key = list(key)
-    complete = F.lit(True)
+    complete = F.col(time).isNotNull()
     for name in key:
         complete = complete & F.col(name).isNotNull()
-
-    def tagged(df: DataFrame, original: bool) -> DataFrame:
-        hit = F.struct(F.col(time).alias("t"), F.col(ident).alias("id"))
-        return df.where(complete).select(
-            *key, F.date_trunc(slot, F.col(time)).alias("__slot"), F.col(time).alias("__t"),
-            F.col(ident).alias("__id"), F.lit(original).alias("__original"),
-            (F.lit(None).cast(usable.select(hit).schema[0].dataType) if original else hit).alias("__hit"),
-        )
-
-    line = tagged(originals, True).unionByName(tagged(usable, False))
-    in_slot = Window.partitionBy(*key, "__slot").orderBy(
-        F.col("__t").desc(), F.col("__original").asc(), F.col("__id").desc()
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = line.withColumn("__near", F.last("__hit", ignorenulls=True).over(in_slot))
-
-    slots = line.groupBy(*key, "__slot").agg(F.min("__hit").alias("__first"))
-    later = Window.partitionBy(*key).orderBy(F.col("__slot").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
+    kind = usable.schema[ident].dataType
+
+    def timed(df: DataFrame, hit: Column) -> DataFrame:
+        return df.where(complete).select(*key, F.col(time).alias("__t"), hit.cast(kind).alias("__id"))
+
+    line = timed(originals, F.lit(None)).unionByName(timed(usable, F.col(ident)))
+    line = line.groupBy(*key, "__t").agg(F.min("__id").alias("__id")).withColumns({
+        "__slot": F.date_trunc(slot, "__t"), "__fine": F.date_trunc(fine, "__t"),
+    })
+    cell = [*key, "__slot", "__fine"]
+    near = Window.partitionBy(*cell).orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("__near", F.last("__id", ignorenulls=True).over(near))
+
+    fines = line.groupBy(*cell).agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__t", "__id"))).alias("__first"))
+    slots = fines.groupBy(*key, "__slot").agg(F.min("__first").alias("__first"))
+    fines, slots = (
+        table.withColumn("__next", F.last("__first.__id", ignorenulls=True).over(
+            Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        )).drop("__first")
+        for table, by, order in ((fines, [*key, "__slot"], "__fine"), (slots, key, "__slot"))
     )
-    slots = slots.select(
-        *key, "__slot", F.last("__first", ignorenulls=True).over(later).alias("__next")
-    ).where("__next IS NOT NULL")
-
-    asked = line.where("__original")
-    found = asked.alias("o").join(slots.alias("s"), same("o", "s", [*key, "__slot"]), "left")
-    return found.select(
-        F.col("o.__id").alias(ident), F.coalesce("o.__near.id", "s.__next.id").alias("replacement_id")
+    fines = fines.join(slots.withColumnRenamed("__next", "__far"), [*key, "__slot"], "left")
+    found = line.join(fines, cell, "left").select(
+        *key, "__t", F.coalesce("__near", "__next", "__far").alias("replacement_id")
     ).where("replacement_id IS NOT NULL")
+    asked = originals.where(complete).select(*key, F.col(time).alias("__t"), ident)
+    return asked.join(found, [*key, "__t"]).select(ident, "replacement_id")

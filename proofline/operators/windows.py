@@ -44,27 +44,31 @@ def latest_explicit_state(
 
 
 def state_changes(
-    df: DataFrame, key: str, order: str, state: str, ident: str, slot: str = "minute"
+    df: DataFrame, key: str, order: str, state: str, ident: str, slot: str = "minute", fine: str = "millisecond"
 ) -> DataFrame:
     """Rows whose state differs from the previous non-null one of the key.
 
-    A key is cut into time slots. The first row of a slot is compared with the
-    last state of the nearest earlier slot, taken from one row per key and slot.
+    A key is cut into time slots and these into fine ones. The first row of a fine
+    slot is compared with the last state of the fine slot before it, or else of
+    the slot before: tables with one row for each fine slot and each slot. Only rows
+    of one key within the same fine slot have to fit one task.
     """
-    rows = df.where(F.col(state).isNotNull()).withColumn("__slot", F.date_trunc(slot, F.col(order)))
-    inside = Window.partitionBy(key, "__slot").orderBy(order, ident)
+    rows = df.where(F.col(state).isNotNull()).withColumns({"__slot": F.date_trunc(slot, order), "__fine": F.date_trunc(fine, order)})
+    cell = [key, "__slot", "__fine"]
+    inside = Window.partitionBy(*cell).orderBy(order, ident)
     rows = rows.withColumn("__before", F.lag(state).over(inside)).withColumn(
         "__first", F.row_number().over(inside) == 1
     )
-    ends = rows.groupBy(key, "__slot").agg(F.max_by(state, F.struct(order, ident)).alias("__end"))
-    ends = ends.withColumn(
-        "__carried", F.lag("__end").over(Window.partitionBy(key).orderBy("__slot"))
-    ).drop("__end")
-    joined = rows.join(ends, [key, "__slot"], "left")
+    fines = rows.groupBy(*cell).agg(F.max_by(state, F.struct(order, ident)).alias("__end"))
+    slots = fines.groupBy(key, "__slot").agg(F.max_by("__end", "__fine").alias("__end"))
+    slots = slots.select(key, "__slot", F.lag("__end").over(Window.partitionBy(key).orderBy("__slot")).alias("__far"))
+    near = F.lag("__end").over(Window.partitionBy(key, "__slot").orderBy("__fine"))
+    fines = fines.select(*cell, near.alias("__near")).join(slots, [key, "__slot"], "left")
+    joined = rows.join(fines.select(*cell, F.coalesce("__near", "__far").alias("__carried")), cell, "left")
     before = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before"))
     return joined.where(before.isNull() | (before != F.col(state))).withColumn(
         "previous_state", before
-    ).drop("__slot", "__before", "__first", "__carried", "__end")
+    ).drop("__slot", "__fine", "__before", "__first", "__carried")
 
 
 def best_reading(readings: DataFrame, top_n: int = 3) -> DataFrame:

@@ -77,6 +77,36 @@ def test_hot_report_is_matched_slot_by_slot(cluster_like):
     assert re.search(r"hashpartitioning\(key#\d+, __slot#\d+", plan)
 
 
+def within_a_second(spark, n=40_000):
+    """Rows of one key, 25 microseconds apart."""
+    return spark.range(n).select(
+        F.col("id").alias("evidence_id"), F.lit("hot").alias("key"),
+        F.timestamp_micros(1_700_000_000_000_000 + F.col("id") * 25).cast("timestamp_ntz").alias("received_at"),
+    )
+
+
+def test_a_key_within_one_second_is_spread(cluster_like):
+    rows = within_a_second(cluster_like)
+    out = timeline.asof_forward_match(rows.where("evidence_id % 7 <> 0"), rows.where("evidence_id % 700 = 0"), ["key"])
+    assert out.where(F.col("replacement_id") != F.ceil(F.col("evidence_id") / 700) * 700).isEmpty()
+    states = rows.withColumn("state", F.floor(F.col("evidence_id") / 900) % 3)
+    changed = windows.state_changes(states, "key", "received_at", "state", "evidence_id")
+    assert sorted(r["evidence_id"] for r in changed.collect()) == list(range(0, 40_000, 900))
+    for plan in (out, changed):
+        assert re.search(r"hashpartitioning\(key#\d+, __slot#\d+, __fine#\d+", plan._jdf.queryExecution().executedPlan().toString())
+
+
+def test_one_instant_of_a_key_is_one_row_before_it_is_ordered(cluster_like):
+    when = F.lit("2026-07-01 10:00:00").cast("timestamp_ntz")
+    rows = within_a_second(cluster_like, 20_000).withColumn("received_at", when)
+    out = timeline.asof_forward_match(rows.where("evidence_id % 2 = 0"), rows.where("evidence_id % 2 = 1"), ["key"])
+    assert out.count() == 10_000 and out.where("replacement_id <> 1").isEmpty()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(__id" in plan[plan.rindex("Window ["):]
+    none = rows.withColumn("received_at", F.lit(None).cast("timestamp_ntz"))
+    assert timeline.asof_forward_match(none, rows, ["key"]).isEmpty() and timeline.asof_forward_match(rows, none, ["key"]).isEmpty()
+
+
 def test_top_readings_are_limited_before_the_shuffle(spark):
     readings = spark.range(1000).select(
         (F.col("id") % 3).alias("proof_id"), F.col("id").alias("reading_id"), F.lit("t").alias("text"), F.rand(1).alias("confidence")
