@@ -80,7 +80,7 @@ def test_hot_report_is_matched_slot_by_slot(cluster_like):
 def within_a_second(spark, n=40_000):
     """Rows of one key, 25 microseconds apart."""
     return spark.range(n).select(
-        F.col("id").alias("evidence_id"), F.lit("hot").alias("key"),
+        F.col("id").alias("evidence_id"), F.concat(F.lit("hot"), F.col("id") % 1).alias("key"),
         F.timestamp_micros(1_700_000_000_000_000 + F.col("id") * 25).cast("timestamp_ntz").alias("received_at"),
     )
 
