@@ -65,26 +65,26 @@ def resolve(responses: DataFrame, revisits: DataFrame, slot: int = SLOT) -> Data
     revisits: record_id, url, at, etag, last_modified, headers.
     """
     facts = F.struct("record_id", "etag", "last_modified", "digest", "headers")
-    order = F.struct("at", "record_id")
-    full = responses.select(
-        canonical(F.col("url")).alias("url_key"), "at", F.lit(None).cast(revisits.schema["record_id"].dataType).alias("revisit"), facts.alias("full"), order.alias("order")
-    ).filter("url_key is not null and at is not null")
+    full = responses.select(canonical(F.col("url")).alias("url_key"), "at", facts.alias("full"), F.struct("at", "record_id").alias("order"))
     seen = revisits.select(
         canonical(F.col("url")).alias("url_key"), "at", "record_id", F.struct("etag", "last_modified", "headers").alias("visit")
+    )
+    # one row for each URL and second: the last response in it, and whether somebody asks then
+    both = full.withColumn("asked", F.lit(False)).unionByName(seen.select("url_key", "at", F.lit(True).alias("asked")), allowMissingColumns=True)
+    seconds = both.filter("url_key is not null and at is not null").groupBy("url_key", "at").agg(
+        F.max_by("full", "order").alias("full"), F.max("asked").alias("asked")
     ).withColumn("slot", F.floor(F.col("at") / slot))
-    full = full.withColumn("slot", F.floor(F.col("at") / slot))
-    both = full.drop("revisit").unionByName(seen, allowMissingColumns=True)
-    earlier = Window.partitionBy("url_key", "slot").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    within = both.withColumn("near", F.max_by("full", "order").over(earlier)).filter("visit is not null")
-    slots = both.groupBy("url_key", "slot").agg(F.max_by("full", "order").alias("last"))
+    earlier = Window.partitionBy("url_key", "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    within = seconds.withColumn("near", F.last("full", ignorenulls=True).over(earlier))
+    slots = seconds.groupBy("url_key", "slot").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.col("at"))).alias("last"))
     before = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.select("url_key", "slot", F.last("last", ignorenulls=True).over(before).alias("far"))
-    carried = carried.filter("far is not null").select(F.concat(F.lit("k"), "url_key").alias("k"), F.col("slot").alias("s"), "far")
-    # a null key meets nothing; it is spread by the record instead of meeting in one task
-    key = F.coalesce(F.concat(F.lit("k"), "url_key"), F.concat(F.lit("n"), F.xxhash64("record_id").cast("string")))
-    met = within.withColumn("key", key).join(carried, (F.col("key") == F.col("k")) & (F.col("slot") == F.col("s")), "left")
-    known = F.col("url_key").isNotNull() & F.col("at").isNotNull()
-    found = met.withColumn("found", F.when(known, F.coalesce("near", "far")))
+    carried = slots.select("url_key", "slot", F.last("last", ignorenulls=True).over(before).alias("far")).filter("far is not null")
+    answers = within.filter("asked").join(carried, ["url_key", "slot"], "left").select(
+        F.concat(F.lit("k"), "url_key").alias("k"), F.col("at").alias("t"), F.coalesce("near", "far").alias("found")
+    ).filter("found is not null")
+    # a missing key meets nothing; it is spread by the record instead of meeting in one task
+    key = F.coalesce(F.concat(F.lit("k"), "url_key"), F.concat(F.lit("n"), F.xxhash64("record_id", "at").cast("string")))
+    found = seen.withColumn("key", key).join(answers, (F.col("key") == F.col("k")) & (F.col("at") == F.col("t")), "left")
     tag, time = F.col("visit.etag"), F.col("visit.last_modified")
     same = F.when(tag.isNotNull(), _tag(tag).eqNullSafe(_tag(F.col("found.etag")))).when(time.isNotNull(), time.eqNullSafe(F.col("found.last_modified")))
     state = F.when(F.col("found").isNull(), "missing").when(same.isNull(), "unproven").when(same, "resolved").otherwise("changed")

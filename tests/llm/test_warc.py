@@ -44,6 +44,25 @@ def test_latest_earlier_response(spark, slot):
     assert merged[16] == {"date": "now", "x": "2"}
 
 
+def test_a_burst_on_one_url_and_rows_without_one_are_spread(spark):
+    n = 3000
+    responses = [(i, "http://e.org/p", 100 + i % 3, f'"{i}"', None, f"d{i}", None) for i in range(n)]
+    revisits = [(n + i, None if i % 2 else "http://e.org/p", 101 + i % 5, None, None, None) for i in range(n)]
+    found = warc.resolve(spark.createDataFrame(responses, RESPONSES), spark.createDataFrame(revisits, REVISITS))
+    got = {r.record_id: r.response_id for r in found.collect()}
+    last = {t: max(i for i in range(n) if i % 3 == t) for t in range(3)}
+    assert got == {n + i: None if i % 2 else last[min(2, i % 5)] for i in range(n)}
+    # no window meets a row without a URL, or more than one row for a second
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by(" in plan[plan.rindex("Window ["):] and "isnotnull" in plan[plan.rindex("Window ["):]
+
+
+def test_columns_of_clashing_names(spark):
+    responses = spark.createDataFrame([(1, "http://e.org", 1, '"a"', None, "d", None)], RESPONSES).withColumn("found", F.lit(1)).withColumn("slot", F.lit(2))
+    revisits = spark.createDataFrame([(2, "http://e.org", 5, '"a"', None, None)], REVISITS).withColumn("key", F.lit("x")).withColumn("t", F.lit(3))
+    assert [(r.state, r.response_id) for r in warc.resolve(responses, revisits).collect()] == [("resolved", 1)]
+
+
 def test_empty_tables(spark):
     none, visit = spark.createDataFrame([], RESPONSES), spark.createDataFrame([(1, "http://e.org", 1, None, None, None)], REVISITS)
     assert [r.state for r in warc.resolve(none, visit).collect()] == ["missing"]
