@@ -2,16 +2,20 @@
 
 Documents become ids with an end mark. Those longer than a row are split into
 pieces, of which all but the last are full rows; joined again they are the
-document. Pieces are dealt by hash into groups of about `GROUP` documents, and
-each group is packed on its own in memory: longest first, each piece into the
-row with the least space that is enough. A segment tree over the amounts of
-free space finds it in the logarithm of the row length.
+document. Pieces are dealt by hash into groups of about `GROUP` documents or
+`GROUP_BYTES` of text, whichever are more groups, and each group is packed on its
+own in memory: longest first, each piece into the row with the least space that
+is enough. A segment tree over the amounts of free space finds it in the
+logarithm of the row length. Pieces of one length go by document id, then by
+hash of the row and place; of rows with the same space the one used last is
+taken. Repeats of a row are told apart by their number within a task, so that
+they do not meet in one group.
 
 A packed row has the ids (padded with the end mark), the cumulative lengths of
 its segments, and position numbers that begin anew with each segment. Ids and
 positions are little-endian binary of the narrowest width that holds them. A
 missing or empty text is a document with the end mark alone. Repeated rows are
-packed as often as they occur. An empty table gives no rows.
+packed as often as they occur. Texts of any length are encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from proofline.llm.common import sent, slices, small_batches
 
 LENGTH = 2048
 GROUP = 4096
+GROUP_BYTES = 16_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,16 +110,28 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
 
 
 def pieces(df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, length: int = LENGTH) -> DataFrame:
-    """(doc_id, key, piece, n, ids): every document's ids in pieces of at most `length`; `key` is a hash of the row."""
+    """(doc_id, key, copy, piece, n, ids): every document's ids in pieces of at most `length`.
+
+    `key` is a hash of the row, `copy` is 0 unless the row came before in the same task.
+    """
     model, _ = sent(df.sparkSession, (ranks, pattern))
     width = narrowest(max(end, max(ranks.values(), default=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import TaskContext
 
+        task = TaskContext.get().partitionId() << 32
+        seen: dict[int, int] = {}
         own = tiktoken.Encoding("own", pat_str=model()[1], mergeable_ranks=model()[0], special_tokens={})
         for batch in slices(batches, "text"):
             source, piece, sizes, ids = [], [], [], []
+            copies = []
+            for key in batch.column(1).to_pylist():
+                before = seen.get(key, 0)
+                seen[key] = before + 1
+                copies.append(task + before if before else 0)
+            copy = pa.array(copies, pa.int64())
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = np.array([*own.encode_ordinary(text), end], dtype=width)
                 for n, begin in enumerate(range(0, len(found), length)):
@@ -122,22 +139,24 @@ def pieces(df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, lengt
                     source.append(i), piece.append(n), sizes.append(len(part)), ids.append(part.tobytes())
             at = pa.array(source, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())],
-                ["doc_id", "key", "piece", "n", "ids"],
+                [batch.column(0).take(at), batch.column(1).take(at), copy.take(at), pa.array(piece, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())],
+                ["doc_id", "key", "copy", "piece", "n", "ids"],
             )
 
     kind = df.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     plain = df.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
     small_batches(df.sparkSession)
-    return plain.mapInArrow(run, f"doc_id {kind}, key long, piece int, n int, ids binary")
+    return plain.mapInArrow(run, f"doc_id {kind}, key long, copy long, piece int, n int, ids binary")
 
 
 def pack(
-    df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, length: int = LENGTH, group: int = GROUP
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, length: int = LENGTH, group: int = GROUP,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """(pack_group, pack, n_tokens, doc_ids, pieces, cu_seqlens, input_ids, position_ids), a row for each packed row."""
-    groups = max(1, -(-df.count() // group))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-rows // group), -(-size // group_bytes))
     width = narrowest(max(end, max(ranks.values(), default=0)))
     positions = np.arange(length, dtype=narrowest(length))
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -179,7 +198,7 @@ def pack(
             yield packed(number, held)
 
     cut = pieces(df, ranks, pattern, end, length)
-    dealt = cut.select(F.pmod(F.xxhash64("key", "piece"), F.lit(groups)).cast("int").alias("pack_group"), "doc_id", "piece", "n", "ids", "key")
+    dealt = cut.select(F.pmod(F.xxhash64("key", "copy", "piece"), F.lit(groups)).cast("int").alias("pack_group"), "doc_id", "piece", "n", "ids", "key")
     dealt = dealt.repartition("pack_group").sortWithinPartitions("pack_group", F.desc("n"), "doc_id", "key", "piece").drop("key")
     schema = f"pack_group int, pack int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
     return dealt.mapInArrow(run, schema)

@@ -54,3 +54,13 @@ def test_repeated_ids_and_empty_table(documents):
     packed = packing.pack(documents(*rows), RANKS, r"\w+", end=300, length=8).collect()
     assert sorted((d is None, d) for r in packed for d in r.doc_ids) == [(False, 1), (False, 1), (True, None)]
     assert packing.pack(documents(*rows).limit(0), RANKS, r"\w+", end=300).count() == 0
+
+
+def test_groups_follow_the_bytes_and_repeats_are_spread(documents):
+    rows = [(1, "abc" * 20)] * 2000 + [(i, "b" * 5000) for i in range(2, 20)]
+    packed = packing.pack(documents(*rows).repartition(2), RANKS, r"\w+", end=300, length=64, group_bytes=10_000).collect()
+    held = {}
+    for r in packed:
+        held[r.pack_group] = held.get(r.pack_group, 0) + r.n_tokens
+    assert sum(len(r.doc_ids) for r in packed if 1 in r.doc_ids) >= 2000 and sum(r.doc_ids.count(1) for r in packed) == 2000
+    assert sum(held.values()) == 2000 * 21 + 18 * 5001 and len(held) > 15 and max(held.values()) < sum(held.values()) / 4
