@@ -43,6 +43,7 @@ def frame_state(
       nothing, `agricoach` to all words but those of success, and any other code to all words.
 
     What decides is then either the last frame of some kind, or the first words of success after the last failure.
+    Runs a job: what each frame says is stored.
     """
     rows = frames.join(apps.select("proof_id", "code"), "proof_id", "left")
     counted = F.col("position").isin("start", "middle", "end") & ~notification_panel(F.coalesce("text", F.lit("")))
@@ -75,6 +76,10 @@ def frame_state(
         "proof_id", coach.alias("coach"), F.struct(frame_time(frames).alias("second"), "frame_id").alias("order"),
         F.when(F.col("read").isNotNull(), let(F.col("read"), judged)).alias("effect"),
     )
+    # near spellings are sought once: what a frame says is read for the last frames and again for those after a failure
+    path = scratch(frames.sparkSession, "frames")
+    rows.write.parquet(path)
+    rows = frames.sparkSession.read.schema(rows.schema).parquet(path)
 
     def last(kind: str) -> list[Column]:
         held = F.when(F.col("effect.kind") == kind, F.col("order"))
