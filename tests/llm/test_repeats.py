@@ -70,3 +70,33 @@ def test_remaining_bytes_of_the_operator(documents):
     text = "".join(chr(97 + i * 7 % 26 if i % 3 else 97 + i * i % 25) for i in range(600))
     own = {r.kept for r in repeats.cut(repeats.repeats(documents((1, "X" + text), (2, text + "Y"), (3, "z" * 10)))).collect()}
     assert own == {b"X", b"Y"}
+
+
+def test_texts_longer_than_one_stretch(documents):
+    import random
+
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage = some(600)
+    long = some(3_999_700) + "1" + passage + "2" + some(400_000) + "3" + passage + "4" + some(300)
+    rows = [(1, long), (2, "5" + passage + "6"), (3, "7" + passage[:399] + "8")]
+    got = {r.doc_id: r for r in repeats.report(documents(*rows)).collect()}
+    assert {i: (r.n_removed, r.n_spans) for i, r in got.items()} == {1: (1200, 2), 2: (600, 1), 3: (0, 0)}
+    assert got[1].kept_sha256 == hashlib.sha256(long.replace(passage, "").encode()).hexdigest()
+    first = {r.doc_id: r.n_removed for r in repeats.report(documents(*rows), keep_first=True).collect()}
+    assert first == {1: 600, 2: 600, 3: 0}
+
+
+def test_near_copies_beyond_the_limit_are_halved(documents, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = rng.choices("abcdefghijklmnop", k=900)
+    rows = []
+    for i in range(60):
+        near = list(base)
+        near[rng.randrange(900)] = "Z"
+        rows.append((i, "".join(near)))
+    monkeypatch.setattr(repeats.repeats, "__defaults__", (False, "doc_id", "text", 8))
+    for keep_first in (False, True):
+        assert sorted(map(tuple, repeats.report(documents(*rows), keep_first).collect()), key=str) == by_hand(rows, keep_first)
