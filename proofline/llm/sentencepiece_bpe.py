@@ -37,6 +37,8 @@ SPACE = "▁"
 REMEMBERED = 300_000
 #: Pairs of tokens whose judgement is kept.
 PAIRS = 1_000_000
+#: The rank of what is no piece.
+NEVER = float("inf")
 CHUNK = re.compile(r" *[^ \n]+|[ ]+|\n")
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,6 +101,7 @@ class Codec:
         self.piece = {i: p for p, i in self.id.items()}
         self.single = self.id.get(SPACE, -2)
         self.beside: dict[int, bool] = {}
+        self.made: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
         self.known = Known(self.encode_chunk)
         self.spaced = frozenset(i for i, p in self.piece.items() if p[0] == SPACE) | frozenset(self.runs.values())
 
@@ -116,14 +119,59 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def steps(self, token: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How a piece comes about by merging: the rank of each merge, then none, and the first and the last part before
+        each merge and after all. None for a piece that merging never makes.
+        """
+        if token in self.made:
+            return self.made[token]
+        parts = list(self.piece[token])
+        ranks = [self.rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        merges, firsts, lasts = [], [parts[0]], [parts[-1]]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.rank.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = self.rank.get(parts[i] + parts[i + 1], NEVER)
+            merges.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        found = self.made[token] = None if len(parts) > 1 else ([*merges, NEVER], firsts, lasts)
+        return found
+
     def allowed(self, before: int, token: int) -> bool:
-        """Whether a token may follow another one; after -1 (the beginning, a letter outside) whether it is reached at all."""
-        parts = [self.piece[token]] if before < 0 else [self.piece[before], self.piece[token]]
+        """Whether a token may follow another one; after -1 (the beginning, a letter outside) whether it is reached at all.
+
+        Two pieces side by side come about as each does alone, their merges taken by rank, the left one's first among
+        equals, until a merge across the border has its turn: then they do not stand beside each other.
+        """
         if len(self.beside) >= PAIRS:
             self.beside.clear()
-        found = self.beside[before << 16 | token] = self.merged("".join(parts)) == parts
+        right = self.steps(token)
+        left = right if before < 0 else self.steps(before)
+        found = left is not None and right is not None and (before < 0 or self.apart(left, right))
+        self.beside[before << 16 | token] = found
         return found
 
+    def apart(self, left: tuple[list[float], list[str], list[str]], right: tuple[list[float], list[str], list[str]]) -> bool:
+        """Whether no merge across the border of two pieces has its turn before both are made."""
+        own, _, lasts = left
+        other, firsts, _ = right
+        i = j = 0
+        while True:
+            across = self.rank.get(lasts[i] + firsts[j], NEVER)
+            if across < own[i] and across <= other[j]:
+                return False
+            if own[i] == other[j] == NEVER:
+                return True
+            if own[i] <= other[j]:
+                i += 1
+            else:
+                j += 1
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """For each prefix the id of its last token and its length; id -1 for a letter outside the vocabulary."""
         token_at, length_at = [-1] * (len(text) + 1), [1] * (len(text) + 1)

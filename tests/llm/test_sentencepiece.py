@@ -62,3 +62,20 @@ def test_other_columns_stay(documents):
     assert both.columns == ["doc_id", "lang", "source", "n_chars", "hash", "ids", "decoded"] and both.first().decoded == "ab"
     row = S.decode(S.encode(df, model), model, text="text").first()
     assert row.text == "ab" and row.hash == 7
+
+
+def test_pairs_are_judged_from_what_is_known_of_each_piece(both, rng, monkeypatch):
+    """The pair test says what the merging rule says, without merging the two pieces anew."""
+    own = S.Codec(S.load_model(tokenizers.path("piece_bpe_32k.model")))
+    pieces = list(own.piece)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(2000)]
+    for whole in rng.sample(pieces, 2000):
+        text = own.piece[whole]
+        pairs += [(own.id[text[:k]], own.id[text[k:]]) for k in range(1, len(text)) if text[:k] in own.id and text[k:] in own.id]
+    expected = []
+    for a, b in pairs:
+        parts = [own.piece[a], own.piece[b]]
+        expected.append((own.merged("".join(parts)) == parts, own.merged(parts[1]) == parts[1:]))
+    monkeypatch.setattr(own, "merged", None)
+    assert [(own.allowed(a, b), own.allowed(-1, b)) for a, b in pairs] == expected
+    assert {e[0] for e in expected} == {True, False}
