@@ -96,9 +96,9 @@ class WordTable:
         # letters by number, so that a keyword looks up each kind of letter once
         self.kinds, self.letters = _numbered(self.codes)
         self.known_runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        sizes = np.array([len(w) for w in flat], dtype=np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.starts = self.ends - sizes
+        # words hold no blank themselves
+        self.ends = np.append(np.flatnonzero(self.codes == 32), len(self.codes))[: len(flat)]
+        self.starts = np.append(0, self.ends[:-1] + 1)[: len(flat)]
         self.counts = np.array([len(part) for part in words], dtype=np.int64)
         self.owner = np.repeat(np.arange(self.texts), self.counts)
 
@@ -129,16 +129,21 @@ def best_window_ratios(keyword: str, table: WordTable, at_least: float) -> np.nd
     reach = (200.0 - at_least) / at_least
     near = np.flatnonzero((sizes >= size / reach) & (sizes <= size * reach))
     # Nor can one with too few of the keyword's letters.
-    bits = _letter_bits(keyword, table.kinds)[table.letters] if len(keyword) <= _WORD else None
+    # Short numbers where they do: these arrays have an entry for each letter of all texts.
+    bits = None
+    if len(keyword) <= _WORD:
+        bits = _letter_bits(keyword, table.kinds).astype(np.uint32 if size <= 32 else np.uint64)[table.letters]
     if bits is not None and len(near):
-        shared = np.concatenate(([0], (bits > 0).cumsum()))
+        shared = np.zeros(len(bits) + 1, dtype=np.int32)
+        np.cumsum(bits > 0, dtype=np.int32, out=shared[1:])
         enough = shared[start[near] + sizes[near]] - shared[start[near]] >= at_least * (size + sizes[near]) / 200.0 - 1e-9
         near = near[enough]
     # Nor one with too few of its runs of three letters: a letter gone breaks three, one put in breaks two.
     if bits is not None and len(near) and size >= 3 and len(bits) >= 3:
-        triple = np.zeros(len(bits), dtype=np.int64)
-        triple[:-2] = (bits[:-2] & (bits[1:-1] >> np.uint64(1)) & (bits[2:] >> np.uint64(2))) > 0
-        held = np.concatenate(([0], triple.cumsum()))
+        one, two = bits.dtype.type(1), bits.dtype.type(2)
+        held = np.zeros(len(bits) + 1, dtype=np.int32)
+        np.cumsum((bits[:-2] & (bits[1:-1] >> one) & (bits[2:] >> two)) > 0, dtype=np.int32, out=held[1:-2])
+        held[-2:] = held[-3]
         own = sizes[near]
         common = np.ceil(at_least * (size + own) / 200.0 - 1e-9).astype(np.int64)
         whole = own - 2 - 3 * (own - common) - 2 * (size - common)

@@ -20,6 +20,8 @@ from proofline.functions.text import fold_text, has_text, let
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_LETTERS = 500_000
+#: Letters beyond which a text is scored without a search for pieces of keywords before.
+LONG_TEXT = 500
 
 
 def needed_score(keyword: str) -> int:
@@ -127,21 +129,26 @@ def _near_words(folded: Column, error: Sequence[str], success: Sequence[str]) ->
     @F.pandas_udf("bad_word string, bad_score double, good_word string, good_score double, not_done boolean, under_way boolean")
     def near(told: pd.DataFrame) -> pd.DataFrame:
         nothing = (None, 0.0)
-        wrong = bad(told["bad_text"].dropna().unique())
-        quiet = told["good_text"].dropna().unique()
-        right = good([t for t in quiet if wrong.get(t, nothing)[0] is None])
-        rows = [(*wrong.get(b, nothing), *(right.get(g, nothing) if wrong.get(b, nothing)[0] is None else nothing)) for b, g in zip(told["bad_text"], told["good_text"])]
+        text, settled = told["text"], told["not_done"].eq(True)
+        asked = text.where(told["bad"].eq(True) & ~settled, None)
+        wrong = bad(asked.dropna().unique())
+        wrong_rows = [wrong.get(t, nothing) for t in asked]
+        quiet = text.where(told["good"].eq(True) & ~settled & ~told["under_way"].eq(True), None)
+        quiet = quiet.where([word is None for word, _ in wrong_rows], None)
+        right = good(quiet.dropna().unique())
+        rows = [(*w, *right.get(t, nothing)) for w, t in zip(wrong_rows, quiet)]
         out = pd.DataFrame(rows, columns=["bad_word", "bad_score", "good_word", "good_score"])
         out["not_done"], out["under_way"] = told["not_done"].to_numpy(), told["under_way"].to_numpy()
         return out
 
     def any_of(f: Column, keywords: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a | b, [possible_keyword(f, k) for k in keywords if k], F.lit(False))
+        # a long text holds such pieces by chance, and seeking them takes longer than its score
+        held = reduce(lambda a, b: a | b, [possible_keyword(f, k) for k in keywords if k], F.lit(False))
+        return (F.length(f) > LONG_TEXT) | held
 
     # one level of `let`: Spark does not recognise a function of Python again whose argument nests them
     return near(let(folded, lambda f: F.struct(
-        F.when(~f.rlike(K.NOT_DONE) & any_of(f, error), f).alias("bad_text"),
-        F.when(~f.rlike(K.NOT_DONE) & ~f.rlike(K.UNDER_WAY) & any_of(f, success), f).alias("good_text"),
+        f.alias("text"), any_of(f, error).alias("bad"), any_of(f, success).alias("good"),
         f.rlike(K.NOT_DONE).alias("not_done"), f.rlike(K.UNDER_WAY).alias("under_way"),
     )))
 

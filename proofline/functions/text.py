@@ -66,7 +66,8 @@ def _spread(text: Column, form: str) -> Column:
     written = F.transform(F.split(text, ""), lambda c: F.when(
         F.lit(letters).contains(c) & (c != ""), F.concat(*[F.translate(c, source, target) for source, target in tables])
     ).otherwise(c))
-    return F.when(text.rlike(f"[{''.join(ranges)}]"), F.array_join(written, "")).otherwise(text)
+    # the class is a chain of some hundred ranges, which plain letters need not walk through
+    return F.when(text.rlike(rf"[\x{{80}}-\x{{10FFFF}}&&[{''.join(ranges)}]]"), F.array_join(written, "")).otherwise(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,7 +81,7 @@ def fold_text(text: Column, underscores: bool = False) -> Column:
     # plain texts are most of all, and need no table
     plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(_spread(text, "NFKD"), source, target)).otherwise(text)
     folded = F.lower(plain)
-    return F.translate(folded, "_", " ") if underscores else folded
+    return F.replace(folded, F.lit("_"), F.lit(" ")) if underscores else folded
 
 
 @lru_cache(maxsize=None)

@@ -240,3 +240,21 @@ def test_no_near_spelling_is_spared(spark, keyword):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", status.possible_keyword(F.col("t"), keyword).alias("p")).collect()
     possible = {r["i"]: r["p"] for r in rows}
     assert all(possible[i] for i in range(300) if reached[i]) and not possible[300] and reached.sum() > 50
+
+
+def test_a_long_text_is_scored_without_a_search_for_pieces(spark):
+    """The rule joins words by one blank; pieces sought in the raw text missed a near spelling over two lines."""
+    filler = "mot " * 200
+    result = one(spark, status.sync_text_status(F.col("t")), t=filler + "upoad\ncoplte " + filler)
+    assert (result["status"], result["matched"]) == ("SUCCESS", "upload complete")
+
+
+def test_letters_that_become_several_are_written_out_among_others(spark):
+    for raw, plain in [("ﬁn", "fin"), ("abc ½ é", "abc 1⁄2 e"), ("_É_", " e "), ("plain_", "plain "), ("Ǆ\u0080", "dz\u0080")]:
+        assert one(spark, text.fold_text(F.col("t"), underscores=True), t=raw) == plain
+
+
+def test_words_at_the_ends_of_texts_keep_their_places():
+    table = similarity.WordTable(["ab c", "", " \n", "def", "g h"])
+    assert [(s, n, o) for s, n, o in zip(*(x.tolist() for x in table.runs(1)))] == [(0, 2, 0), (3, 1, 0), (5, 3, 3), (9, 1, 4), (11, 1, 4)]
+    assert len(similarity.WordTable(["", " "]).runs(1)[0]) == 0
