@@ -20,6 +20,7 @@ import math
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +198,12 @@ def train(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bool] | N
         context = F.expr(f"substring(gram, 1, {k - 1})")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         # one row per language
-        rows = counts[k].join(F.broadcast(_discounts(counts[k])), F.col("lang").eqNullSafe(F.col("dl"))).withColumn("d", d)
+        discounts = stored(_discounts(counts[k]), "ngram-discounts")
+        rows = counts[k].join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("dl"))).withColumn("d", d)
         rows = rows.withColumn("context", context).drop("dl")
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
-        left[k] = sums.select(F.col("lang").alias("cl"), F.col("context").alias("c"), "total", (F.col("lost") / F.col("total")).alias("gamma"))
+        gamma = (F.col("lost") / F.col("total")).alias("gamma")
+        left[k] = stored(sums.select(F.col("lang").alias("cl"), F.col("context").alias("c"), "total", gamma), "ngram-contexts")
         met = rows.join(left[k], F.col("lang").eqNullSafe(F.col("cl")) & (F.col("context") == F.col("c")))
         own = (F.col("n") - F.col("d")) / F.col("total")
         if k == 1:
@@ -215,9 +218,9 @@ def train(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bool] | N
     contexts = {k - 1: t.select("cl", "c", "gamma") for k, t in left.items()}
     for k in range(1, order):
         met = out[k].join(contexts[k], F.col("lang").eqNullSafe(F.col("cl")) & (F.col("gram") == F.col("c")), "full")
-        out[k] = met.select(
+        out[k] = stored(met.select(
             F.coalesce("lang", "cl").alias("lang"), F.coalesce("gram", "c").alias("gram"), "p", F.col("gamma").alias("backoff")
-        )
+        ), "ngram-model")
     out[order] = out[order].withColumn("backoff", F.lit(None).cast("double"))
     return out
 
@@ -230,24 +233,44 @@ class Arrays:
     hashes: dict[int, np.ndarray] = field(default_factory=dict)
     p: dict[int, np.ndarray] = field(default_factory=dict)
     backoff: dict[int, np.ndarray] = field(default_factory=dict)
-    index: dict[int, tuple[np.ndarray, np.ndarray, np.uint64]] = field(default_factory=dict)
+    slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = field(default_factory=dict)
+
+    def open(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """An order's entries in slots with free ones between, in order of their mixed hash: each in the slot that its first
+        bits name, or as soon after as may be. Made where it is used, once for a worker."""
+        if k not in self.slots:
+            own = self.hashes[k] * _FACTOR
+            by = np.argsort(own)
+            own = own[by]
+            size = np.uint64(max(1, len(own) + len(own) // 2))
+            home = ((own >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+            number = np.arange(len(own))
+            place = np.maximum.accumulate(home - number) + number
+            width = max(int(size), int(place.max(initial=-1)) + 1) + 1
+            found = np.full(width, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+            found[place] = own
+            logs = [np.full(width, np.nan, dtype=np.float32) for _ in range(2)]
+            for held, values in zip(logs, (self.p[k], self.backoff[k]), strict=True):
+                held[place] = values[by]
+            self.slots[k] = found, *logs, size
+        return self.slots[k]
 
     def find(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes among those of an order, and which are there. Hashes are even, so their first bits nearly say where."""
-        if k not in self.index:  # made where it is used, once for a worker
-            bits = max(1, len(self.hashes[k]).bit_length())
-            edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-            starts = np.searchsorted(self.hashes[k], edges).astype(np.int32)
-            self.index[k] = starts, np.r_[self.hashes[k], np.uint64(0xFFFFFFFFFFFFFFFF)], np.uint64(64 - bits)
-        starts, own, shift = self.index[k]
-        at = starts[(hashes >> shift).astype(np.int64)]
-        short = np.flatnonzero(own[at] < hashes)
+        """Slots of hashes among those of an order, and which are there.
+
+        N-grams that differ in their last letter have hashes that differ in their last bits, so hashes are mixed first.
+        """
+        own, _, _, size = self.open(k)
+        mixed = hashes * _FACTOR
+        at = ((mixed >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+        met = own[at]
+        short = np.flatnonzero(met < mixed)
         while len(short):
             at[short] += 1
-            short = short[own[at[short]] < hashes[short]]
-        found = own[at] == hashes
-        at[at == len(own) - 1] = 0
-        return at, found & (len(own) > 1)
+            again = own[at[short]]
+            met[short] = again
+            short = short[again < mixed[short]]
+        return at, met == mixed
 
     def score(self, seen: Windows) -> np.ndarray:
         """Log probability of the last letter of each n-gram."""
@@ -260,16 +283,15 @@ class Arrays:
             else:
                 hashes = rolled(seen.codes, seen.seeds[todo], start, k)
             at, found = self.find(k, hashes)
-            if not len(self.p[k]):
-                continue
-            known = found & ~np.isnan(self.p[k][at])
-            out[todo[known]] += self.p[k][at[known]]
+            p = self.open(k)[1][at]
+            known = found & ~np.isnan(p)
+            out[todo[known]] += p[known]
             todo, start = todo[~known], start[~known]
             if not len(todo):
                 return out
             if k > 1:
                 at, found = self.find(k - 1, rolled(seen.codes, seen.seeds[todo], start, k - 1))
-                weight = self.backoff[k - 1][at]
+                weight = self.open(k - 1)[2][at]
                 out[todo] += np.where(found & ~np.isnan(weight), weight, 0)
         out[todo] += UNKNOWN
         return out
@@ -277,30 +299,34 @@ class Arrays:
 
 def arrays(model: dict[int, DataFrame]) -> Arrays | None:
     """The model as sorted arrays, or None if it has more than `BROADCAST_ROWS` entries."""
-    if sum(t.count() for t in model.values()) > BROADCAST_ROWS:
+    rows = reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("k"), "lang", "gram", "p", "backoff") for k, t in model.items()])
+    if rows.count() > BROADCAST_ROWS:
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, langs = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            found = {x: seed(x) for x in set(langs)}
-            size = len(grams[0]) if grams else 0
-            codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-            seeds = np.array([found[x] for x in langs], dtype=np.uint64)
-            hashes = rolled(codes, seeds, np.arange(len(grams)) * size, size).view(np.int64)
-            logs = [pa.array(np.log(c.to_numpy(zero_copy_only=False).astype(float)).astype(np.float32)) for c in batch.columns[2:4]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), *logs], ["hash", "p", "backoff"])
-
+            orders = batch.column(0).to_numpy()
+            for k in np.unique(orders).tolist():
+                part = batch.filter(pa.array(orders == k))
+                langs, grams = part.column(1).to_pylist(), part.column(2).to_pylist()
+                found = {x: seed(x) for x in set(langs)}
+                codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+                seeds = np.array([found[x] for x in langs], dtype=np.uint64)
+                hashes = rolled(codes, seeds, np.arange(len(grams)) * k, k).view(np.int64)
+                logs = [pa.array(np.log(c.to_numpy(zero_copy_only=False).astype(float)).astype(np.float32)) for c in part.columns[3:5]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes), *logs], ["k", "hash", "p", "backoff"])
+
+    got = rows.mapInArrow(run, "k int, hash long, p float, backoff float").toArrow()
+    orders, hashes = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
+    p, backoff = got.column(2).to_numpy(), got.column(3).to_numpy()
+    got = None
     out = Arrays(max(model))
-    for k, rows in model.items():
-        got = rows.select("lang", "gram", "p", "backoff").mapInArrow(run, "hash long, p float, backoff float").toArrow()
-        hashes = got.column(0).to_numpy().view(np.uint64)
-        by = np.argsort(hashes)
-        out.hashes[k] = hashes[by]
-        out.p[k] = got.column(1).to_numpy()[by]
-        out.backoff[k] = got.column(2).to_numpy()[by]
-        got = hashes = by = None
-        pa.default_memory_pool().release_unused()
+    for k in model:
+        own = np.flatnonzero(orders == k)
+        own = own[np.argsort(hashes[own])]
+        out.hashes[k], out.p[k], out.backoff[k] = hashes[own], p[own], backoff[own]
+    orders = hashes = p = backoff = None
+    pa.default_memory_pool().release_unused()
     return out
 
 

@@ -52,8 +52,8 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in a window of words found twice or more."""
     if len(words) <= window:
         return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+    numbers = dict(zip(dict.fromkeys(words), range(len(words))))
+    ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
     base = len(numbers)
     if base == len(words):
         return 0
@@ -65,10 +65,11 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
             held = len(kinds)
         code = code * base + ids[step : step + starts]
         held *= base
+    order = np.sort(code)
+    if not (order[1:] == order[:-1]).any():
+        return 0
     _, at, counts = np.unique(code, return_inverse=True, return_counts=True)
     twice = counts[at] > 1
-    if not twice.any():
-        return 0
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     where = np.flatnonzero(twice)
     np.add.at(edge, where, 1)

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from proofline.llm import ngram_lm, quality
@@ -115,3 +116,50 @@ def test_without_a_band_plain_rules_decide(documents):
     marked = " ".join(f"word{i} #" for i in range(30))  # too many symbols to teach, and no rule against it
     got = {r.doc_id: r.kept for r in quality.report(documents((1, marked, "xx"), (2, "a b", "xx"))).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_ngrams_of_one_beginning_do_not_share_a_slot():
+    """Hashes of n-grams that differ in their last letter differ in their last bits; each is found near its slot."""
+    codes = np.array([x for last in range(97, 2097) for x in (98, 99, 100, last)], dtype=np.uint64)
+    seeds = np.full(len(codes), ngram_lm.seed("en"), dtype=np.uint64)
+    hashes = ngram_lm.rolled(codes, seeds[:2000], np.arange(2000) * 4, 4)
+    model = ngram_lm.Arrays(4, {4: np.sort(hashes)}, {4: np.zeros(2000, np.float32)}, {4: np.zeros(2000, np.float32)})
+    looks = 0
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            nonlocal looks
+            looks += np.size(at)
+            return np.asarray(self)[at]
+
+    model.open(4)
+    model.slots[4] = (model.slots[4][0].view(Counted), *model.slots[4][1:])
+    assert model.find(4, hashes)[1].all() and looks < 5 * 2000
+    missing = ngram_lm.rolled(codes + np.uint64(5000), seeds[:2000], np.arange(2000) * 4, 4)
+    assert not model.find(4, missing)[1].any()
+
+
+def test_scores_with_gaps_in_the_model():
+    """Lengths without an entry, entries without a probability and without a weight: as worked out by hand."""
+    body = ngram_lm.windows([b"ab"], ["en"], 2)
+    one = ngram_lm.rolled(body.codes, body.seeds, body.places + 1, 1)
+    two = ngram_lm.rolled(body.codes, body.seeds, body.places, 2)
+    by = np.argsort(one)
+    model = ngram_lm.Arrays(
+        2, {1: one[by], 2: two[:1]}, {1: np.array([-1.0, -2.0], np.float32)[by], 2: np.array([-0.5], np.float32)},
+        {1: np.array([-0.25, np.nan], np.float32)[by], 2: np.full(1, np.nan, np.float32)},
+    )
+    # "^a" is known; "ab" is not: the weight of "a" and the probability of "b"
+    assert model.score(body).tolist() == [-0.5, -2.25]
+    none = ngram_lm.Arrays(2, *({k: np.empty(0, t) for k in (1, 2)} for t in (np.uint64, np.float32, np.float32)))
+    assert none.score(body).tolist() == [ngram_lm.UNKNOWN] * 2
+
+
+def test_model_tables_are_read_not_worked_out_again(spark, documents):
+    """What is counted and then collected is stored: no join runs a second time."""
+    text = "some plain words that make a text which is long enough to be counted by this model"
+    model = ngram_lm.train(documents((1, text), (2, text + " again", "fr")).select("text", "lang"))
+    for rows in model.values():
+        assert "Join" not in rows._jdf.queryExecution().toString()
+    found = ngram_lm.arrays(model)
+    assert {k: len(found.hashes[k]) for k in model} == {k: t.count() for k, t in model.items()}
