@@ -4,7 +4,8 @@ Words are lower-cased and joined by one space; each letter is predicted from
 the `order - 1` letters before it, beginnings being marked. Each language has
 its own counts. The highest order counts occurrences, the lower ones count
 distinct letters to the left; discounts come from the counts of counts of each
-language and order. All tables are made by grouping and joining.
+language and order. All tables are made by grouping and joining, for all
+orders at once where one does not need another.
 
 For scoring the model is a set of arrays sorted by hash. They go to the workers
 if they have at most `BROADCAST_ROWS` entries; a larger model stays a table,
@@ -169,9 +170,9 @@ def count_ngrams(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bo
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3, letters) of one order, from its counts of counts."""
+    """(lang, order, d1, d2, d3, letters) of each order, from its counts of counts."""
     n = {k: F.sum((F.col("n") == k).cast("double")) for k in (1, 2, 3, 4)}
-    found = grams.groupBy("lang").agg(*[v.alias(f"n{k}") for k, v in n.items()], F.count(F.lit(1)).alias("size"))
+    found = grams.groupBy("lang", "k").agg(*[v.alias(f"n{k}") for k, v in n.items()], F.count(F.lit(1)).alias("size"))
     y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
 
     def discount(k: int):
@@ -179,50 +180,61 @@ def _discounts(grams: DataFrame) -> DataFrame:
         # a table too small for the estimate takes the plain half
         return F.when((raw > 0) & (raw < k), raw).otherwise(0.5).alias(f"d{k}")
 
-    return found.select(F.col("lang").alias("dl"), discount(1), discount(2), discount(3), "size")
+    return found.select(F.col("lang").alias("dl"), F.col("k").alias("dk"), discount(1), discount(2), discount(3), "size")
 
 
-def train(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bool] | None = None) -> dict[int, DataFrame]:
-    """Per order the stored table (lang, gram, p, backoff): p of the last letter after the others.
+def _lower_counts(grams: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n) of all orders below: of each n-gram the distinct letters met to its left."""
+    longer = F.array(*[F.expr(f"substring(gram, {order - k})") for k in range(1, order)])
+    kinds = grams.select("lang", F.explode(longer).alias("longer")).distinct()
+    return kinds.groupBy("lang", F.expr("substring(longer, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def trained(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bool] | None = None) -> DataFrame:
+    """Stored table (k, lang, gram, p, backoff) of all orders k: p of the last letter after the others.
 
-    `backoff` is what the letters of `gram` as a context leave to the order below; it stands in the table of its own
-    length, null where `gram` never is a context.
+    `backoff` is what the letters of `gram` as a context leave to the order below, null where `gram` never is a context.
+    All orders share each step but the interpolation, which goes up by one order a step: every stage and scan costs the
+    driver memory, however few rows it has.
     """
-    counts = {order: stored(count_ngrams(df, order, accept), "ngrams")}
-    for k in range(order - 1, 0, -1):
-        longer = counts[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram"))
-        counts[k] = stored(longer.agg(F.count(F.lit(1)).alias("n")), "ngrams")
-    out: dict[int, DataFrame] = {}
-    left: dict[int, DataFrame] = {}
-    for k in range(1, order + 1):
-        context = F.expr(f"substring(gram, 1, {k - 1})")
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        # one row per language
-        discounts = stored(_discounts(counts[k]), "ngram-discounts")
-        rows = counts[k].join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("dl"))).withColumn("d", d)
-        rows = rows.withColumn("context", context).drop("dl")
-        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
-        gamma = (F.col("lost") / F.col("total")).alias("gamma")
-        left[k] = stored(sums.select(F.col("lang").alias("cl"), F.col("context").alias("c"), "total", gamma), "ngram-contexts")
-        met = rows.join(left[k], F.col("lang").eqNullSafe(F.col("cl")) & (F.col("context") == F.col("c")))
-        own = (F.col("n") - F.col("d")) / F.col("total")
-        if k == 1:
-            p = met.select("lang", "gram", (own + F.col("gamma") / (F.col("size") + 1)).alias("p"))
-        else:
-            below = out[k - 1].select(F.col("lang").alias("bl"), F.col("gram").alias("b"), F.col("p").alias("q"))
-            suffix = F.expr("substring(gram, 2)")
-            p = met.join(below, F.col("lang").eqNullSafe(F.col("bl")) & (suffix == F.col("b"))).select(
-                "lang", "gram", (own + F.col("gamma") * F.col("q")).alias("p")
-            )
-        out[k] = stored(p, "ngram-model")
-    contexts = {k - 1: t.select("cl", "c", "gamma") for k, t in left.items()}
-    for k in range(1, order):
-        met = out[k].join(contexts[k], F.col("lang").eqNullSafe(F.col("cl")) & (F.col("gram") == F.col("c")), "full")
-        out[k] = stored(met.select(
-            F.coalesce("lang", "cl").alias("lang"), F.coalesce("gram", "c").alias("gram"), "p", F.col("gamma").alias("backoff")
-        ), "ngram-model")
-    out[order] = out[order].withColumn("backoff", F.lit(None).cast("double"))
-    return out
+    counts = stored(count_ngrams(df, order, accept), "ngrams")
+    if order > 1:
+        counts = counts.unionByName(stored(_lower_counts(counts, order), "ngrams"))
+    counts = counts.withColumn("k", F.length("gram"))
+    # one row per language and order
+    discounts = stored(_discounts(counts), "ngram-discounts")
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = counts.join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("dl")) & (F.col("k") == F.col("dk"))).withColumn("d", d)
+    rows = rows.withColumn("context", F.expr("substring(gram, 1, k - 1)")).drop("dl", "dk")
+    sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
+    gamma = (F.col("lost") / F.col("total")).alias("gamma")
+    left = stored(sums.select(F.col("lang").alias("cl"), F.col("context").alias("c"), "total", gamma), "ngram-contexts")
+    met = rows.join(left, F.col("lang").eqNullSafe(F.col("cl")) & (F.col("context") == F.col("c")))
+    shares = stored(met.select("k", "lang", "gram", "size", "gamma", ((F.col("n") - F.col("d")) / F.col("total")).alias("own")), "ngram-shares")
+    out = [shares.filter("k = 1").select("k", "lang", "gram", (F.col("own") + F.col("gamma") / (F.col("size") + 1)).alias("p"))]
+    for k in range(2, order + 1):
+        below = out[-1].select(F.col("lang").alias("bl"), F.col("gram").alias("b"), F.col("p").alias("q"))
+        same = F.col("lang").eqNullSafe(F.col("bl")) & (F.expr("substring(gram, 2)") == F.col("b"))
+        p = (F.col("own") + F.col("gamma") * F.col("q")).alias("p")
+        out.append(stored(shares.filter(F.col("k") == k).join(below, same).select("k", "lang", "gram", p), "ngram-model"))
+    # a context has the length of the order below, and the highest order is none
+    contexts = left.filter("c != ''").select("cl", "c", F.col("gamma").alias("backoff"))
+    whole = out[-1].withColumn("backoff", F.lit(None).cast("double"))
+    if order > 1:
+        met = reduce(DataFrame.unionByName, out[:-1]).join(contexts, F.col("lang").eqNullSafe(F.col("cl")) & (F.col("gram") == F.col("c")), "full")
+        gram = F.coalesce("gram", "c")
+        whole = whole.unionByName(met.select(F.length(gram).alias("k"), F.coalesce("lang", "cl").alias("lang"), gram.alias("gram"), "p", "backoff"))
+    return stored(whole, "ngram-model")
+
+
+def by_order(model: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
+    """Per order its table (lang, gram, p, backoff)."""
+    return {k: model.filter(F.col("k") == k).drop("k") for k in range(1, order + 1)}
+
+
+def train(df: DataFrame, order: int = ORDER, accept: Callable[[bytes], bool] | None = None) -> dict[int, DataFrame]:
+    """The model of `trained`, per order."""
+    return by_order(trained(df, order, accept), order)
 
 
 @dataclass
@@ -300,6 +312,11 @@ class Arrays:
 def arrays(model: dict[int, DataFrame]) -> Arrays | None:
     """The model as sorted arrays, or None if it has more than `BROADCAST_ROWS` entries."""
     rows = reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("k"), "lang", "gram", "p", "backoff") for k, t in model.items()])
+    return gathered(rows, max(model))
+
+
+def gathered(rows: DataFrame, order: int = ORDER) -> Arrays | None:
+    """The same of a table of all orders."""
     if rows.count() > BROADCAST_ROWS:
         return None
 
@@ -316,12 +333,12 @@ def arrays(model: dict[int, DataFrame]) -> Arrays | None:
                 logs = [pa.array(np.log(c.to_numpy(zero_copy_only=False).astype(float)).astype(np.float32)) for c in part.columns[3:5]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes), *logs], ["k", "hash", "p", "backoff"])
 
-    got = rows.mapInArrow(run, "k int, hash long, p float, backoff float").toArrow()
+    got = rows.select("k", "lang", "gram", "p", "backoff").mapInArrow(run, "k int, hash long, p float, backoff float").toArrow()
     orders, hashes = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
     p, backoff = got.column(2).to_numpy(), got.column(3).to_numpy()
     got = None
-    out = Arrays(max(model))
-    for k in model:
+    out = Arrays(order)
+    for k in range(1, order + 1):
         own = np.flatnonzero(orders == k)
         own = own[np.argsort(hashes[own])]
         out.hashes[k], out.p[k], out.backoff[k] = hashes[own], p[own], backoff[own]

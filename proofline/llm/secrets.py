@@ -230,17 +230,18 @@ def ordinary_model(found: DataFrame | None) -> list[dict]:
     """Per encoding what ordinary strings do: sums of squared and cubed shares, rate of changes, correlation.
 
     The reference model counts as `REFERENCE_SIGNS` signs and pairs; those of the candidates are added to it, at any
-    number. Counts over all candidates meet in a table of pairs of signs (at most 66 x 66 rows), which is all that is fetched.
+    number. Counts over all candidates meet in a table of pairs of signs (at most 66 x 67 rows), which is all that is fetched.
     """
     single: dict = {}
     double: dict = {}
     if found is not None:
-        signs = found.select(F.explode(F.split("text", "")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
         letters = F.split("text", "")
         pairs = found.select(F.explode(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
-        pairs = pairs.filter("p.y is not null").groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
-        single = {r.x: r.n for r in signs.collect()}
-        double = {(r.x, r.y): r.n for r in pairs.collect()}
+        # every sign is the first of one pair; that of the last sign has no second
+        for r in pairs.groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n")).collect():
+            single[r.x] = single.get(r.x, 0) + r.n
+            if r.y is not None:
+                double[r.x, r.y] = r.n
     usual = reference_shares()
     out = []
     for _, alphabet in ENCODINGS:
@@ -369,7 +370,7 @@ def judged(found: DataFrame, spread: list[tuple[float, float]]) -> DataFrame:
 def random_spans(rows: DataFrame, rate: float = RATE) -> DataFrame | None:
     """(__row, spans) of the candidates told from ordinary strings; None if there are no candidates. Runs jobs."""
     found = stored(measured(rows), "secret-strings")
-    strings = found.dropDuplicates(["text"])
+    strings = stored(found.drop("__row", "start").dropDuplicates(["text"]), "secret-kinds")
     model = ordinary_of(strings)
     spread = _spread(scored(strings, model))
     kept = ("__row", "start", "n", "p", "power")

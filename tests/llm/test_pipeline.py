@@ -71,3 +71,14 @@ def test_repeated_and_missing_values_pass_through(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         df = stored(stage(spark, df, FOLDER), "t")
     assert {r.doc_id for r in df.collect()} <= {1, None}
+
+
+def test_blotted_text_is_worked_out_once(spark, documents):
+    """The text and its length come from one expression, so the plan does not hold it twice."""
+    df = documents((1, "token=abcdefghijklmnop and more"), (2, "nothing here"), (3, None))
+    out = corpus_pipeline.secret_scans(spark, df, FOLDER)
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {
+        1: ("[SECRET] and more", 17), 2: ("nothing here", 12), 3: (None, 0)
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[SECRET]") <= 1 + plan.count("Union") * 1

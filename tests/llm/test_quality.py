@@ -163,3 +163,20 @@ def test_model_tables_are_read_not_worked_out_again(spark, documents):
         assert "Join" not in rows._jdf.queryExecution().toString()
     found = ngram_lm.arrays(model)
     assert {k: len(found.hashes[k]) for k in model} == {k: t.count() for k, t in model.items()}
+
+
+def test_all_orders_share_their_steps(documents, monkeypatch):
+    """Every stored table costs the driver memory, so their number stays near that of the orders; the tables are whole."""
+    labels = []
+    keep = ngram_lm.stored
+    monkeypatch.setattr(ngram_lm, "stored", lambda df, label: labels.append(label) or keep(df, label))
+    texts = [("ab a", "en"), ("ab b 😀", "en"), ("a", None)]
+    model = ngram_lm.train(documents(*[(i, t, lang) for i, (t, lang) in enumerate(texts)]).select("text", "lang"), 3)
+    assert len(labels) <= 3 + 5
+    grams = {(lang, line[i : i + 3]) for t, lang in texts for line in ["\2\2" + t] for i in range(len(t))}
+    for k in (3, 2, 1):
+        kinds = {(lang, g[3 - k :]) for lang, g in grams}
+        contexts = {(lang, g[3 - j :][:-1]) for lang, g in grams for j in (2, 3) if j - 1 == k}
+        rows = model[k].collect()
+        assert {(r.lang, r.gram) for r in rows if r.p is not None} == kinds and len(rows) == len(kinds | contexts)
+        assert {(r.lang, r.gram) for r in rows if r.backoff is not None} == contexts

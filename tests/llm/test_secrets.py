@@ -129,3 +129,15 @@ def test_no_expression_is_too_large_for_generated_code(documents):
         generated = df._jdf.queryExecution().debug().codegenToSeq()
         sizes = [int(m) for m in re.findall(r"maxMethodCodeSize:\s*(\d+)", generated.toString())]
         assert max(sizes, default=0) < 64 * 1024
+
+
+def test_signs_and_pairs_come_from_one_table(documents, monkeypatch):
+    strings = documents((1, "aab"), (2, "b"), (3, "")).select("text")
+    kind, fetched = type(strings), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: fetched.append(1) or collect(df))
+    found = dict(zip((name for name, _ in secrets.ENCODINGS), secrets.ordinary_model(strings), strict=True))
+    assert len(fetched) == 1
+    usual, whole = secrets.reference_shares(), sum(secrets.reference_shares()[c] for c in "abcdefghijklmnopqrstuvwxyz")
+    counts = {c: secrets.REFERENCE_SIGNS * usual[c] / whole + {"a": 2, "b": 2}.get(c, 0) for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert abs(found["lower"]["s2"] - sum((n / sum(counts.values())) ** 2 for n in counts.values())) < 1e-12
