@@ -100,3 +100,18 @@ def test_near_copies_beyond_the_limit_are_halved(documents, monkeypatch):
     monkeypatch.setattr(repeats.repeats, "__defaults__", (False, "doc_id", "text", 8))
     for keep_first in (False, True):
         assert sorted(map(tuple, repeats.report(documents(*rows), keep_first).collect()), key=str) == by_hand(rows, keep_first)
+
+
+def test_planted_passages_show_in_the_bytes_removed(documents, rng):
+    """Passages of over 50 words in two documents each: those of 400 bytes go, shorter ones and clean documents stay whole."""
+    words = lambda n, size: " ".join("".join(rng.choices("abcdefghijklmnop", k=size)) for _ in range(n))
+    rows, long = [], set()
+    for i in range(12):
+        passage = words(52, 8 if i % 2 else 5)  # 467 and 311 bytes
+        rows += [(doc, f"{words(40, 7)} {passage} {words(30, 7)}") for doc in (2 * i, 2 * i + 1)]
+        long |= {2 * i, 2 * i + 1} if i % 2 else set()
+    rows += [(100 + i, words(rng.randint(1, 200), 7)) for i in range(24)]
+    got = repeats.report(documents(*rows)).collect()
+    assert {r.doc_id for r in got if r.n_removed} == long == {r.doc_id for r in got if r.n_spans == 1}
+    assert all(r.n_removed >= 467 for r in got if r.doc_id in long)
+    assert sorted(map(tuple, got), key=str) == by_hand(rows)
