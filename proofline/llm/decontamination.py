@@ -2,20 +2,21 @@
 
 Words are weighed by their inverse document frequency over the whole corpus,
 counted in `BUCKETS` hashed buckets (a table of fixed size, whatever the
-corpus). The benchmark's passages, in blocks of at most `RANK` items, form a
+corpus). The benchmark's passages, in blocks of at most `BLOCK` items, form a
 TF-IDF matrix of which a randomised SVD is taken in Spark: rows are multiplied
 by a random matrix and by each other's factors in tasks, sums over terms are
-made by grouping, and only matrices of a block's own size reach the driver. A
-block has no more items than the rank, so its basis holds them whole and the
-latent score of a passage is its cosine, however large the benchmark is. The
-blocks of `BLOCK` items are matched in one pass over the documents.
+made by grouping, and only matrices of a block's own size reach the driver. The
+rank lies below the number of items, so words that occur in the same items
+share directions, and an item stands for more than its own words.
 
 Every document is cut into overlapping passages of a few lengths, those of the
 items. A passage whose share of benchmark words cannot reach the cosine is left
-out by the inequality of Cauchy and Schwarz; the others are projected and
-compared with all items of the block. What lies at `COSINE` or above goes on to
-the exact checks: the longest common subsequence of words, and for paraphrases
-the answer words, which are the rarest third of the item.
+out by the inequality of Cauchy and Schwarz, which holds for both cosines: the
+others are compared with all items of the block as they are, and with the items
+as the latent space holds them. The first finds every verbatim copy, however
+little of an item lies in the space. A passage at `COSINE` or above by either
+goes on to the exact checks: the longest common subsequence of words, and for
+paraphrases the answer words, which are the rarest third of the item.
 
 Words are lower-cased (A-Z) and parted by white space and ASCII punctuation. A
 missing or empty text or item matches nothing. Repeated items and rows match
@@ -39,9 +40,13 @@ from proofline.llm.common import sent, slices, small_batches
 
 BUCKETS = 1 << 20
 _PARTS = 64
-#: Items of a block, which its basis covers, and of the blocks of one pass.
-RANK = 256
+#: Items of a block, which are decomposed together and matched in one pass, and directions that are kept of them.
 BLOCK = 2048
+RANK = 128
+#: Directions that are sought beside these, so that the last of them are right.
+SPARE = 32
+#: Items whose products with passages are summed at a time.
+TILE = 256
 COSINE = 0.5
 #: Share of an item's words in common order that suffices alone, and with the answer words.
 LCS_ALONE = 0.75
@@ -121,11 +126,12 @@ def _row(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return terms, value / max(float(np.linalg.norm(value)), 1e-12)
 
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, V): right singular vectors of the TF-IDF matrix of `items` (row, text), one row of V for each term in use.
+def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, V): the first `rank` right singular vectors of the TF-IDF matrix of `items` (row, text), one row of V for each term in use.
 
     Each product with the matrix is a pass over the items; products with its transpose are summed over items by term.
     """
+    first, rank = rank, rank + SPARE
     spark = items.sparkSession
     common = spark.sparkContext.broadcast(idf)
 
@@ -177,14 +183,31 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 1
     terms = np.array(sorted(found), dtype=np.int64)
     small = np.stack([found[t] for t in terms.tolist()])[:, :width]
     values, vectors = np.linalg.eigh(small.T @ small)
-    kept = values > values.max() * 1e-8
+    kept = [i for i in np.argsort(-values)[:first] if values[i] > values.max() * 1e-8]
     common.destroy()
     return terms, (small @ vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... rows; a passage is the difference of two."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, out=out[1:])
+    return out
+
+
+@dataclass
+class Tile:
+    """Items of a block that are nearest to one of its lengths: the row of each term of the block or -1, and one column for each item."""
+
+    length: int
+    items: np.ndarray
+    place: np.ndarray
+    matrix: np.ndarray
+
+
 @dataclass
 class Block:
-    """What a worker needs of a block of items: weights, terms with latent vectors, and the items."""
+    """What a worker needs of a block of items: weights, terms with latent vectors, and the items, in the latent space of length 1."""
 
     idf: np.ndarray
     terms: np.ndarray
@@ -203,8 +226,19 @@ class Block:
                 break
             size = int(size * 1.5) + 1
         # an item belongs to the nearest length, and is looked for among passages of that one
-        nearest = [int(np.argmin([abs(np.log(len(w) / s)) for s in self.lengths])) for w in self.words]
-        self.of_length = [np.array([i for i, n in enumerate(nearest) if n == k]) for k in range(len(self.lengths))]
+        nearest = np.array([int(np.argmin([abs(np.log(len(w) / s)) for s in self.lengths])) for w in self.words])
+        self.tiles: list[Tile] = []
+        for k in range(len(self.lengths)):
+            every = np.flatnonzero(nearest == k)
+            for items in (every[low : low + TILE] for low in range(0, len(every), TILE)):
+                rows = [_row(self.words[i], self.idf) for i in items]
+                terms = np.unique(np.concatenate([t for t, _ in rows]))
+                matrix = np.zeros((len(terms), len(items)), dtype=np.float32)
+                for column, (t, value) in enumerate(rows):
+                    matrix[np.searchsorted(terms, t), column] = value
+                place = np.full(len(self.terms), -1, dtype=np.int32)
+                place[np.searchsorted(self.terms, terms)] = np.arange(len(terms))
+                self.tiles.append(Tile(k, items, place, matrix))
         self.masks: list[dict[bytes, int]] = []
         self.answers: list[list[bytes]] = []
         for own in self.words:
@@ -227,7 +261,10 @@ class Block:
         return len(self.words[item]) - row.bit_count()
 
     def candidates(self, place: np.ndarray, weight: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, last word, cosine) of passages at the cosine or above; documents lie back to back."""
+        """(item, first word, last word, cosine) of passages at the cosine or above; documents lie back to back.
+
+        The cosine is that with the item's own words, or where that is too low, with the item in the latent space.
+        """
         mass = np.r_[0, (weight.astype(np.float64) ** 2).cumsum()]
         inside = np.r_[0, (np.where(place >= 0, weight, 0).astype(np.float64) ** 2).cumsum()]
         begins = np.r_[0, ends[:-1]]
@@ -251,16 +288,20 @@ class Block:
                 np.add.at(edge, b - low, -1)
             used = (edge.cumsum()[:-1] > 0) & (place[low:high] >= 0)
             at = low + np.flatnonzero(used)
-            sums = np.zeros((len(at) + 1, self.vectors.shape[1]))
-            np.cumsum(self.vectors[place[at]] * weight[at][:, None], axis=0, out=sums[1:])
+            sums = _sums(self.vectors[place[at]] * weight[at][:, None])
             count = np.r_[0, used.cumsum()]
-            for (a, b, norm), items in zip(own, self.of_length, strict=True):
-                if not len(a) or not len(items):
+            latent = [((sums[count[b - low]] - sums[count[a - low]]) / norm[:, None]).astype(np.float32) for a, b, norm in own]
+            for tile in self.tiles:
+                a, b, norm = own[tile.length]
+                if not len(a):
                     continue
-                passage = (sums[count[b - low]] - sums[count[a - low]]).astype(np.float32)
-                score = passage @ self.latent[items].T / norm[:, None].astype(np.float32)
+                rows = tile.place[place[at]]
+                met = at[rows >= 0]
+                sums = _sums(tile.matrix[rows[rows >= 0]] * weight[met][:, None])
+                score = (sums[np.searchsorted(met, b)] - sums[np.searchsorted(met, a)]) / norm[:, None]
+                score = np.where(score >= self.cosine, score, latent[tile.length] @ self.latent[tile.items].T)
                 for p, i in zip(*np.nonzero(score >= self.cosine), strict=True):
-                    yield int(items[i]), int(a[p]), int(b[p]), float(score[p, i])
+                    yield int(tile.items[i]), int(a[p]), int(b[p]), float(score[p, i])
 
     def links(
         self, split: list[list[bytes]], every: list[bytes], ends: np.ndarray, buckets: np.ndarray
@@ -302,9 +343,9 @@ def links(group: list[Block], texts: list[bytes]) -> Iterator[tuple[Block, tuple
             yield block, found
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None, cosine: float = COSINE, size: int = RANK) -> Iterator[Block]:
-    """The blocks of a benchmark (item_id, text) against the weights of the documents; a block takes `RANK` items at most."""
-    size = min(size, RANK)
+def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None, cosine: float = COSINE, size: int = BLOCK) -> Iterator[Block]:
+    """The blocks of a benchmark (item_id, text) against the weights of the documents; a block takes `BLOCK` items at most."""
+    size = min(size, BLOCK)
     spark = docs.sparkSession
     idf = weights(docs) if idf is None else idf
     named = benchmark.select("item_id", F.col("text").alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
@@ -320,23 +361,25 @@ def blocks(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray | None = None,
             continue
         own = [(n, block[i][1]) for n, i in enumerate(kept)]
         items = spark.createDataFrame(own, "row long, text string").repartition(max(1, len(own) // 256))
-        terms, vectors = randomised_svd(items, idf, len(own), rounds=0)  # a basis of all rows needs no refining
+        # with as many directions as items the space would hold each item alone, and nothing would be latent
+        terms, vectors = randomised_svd(items, idf, min(RANK, (len(own) + 1) // 2))
         place = {int(t): i for i, t in enumerate(terms)}
         latent = np.zeros((len(own), vectors.shape[1]), dtype=np.float32)
         for n, i in enumerate(kept):
             t, value = _row(words[i], idf)
             latent[n] = value.astype(np.float32) @ vectors[[place[int(x)] for x in t]]
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
         yield Block(idf, terms, vectors, [block[i][0] for i in kept], [words[i] for i in kept], latent, cosine)
 
 
 def groups(docs: DataFrame, benchmark: DataFrame, cosine: float, size: int) -> Iterator[list[Block]]:
     """The blocks that are matched in one pass: `BLOCK` items or a little less."""
     every = blocks(docs, benchmark, cosine=cosine, size=size)
-    while group := [b for _, b in zip(range(max(1, BLOCK // min(size, RANK))), every, strict=False)]:
+    while group := [b for _, b in zip(range(max(1, BLOCK // min(size, BLOCK))), every, strict=False)]:
         yield group
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = RANK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, cosine, common_words, item_words, answer_share, first_word, last_word): every checked link."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -370,7 +413,7 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: in
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = RANK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, size: int = BLOCK) -> DataFrame:
     """The documents without a link to the benchmark, all columns as they were."""
     small_batches(docs.sparkSession)
     out = docs

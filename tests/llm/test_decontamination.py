@@ -100,3 +100,50 @@ def test_large_benchmark_finds_every_verbatim_copy(spark, documents):
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.find(documents(*docs), benchmark).select("doc_id", "item_id").collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def sisters(pairs):
+    """Items of 30 words in pairs that share 12 of them, each in an order of its own."""
+    rng = random.Random(21)
+    items = []
+    for p in range(pairs):
+        kinds = [f"p{p}w{i}" for i in range(48)]
+        items += [(2 * p, rng.sample(kinds[:30], 30)), (2 * p + 1, rng.sample(kinds[18:], 30))]
+    return items
+
+
+def test_passages_are_found_by_words_that_share_items(spark, documents):
+    """Documents hold an item's words in their order, but three words of its sister to two of its own: too few for its own cosine."""
+    rng = random.Random(22)
+    items, docs, mixed = sisters(16), [], {(i, 2 * i) for i in range(8)}
+    for i, item in mixed:
+        own, others = items[item][1], [w for w in items[item + 1][1] if w not in items[item][1]]
+        others = [w for _ in range(3) for w in rng.sample(others, len(others))]
+        words = [w for a, b in zip(own[::2], own[1::2], strict=True) for w in (a, others.pop(), others.pop(), b, others.pop())]
+        docs.append((i, " ".join([f"d{i}x{n}" for n in range(60)] + words + [f"d{i}y{n}" for n in range(60)])))
+    docs += [(100 + i, " ".join(f"u{rng.randrange(500)}" for _ in range(120))) for i in range(100)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    block = next(D.blocks(documents(*docs), benchmark))
+    assert 0 < block.vectors.shape[1] < len(items)
+    for i, text in docs[:8]:
+        split, own = D.buckets_of(D.words_of(text.encode())), D._row(block.words[dict(mixed)[i]], block.idf)
+        own = dict(zip(own[0].tolist(), own[1].tolist(), strict=True))
+        weight = block.idf[split].astype(float)
+        each = np.array([own.get(b, 0) for b in split.tolist()]) * weight
+        assert max(each[a : a + 30].sum() / np.linalg.norm(weight[a : a + 30]) for a in range(len(split))) < D.COSINE
+    got = {(r.doc_id, r.item_id): r.cosine for r in D.find(documents(*docs), benchmark).collect()}
+    assert set(got) == mixed and min(got.values()) >= D.COSINE
+    assert {r.doc_id for r in D.clean(documents(*docs), benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in mixed}
+
+
+def test_svd_has_the_first_directions_of_all_rows(spark):
+    items = sisters(60)
+    idf = np.full(D.BUCKETS, 1.5, dtype=np.float32)
+    rows = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "row long, text string").repartition(3)
+    terms, v = D.randomised_svd(rows, idf, rank=60)
+    matrix = np.zeros((len(items), len(terms)))
+    for n, w in items:
+        t, value = D._row([x.encode() for x in w], idf)
+        matrix[n, np.searchsorted(terms, t)] = value
+    best = (np.linalg.svd(matrix, compute_uv=False)[:60] ** 2).sum()
+    assert v.shape[1] == 60 and 0.99 * best < np.linalg.norm(matrix @ v) ** 2 < 1.001 * best
